@@ -18,6 +18,7 @@ it; an empty table gives an empty result; further columns of the input are ignor
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -118,7 +119,7 @@ def trie_links(fps: DataFrame, budget: int = 2, step: int = STEP, leaf: int = LE
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["u", "v"])
 
     pairs = spark.range(1).select(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).alias("d"))
-    active, links = fps, None
+    active, links = fps, []
     for depth in range(step, 64 + step, step):
         up, depth = depth - step, min(depth, 64)
         child = active.groupBy(_prefix(up).alias("up"), _prefix(depth).alias("node")).agg(F.count("*").alias("n"))
@@ -137,21 +138,20 @@ def trie_links(fps: DataFrame, budget: int = 2, step: int = STEP, leaf: int = LE
             .select("a", "b", "fa", "fb")
             .mapInArrow(compare, "u long, v long")
         )
-        links = found if links is None else links.unionByName(found)
-        links = cut(links)
+        links.append(cut(found))
         pairs = walked.where(~F.col("small")).select("a", "b", "d")
         if depth == 64 or pairs.isEmpty():
             break
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         active = cut(active.withColumn("node", _prefix(depth)).join(wanted, "node", "left_semi").select("fp"))
-    return links
+    return reduce(DataFrame.unionByName, links)
 
 
 def components(links: DataFrame) -> DataFrame:
     """``(node, root)`` for every node with a link: ``root`` is its component's smallest node.
 
-    Each round points every node at its smallest neighbour, follows the pointers once more, and
-    contracts the links; the rest shrinks by half or more each time.
+    Each round points every node at its smallest neighbour, follows the pointers to their ends by doubling,
+    and contracts the links; the nodes left shrink to half or fewer each time.
     """
     edges = cut(links.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     roots = None
@@ -159,11 +159,14 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("root"))
         low = cut(low)
-        jump = low.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        low = cut(low.join(jump, "root").select("node", F.col("next").alias("root")))
+        while True:
+            jump = low.select(F.col("node").alias("root"), F.col("root").alias("next"))
+            low = cut(low.select("node", "root").join(jump, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+            if low.where("moved").isEmpty():
+                break
         to = low.select(F.col("node").alias("root"), F.col("root").alias("next"))
         if roots is None:
-            roots = low
+            roots = low.select("node", "root")
         else:
             roots = cut(roots.join(to, "root", "left").select("node", F.coalesce("next", "root").alias("root")))
         moved = edges.join(low.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u").join(low.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v")
