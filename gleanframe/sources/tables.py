@@ -53,5 +53,5 @@ def append(items: DataFrame, folder: str, fmt: str = "parquet") -> None:
 
 
 def item_schema(spark: SparkSession, lines: DataFrame, column: str = "data") -> str:
-    """The schema that a column of JSON objects shows."""
-    return lines.agg(F.schema_of_json_agg(column)).first()[0] if hasattr(F, "schema_of_json_agg") else spark.read.json(lines.select(column).rdd.map(lambda r: r[0])).schema.simpleString()
+    """The schema that the first object of a column of JSON objects shows."""
+    return lines.select(F.schema_of_json(F.lit(lines.select(column).first()[0]))).first()[0]
