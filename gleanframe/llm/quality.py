@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from gleanframe.llm.common import word_chunks
 
 BUCKETS = 1 << 16
-SAMPLE, MIN_DOCS, ROUNDS = 6000, 4, 120
+SAMPLE, MIN_DOCS, ROUNDS = 6000, 8, 120
 MEMO_WORDS = 200_000
 _SHAPES = [(re.compile(p), r) for p, r in ((rb"[A-Z]+", b"X"), (rb"[a-z\x80-\xff]+", b"x"), (rb"[0-9]+", b"9"))]
 
@@ -95,7 +95,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds, -50, 50)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds: int = ROUNDS, ridge: float = 1e-4, step: float = 1.0) -> Model:
+def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds: int = ROUNDS, ridge: float = 1e-3, step: float = 1.0) -> Model:
     """Maximum likelihood with a ridge, by Adam over all rows."""
     prior = np.zeros(n_grades - 1)
     if not len(rows):
