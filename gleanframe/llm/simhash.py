@@ -118,11 +118,12 @@ def trie_links(fps: DataFrame, budget: int = 2, step: int = STEP, leaf: int = LE
             out = [np.concatenate(x).view(np.int64) if x else np.empty(0, np.int64) for x in (us, vs)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["u", "v"])
 
-    pairs = spark.range(1).select(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).alias("d"))
+    # written out, as literals would be folded out of the joins' keys and leave a Cartesian product
+    pairs = cut(spark.range(1).select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0).alias("d")))
     active, links = fps, []
     for depth in range(step, 64 + step, step):
         up, depth = depth - step, min(depth, 64)
-        child = active.groupBy(_prefix(up).alias("up"), _prefix(depth).alias("node")).agg(F.count("*").alias("n"))
+        child = cut(active.groupBy(_prefix(up).alias("up"), _prefix(depth).alias("node")).agg(F.count("*").alias("n")))
         one = child.select(F.col("up").alias("a"), F.col("node").alias("na"), F.col("n").alias("n_a"))
         two = child.select(F.col("up").alias("b2"), F.col("node").alias("nb"), F.col("n").alias("n_b"))
         differ = (F.col("d") + F.bit_count(F.expr(f"(na ^ nb) & {(1 << (depth - up)) - 1}"))).cast("int")
@@ -130,8 +131,7 @@ def trie_links(fps: DataFrame, budget: int = 2, step: int = STEP, leaf: int = LE
         walked = pairs.join(one, "a").join(two, within)
         walked = cut(walked.select(F.col("na").alias("a"), F.col("nb").alias("b"), differ.alias("d"), (F.greatest("n_a", "n_b") <= leaf).alias("small")))
         near = walked.where("small").select("a", "b")
-        nodes = active.groupBy(_prefix(depth).alias("node")).agg(F.count("*").alias("n"))
-        packed = active.withColumn("node", _prefix(depth)).join(nodes.where(F.col("n") <= leaf).select("node"), "node", "left_semi").groupBy("node").agg(F.collect_list("fp").alias("fps"))
+        packed = active.withColumn("node", _prefix(depth)).join(child.where(F.col("n") <= leaf).select("node"), "node", "left_semi").groupBy("node").agg(F.collect_list("fp").alias("fps"))
         found = (
             near.join(packed.select(F.col("node").alias("a"), F.col("fps").alias("fa")), "a")
             .join(packed.select(F.col("node").alias("b"), F.col("fps").alias("fb")), "b")
