@@ -283,8 +283,8 @@ def forest(spark):
 
 def test_forest_on_findings_not_learned_from(spark, forest):
     rows = secrets.labelled_findings(spark, 11_000).offset(8000)
-    row = F.struct(*secrets.features(F.col("before"), F.col("candidate"), F.col("after")))
-    found = rows.select("label", (forest.vote(row) >= 0.5).cast("int").alias("vote")).toPandas()
+    rows = rows.select("label", F.struct(*secrets.features(F.col("before"), F.col("candidate"), F.col("after"))).alias("r"))
+    found = rows.select("label", (F.expr(forest.vote("r")) >= 0.5).cast("int").alias("vote")).toPandas()
     assert (found.label == found.vote).mean() > 0.97
 
 
