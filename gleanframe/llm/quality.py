@@ -5,7 +5,9 @@ score into grades: ``P(grade > j) = sigmoid(score - threshold_j)``. From these f
 tail probability by which documents are selected.
 
 Features of a text are hashes of its distinct lower-cased words, their endings and shapes, and how much it repeats
-itself. Features that fewer than ``MIN_DOCS`` rated documents have are ignored, others weigh by how rare they are.
+itself. Features that fewer than ``MIN_DOCS`` rated documents have are ignored, others weigh by how rare they are, in a
+text's vector of length one. Long texts dilute what only a few words tell; so a feature whose documents' mean
+grade is ``MARK`` standard errors or more from that of all counts a second time, undiluted, with a weight of its own.
 
 The model is fitted on the driver from a bounded sample of rated documents (at most ``SAMPLE``, chosen by a hash of
 the id); every whole text is scored.
@@ -28,8 +30,10 @@ from pyspark.sql import functions as F
 
 from gleanframe.llm.common import word_chunks
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
 SAMPLE, MIN_DOCS, ROUNDS = 6000, 8, 120
+#: Standard errors that make a feature a mark, and the size of marks of low and of high grades.
+MARK, LOW, HIGH = 5.0, 1.0, 0.1
 MEMO_WORDS = 200_000
 _SHAPES = [(re.compile(p), r) for p, r in ((rb"[A-Z]+", b"X"), (rb"[a-z\x80-\xff]+", b"x"), (rb"[0-9]+", b"9"))]
 
@@ -79,46 +83,49 @@ def _buckets(words: set[bytes]) -> np.ndarray:
 
 
 class Model:
-    """Weights, rarities and thresholds."""
+    """Weights (of features, then of marks), rarities, marks' sizes, and thresholds."""
 
-    def __init__(self, weights: np.ndarray, rarity: np.ndarray, thresholds: np.ndarray) -> None:
-        self.weights, self.rarity, self.thresholds = weights, rarity, thresholds
+    def __init__(self, weights: np.ndarray, rarity: np.ndarray, marks: np.ndarray, thresholds: np.ndarray) -> None:
+        self.weights, self.rarity, self.marks, self.thresholds = weights, rarity, marks, thresholds
 
     def score(self, text: bytes | None) -> float:
-        f = features(text)
-        x = self.rarity[f]
-        norm = np.sqrt((x**2).sum())
-        return float((self.weights[f] * x).sum() / norm) if norm else 0.0
+        at, x = vector(features(text), self.rarity, self.marks)
+        return float((self.weights[at] * x).sum())
 
     def tails(self, score: np.ndarray) -> np.ndarray:
         """``P(grade > j)``, a column for each threshold."""
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds, -50, 50)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds: int = ROUNDS, ridge: float = 1e-3, step: float = 1.0) -> Model:
+def vector(f: np.ndarray, rarity: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and sizes of a text's features, scaled to length one, and of its marks (``BUCKETS`` places on)."""
+    known, marked = f[rarity[f] > 0], f[marks[f] > 0]
+    x = rarity[known]
+    norm = np.sqrt((x**2).sum())
+    return np.concatenate([known, marked + BUCKETS]).astype(np.int64), np.concatenate([x / norm if norm else x, marks[marked]])
+
+
+def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds: int = ROUNDS, ridge: float = 1e-4, step: float = 1.0) -> Model:
     """Maximum likelihood with a ridge, by Adam over all rows."""
-    prior = np.zeros(n_grades - 1)
     if not len(rows):
-        return Model(np.zeros(BUCKETS), np.zeros(BUCKETS), prior)
+        return Model(np.zeros(2 * BUCKETS), np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(n_grades - 1))
     n = np.array([len(r) for r in rows])
     bucket = np.concatenate(rows).astype(np.int64)
     seen = np.bincount(bucket, minlength=BUCKETS)
     rarity = np.where(seen >= MIN_DOCS, np.log(1 + len(rows) / np.maximum(seen, 1)), 0.0)
-    row = np.repeat(np.arange(len(rows)), n)
-    known = rarity[bucket] > 0
-    bucket, row = bucket[known], row[known]
-    norm = np.sqrt(np.bincount(row, rarity[bucket] ** 2, len(rows)))
-    x = rarity[bucket] / norm[row]
+    apart = np.bincount(bucket, np.repeat(grades - grades.mean(), n), BUCKETS) / (max(grades.std(), 1e-9) * np.sqrt(np.maximum(seen, 1)))
+    marks = np.where(seen < MIN_DOCS, 0.0, np.where(apart < -MARK, LOW, np.where(apart > MARK, HIGH, 0.0)))
+    places, sizes = zip(*(vector(r, rarity, marks) for r in rows), strict=True)
+    bucket, x = np.concatenate(places), np.concatenate(sizes)
+    row = np.repeat(np.arange(len(rows)), [len(p) for p in places])
+    size = 2 * BUCKETS
     above = grades[:, None] > np.arange(n_grades - 1)
     share = np.clip(above.mean(0), 1e-3, 1 - 1e-3)
     thresholds = np.log(1 / share - 1)
-    # every grade weighs alike, so that rare ones count
-    count = np.bincount(grades, minlength=n_grades)
-    weight = (len(rows) / (np.maximum(count, 1) * (count > 0).sum()))[grades]
-    params = np.concatenate([np.zeros(BUCKETS), thresholds])
+    params = np.concatenate([np.zeros(size), thresholds])
     m, v = np.zeros_like(params), np.zeros_like(params)
     for t in range(1, rounds + 1):
-        w, cuts = params[:BUCKETS], params[BUCKETS:]
+        w, cuts = params[:size], params[size:]
         score = np.bincount(row, w[bucket] * x, len(rows))
         tail = 1 / (1 + np.exp(-np.clip(score[:, None] - cuts, -50, 50)))
         # P(grade) is a difference of neighbouring tails; the derivatives follow from it
@@ -126,19 +133,19 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds: int =
         slope = edges * (1 - edges)
         i = np.arange(len(rows))
         p = np.maximum(edges[i, grades] - edges[i, grades + 1], 1e-9)
-        upper, lower = weight * slope[i, grades] / p, weight * slope[i, grades + 1] / p
+        upper, lower = slope[i, grades] / p, slope[i, grades + 1] / p
         by_score = -(upper - lower) / len(rows)
         by_cut = np.zeros(n_grades + 1)
         np.add.at(by_cut, grades, upper / len(rows))
         np.add.at(by_cut, grades + 1, -lower / len(rows))
-        slope_w = np.bincount(bucket, by_score[row] * x, BUCKETS) + ridge * w / 10
+        slope_w = np.bincount(bucket, by_score[row] * x, size) + ridge * w
         g = np.concatenate([slope_w, by_cut[1:-1]])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g**2
         change = (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        change[BUCKETS:] *= 0.1
+        change[size:] *= 0.1
         params = params - step * change * (1 - t / (rounds + 1))
-        params[BUCKETS:] = np.maximum.accumulate(params[BUCKETS:])
-    return Model(params[:BUCKETS], rarity, params[BUCKETS:])
+        params[size:] = np.maximum.accumulate(params[size:])
+    return Model(params[:size].astype(np.float32), rarity.astype(np.float32), marks.astype(np.float32), params[size:])
 
 
 def learn(docs: DataFrame, ratings: DataFrame, grade: Column, n_grades: int, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE) -> Model:
@@ -153,7 +160,8 @@ def learn(docs: DataFrame, ratings: DataFrame, grade: Column, n_grades: int, id_
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(t.as_py()).astype("<i4").tobytes() for t in b.column(2)], pa.binary())], ["id", "grade", "features"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_text"))
-    found = texts.join(some, "_id").select("_id", "_grade", "_text").mapInArrow(run, "id long, grade int, features binary").orderBy("id", "features").toArrow().to_pylist()
+    # at most twice ``rows`` small rows, so the texts need no shuffle
+    found = texts.join(F.broadcast(some), "_id").select("_id", "_grade", "_text").mapInArrow(run, "id long, grade int, features binary").orderBy("id", "features").toArrow().to_pylist()
     return fit([np.frombuffer(r["features"], "<i4") for r in found], np.array([r["grade"] for r in found], np.int64), n_grades)
 
 

@@ -259,8 +259,9 @@ def test_quality_on_documents_not_learned_from(spark):
     model = quality.learn(docs, labels.where("doc_id % 2 = 0"), F.col("quality") + 1 - F.col("toxic"), 3)
     scored = quality.grade_documents(docs, model).join(labels.where("doc_id % 2 = 1"), "doc_id").toPandas()
     clean = (scored.quality == 1) & (scored.toxic == 0)
-    assert (scored.keep == clean).mean() > 0.93
-    assert scored.keep[clean].mean() > 0.95
+    assert (scored.keep == clean).mean() > 0.95
+    assert scored.keep[clean].mean() > 0.98
+    assert scored.keep[scored.toxic == 1].mean() < 0.35  # a fifth of them hold no word that clean ones lack
     assert scored.expected_grade.between(0, 2).all()
 
 
