@@ -53,6 +53,47 @@ def bans(events: DataFrame, failed: Column, ok: Column, base: float, most: float
     return islands.withColumn("ban", ban).drop("_failed_at", "_island")
 
 
+def attributed_bans(
+    events: DataFrame, fault: Column, suspect: Column, ok: Column, suspects: int, base: float, most: float, key: str = "proxy", order: str = "seq", at: str = "at"
+) -> DataFrame:
+    """:func:`bans` where a fault counts at once and a suspect failure only as every ``suspects``-th of its streak.
+
+    A success, or a quiet time over ``most`` between two suspect failures, begins a new streak.
+    """
+    upto = _by(key, order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    marked = events.withColumn("_suspect_at", F.when(suspect, F.col(at)))
+    last = F.last("_suspect_at", ignorenulls=True).over(_by(key, order).rowsBetween(W.unboundedPreceding, -1))
+    fresh = ok | (suspect & F.coalesce(F.col(at) - last > most, F.lit(False)))
+    streaks = marked.withColumn("_streak", F.sum(fresh.cast("int")).over(upto))
+    n = F.sum(suspect.cast("int")).over(W.partitionBy(key, "_streak").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow))
+    failed = streaks.withColumn("_failed", fault | (suspect & (n % max(suspects, 1) == 0))).drop("_suspect_at", "_streak")
+    return bans(failed, F.col("_failed"), ok, base, most, key, order, at).drop("_failed")
+
+
+def round_robin(requests: DataFrame, pool: DataFrame, most_uses: int = 0, name: str = "proxy", order: str = "seq", at_least: int = 4096) -> DataFrame:
+    """Requests, in order, served by the pool's members in turn; beyond ``most_uses`` of each (0: no limit) ``name`` is null.
+
+    Requests are numbered inside ranges of the order, so no task sees all of them; the pool's members are few
+    beside the requests, and Spark picks the join by their size.
+    """
+    members = pool.select(name).distinct().withColumn("_place", F.row_number().over(W.orderBy(name)) - 1)
+    size = members.agg(F.count("*").alias("_size"))
+    sliced = requests.withColumn("_slice", F.floor(F.col(order) / at_least))
+    before = W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    starts = sliced.groupBy("_slice").agg(F.count("*").alias("_n")).select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    numbered = sliced.join(starts, "_slice").withColumn("_n", F.col("_start") + F.row_number().over(W.partitionBy("_slice").orderBy(order)) - 1)
+    dealt = numbered.join(F.broadcast(size)).withColumn("_place", F.when(F.col("_size") > 0, F.col("_n") % F.col("_size")))  # one row
+    if most_uses > 0:
+        dealt = dealt.withColumn("_place", F.when(F.col("_n") < F.col("_size") * most_uses, F.col("_place")))
+    return dealt.join(members, "_place", "left").select(*requests.columns, name)
+
+
+def account_ready(events: DataFrame, blocked: Column, login_failed: Column, block: float = 1800.0, retry: float = 300.0, key: str = "account", at: str = "at") -> DataFrame:
+    """``(account, ready_at)``: when each account may be used again; a block costs ``block`` seconds, a failed login ``retry``."""
+    until = F.when(blocked, F.col(at) + block).when(login_failed, F.col(at) + retry).otherwise(F.col(at))
+    return events.groupBy(key).agg(F.max(until).alias("ready_at"))
+
+
 def concurrency(arrivals: DataFrame, slots: int, key: str = "domain", order: str = "seq", at: str = "at", took: str = "took") -> DataFrame:
     """``(key, seq, start)``: greedy start times with ``slots`` places for each key (0: no limit).
 

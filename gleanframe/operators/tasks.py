@@ -73,6 +73,20 @@ def alerts(log: DataFrame, least: int, part: float, most_failed: int, order: str
     return running.select(order, at, F.explode(keys).alias("key"))
 
 
+def stalls(log: DataFrame, most: float, order: str = "seq", at: str = "at") -> DataFrame:
+    """``(seq, at, key)``: the events that come over ``most`` seconds after the last success before them.
+
+    The last success is carried over the ends of slices of time, then inside a slice.
+    """
+    sliced = log.withColumn("_slice", F.floor(F.col(at) / 3600)).withColumn("_ok_at", F.when(F.col("outcome") == "ok", F.col(at)))
+    ends = sliced.groupBy("_slice").agg(F.max("_ok_at").alias("_ok"))
+    before = W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    starts = ends.select("_slice", F.max("_ok").over(before).alias("_ok0"))
+    inside = W.partitionBy("_slice").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    last = sliced.withColumn("_last", F.max("_ok_at").over(inside)).join(starts, "_slice").withColumn("_last", F.coalesce("_last", "_ok0"))
+    return last.where(F.col(at) - F.col("_last") > most).select(order, at, F.lit("stall").alias("key"))
+
+
 def suppress(found: DataFrame, interval: float, order: str = "seq", at: str = "at") -> DataFrame:
     """Of each key's alerts one per ``interval`` seconds; the first always. A key's alerts stream through one task in order."""
 

@@ -260,6 +260,32 @@ def ban_schedule(spark, d):
     return rows.select("domain", "seq", "ban")
 
 
+@query(f"""WITH {SQL_LOG}, l AS (SELECT *, max(CASE WHEN kind = 'click' THEN sec END) OVER (PARTITION BY domain ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM log),
+ s AS (SELECT *, sum(CASE WHEN kind = 'purchase' OR (kind = 'click' AND coalesce(sec - prev > 864000, false)) THEN 1 ELSE 0 END) OVER (PARTITION BY domain ORDER BY seq) AS streak FROM l),
+ c AS (SELECT *, sum(CASE WHEN kind = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY domain, streak ORDER BY seq) AS n FROM s),
+ f AS (SELECT *, kind = 'error' OR (kind = 'click' AND n % 3 = 0) AS failed FROM c),
+ g AS (SELECT *, max(CASE WHEN failed THEN sec END) OVER (PARTITION BY domain ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM f),
+ i AS (SELECT *, sum(CASE WHEN kind = 'purchase' OR (failed AND coalesce(sec - before > 864000, false)) THEN 1 ELSE 0 END) OVER (PARTITION BY domain ORDER BY seq) AS island FROM g),
+ b AS (SELECT *, sum(CASE WHEN failed THEN 1 ELSE 0 END) OVER (PARTITION BY domain, island ORDER BY seq) AS k_th FROM i)
+ SELECT domain, seq, CASE WHEN failed THEN least(864000.0, 3600.0 * pow(2.0, k_th - 1)) END AS ban FROM b""")
+def suspect_bans(spark, d):
+    kind = F.col("kind")
+    rows = pacing.attributed_bans(_log(spark, d), kind == "error", kind == "click", kind == "purchase", 3, 3600.0, 864000.0, key="domain", at="sec")
+    return rows.select("domain", "seq", "ban")
+
+
+@query("""WITH p AS (SELECT n_name, row_number() OVER (ORDER BY n_name) - 1 AS place FROM nation), e AS (SELECT event_id AS seq, row_number() OVER (ORDER BY event_id) - 1 AS n FROM events)
+ SELECT seq, CASE WHEN n < 25 * 100 THEN n_name END AS proxy FROM e JOIN p ON e.n % 25 = p.place""")
+def proxy_round_robin(spark, d):
+    return pacing.round_robin(_t(spark, d, "events").select(F.col("event_id").alias("seq")), _t(spark, d, "nation").select(F.col("n_name").alias("proxy")), most_uses=100)
+
+
+@query(f"WITH {SQL_LOG} SELECT domain AS account, max(sec + CASE kind WHEN 'error' THEN 1800 WHEN 'click' THEN 300 ELSE 0 END) AS ready_at FROM log GROUP BY domain")
+def account_ready(spark, d):
+    rows = _log(spark, d).select(F.col("domain").alias("account"), F.col("sec").alias("at"), "kind")
+    return pacing.account_ready(rows, F.col("kind") == "error", F.col("kind") == "click")
+
+
 @query()
 def concurrency_schedule(spark, d):
     return pacing.concurrency(_log(spark, d).withColumn("took", F.col("k") * 5000.0), 2, at="sec")
@@ -429,6 +455,12 @@ def alert_conditions(spark, d):
     return tasks.alerts(_alert_log(spark, d), 100, 0.2, 500, at="sec")
 
 
+@query(f"""WITH {SQL_LOG}, r AS (SELECT seq, sec, max(CASE WHEN kind <> 'error' THEN sec END) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM log)
+ SELECT seq, sec, 'stall' AS key FROM r WHERE sec - last > 900""")
+def stall_alerts(spark, d):
+    return tasks.stalls(_alert_log(spark, d), 900, at="sec")
+
+
 @query()
 def alert_suppression(spark, d):
     return tasks.suppress(tasks.alerts(_alert_log(spark, d), 100, 0.2, 500, at="sec"), 86400, at="sec")
