@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Code points that a task splits at a time, but whole texts always.
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 18
 #: Slices that the cache of a task holds before it starts anew.
-CACHE_SLICES = 400_000
+CACHE_SLICES = 200_000
 
 # symbols: letter, number, other, apostrophe before a contraction of one or two letters,
 # a space or another white space before something else, other white space
@@ -244,18 +244,23 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(2)
-def _coder(path: str) -> tuple[_Slices, np.ndarray, np.ndarray, np.ndarray]:
-    """The cache, and the vocabulary's bytes in one array with each id's start and length; one a task process."""
-    ranks = load_ranks(path)
-    by_id = {i: t for t, i in ranks.items()}
+def _slices(path: str) -> _Slices:
+    """The cache; one a task process that encodes."""
+    return _Slices(load_ranks(path))
+
+
+@lru_cache(2)
+def _words(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The vocabulary's bytes in one array, and each id's start and length."""
+    by_id = {i: t for t, i in load_ranks(path).items()}
     words = [by_id.get(i, b"") for i in range(max(by_id, default=-1) + 1)]
     length = np.array([len(w) for w in words], np.int64)
-    return _Slices(ranks), np.frombuffer(b"".join(words), np.uint8), np.cumsum(length) - length, length
+    return np.frombuffer(b"".join(words), np.uint8), np.cumsum(length) - length, length
 
 
 def encode_texts(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ids of all texts, each token's first byte in its text, and the number of tokens of each text."""
-    slices, _, _, length = _coder(path)
+    slices, (_, _, length) = _slices(path), _words(path)
     joined = "".join(texts)
     code = np.frombuffer(joined.encode("utf-32-le"), "<u4")
     n_chars = np.array([len(t) for t in texts], np.int64)
@@ -281,7 +286,7 @@ def encode_texts(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray, n
 
 def decode_tokens(ids: np.ndarray, starts: np.ndarray, counts: np.ndarray, path: str) -> list[bytes]:
     """The bytes of each text, its tokens placed by their starts."""
-    _, data, where, length = _coder(path)
+    data, where, length = _words(path)
     n = length[ids]
     total = np.concatenate([[0], np.cumsum(n)])
     token = np.concatenate([[0], np.cumsum(counts)])
