@@ -4,11 +4,11 @@ Vectors are centred and cut into pairs of components; each pair has 16 codewords
 and codes minimise a loss in which the residual's part parallel to the vector weighs more than the
 rest, since that part changes large inner products most. A query turns the codewords into tables of inner
 products; scanning a block adds table entries (two codes in a byte, so 256 entries a step) and the exact norms
-make the sums squared distances. The ``rerank`` best of all scanned blocks are measured exactly on the
-original vectors.
+make the sums squared distances. The ``rerank`` best of each block are measured exactly on the original vectors.
 
-Vectors are dealt to cells by nearest centre; a query scans the part ``probe`` of the cells that are nearest to
-it. Centres and codewords are fitted on a bounded sample (about ``SAMPLE`` vectors); every vector is indexed.
+Vectors are dealt to cells by nearest centre and packed into blocks of one cell. Each block has codewords of its own, so
+a group of near copies is told apart as finely as any other, and a query scans every block. Centres are fitted
+on a bounded sample (about ``SAMPLE`` vectors), codewords on at most ``FIT`` vectors of the block; every vector is indexed.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components, and null ids, take no part,
 neither do vectors of another length than the commonest; of repeated ids the smallest vector stays; equal
@@ -18,7 +18,6 @@ result; further columns of the input are ignored.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,44 +30,56 @@ from gleanframe.llm.blocks import best, matrix, pack, sample, unpack
 from gleanframe.llm.common import cut, finite_vectors
 
 SAMPLE = 16_384
-BLOCK, QUERY_BLOCK, CELL = 8192, 256, 4096
+BLOCK, QUERY_BLOCK, CELL, FIT = 8192, 256, 2048, 2048
 #: The cosine from which scores matter most; it sets how much more the parallel residual weighs.
 THRESHOLD = 0.2
 
 
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances, up to a constant of each row of ``x``."""
+    return (y**2).sum(1) - 2 * x @ y.T
+
+
+def choose_centres(x: np.ndarray, cells: int, rounds: int = 6) -> np.ndarray:
+    centres = x[np.random.default_rng(0).choice(len(x), min(cells, len(x)), replace=False)]
+    for _ in range(rounds):
+        near = apart(x, centres).argmin(1)
+        for c in np.unique(near):
+            centres[c] = x[near == c].mean(0)
+    return centres
+
+
 class Quantizer:
-    """Cell centres and codewords, fitted on a sample."""
+    """A mean and the codewords of a block's vectors."""
 
-    def __init__(self, x: np.ndarray, cells: int, threshold: float = THRESHOLD, rounds: int = 6) -> None:
-        random = np.random.default_rng(0)
-        self.dim = x.shape[1]
-        self.mean = x.mean(0)
-        self.parts = -(-self.dim // 2)
-        self.parts += self.parts % 2
+    def __init__(self, mean: np.ndarray, words: np.ndarray, threshold: float = THRESHOLD) -> None:
+        self.mean, self.words = mean, words  # words: parts, 16, 2
+        self.dim, self.parts = len(mean), len(words)
         self.weight = max(1.0, (self.dim - 1) * threshold**2 / (1 - threshold**2)) - 1
-        x = self.padded(x)
-        self.centres = x[random.choice(len(x), min(cells, len(x)), replace=False)]
-        for _ in range(rounds):
-            near = self._apart(x, self.centres).argmin(1)
-            for c in np.unique(near):
-                self.centres[c] = x[near == c].mean(0)
-        pairs = x.reshape(len(x), self.parts, 2)
-        self.words = pairs[random.choice(len(x), 16, replace=len(x) < 16)].transpose(1, 0, 2).copy()  # parts, 16, 2
-        codes = self._nearest(x)
-        for _ in range(rounds):
-            self._refit(x, codes)
-            codes = self._improve(x, codes)
 
-    @staticmethod
-    def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return (y**2).sum(1) - 2 * x @ y.T
+    @classmethod
+    def fitted(cls, x: np.ndarray, rounds: int = 6, rows: int = FIT) -> Quantizer:
+        random = np.random.default_rng(0)
+        if len(x) > rows:
+            x = x[random.choice(len(x), rows, replace=False)]
+        parts = -(-x.shape[1] // 2)
+        parts += parts % 2
+        coder = cls(x.mean(0), np.zeros((parts, 16, 2)))
+        x = coder.padded(x)
+        pairs = x.reshape(len(x), parts, 2)
+        coder.words = pairs[random.choice(len(x), 16, replace=len(x) < 16)].transpose(1, 0, 2).copy()
+        codes = coder._nearest(x)
+        for _ in range(rounds):
+            coder._refit(x, codes)
+            codes = coder._improve(x, codes)
+        return coder
 
     def padded(self, x: np.ndarray) -> np.ndarray:
         """Centred, with components of zero up to four bits times an even number of parts."""
         return np.pad(x - self.mean, ((0, 0), (0, 2 * self.parts - self.dim)))
 
     def _nearest(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([self._apart(x[:, 2 * m : 2 * m + 2], self.words[m]).argmin(1) for m in range(self.parts)], 1)
+        return np.stack([apart(x[:, 2 * m : 2 * m + 2], self.words[m]).argmin(1) for m in range(self.parts)], 1)
 
     def _improve(self, x: np.ndarray, codes: np.ndarray, passes: int = 2) -> np.ndarray:
         """Codes of less loss, part after part with the others held."""
@@ -80,7 +91,7 @@ class Quantizer:
             for m in range(self.parts):
                 part = x[:, 2 * m : 2 * m + 2]
                 others = lost + along[m][rows, codes[:, m]]
-                loss = self._apart(part, self.words[m]) + self.weight * (others[:, None] - along[m]) ** 2 / norm[:, None]
+                loss = apart(part, self.words[m]) + self.weight * (others[:, None] - along[m]) ** 2 / norm[:, None]
                 codes[:, m] = loss.argmin(1)
                 lost = others - along[m][rows, codes[:, m]]
         return codes
@@ -101,12 +112,6 @@ class Quantizer:
                 self.words[m, c] = np.linalg.solve(left, right)
             lost = others - (part * self.words[m][codes[:, m]]).sum(1)
 
-    def cell(self, x: np.ndarray) -> np.ndarray:
-        return self._apart(self.padded(x), self.centres).argmin(1)
-
-    def cells(self, x: np.ndarray, probe: int) -> np.ndarray:
-        return np.argsort(self._apart(self.padded(x), self.centres), 1, kind="stable")[:, :probe]
-
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Packed codes, and the exact squared norms of the centred vectors."""
         x = self.padded(x)
@@ -114,17 +119,17 @@ class Quantizer:
         return codes[:, ::2] << 4 | codes[:, 1::2], (x**2).sum(1)
 
     def scan(self, q: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> np.ndarray:
-        """Minus the approximate squared distance, up to a constant of the query."""
+        """Minus the approximate squared distance to ``q``, which is centred and padded."""
         table = (q.reshape(self.parts, 1, 2) * self.words).sum(2)
         pairs = (table[::2, :, None] + table[1::2, None, :]).reshape(self.parts // 2, 256)
         total = np.zeros(len(codes))
         for j in range(self.parts // 2):
             total += pairs[j][codes[:, j]]
-        return 2 * total - norms
+        return 2 * total - norms - (q**2).sum()
 
 
 def search(
-    vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", rerank: int = 128, probe: float = 0.5, rows: int = SAMPLE
+    vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", rerank: int = 128, rows: int = SAMPLE
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row whose id ``every`` divides, its ``k`` nearest others found.
 
@@ -138,54 +143,49 @@ def search(
         learned = matrix(whole.limit(rows).toArrow().column("x").combine_chunks()) if n else learned
     if not len(learned):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    coder = Quantizer(learned, min(1024, max(1, n // CELL)))
-    probes = max(1, math.ceil(probe * len(coder.centres)))
+    centres = choose_centres(learned, min(1024, max(1, n // CELL)))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                cell = coder.cell(matrix(b.column(1))).astype(np.int64)
+                cell = apart(matrix(b.column(1)), centres).argmin(1).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.zeros(len(cell))), b.column(0), b.column(1)], ["key", "at", "vec_id", "x"])
 
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                cells = coder.cells(matrix(b.column(1)), probes)
-                at = pa.array(np.repeat(np.arange(b.num_rows), cells.shape[1]))
-                flat = cells.ravel().astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.zeros(len(flat))), b.column(0).take(at), b.column(1).take(at)], ["key", "at", "vec_id", "x"])
-
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                _, x = unpack(b.column(4)[i].as_py(), b.column(5)[i].as_py())
+                _, x = unpack(b.column(1)[i].as_py(), b.column(2)[i].as_py())
+                coder = Quantizer.fitted(x)
                 codes, norms = coder.encode(x)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(4).slice(i, 1), pa.array([codes.tobytes()]), pa.array([norms.astype("<f8").tobytes()])], ["key", "ids", "codes", "norms"])
+                made = [pa.array([a.tobytes()]) for a in (codes, norms.astype("<f8"), coder.mean.astype("<f8"), coder.words.astype("<f8"))]
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, 1) for c in range(3)), *made], ["block", "ids", "data", "codes", "norms", "mean", "words"])
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                ids, codes = unpack(b.column(0)[i].as_py(), b.column(1)[i].as_py(), "u1")
-                norms = np.frombuffer(b.column(2)[i].as_py(), "<f8")
-                who, q = unpack(b.column(3)[i].as_py(), b.column(4)[i].as_py())
+                cells = [c[i].as_py() for c in b.columns]
+                ids, x = unpack(cells[0], cells[1])
+                codes = np.frombuffer(cells[2], "u1").reshape(len(ids), -1)
+                norms, mean, words = (np.frombuffer(c, "<f8") for c in cells[3:6])
+                coder = Quantizer(mean, words.reshape(-1, 16, 2))
+                who, q = unpack(cells[6], cells[7])
                 out = []
-                for one, x in zip(who.tolist(), coder.padded(q), strict=True):
-                    score = coder.scan(x, codes, norms)
+                for one, row, centred in zip(who.tolist(), q, coder.padded(q), strict=True):
+                    score = coder.scan(centred, codes, norms)
                     score[ids == one] = -np.inf
-                    top = best(score, ids, rerank)
-                    top = top[ids[top] != one]
-                    out.append((np.full(len(top), one), ids[top], score[top]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "near"])
-
-    queries = whole.where(F.col("vec_id") % every == 0)
-    placed_schema = "key long, at double, vec_id long, x array<double>"
-    index = pack(whole.mapInArrow(placed, placed_schema), BLOCK).mapInArrow(coded, "key long, ids binary, codes binary, norms binary")
-    asking = pack(queries.mapInArrow(asked, placed_schema), QUERY_BLOCK).select("key", F.col("ids").alias("query_ids"), F.col("data").alias("query_data"))
-    found = index.join(asking, "key").select("ids", "codes", "norms", "query_ids", "query_data").mapInArrow(scanned, "query_id long, vec_id long, near double")
-    near = W.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
-    some = found.withColumn("place", F.row_number().over(near)).where(F.col("place") <= rerank).select("query_id", "vec_id")
-    square = F.aggregate(F.zip_with("q", "x", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, v: t + v)
-    exact = some.join(queries.select(F.col("vec_id").alias("query_id"), F.col("x").alias("q")), "query_id").join(whole, "vec_id")
-    exact = exact.select("query_id", "vec_id", F.sqrt(square).alias("score"))
+                    near = best(score, ids, rerank)
+                    near = near[ids[near] != one]
+                    exact = np.sqrt(((x[near] - row) ** 2).sum(1))
+                    top = best(-exact, ids[near], k)
+                    out.append((np.full(len(top), one), ids[near][top], exact[top]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+
+    blocks = pack(whole.mapInArrow(placed, "key long, at double, vec_id long, x array<double>"), BLOCK).select(F.col("first").alias("block"), "ids", "data")
+    index = cut(blocks.mapInArrow(coded, "block long, ids binary, data binary, codes binary, norms binary, mean binary, words binary"))
+    queries = whole.where(F.col("vec_id") % every == 0).select(F.lit(0).cast("long").alias("key"), F.lit(0.0).alias("at"), "vec_id", "x")
+    asking = pack(queries, QUERY_BLOCK).select(F.col("ids").alias("query_ids"), F.col("data").alias("query_data"))
+    pairs = asking.crossJoin(F.broadcast(index.select("block")))  # only the numbers of the blocks are broadcast
+    both = pairs.join(index, "block").select("ids", "data", "codes", "norms", "mean", "words", "query_ids", "query_data")
+    found = both.mapInArrow(scanned, "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id")).cast("int")
-    return exact.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

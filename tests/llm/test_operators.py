@@ -133,6 +133,30 @@ def test_ann_recall(spark):
     assert hits >= 0.95 * 10 * (ids % 100 == 0).sum()
 
 
+def recall(x, found, every=100, k=10):
+    """The part of the true nearest in ``found``, for vectors numbered from 0."""
+    ids, by = np.arange(len(x)), defaultdict(set)
+    for r in found:
+        by[r.query_id].add(r.vec_id)
+    hits = []
+    for q in ids[::every]:
+        apart = ((x - x[q]) ** 2).sum(1)
+        apart[q] = np.inf
+        hits.append(len(by[q] & set(ids[np.lexsort((ids, apart))[:k]].tolist())) / k)
+    return np.mean(hits)
+
+
+def test_ann_recall_of_many_cells_and_jittered_copies(spark):
+    rng = np.random.default_rng(4)
+    spread = (rng.normal(size=(300, 1, 64)) * 0.5 + rng.normal(size=(300, 40, 64))).reshape(-1, 64)
+    copies = spread[0] + 0.01 * rng.normal(size=(6000, 64))
+    x = np.concatenate([spread, copies])[rng.permutation(18_000)]
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    found = recall(x, ann.search(v).collect())
+    print(f"recall {found:.3f}")
+    assert found >= 0.95
+
+
 def test_topk_is_exact(spark, sf01):
     ids, x = vectors(spark, sf01)
     whole = np.floor(1024 * x).astype(np.int64)
