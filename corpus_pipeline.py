@@ -20,7 +20,8 @@ from gleanframe.llm.registry import tokenizer
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return langid.keep_known(docs, langid.learn(docs))
+    profiles = langid.learn(docs)
+    return langid.keep_known(docs, profiles, least=langid.least_score(docs, profiles))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,6 +29,8 @@ from pyspark.sql.window import Window as W
 PROFILE = 300
 #: Documents for each language from which profiles are learned, about.
 PER_LANGUAGE = 2000
+#: A text is like no learned profile if its score is below ``MARGIN`` times the ``LOWEST`` quantile of learned texts' scores.
+LOWEST, MARGIN = 0.01, 0.65
 #: Words whose n-grams a task keeps before it starts anew.
 MEMO_WORDS = 200_000
 _WORD, _GAP = re.compile(r"[^\W\d_]+"), re.compile(r"\s")
@@ -114,15 +116,22 @@ class Profiles:
         return self.languages[best], float(1 - apart[best] / (self.size * len(own)))
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, size: int = PROFILE) -> Profiles:
-    """Profiles of the languages in the rows that are not held out."""
+def _labelled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> DataFrame | None:
+    """``(lang, text)`` of a bounded sample of the rows that are not held out. None without such rows."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     parts = {r["lang"]: min(1.0, per_language / r["count"]) for r in rows.groupBy("lang").count().collect()}
     if not parts:
-        return Profiles({}, size)
+        return None
     rate = F.create_map(*[x for k, v in parts.items() for x in (F.lit(k), F.lit(v))])[F.col("lang")]
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rate * 1_000_000)
+    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rate * 1_000_000).select("lang", "text")
+
+
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, size: int = PROFILE) -> Profiles:
+    """Profiles of the languages in the rows that are not held out."""
+    chosen = _labelled(docs, id_col, text_col, lang_col, per_language)
+    if chosen is None:
+        return Profiles({}, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,7 +142,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             flat = [(k, g, n) for k, c in total.items() for g, n in c.items()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*flat) if flat else ([], [], []), (pa.string(), pa.int64(), pa.int64()), strict=False)], ["lang", "gram", "n"])
 
-    counts = chosen.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = chosen.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counts.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("place") <= size)
     lists: dict[str, list[int]] = {}
     for r in top.orderBy("lang", "place").collect():
@@ -141,6 +150,21 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return Profiles(lists, size)
 
 
+def least_score(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> float:
+    """The score below which a text is like no learned profile, from texts of the sample that were labelled rightly."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [profiles.predict(t.as_py()) for t in batch.column(1)]
+            right = [score for (lang, score), label in zip(found, batch.column(0).to_pylist(), strict=True) if lang == label]
+            yield pa.RecordBatch.from_arrays([pa.array(right, pa.float64())], ["score"])
+
+    # far fewer are enough for one quantile than for profiles
+    chosen = _labelled(docs, id_col, text_col, lang_col, per_language // 4)
+    low = None if chosen is None else chosen.mapInArrow(run, "score double").agg(F.percentile_approx("score", LOWEST, 10_000)).first()[0]
+    return MARGIN * (low or 0.0)
+
+
 def predict(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, held_out, lang_pred, score)``, one row per row of ``docs``."""
 

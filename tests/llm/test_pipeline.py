@@ -24,6 +24,24 @@ def test_run(spark, sf001):
     assert tokenizer("byte_bpe_multi_50k.tiktoken")
 
 
+def test_unlearned_languages_go(spark, sf001):
+    import base64
+    import random
+
+    rng = random.Random(3)
+    learned = spark.read.parquet(f"{sf001}/documents.parquet")
+    clean = ["hello", "the house is red", "la casa es roja", "le chat est noir", "der Hund und die Katze"]
+    strange = ["Это совершенно другой язык и другое письмо", "这是一种完全不同的语言", "これは日本語です", "Ελληνικά γράμματα εδώ", "1 2 3"]
+    strange += [base64.b64encode(rng.randbytes(n)).decode() for n in (60, 400, 3000)]
+    strange += [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(n)) for n in (30, 300)]
+    columns = ["doc_id", "text"]
+    more = spark.createDataFrame(list(enumerate(clean + strange, 1_000_000)), "doc_id long, text string")
+    docs = learned.unionByName(more, allowMissingColumns=True)
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs, sf001).select(*columns).collect()}
+    assert {r.doc_id for r in learned.collect()} <= kept
+    assert {d for d in kept if d >= 1_000_000} == set(range(1_000_000, 1_000_000 + len(clean)))
+
+
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
 def test_stages_on_odd_tables(spark, name):
     stage = dict(corpus_pipeline.STAGES)[name]
