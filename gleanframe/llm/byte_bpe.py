@@ -10,14 +10,21 @@ scan: inside blocks side by side, then over the blocks' totals. A token slice be
 Every distinct slice is merged once in a task and kept in a bounded cache. Offsets (the first
 byte of each token) are kept: they place the bytes in decoding and tell which bytes a token covers.
 
-Edge cases: a null text is encoded as the empty one, which has no tokens; texts are never cut or
-truncated; repeated rows are encoded each; further columns pass through; an empty table gives an empty result.
+A text longer than ``CHUNK_CHARS`` is encoded part by part. Parts end where no slice can reach across: before a
+blank or line feed after something that is no white space, or between an ASCII letter and a digit. So a
+huge text needs little memory beside its tokens, unless it is one run without any such place.
+
+Edge cases: a null text is encoded as the empty one, which has no tokens; texts are never cut short;
+repeated rows are encoded each; further columns pass through, but one that is named like a result is
+replaced by it; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
+import re
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -29,10 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleanframe.llm.common import free
+
 #: Code points that a task splits at a time, but whole texts always.
 CHUNK_CHARS = 1 << 18
-#: Slices that the cache of a task holds before it starts anew.
-CACHE_SLICES = 200_000
+#: Slices that the cache of a task holds before it starts anew, and the bytes of the longest one in it.
+CACHE_SLICES, CACHE_BYTES = 60_000, 64
+#: Where a long text may be parted.
+_GAP = re.compile(r"(?<=\S)[ \n]|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 
 # symbols: letter, number, other, apostrophe before a contraction of one or two letters,
 # a space or another white space before something else, other white space
@@ -177,7 +188,7 @@ class _Slices(dict):
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         super().__init__()
-        self.ranks = ranks
+        self.ranks, self.long = ranks, []
         found = {(x << 16) | y: i for t, i in ranks.items() for k in range(1, len(t)) if (x := ranks.get(t[:k])) is not None and (y := ranks.get(t[k:])) is not None}
         self.pairs = np.array(sorted(found), np.int64)
         self.merged = np.array([found[k] for k in self.pairs.tolist()], np.int32)
@@ -190,6 +201,7 @@ class _Slices(dict):
         if len(self) + len(new) > CACHE_SLICES:
             self.clear()
             new = list(set(pieces))
+        self.long += [p for p in new if len(p) > CACHE_BYTES]
         whole, ranks = [p for p in new if p in self.ranks], self.ranks
         self.update((p, ranks[p].to_bytes(4, "little")) for p in whole)
         rest: dict[int, list[bytes]] = {}
@@ -199,6 +211,12 @@ class _Slices(dict):
         for n, some in rest.items():
             self.update(self._one_by_one(some) if not n or len(some) < 8 else self._together(some, n))
 
+    def forget_long(self) -> None:
+        """Slices too long to be met again leave the cache."""
+        for p in self.long:
+            self.pop(p, None)
+        self.long.clear()
+
     def _one_by_one(self, pieces: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         return ((p, np.array(merge(p, self.ranks), "<u4").tobytes()) for p in pieces)
 
@@ -274,6 +292,7 @@ def encode_texts(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray, n
     pieces = [data[a:b] for a, b in zip(edges, edges[1:], strict=False)]
     slices.add(pieces)
     of_pieces = list(map(slices.__getitem__, pieces))
+    slices.forget_long()
     ids = np.frombuffer(b"".join(of_pieces), "<i4")
     in_slice = np.fromiter(map(len, of_pieces), np.int64, len(of_pieces)) // 4
     tokens_before = np.concatenate([[0], np.cumsum(in_slice)])
@@ -309,28 +328,68 @@ def _groups(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+def parts(text: str, size: int = CHUNK_CHARS) -> Iterator[str]:
+    """A text in parts of about ``size`` code points that are encoded alone as they are within the whole."""
+    start = 0
+    while start < len(text):
+        found = _GAP.search(text, start + size) if len(text) - start > size else None
+        end = found.start() if found else len(text)
+        yield text[start:end]
+        start = end
+
+
+def encoded(texts: pa.Array, path: str) -> Iterator[tuple[int, int, Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]]]:
+    """Groups of rows ``(from, to)``, each with what its texts are encoded to: one piece of work, or one a part of a long text."""
+    for a, b in _groups([x.as_py() or 0 for x in pa.compute.binary_length(texts)], CHUNK_CHARS):
+        some = [t or "" for t in texts[a:b].to_pylist()]
+        if b - a > 1 or len(some[0]) <= CHUNK_CHARS:
+            yield a, b, iter([(some, *encode_texts(some, path))])
+        else:
+            yield a, b, (([part], *encode_texts([part], path)) for part in parts(some[0]))
+
+
+def _gathered(work: Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]], many: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids, starts and counts of a group; the parts of one text are put together again."""
+    if many:
+        return next(work)[1:]
+    ids, starts, at = [], [], 0
+    for (part,), i, s, _ in work:
+        ids.append(i), starts.append(s + np.int32(at))
+        at += len(part.encode())
+    ids, starts = (np.concatenate(x) if x else np.empty(0, np.int32) for x in (ids, starts))
+    return ids, starts, np.array([len(ids)])
+
+
+def _lists(counts: np.ndarray, *columns: np.ndarray) -> list[pa.ListArray]:
+    at = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+    return [pa.ListArray.from_arrays(at, pa.array(c.astype(np.int32, copy=False))) for c in columns]
+
+
+def _rows(docs: DataFrame, text_col: str, keep: list[str] | None, made: list[T.StructField]) -> tuple[DataFrame, T.StructType]:
+    """The columns to keep, but for those named like results, and the text as the last column; and the result's schema."""
+    taken = {f.name.lower() for f in made}
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in taken]
+    rows = docs.select(*(docs[c] for c in kept), F.coalesce(docs[text_col], F.lit("")).alias(free("whole_text", kept)))
+    return rows, T.StructType([docs.schema[c] for c in kept] + made)
+
+
 def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "token_ids", starts_col: str = "token_starts", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (all, if not given) and the ids and first bytes of each text's tokens, as arrays of int."""
-    kept = docs.columns if keep is None else keep
-    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(c, T.ArrayType(T.IntegerType(), False)) for c in (ids_col, starts_col)])
+    rows, schema = _rows(docs, text_col, keep, [T.StructField(c, T.ArrayType(T.IntegerType(), False)) for c in (ids_col, starts_col)])
     names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column(batch.num_columns - 1)
-            for a, b in _groups([x.as_py() or 0 for x in pa.compute.binary_length(text)], CHUNK_CHARS):
-                ids, starts, counts = encode_texts([t or "" for t in text[a:b].to_pylist()], path)
-                at = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (ids, starts)]
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:-1], *lists], names)
-
-    rows = docs.select(*(docs[c] for c in kept), F.coalesce(docs[text_col], F.lit("")).alias("_whole_text"))
+            for a, b, work in encoded(batch.column(batch.num_columns - 1), path):
+                ids, starts, counts = _gathered(work, b - a > 1)
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:-1], *_lists(counts, ids, starts)], names)
+
     return rows.mapInArrow(run, schema)
 
 
 def decode(tokens: DataFrame, path: str, ids_col: str = "token_ids", starts_col: str = "token_starts", bytes_col: str = "decoded", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (all, if not given) and the bytes that the tokens stand for."""
-    kept = tokens.columns if keep is None else keep
+    kept = [c for c in (tokens.columns if keep is None else keep) if c.lower() != bytes_col.lower()]
     schema = T.StructType([tokens.schema[c] for c in kept] + [T.StructField(bytes_col, T.BinaryType())])
     names = schema.fieldNames()
 
@@ -342,10 +401,44 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "token_ids", starts_col:
                 found = decode_tokens(np.asarray(ids[a:b].flatten()), np.asarray(starts[a:b].flatten()), counts[a:b], path)
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:-2], pa.array(found, pa.binary())], names)
 
-    return tokens.select(*(tokens[c] for c in kept), tokens[ids_col].alias("_ids"), tokens[starts_col].alias("_starts")).mapInArrow(run, schema)
+    at, ids = free("ids", kept), free("starts", kept)
+    return tokens.select(*(tokens[c] for c in kept), tokens[ids_col].alias(ids), tokens[starts_col].alias(at)).mapInArrow(run, schema)
+
 
+def round_trip(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None, tokens: bool = True) -> DataFrame:
+    """Encodes and decodes in one pass, so that each task has one process and one vocabulary, and compares.
+
+    Returns ``keep`` columns (all, if not given), ``n_tokens``, ``ids_sha256`` (of the ids as little-endian unsigned
+    32-bit integers), ``decoded_sha256``, and with ``tokens`` the arrays ``token_ids`` and ``token_starts``. A
+    text whose tokens do not decode to itself is an error that ends the job.
+    """
+    made = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    made += [T.StructField(c, T.ArrayType(T.IntegerType(), False)) for c in ("token_ids", "token_starts")] if tokens else []
+    rows, schema = _rows(docs, text_col, keep, made)
+    names = schema.fieldNames()
 
-def packed(batch_ids: pa.ListArray) -> list[bytes]:
-    """Each row's ids as little-endian unsigned 32-bit integers."""
-    flat, at = np.asarray(batch_ids.flatten()).astype("<u4").tobytes(), (4 * np.cumsum([0, *batch_ids.value_lengths().to_pylist()])).tolist()
-    return [flat[a:b] for a, b in zip(at, at[1:], strict=False)]
+    def digests(texts: list[str], ids: np.ndarray, starts: np.ndarray, counts: np.ndarray, so_far: list) -> None:
+        decoded = decode_tokens(ids, starts, counts, path)
+        data, at = ids.astype("<u4").tobytes(), (4 * np.cumsum(np.append(0, counts))).tolist()
+        for i, (text, back) in enumerate(zip(texts, decoded, strict=True)):
+            if text.encode() != back:
+                raise ValueError(f"a text of {len(text)} characters is not what its tokens decode to")
+            so_far[i][0].update(data[at[i] : at[i + 1]])
+            so_far[i][1].update(back)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, work in encoded(batch.column(batch.num_columns - 1), path):
+                sums, held, n, at = [(hashlib.sha256(), hashlib.sha256()) for _ in range(a, b)], [], np.zeros(b - a, np.int64), 0
+                for texts, ids, starts, counts in work:
+                    digests(texts, ids, starts, counts, sums)
+                    n += counts
+                    if tokens:
+                        held.append((ids, starts + np.int32(at)))
+                        at += sum(len(t.encode()) for t in texts) if b - a == 1 else 0
+                columns = [pa.array(n, pa.int64()), *(pa.array([s[k].hexdigest() for s in sums], pa.string()) for k in (0, 1))]
+                if tokens:
+                    columns += _lists(n, *(np.concatenate(x) for x in zip(*held, strict=True))) if held else _lists(n, *[np.empty(0, np.int32)] * 2)
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:-1], *columns], names)
+
+    return rows.mapInArrow(run, schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,14 +17,28 @@ _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read again: short lineage, survives lost executors.
 
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is set only where none is.
+    The folder is the session's ``spark.checkpoint.dir``. A temporary one is made only where none is set and
+    everything runs on this machine; on a cluster, whose executors could not see it, that is refused.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not re.match(r"local($|\[)", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
+def free(name: str, taken: Iterable[str]) -> str:
+    """``name``, with as many underscores before it as it takes to clash with none of ``taken``."""
+    known = {t.lower() for t in taken}
+    while name.lower() in known:
+        name = f"_{name}"
+    return name
+
+
 def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """``df``, which :func:`cut` has made, marked for broadcast if it has at most ``rows`` rows."""
     return F.broadcast(df) if df.count() <= rows else df

@@ -18,7 +18,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +25,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from gleanframe.llm.common import cut
+
 PROFILE = 300
-#: Documents for each language from which profiles are learned, about.
-PER_LANGUAGE = 2000
+#: Documents for each language from which profiles are learned, about, and languages (those with most documents) that are.
+PER_LANGUAGE, LANGUAGES = 2000, 1000
 #: A text is like no learned profile if its score is below ``MARGIN`` times the ``LOWEST`` quantile of learned texts' scores.
 LOWEST, MARGIN = 0.01, 0.65
 #: Words whose n-grams a task keeps before it starts anew.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 50_000
 _WORD, _GAP = re.compile(r"[^\W\d_]+"), re.compile(r"\s")
 _CHUNK = 1 << 22
 
@@ -60,6 +61,8 @@ def _grams(word: str) -> bytes:
 
 
 class _Memo(dict):
+    """The n-grams of words met so far; a task lets them go when it ends."""
+
     def __missing__(self, word: str) -> bytes:
         grams = _grams(word)
         if len(word) <= 40:
@@ -69,9 +72,11 @@ class _Memo(dict):
         return grams
 
 
-@lru_cache(1)
-def _memo() -> _Memo:
-    return _Memo()
+_memo = _Memo()
+
+
+def forget() -> None:
+    _memo.clear()
 
 
 def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
@@ -79,7 +84,7 @@ def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
     words = _words(text or "")
     if not any(any(map(str.isalpha, w)) for w in words):
         return None
-    packed = list(map(_memo().__getitem__, words))
+    packed = list(map(_memo.__getitem__, words))
     grams = np.frombuffer(b"".join(packed), np.int64)
     times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), np.fromiter(map(len, packed), np.int64, len(words)) // 8)
     order = np.argsort(grams)
@@ -116,20 +121,36 @@ class Profiles:
         return self.languages[best], float(1 - apart[best] / (self.size * len(own)))
 
 
-def _labelled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> DataFrame | None:
-    """``(lang, text)`` of a bounded sample of the rows that are not held out. None without such rows."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> DataFrame | None:
+    """``(lang, text, part)`` of a bounded sample of the rows that are not held out, ``part`` 0 to 3 by the id. None without such rows."""
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    parts = {r["lang"]: min(1.0, per_language / r["count"]) for r in rows.groupBy("lang").count().collect()}
+    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    parts = {r["lang"]: min(1.0, per_language / r["count"]) for r in most.collect()}
     if not parts:
         return None
     rate = F.create_map(*[x for k, v in parts.items() for x in (F.lit(k), F.lit(v))])[F.col("lang")]
-    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rate * 1_000_000).select("lang", "text")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    return cut(rows.where(place < rate * 1_000_000).select("lang", "text", (place % 4).alias("part")))
+
 
+def _forgetting(run):
+    """``run`` over batches, after which the task's memo is empty."""
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, size: int = PROFILE) -> Profiles:
-    """Profiles of the languages in the rows that are not held out."""
-    chosen = _labelled(docs, id_col, text_col, lang_col, per_language)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            forget()
+
+    return whole
+
+
+def learn(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, size: int = PROFILE, chosen: DataFrame | None = None
+) -> Profiles:
+    """Profiles of the languages in the rows that are not held out; ``chosen`` is their :func:`labelled` sample, if there is one already."""
+    chosen = labelled(docs, id_col, text_col, lang_col, per_language) if chosen is None else chosen
     if chosen is None:
         return Profiles({}, size)
 
@@ -142,7 +163,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             flat = [(k, g, n) for k, c in total.items() for g, n in c.items()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*flat) if flat else ([], [], []), (pa.string(), pa.int64(), pa.int64()), strict=False)], ["lang", "gram", "n"])
 
-    counts = chosen.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = chosen.select("lang", "text").mapInArrow(_forgetting(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counts.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("place") <= size)
     lists: dict[str, list[int]] = {}
     for r in top.orderBy("lang", "place").collect():
@@ -150,8 +171,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return Profiles(lists, size)
 
 
-def least_score(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> float:
-    """The score below which a text is like no learned profile, from texts of the sample that were labelled rightly."""
+def least_score(chosen: DataFrame | None, profiles: Profiles) -> float:
+    """The score below which a text is like no learned profile, from texts of a quarter of the sample that were labelled rightly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,9 +180,7 @@ def least_score(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", tex
             right = [score for (lang, score), label in zip(found, batch.column(0).to_pylist(), strict=True) if lang == label]
             yield pa.RecordBatch.from_arrays([pa.array(right, pa.float64())], ["score"])
 
-    # far fewer are enough for one quantile than for profiles
-    chosen = _labelled(docs, id_col, text_col, lang_col, per_language // 4)
-    low = None if chosen is None else chosen.mapInArrow(run, "score double").agg(F.percentile_approx("score", LOWEST, 10_000)).first()[0]
+    low = None if chosen is None else chosen.where("part = 0").select("lang", "text").mapInArrow(_forgetting(run), "score double").agg(F.percentile_approx("score", LOWEST, 10_000)).first()[0]
     return MARGIN * (low or 0.0)
 
 
@@ -174,18 +193,24 @@ def predict(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_co
             lang, score = (pa.array([x[i] for x in found], t) for i, t in ((0, pa.string()), (1, pa.float64())))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lang, score], ["doc_id", "held_out", "lang_pred", "score"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), held_out(docs[id_col]).alias("held_out"), docs[text_col].alias("text"))
+    return rows.mapInArrow(_forgetting(run), "doc_id long, held_out boolean, lang_pred string, score double")
+
 
+def keep_known(docs: DataFrame, profiles: Profiles, text_col: str = "text", least: float = 0.0, lang_col: str | None = None) -> DataFrame:
+    """The rows of ``docs`` whose language is recognised, with a score of ``least`` or more.
 
-def keep_known(docs: DataFrame, profiles: Profiles, text_col: str = "text", least: float = 0.0) -> DataFrame:
-    """The rows of ``docs`` whose language is recognised, with a score of ``least`` or more. All columns stay."""
+    All columns stay; ``lang_col``, if given, holds the predicted language from here on.
+    """
     names = docs.columns
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [profiles.predict(t.as_py()) for t in batch.column(at)]
+            if lang_col is not None:
+                columns = [pa.array([lang for lang, _ in found], pa.string()) if n == lang_col else c for n, c in zip(names, batch.columns, strict=True)]
+                batch = pa.RecordBatch.from_arrays(columns, names)
             yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(_forgetting(run), docs.schema)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from gleanframe.llm.common import cut, n_words, small
+from gleanframe.llm.common import cut, free, n_words, small
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Documents that a bucket of a source's order holds on average.
@@ -123,16 +123,17 @@ def mix(
     ``virtual_time`` and range-sorts the rows by it.
     """
     plan = schedule(docs, id_col, text_col, source_col, weights, share, most, seed)
+    own = {c: free(c, docs.columns) for c in ("id", "key", "first", "every", "copies", "source", "low", "high", "last", "taken", "copy")}
+    key = shuffle_key(docs[id_col], docs[text_col], seed)
     if ordered:
-        plan = plan.where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "first", "every", "copies").dropDuplicates(["_id", "_key"])
-        key = shuffle_key(F.col(id_col), F.col(text_col), seed)
-        rows = docs.join(plan, docs[id_col].eqNullSafe(F.col("_id")) & (key == F.col("_key")))
-        times = F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda e: F.col("first") + e * F.col("every"))
+        plan = plan.where("copies > 0").select(F.col("doc_id").alias(own["id"]), *(F.col(c).alias(own[c]) for c in ("key", "first", "every", "copies"))).dropDuplicates([own["id"], own["key"]])
+        rows = docs.join(plan, docs[id_col].eqNullSafe(F.col(own["id"])) & (key == F.col(own["key"])))
+        times = F.transform(F.sequence(F.lit(0), F.col(own["copies"]) - 1), lambda e: F.col(own["first"]) + e * F.col(own["every"]))
         return rows.select(*(docs[c] for c in docs.columns), F.explode(times).alias("virtual_time")).orderBy("virtual_time")
     sized = plan.where("size > 0")
-    high = sized.groupBy(F.col("source").alias("_s")).agg(F.max(F.struct("copies", "key")).alias("high"), F.min("copies").alias("_low"))
-    high = small(cut(high.select("_s", "_low", F.col("high.copies").alias("_high"), F.col("high.key").alias("_last"))))
-    has_words = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    taken = F.when(~has_words, 0).when(shuffle_key(F.col(id_col), F.col(text_col), seed) <= F.col("_last"), F.col("_high")).otherwise(F.col("_low"))
-    rows = docs.join(high, docs[source_col].eqNullSafe(F.col("_s"))).withColumn("_taken", taken).where("_taken > 0")
-    return rows.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("_taken"))).alias("_copy")).drop("_copy")
+    high = sized.groupBy(F.col("source").alias(own["source"])).agg(F.max(F.struct("copies", "key")).alias("top"), F.min("copies").alias(own["low"]))
+    high = small(cut(high.select(own["source"], own["low"], F.col("top.copies").alias(own["high"]), F.col("top.key").alias(own["last"]))))
+    has_words = F.coalesce(docs[text_col].rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    taken = F.when(~has_words, 0).when(key <= F.col(own["last"]), F.col(own["high"])).otherwise(F.col(own["low"]))
+    rows = docs.join(high, docs[source_col].eqNullSafe(F.col(own["source"]))).withColumn(own["taken"], taken).where(F.col(own["taken"]) > 0)
+    return rows.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col(own["taken"]))).alias(own["copy"])).drop(own["copy"])

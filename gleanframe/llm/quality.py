@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,7 @@ BUCKETS = 1 << 18
 SAMPLE, MIN_DOCS, ROUNDS = 6000, 8, 120
 #: Standard errors that make a feature a mark, and the size of marks of low and of high grades.
 MARK, LOW, HIGH = 5.0, 1.0, 0.1
-MEMO_WORDS = 200_000
+MEMO_WORDS = 60_000
 _SHAPES = [(re.compile(p), r) for p, r in ((rb"[A-Z]+", b"X"), (rb"[a-z\x80-\xff]+", b"x"), (rb"[0-9]+", b"9"))]
 
 
@@ -44,20 +43,23 @@ class _Memo(dict):
     def __missing__(self, word: bytes) -> bytes:
         from xxhash import xxh32_intdigest
 
-        shape = word[:64]
+        shape = word
         for pattern, mark in _SHAPES:
             shape = pattern.sub(mark, shape)
         lower = word.lower()
         found = np.array([xxh32_intdigest(f) % BUCKETS for f in (b"w" + lower.strip(b".,;:!?\"'()"), b"e" + lower[-3:], b"s" + shape)], np.int32).tobytes()
         if len(self) >= MEMO_WORDS:
             self.clear()
-        self[word] = found
+        if len(word) <= 40:
+            self[word] = found
         return found
 
 
-@lru_cache(1)
-def _memo() -> _Memo:
-    return _Memo()
+_memo = _Memo()
+
+
+def forget() -> None:
+    _memo.clear()
 
 
 def features(text: bytes | None) -> np.ndarray:
@@ -74,12 +76,12 @@ def features(text: bytes | None) -> np.ndarray:
     if not total:
         return np.empty(0, np.int32)
     few = sum(len(p) for p in parts) + len(distinct)
-    parts += [_buckets(distinct), np.array([_memo()[b"\x00repeats%d" % int(np.log2(total / few) * 2)]]).view(np.int32)[:1] if few else np.empty(0, np.int32)]
+    parts += [_buckets(distinct), np.array([_memo[b"\x00repeats%d" % int(np.log2(total / few) * 2)]]).view(np.int32)[:1] if few else np.empty(0, np.int32)]
     return np.unique(np.concatenate(parts))
 
 
 def _buckets(words: set[bytes]) -> np.ndarray:
-    return np.unique(np.frombuffer(b"".join(map(_memo().__getitem__, words)), np.int32))
+    return np.unique(np.frombuffer(b"".join(map(_memo.__getitem__, words)), np.int32))
 
 
 class Model:
@@ -173,6 +175,7 @@ def grade_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
             tails = model.tails(np.array([model.score(t.as_py()) for t in b.column(1)], np.float64))
             columns = [b.column(0), pa.array(tails.sum(1)), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= least)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "expected_grade", "tail_probability", "keep"])
+        forget()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     return rows.mapInArrow(run, "doc_id long, expected_grade double, tail_probability double, keep boolean")

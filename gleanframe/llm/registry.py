@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,24 +28,8 @@ def op2_ann(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    path = tokenizer("byte_bpe_multi_50k.tiktoken")
-    tokens = byte_bpe.encode(_table(spark, folder, "documents").select("doc_id", "text"), path, keep=["doc_id"])
-    tokens = with_digest(tokens)
-    decoded = byte_bpe.decode(tokens, path, keep=["doc_id", "n_tokens", "ids_sha256"])
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
-
-
-def with_digest(tokens: DataFrame) -> DataFrame:
-    """``doc_id``, the tokens, and ``n_tokens`` and ``ids_sha256`` beside them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column(1)
-            digests = [hashlib.sha256(x).hexdigest() for x in byte_bpe.packed(ids)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pc.list_value_length(ids).cast(pa.int64()), pa.array(digests, pa.string())], [*b.schema.names, "n_tokens", "ids_sha256"])
-
-    kept = tokens.select("doc_id", "token_ids", "token_starts")
-    return kept.mapInArrow(run, "doc_id long, token_ids array<int>, token_starts array<int>, n_tokens long, ids_sha256 string")
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return byte_bpe.round_trip(docs, tokenizer("byte_bpe_multi_50k.tiktoken"), keep=["doc_id"], tokens=False)
 
 
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -68,8 +47,8 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
-    forest = secrets.train(secrets.labelled_findings(spark))
-    return secrets.scan(_table(spark, folder, "documents"), forest)
+    docs = _table(spark, folder, "documents")
+    return secrets.scan(docs, secrets.learn(docs))
 
 
 def op8_topk(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,18 +1,24 @@
 """SimHash near-duplicates through a binary trie self-join.
 
-A text's fingerprint has one bit per majority vote over the XXH64 hashes of its word shingles. The
-distinct fingerprints form a binary trie; pairs of its nodes are walked together from the root. A pair
-carries the differing bits so far and goes once these exceed the budget. Spark holds the frontier of
-node pairs as a table and takes ``STEP`` bits a round; pairs whose two nodes hold few fingerprints leave
-the walk and are compared bit by bit inside one task. Only nodes with too many fingerprints go deeper, so
-a dense region (a large group of near copies) is split further, and no task holds more than two
-leaves. A task reports a spanning forest of the links it found, never all pairs, and the components
-are contracted with joins and aggregations.
+A text's fingerprint has one bit per majority vote over the hashes of its word shingles. The distinct fingerprints
+form a binary trie; pairs of its nodes are walked together from the root. A pair carries the differing bits so
+far and goes once these exceed the budget. Spark holds the frontier of node pairs as a table and takes ``STEP``
+bits a round; a pair whose two nodes hold few fingerprints (a leaf) is walked on inside one task down to the last bit,
+with the same sums and the same pruning. Only nodes with too many fingerprints go deeper on Spark's side, so a
+dense region (a large group of near copies) is split further, and no task holds more than two leaves. A task
+reports a spanning forest of the links it found, never all pairs, and the components are contracted with joins
+and aggregations.
+
+There are two ways to use it. :func:`near_duplicates` links texts whose 64-bit fingerprints differ by few bits.
+:func:`similar` finds texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more: such texts differ
+in about 15 % of their bits, too many for one trie, so ``TREES`` short fingerprints make as many tries, walked in one
+pass, and each pair that any of them finds is then checked exactly.
 
 Edge cases: a null or empty text, or one without words, has the fingerprint zero and links like any
 other; fewer words than a shingle count as one shingle; repeated rows (same id and text) count as
 copies of each other; null ids get a component like any row but never name one unless nothing else is in
-it; an empty table gives an empty result; further columns of the input are ignored.
+it; an empty table gives an empty result; further columns of the input, whatever their names, are ignored by all but
+:func:`keep_one`, which keeps them.
 """
 
 from __future__ import annotations
@@ -26,15 +32,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanframe.llm.common import cut, word_chunks
+from gleanframe.llm.common import cut, free, word_chunks
 
-STEP = 6
-#: Fingerprints in a node that one task compares directly.
+#: Bits that a round of the walk takes, on Spark's side and inside a leaf.
+STEP, INNER = 6, 4
+#: Fingerprints in a node that one task walks on alone.
 LEAF = 1024
+#: Node pairs that a task holds at a time.
+WIDTH = 1 << 19
+
+# :func:`similar`
+#: Bits of a short fingerprint, how many of them a text has, and the bits by which two may differ. A pair of
+#: similarity 0.8 differs in a bit with probability acos(0.889) / pi = 0.152, so it is found in one trie with
+#: probability 0.169 and in any of them with 0.983; above 0.8 more surely.
+BITS, TREES, BUDGET = 20, 22, 1
+#: Words of 64 bits that are compared before the exact check, and the bits by which they may differ: at similarity
+#: 0.8 the mean is 29 and the deviation 5, for unrelated texts 96 and 7.
+WORDS, FAR = 3, 47
+NEAR_LEAF = 8192
+MEMO_WORDS = 100_000
 
 
 def fingerprint(text: bytes | None, shingle: int = 3) -> int:
-    """The unsigned 64-bit SimHash of one text."""
+    """The unsigned 64-bit SimHash of one text: bit b is set if it is in over half of the shingles' XXH64."""
     from xxhash import xxh64_intdigest
 
     ones, n, tail = np.zeros(64, np.int64), 0, []
@@ -47,19 +67,25 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
         grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
         k = len(words) - shingle + 1
         bits = np.fromiter(map(xxh64_intdigest, grams, repeat(42)), "<u8", k)
-        for i in range(0, k, 1 << 16):
-            part = bits[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8)
-            ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
+        ones += _ones(bits)
         n += k
         tail = words[len(words) - shingle + 1 :]
     if not n:
         if not short:
             return 0
-        n, one = 1, np.array([xxh64_intdigest(b" ".join(short), 42)], "<u8")
-        ones = np.unpackbits(one.view(np.uint8), bitorder="little").astype(np.int64)
+        n, ones = 1, _ones(np.array([xxh64_intdigest(b" ".join(short), 42)], "<u8"))
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit, the lowest first."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 1 << 16):
+        part = hashes[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int32)
+    return ones
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """``(doc_id, text_hash, fp)`` for each row; ``fp`` holds the 64 bits as a signed long."""
 
@@ -68,82 +94,196 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(2)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
+    return _plain(docs, id_col, text_col).mapInArrow(run, "doc_id long, text_hash long, fp long")
+
+
+def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(docs[text_col]).alias("text_hash"), docs[text_col].cast("binary").alias("text"))
+
 
+# --- the walk
 
-def _prefix(depth: int):
-    return F.lit(0).cast("long") if depth == 0 else F.shiftrightunsigned(F.col("fp"), 64 - depth)
 
+def walk(a: np.ndarray, b: np.ndarray, same: bool, budget: int, depth: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs within ``budget`` bits of two leaves at ``depth``, or of one (``same``), some at a time.
 
-def forest(a: np.ndarray, b: np.ndarray, same: bool, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest, as pairs of fingerprints, of the links between two leaves (within one, if ``same``)."""
-    left, right = np.nonzero(np.bitwise_count(a[:, None] ^ b[None, :]) <= budget)
-    if same:
-        left, right = left[left < right], right[left < right]
-        nodes = a
-    else:
-        right, nodes = right + len(a), np.concatenate([a, b])
-    if len(left) < len(nodes):
-        return nodes[left], nodes[right]
-    root = np.arange(len(nodes))
+    ``a`` and ``b`` are ascending, so a node of the trie is a slice of them.
+    """
+    one = np.zeros(1, np.int64)
+    d = int(np.bitwise_count((a[0] ^ b[0]) >> np.uint64(bits - depth))) if 0 < depth else 0
+    held = [(depth, one, one + len(a), one, one + len(b), one + d)]
+    while held:
+        depth, la, ha, lb, hb, d = held.pop()
+        if depth == bits:
+            yield from _singles(la, ha, lb, hb, same)
+            continue
+        new = min(depth + INNER, bits)
+        shift, mask = np.uint64(bits - new), np.uint64((1 << (new - depth)) - 1)
+        starts_a, starts_b = (np.flatnonzero(np.append(True, (x[1:] >> shift) != (x[:-1] >> shift))) for x in (a, b))
+        ends_a, ends_b = np.append(starts_a[1:], len(a)), np.append(starts_b[1:], len(b))
+        first_a, first_b = np.searchsorted(starts_a, la), np.searchsorted(starts_b, lb)
+        wide = np.searchsorted(starts_b, hb) - first_b
+        made = (np.searchsorted(starts_a, ha) - first_a) * wide
+        total = np.cumsum(made)
+        i = 0
+        while i < len(made):
+            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + WIDTH, "right")))
+            n = made[i:j]
+            pair = np.repeat(np.arange(i, j), n)
+            at = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
+            x, y = first_a[pair] + at // wide[pair], first_b[pair] + at % wide[pair]
+            sum_ = d[pair] + np.bitwise_count(((a[starts_a[x]] ^ b[starts_b[y]]) >> shift) & mask)
+            kept = (sum_ <= budget) & ((x <= y) if same else True)
+            x, y = x[kept], y[kept]
+            if len(x):
+                held.append((new, starts_a[x], ends_a[x], starts_b[y], ends_b[y], sum_[kept]))
+            i = j
+
+
+def _singles(la: np.ndarray, ha: np.ndarray, lb: np.ndarray, hb: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places of slices that share their bits; a fingerprint that many have makes them many."""
+    wide = hb - lb
+    made = (ha - la) * wide
+    total, i = np.cumsum(made), 0
+    while i < len(made):
+        done = total[i - 1] if i else 0
+        j = max(i + 1, int(np.searchsorted(total, done + WIDTH, "right")))
+        for low in range(0, int(total[j - 1] - done), WIDTH):
+            at = np.arange(low, min(low + WIDTH, int(total[j - 1] - done))) + done
+            pair = np.searchsorted(total, at, "right")
+            at = at - (total[pair] - made[pair])
+            x, y = la[pair] + at // wide[pair], lb[pair] + at % wide[pair]
+            yield (x[x < y], y[x < y]) if same else (x, y)
+        i = j
+
+
+def spanning(left: np.ndarray, right: np.ndarray, cost: np.ndarray, n: int) -> np.ndarray:
+    """Which edges make a minimum spanning forest of ``n`` nodes: every component takes its cheapest way out, again and again."""
+    order = np.argsort(cost, kind="stable")
+    left, right = left[order], right[order]
+    root, alive, chosen = np.arange(n), np.arange(len(order)), []
     while True:
-        low = np.minimum(root[left], root[right])
-        new = root.copy()
-        np.minimum.at(new, left, low)
-        np.minimum.at(new, right, low)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    out = np.flatnonzero(root != np.arange(len(nodes)))
-    return nodes[root[out]], nodes[out]
+        a, b = root[left[alive]], root[right[alive]]
+        alive, a, b = alive[a != b], a[a != b], b[a != b]
+        if not len(alive):
+            return order[np.concatenate(chosen)] if chosen else order[:0]
+        first = np.full(n, -1)
+        first[np.concatenate([a[::-1], b[::-1]])] = np.concatenate([alive[::-1], alive[::-1]])
+        both = np.full(n, -1)  # the cheaper of the two ends' first edges
+        both[a[::-1]] = alive[::-1]
+        first = np.where((both >= 0) & ((first < 0) | (both < first)), both, first)
+        taken = np.unique(first[first >= 0])
+        chosen.append(taken)
+        u, v = root[left[taken]], root[right[taken]]
+        label = np.arange(n)
+        while True:
+            low = np.minimum(label[u], label[v])
+            new = label.copy()
+            np.minimum.at(new, label[u], low)
+            np.minimum.at(new, label[v], low)
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        root = label[root]
+
+
+class Links:
+    """Links between numbered nodes, thinned to a minimum spanning forest as they come."""
+
+    def __init__(self, n: int) -> None:
+        self.n, self.held = n, []
+
+    def add(self, left: np.ndarray, right: np.ndarray, cost: np.ndarray) -> None:
+        self.held.append((left, right, cost))
+        if sum(len(h[0]) for h in self.held) > max(WIDTH, 4 * self.n):
+            self.held = [self.forest()]
+
+    def forest(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        left, right, cost = (np.concatenate(x) for x in zip(*self.held, strict=True)) if self.held else (np.empty(0, np.int64),) * 3
+        some = spanning(left, right, cost, self.n)
+        return left[some], right[some], cost[some]
 
 
-def trie_links(fps: DataFrame, budget: int = 2, step: int = STEP, leaf: int = LEAF) -> DataFrame:
-    """``(u, v)``: links that connect the same distinct fingerprints as all pairs within ``budget`` bits do.
+def trie_links(fps: DataFrame, budget: int = 2, bits: int = 64, step: int = STEP, leaf: int = LEAF, words: int = 0, far: int = 64) -> DataFrame:
+    """``(u, v)``: links that connect the same nodes as all pairs within ``budget`` bits do.
 
-    ``fps`` has the distinct ``fp``.
+    ``fps`` has ``fp`` (``bits`` bits; what stands above them is the trie's number, and only fingerprints
+    of one trie are compared) and ``id``. With ``words``, the links are between ids whose ``sketch``, so many
+    64-bit words, differs by ``far`` bits or fewer, and of those that connect two ids the nearest ones are reported.
     """
     spark = fps.sparkSession
+    cell = f"array<struct<fp:bigint,id:bigint{''.join(f',w{i}:bigint' for i in range(words))}>>"
+
+    def unpack(cells: pa.Scalar) -> list[np.ndarray]:
+        fields = cells.values.flatten()
+        columns = [np.asarray(f).view(np.uint64) for f in fields]
+        order = np.argsort(columns[0], kind="stable")
+        return [c[order] for c in columns]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None
         for batch in batches:
             us, vs = [], []
-            a, b, fa, fb = (batch.column(i) for i in range(4))
             for i in range(batch.num_rows):
-                one, two = (np.asarray(f[i].values).view(np.uint64) for f in (fa, fb))
-                u, v = forest(one, two, a[i].as_py() == b[i].as_py(), budget)
-                us.append(u), vs.append(v)
+                same, asked, depth = (batch.column(k)[i].as_py() for k in (1, 2, 3))
+                other = unpack(batch.column(4)[i])
+                if same:
+                    own = other
+                if not asked:
+                    continue
+                n = len(own[0])
+                found = Links(n if same else n + len(other[0]))
+                for x, y in walk(own[0], other[0], same, budget, depth, bits):
+                    if words:
+                        apart = sum(np.bitwise_count(p[x] ^ q[y]).astype(np.int64) for p, q in zip(own[2:], other[2:], strict=True))
+                        near = (apart <= far) & (own[1][x] != other[1][y])
+                        x, y, apart = x[near], y[near], apart[near]
+                    else:
+                        apart = np.zeros(len(x), np.int64)
+                    if len(x):
+                        found.add(x, y if same else y + n, apart)
+                x, y, _ = found.forest()
+                ids = own[1] if same else np.concatenate([own[1], other[1]])
+                us.append(ids[x]), vs.append(ids[y])
             out = [np.concatenate(x).view(np.int64) if x else np.empty(0, np.int64) for x in (us, vs)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["u", "v"])
 
-    # written out, as literals would be folded out of the joins' keys and leave a Cartesian product
-    pairs = cut(spark.range(1).select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0).alias("d")))
+    def prefix(depth: int):
+        return F.lit(0).cast("long") if depth == 0 and bits == 64 else F.shiftrightunsigned(F.col("fp"), bits - depth)
+
+    # a row for each trie, written out, as literals would be folded out of the joins' keys and leave a Cartesian product
+    pairs = cut(fps.select(prefix(0).alias("a")).distinct().select("a", F.col("a").alias("b"), F.lit(0).alias("d")))
     active, links = fps, []
-    for depth in range(step, 64 + step, step):
-        up, depth = depth - step, min(depth, 64)
-        child = cut(active.groupBy(_prefix(up).alias("up"), _prefix(depth).alias("node")).agg(F.count("*").alias("n")))
+    for depth in range(step, bits + step, step):
+        up, depth = depth - step, min(depth, bits)
+        child = cut(active.groupBy(prefix(up).alias("up"), prefix(depth).alias("node")).agg(F.count("*").alias("n")))
         one = child.select(F.col("up").alias("a"), F.col("node").alias("na"), F.col("n").alias("n_a"))
         two = child.select(F.col("up").alias("b2"), F.col("node").alias("nb"), F.col("n").alias("n_b"))
         differ = (F.col("d") + F.bit_count(F.expr(f"(na ^ nb) & {(1 << (depth - up)) - 1}"))).cast("int")
         within = (F.col("b") == F.col("b2")) & (differ <= budget) & ((F.col("a") != F.col("b")) | (F.col("na") <= F.col("nb")))
         walked = pairs.join(one, "a").join(two, within)
-        walked = cut(walked.select(F.col("na").alias("a"), F.col("nb").alias("b"), differ.alias("d"), (F.greatest("n_a", "n_b") <= leaf).alias("small")))
-        near = walked.where("small").select("a", "b")
-        packed = active.withColumn("node", _prefix(depth)).join(child.where(F.col("n") <= leaf).select("node"), "node", "left_semi").groupBy("node").agg(F.collect_list("fp").alias("fps"))
-        found = (
-            near.join(packed.select(F.col("node").alias("a"), F.col("fps").alias("fa")), "a")
-            .join(packed.select(F.col("node").alias("b"), F.col("fps").alias("fb")), "b")
-            .select("a", "b", "fa", "fb")
-            .mapInArrow(compare, "u long, v long")
-        )
-        links.append(cut(found))
+        end = F.lit(depth == bits)
+        walked = cut(walked.select(F.col("na").alias("a"), F.col("nb").alias("b"), differ.alias("d"), "n_a", "n_b", ((F.greatest("n_a", "n_b") <= leaf) | end).alias("small")))
+        # a leaf is one chunk; only a fingerprint that more than a leaf share at the last bit is dealt to several
+        chunks = lambda n: F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / leaf))
+        near = walked.where("small").select("a", "b", F.explode(chunks("n_a")).alias("ca"), "n_b").select("a", "b", "ca", F.explode(chunks("n_b")).alias("cb")).where("a < b or ca <= cb")
+        # a node meets its partners one after the other, its own row first
+        own = near.select("a", "ca", F.col("a").alias("b"), F.col("ca").alias("cb"), F.lit(False).alias("asked"))
+        met = near.withColumn("asked", F.lit(True)).unionByName(own).groupBy("a", "ca", "b", "cb").agg(F.max("asked").alias("asked"))
+        sized = child.where((F.col("n") <= leaf) | end).select("node", F.floor((F.col("n") - 1) / leaf + 1).alias("of"))
+        cells = F.collect_list(F.struct("fp", "id", *(F.col("sketch")[i].alias(f"w{i}") for i in range(words)))).cast(cell)
+        dealt = active.withColumn("node", prefix(depth)).join(sized, "node").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("of")))
+        packed = dealt.groupBy(F.col("node").alias("b"), F.col("chunk").alias("cb")).agg(cells.alias("cells"))
+        same = (F.col("a") == F.col("b")) & (F.col("ca") == F.col("cb"))
+        rows = met.join(packed, ["b", "cb"]).select(F.struct("a", "ca").alias("whose"), same.alias("same"), "asked", F.lit(depth).alias("depth"), "cells", "b", "cb")
+        rows = rows.repartition("whose").sortWithinPartitions("whose", ~F.col("same"), "b", "cb").drop("b", "cb")
+        links.append(cut(rows.mapInArrow(compare, "u long, v long").distinct()))
         pairs = walked.where(~F.col("small")).select("a", "b", "d")
-        if depth == 64 or pairs.isEmpty():
+        if depth == bits or pairs.isEmpty():
             break
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        active = cut(active.withColumn("node", _prefix(depth)).join(wanted, "node", "left_semi").select("fp"))
+        active = cut(active.withColumn("node", prefix(depth)).join(wanted, "node", "left_semi").drop("node"))
     return reduce(DataFrame.unionByName, links)
 
 
@@ -174,30 +314,153 @@ def components(links: DataFrame) -> DataFrame:
     return links.sparkSession.createDataFrame([], "node long, root long") if roots is None else roots
 
 
+def _best():
+    return F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_hash")).alias("best")
+
+
+def _grouped(by_node: DataFrame, links: DataFrame, node: str) -> DataFrame:
+    """``(node, best)``: for each node the smallest ``best`` of its component."""
+    rooted = cut(by_node.join(components(links).withColumnRenamed("node", node), node, "left").withColumn("root", F.coalesce("root", node)))
+    by_root = rooted.groupBy("root").agg(F.min("best").alias("best"))
+    return rooted.select(node, "root").join(by_root, "root").select(node, "best")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 2) -> DataFrame:
     """``(doc_id, text_hash, fp, component_id, best)``: one row per row of ``docs``.
 
-    ``component_id`` is the smallest id that links reach, the row's own included. ``best`` is the
-    ``(id missing, id, text_hash)`` of the row that stands for the component.
+    ``component_id`` is the smallest id that links of at most ``budget`` differing bits reach, the row's own
+    included. ``best`` is the ``(id missing, id, text_hash)`` of the row that stands for the component.
     """
     marked = cut(fingerprints(docs, id_col, text_col, shingle))
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_hash"))
-    by_fp = marked.groupBy("fp").agg(best.alias("best"))
-    by_fp = cut(by_fp)
-    roots = components(trie_links(by_fp.select("fp"), budget))
-    rooted = by_fp.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = cut(rooted)
-    by_root = rooted.groupBy("root").agg(F.min("best").alias("best"))
-    by_fp = rooted.select("fp", "root").join(by_root, "root").select("fp", "best")
-    return marked.join(by_fp, "fp").select("doc_id", "text_hash", "fp", F.col("best.doc_id").alias("component_id"), "best")
+    by_fp = cut(marked.groupBy("fp").agg(_best()))
+    links = trie_links(by_fp.select("fp", F.col("fp").alias("id")), budget)
+    return marked.join(_grouped(by_fp, links, "fp"), "fp").select("doc_id", "text_hash", "fp", F.col("best.doc_id").alias("component_id"), "best")
+
+
+# --- similarity of sets of shingles
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A well-known 64-bit finaliser (splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class _Words(dict):
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
+
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        found = xxh64_intdigest(word)
+        if len(word) <= 40:
+            self[word] = found
+        return found
+
+
+def shingles(text: bytes | None, size: int, memo: dict[bytes, int]) -> np.ndarray:
+    """The distinct hashes of a text's shingles of ``size`` words, ascending; fewer words are one shingle, none make none."""
+    parts, tail, short = [], np.empty(0, np.uint64), np.empty(0, np.uint64)
+    for words in word_chunks((text or b"").lower()):
+        w = np.concatenate([tail, np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))])
+        if len(w) < size:
+            tail = short = w
+            continue
+        n = len(w) - size + 1
+        h = np.zeros(n, np.uint64)
+        for i in range(size):
+            h = _mixed(h * np.uint64(0x9E3779B97F4A7C15) + w[i : i + n])
+        parts.append(np.unique(h))
+        tail = w[n:]
+    if not parts and len(short):
+        h = np.full(1, len(short), np.uint64)
+        for x in short:
+            h = _mixed(h * np.uint64(0x9E3779B97F4A7C15) + x)
+        parts.append(h)
+    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 2) -> DataFrame:
-    """The rows of ``docs``, one for each component: that with the smallest id. All columns stay."""
-    found = near_duplicates(docs, id_col, text_col, shingle, budget)
+def sketch(s: np.ndarray, words: int) -> np.ndarray:
+    """``64 * words`` bits, each a majority vote over the set's hashes."""
+    ones = [_ones(_mixed(s + np.uint64((i + 1) * 0xD1B54A32D192ED03 % (1 << 64)))) for i in range(words)]
+    return np.concatenate(ones) * 2 > len(s)
+
+
+def similar(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, trees: int = TREES, bits: int = BITS, budget: int = BUDGET, leaf: int = NEAR_LEAF
+) -> DataFrame:
+    """``(doc_id, text_hash, component_id, best)``: one row per row of ``docs``, as :func:`near_duplicates` has them.
+
+    Two texts are linked if their sets of shingles (of lower-cased words) have a Jaccard similarity of ``similarity``
+    or more. Texts with the same set are one class from the start. Of the other pairs, those that a trie of
+    short fingerprints brings together and whose sketches are near are candidates; each task keeps the
+    minimum spanning forest of its candidates by sketch distance, which connects at every threshold what all of them
+    would; and every candidate kept is checked on the whole texts. Texts without a word are one class.
+    """
+    words = -(-bits * trees // 64)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _Words()
+        for b in batches:
+            classes, fps, near = [], [], []
+            for t in b.column(2):
+                s = shingles(t.as_py(), shingle, memo)
+                at = sketch(s, max(words, WORDS))
+                with np.errstate(over="ignore"):
+                    classes.append(int(_mixed(np.array([_mixed(s + np.uint64(1)).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0]))
+                short = at[: bits * trees].reshape(trees, bits)
+                fps.append(short @ (1 << np.arange(bits - 1, -1, -1)) + (np.arange(trees) << bits))
+                near.append(np.packbits(at[: 64 * WORDS], bitorder="little").view(np.int64))
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * n, pa.int32()), pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64())) for x, n in ((fps, trees), (near, WORDS))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(classes, pa.int64()), *lists], ["doc_id", "text_hash", "class", "fps", "sketch"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, last, left = _Words(), None, None
+        for b in batches:
+            kept = []
+            for i in range(b.num_rows):
+                u = b.column(0)[i].as_py()
+                if u != last:
+                    last, left = u, shingles(b.column(2)[i].as_py(), shingle, memo)
+                right = shingles(b.column(3)[i].as_py(), shingle, memo)
+                both = len(np.intersect1d(left, right, assume_unique=True))
+                kept.append(both >= similarity * (len(left) + len(right) - both))
+            yield b.select(["u", "v"]).filter(pa.array(kept, pa.bool_()))
+
+    plain = _plain(docs, id_col, text_col)
+    marked = cut(plain.mapInArrow(mark, "doc_id long, text_hash long, class long, fps array<long>, sketch array<long>"))
+    by_class = cut(marked.groupBy("class").agg(_best(), F.any_value("fps").alias("fps"), F.any_value("sketch").alias("sketch")))
+    nodes = by_class.select(F.explode("fps").alias("fp"), F.col("class").alias("id"), "sketch")
+    links = cut(trie_links(nodes, budget, bits, leaf=leaf, words=WORDS, far=FAR).distinct())
+    wanted = links.select(F.explode(F.array("u", "v")).alias("class")).distinct().join(by_class.select("class", "best"), "class")
+    wanted = wanted.select("class", F.col("best.doc_id").alias("of"), F.col("best.text_hash").alias("hash"))
+    one = plain.join(wanted, plain["doc_id"].eqNullSafe(wanted["of"]) & (plain["text_hash"] == wanted["hash"]))
+    texts = cut(one.groupBy("class").agg(F.any_value("text").alias("text")))
+    sides = [texts.select(F.col("class").alias(c), F.col("text").alias(f"text_{c}")) for c in "uv"]
+    both = links.join(sides[1], "v").join(sides[0], "u").select("u", "v", "text_u", "text_v")
+    checked = both.mapInArrow(check, "u long, v long")
+    return marked.join(_grouped(by_class.select("class", "best"), checked, "class"), "class").select("doc_id", "text_hash", F.col("best.doc_id").alias("component_id"), "best")
+
+
+def keep_one(docs: DataFrame, found: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, one for each component of ``found`` (:func:`similar`, if not given). All columns stay.
+
+    That is the one with the smallest id, null last; of several with that id, the one with the smallest hash of its
+    text, then of all its columns. The rows that go are anti-joined, so that few of them move no text.
+    """
+    found = similar(docs, id_col, text_col) if found is None else found
+    row = free("whole_row", docs.columns)
     stands = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_hash") == F.col("best")
-    kept = cut(found.where(stands).groupBy(F.col("doc_id").alias("_keep_id"), F.col("text_hash").alias("_keep_hash")).count())
-    text_hash = F.xxhash64(docs[text_col])
-    same = docs[id_col].cast("long").eqNullSafe(F.col("_keep_id")) & (text_hash == F.col("_keep_hash"))
-    out = docs.join(kept, same, "left_semi")
-    return out if kept.where("count > 1").isEmpty() else out.dropDuplicates([id_col, text_col])
+    keys = cut(found.groupBy("doc_id", "text_hash").agg(F.max(stands).alias("stands"), F.count("*").alias("n")))
+    names = {c: free(c, docs.columns) for c in ("gone_id", "gone_hash")}
+    keyed = lambda rows: rows.select(F.col("doc_id").alias(names["gone_id"]), F.col("text_hash").alias(names["gone_hash"]))
+    same = docs[id_col].cast("long").eqNullSafe(F.col(names["gone_id"])) & (F.xxhash64(docs[text_col]) == F.col(names["gone_hash"]))
+    out = docs.join(keyed(keys.where("not stands or n > 1")), same, "left_anti")
+    again = keys.where("stands and n > 1")
+    if again.isEmpty():
+        return out
+    some = docs.join(keyed(again), same, "left_semi").select(F.struct(*(docs[c] for c in docs.columns)).alias(row))
+    by = [F.col(row)[id_col].cast("long"), F.xxhash64(F.col(row)[text_col])]
+    one = some.groupBy(*by).agg(F.min_by(row, F.xxhash64(row)).alias(row))
+    return out.unionByName(one.select(f"{row}.*"))

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gleanframe.llm import ann, byte_bpe, chat, langid, mixing, quality, registry, secrets, simhash, token_cache, topk
+from gleanframe.llm import ann, byte_bpe, chat, langid, mixing, quality, registry, simhash, token_cache, topk
 
 LONG = "word salad " * 40_000
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, key string, size string"
@@ -81,10 +81,10 @@ def test_simhash_odd(spark, odd, none):
     assert Counter((r.doc_id, r.fp % (1 << 64)) for r in found) == Counter(rows)
     assert Counter((r.doc_id, r.component_id) for r in found) == slow_components(rows)
     assert simhash.near_duplicates(none).count() == 0
-    kept = simhash.keep_one(odd)
+    kept = simhash.keep_one(odd, simhash.near_duplicates(odd))
     assert kept.columns == odd.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted({r.component_id for r in found})
-    assert simhash.keep_one(none).count() == 0
+    assert simhash.keep_one(none, simhash.near_duplicates(none)).count() == 0
 
 
 def test_trie_links_in_dense_regions(spark):
@@ -93,7 +93,7 @@ def test_trie_links_in_dense_regions(spark):
     centres = [rng.getrandbits(64) for _ in range(3)]
     fps = {c ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(4))) for c in centres for _ in range(250)} | {rng.getrandbits(64) for _ in range(200)}
     fps = [f - (1 << 64) if f >> 63 else f for f in fps]
-    links = simhash.trie_links(spark.createDataFrame([(f,) for f in fps], "fp long"), leaf=16)
+    links = simhash.trie_links(spark.createDataFrame([(f, f) for f in fps], "fp long, id long"), leaf=16)
     roots = {r.node: r.root for r in simhash.components(links).collect()}
     want = slow_components([(f, f % (1 << 64)) for f in fps])
     assert Counter((f, roots.get(f, f)) for f in fps) == want
@@ -301,29 +301,6 @@ def test_quality_odd(spark, odd, none):
 # --- 7
 
 
-@pytest.fixture(scope="module")
-def forest(spark):
-    return secrets.train(secrets.labelled_findings(spark))
-
-
-def test_forest_on_findings_not_learned_from(spark, forest):
-    rows = secrets.labelled_findings(spark, 11_000).offset(8000)
-    rows = rows.select("label", F.struct(*secrets.features(F.col("before"), F.col("candidate"), F.col("after"))).alias("r"))
-    found = rows.select("label", (F.expr(forest.vote("r")) >= 0.5).cast("int").alias("vote")).toPandas()
-    assert (found.label == found.vote).mean() > 0.97
-
-
-def test_secrets(spark, sf01, odd, none, forest):
-    docs = pandas(spark, sf01, "documents")
-    planted = {(d, m.start(1), m.end(1) - m.start(1)) for d, t in zip(docs.doc_id, docs.text, strict=True) for m in re.finditer(r'token = "([0-9a-f]{40})"', t)}
-    assert {(r.doc_id, r.start, r.length) for r in registry.op7_secrets(spark, sf01).collect()} == planted
-    assert [(r.doc_id, r.start, r.length) for r in secrets.scan(odd, forest).collect()] == [(10, 13, 40)]
-    masked = secrets.redact(odd, forest)
-    assert masked.columns == odd.columns
-    assert Counter((r.doc_id, r.text) for r in masked.collect()) == Counter((r.doc_id, 'the token = "[SECRET]" is it' if r.doc_id == 10 else r.text) for r in odd.collect())
-    assert secrets.scan(none, forest).count() == secrets.redact(none, forest).count() == 0
-
-
 # --- 9
 
 
