@@ -2,26 +2,49 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
 import pytest
-from gleanframe.llm import mixing
+from pyspark.sql import functions as F
+
+from gleanframe.llm import byte_bpe, mixing
 from gleanframe.llm.registry import tokenizer
-from tests.llm.test_operators import DOCS, LONG, pandas, slow_components, slow_fingerprint
+from gleanframe.llm.secrets import MASK
+from tests.llm.test_operators import DOCS, LONG, pandas
+from tests.llm.test_similar import slow_similar
+from tests.llm.test_twins import slow_language, slow_mix, slow_profiles
+
 
+def test_run(spark, sf01):
+    import public_tokenizers
+    import tiktoken
 
-def test_run(spark, sf001):
-    docs = pandas(spark, sf001, "documents")
-    rows = [(d, slow_fingerprint(t)) for d, t in zip(docs.doc_id, docs.text, strict=True)]  # every text has letters
-    kept = {c for _, c in slow_components(rows)}
-    found = corpus_pipeline.run(spark, sf001).collect()
-    assert {r.doc_id for r in found} <= kept
-    texts = spark.read.parquet(f"{sf001}/documents.parquet").where("doc_id in (" + ",".join(map(str, kept)) + ")")
-    masked = corpus_pipeline.mask_secrets(spark, texts, sf001)
-    plan = {r.doc_id: r.copies for r in mixing.schedule(masked).collect()}
-    assert Counter(r.doc_id for r in found) == Counter({d: n for d, n in plan.items() if n})
-    assert tokenizer("byte_bpe_multi_50k.tiktoken")
+    docs = pandas(spark, sf01, "documents").astype({"doc_id": object})
+    profiles = slow_profiles(zip(docs.doc_id, docs.text, docs.lang, strict=True))
+    docs = docs[[slow_language(profiles, t)[0] != "und" for t in docs.text]]
+    stands = {c for _, c in slow_similar(docs.doc_id.tolist(), docs.text.tolist())}
+    docs = docs[docs.doc_id.isin(stands)]
+    text = {d: re.sub(r'(?i)(token = ")[0-9a-f]{40}(?=")', rf"\g<1>{MASK}", t) for d, t in zip(docs.doc_id, docs.text, strict=True)}
+    assert any(MASK in t for t in text.values())
+    keyed = spark.createDataFrame(list(text.items()), "doc_id long, text string").select("doc_id", mixing.shuffle_key(F.col("doc_id"), F.col("text")).alias("key"))
+    key = {r.doc_id: r.key for r in keyed.collect()}
+    taken = slow_mix([(d, s, key[d], len(re.findall(r"[^\x20\x09-\x0D]+", text[d]))) for d, s in zip(docs.doc_id, docs.source, strict=True)])
+    path = tokenizer("byte_bpe_multi_50k.tiktoken")
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.load_ranks(path), special_tokens={})
+    found = corpus_pipeline.run(spark, sf01).collect()
+    assert Counter(r.doc_id for r in found) == Counter({d: n for (d, _), n in taken.items()})
+    words = {i: t for t, i in byte_bpe.load_ranks(path).items()}
+    source = dict(zip(docs.doc_id, docs.source, strict=True))
+    for r in found:
+        ids = library.encode_ordinary(text[r.doc_id])
+        assert (r.source, r.n_tokens, r.token_ids) == (source[r.doc_id], len(ids), ids)
+        assert r.token_starts == np.cumsum([0, *(len(words[i]) for i in ids)])[:-1].tolist()
+        assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest()
 
 
 def test_unlearned_languages_go(spark, sf001):
@@ -42,11 +65,16 @@ def test_unlearned_languages_go(spark, sf001):
     assert {d for d in kept if d >= 1_000_000} == set(range(1_000_000, 1_000_000 + len(clean)))
 
 
+CLASHING = """whole_text ids starts found gaps kept lengths runs gone_id gone_hash whole_row class best fp fps sketch text_hash id key first every copies low high last taken copy
+    size _s _taken _copy _keep_id _keep_hash _found _gaps _whole_text part score lang_pred _low _high _last""".split()
+
+
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
 def test_stages_on_odd_tables(spark, name):
     stage = dict(corpus_pipeline.STAGES)[name]
     rows = [(0, None), (1, ""), (2, "one two three"), (2, "one two three"), (3, LONG), (4, LONG), (None, "neither null nor void"), (None, None), (5, 'token = "0123456789abcdef0123456789abcdef01234567"')]
-    odd = spark.createDataFrame([(i, t, "en", ("a", None)[n % 2], None, "x", None, None) for n, (i, t) in enumerate(rows)], DOCS)
+    names = CLASHING  # further columns that are named as operators name their own
+    odd = spark.createDataFrame([(i, t, "en", ("a", None)[n % 2], None, *["x"] * len(names)) for n, (i, t) in enumerate(rows)], f"{DOCS.split(', fp')[0]}, {', '.join(f'`{c}` string' for c in names)}")
     for docs in (odd, odd.limit(0)):
         out = stage(spark, docs, "")
         assert name == "tokens" or out.columns == docs.columns
