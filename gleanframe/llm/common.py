@@ -39,9 +39,11 @@ def free(name: str, taken: Iterable[str]) -> str:
     return name
 
 
-def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """``df``, which :func:`cut` has made, marked for broadcast if it has at most ``rows`` rows."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small(df: DataFrame, most: int = 8 << 20) -> DataFrame:
+    """``df``, which :func:`cut` has made, marked for broadcast if its values take ``most`` bytes or fewer."""
+    wide = [F.sum(F.octet_length(c)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    rows, *more = df.agg(F.count("*"), *wide).first()
+    return F.broadcast(df) if 16 * rows * len(df.columns) + sum(x or 0 for x in more) <= most else df
 
 
 def n_words(text: Column) -> Column:

@@ -33,7 +33,7 @@ PER_LANGUAGE, LANGUAGES = 2000, 1000
 #: A text is like no learned profile if its score is below ``MARGIN`` times the ``LOWEST`` quantile of learned texts' scores.
 LOWEST, MARGIN = 0.01, 0.65
 #: Words whose n-grams a task keeps before it starts anew.
-MEMO_WORDS = 50_000
+MEMO_WORDS = 150_000
 _WORD, _GAP = re.compile(r"[^\W\d_]+"), re.compile(r"\s")
 _CHUNK = 1 << 22
 

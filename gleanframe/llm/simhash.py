@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanframe.llm.common import cut, free, word_chunks
+from gleanframe.llm.common import cut, free, small, word_chunks
 
 #: Bits that a round of the walk takes, on Spark's side and inside a leaf.
 STEP, INNER = 6, 4
@@ -44,11 +44,11 @@ WIDTH = 1 << 19
 # :func:`similar`
 #: Bits of a short fingerprint, how many of them a text has, and the bits by which two may differ. A pair of
 #: similarity 0.8 differs in a bit with probability acos(0.889) / pi = 0.152, so it is found in one trie with
-#: probability 0.169 and in any of them with 0.983; above 0.8 more surely.
-BITS, TREES, BUDGET = 20, 22, 1
+#: probability 0.169 and in any of them with 0.975; above 0.8 more surely (0.85: 0.997).
+BITS, TREES, BUDGET = 20, 20, 1
 #: Words of 64 bits that are compared before the exact check, and the bits by which they may differ: at similarity
-#: 0.8 the mean is 29 and the deviation 5, for unrelated texts 96 and 7.
-WORDS, FAR = 3, 47
+#: 0.8 the mean is 19 and the deviation 4, for unrelated texts 64 and 6.
+WORDS, FAR = 2, 32
 NEAR_LEAF = 8192
 MEMO_WORDS = 100_000
 
@@ -81,8 +81,9 @@ def _ones(hashes: np.ndarray) -> np.ndarray:
     """How many of the hashes have each bit, the lowest first."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
-        part = hashes[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int32)
+        part = np.unpackbits(hashes[i : i + (1 << 16)].astype("<u8").view(np.uint8), bitorder="little").view(np.uint64).reshape(-1, 8)
+        # eight counters of a byte in each integer; 255 rows fill none of them
+        ones += np.add.reduceat(part, np.arange(0, len(part), 255)).view(np.uint8).reshape(-1, 64).sum(0, dtype=np.int64)
     return ones
 
 
@@ -212,22 +213,34 @@ def trie_links(fps: DataFrame, budget: int = 2, bits: int = 64, step: int = STEP
     of one trie are compared) and ``id``. With ``words``, the links are between ids whose ``sketch``, so many
     64-bit words, differs by ``far`` bits or fewer, and of those that connect two ids the nearest ones are reported.
     """
-    spark = fps.sparkSession
-    cell = f"array<struct<fp:bigint,id:bigint{''.join(f',w{i}:bigint' for i in range(words))}>>"
+    kind = np.dtype([("fp", "<u8" if bits > 32 else "<u4")] + ([("id", "<u8"), *((f"w{i}", "<u8") for i in range(words))] if words else []))
 
-    def unpack(cells: pa.Scalar) -> list[np.ndarray]:
-        fields = cells.values.flatten()
-        columns = [np.asarray(f).view(np.uint64) for f in fields]
-        order = np.argsort(columns[0], kind="stable")
-        return [c[order] for c in columns]
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A chunk's entries as bytes, ascending, a row for each chunk that is to meet it."""
+        for batch in batches:
+            for i in range(batch.num_rows):
+                fields = [np.asarray(f).view(np.uint64) for f in batch.column(0)[i].values.flatten()]
+                cells = np.empty(len(fields[0]), kind)
+                for name, f in zip(kind.names, fields, strict=True):
+                    cells[name] = f.astype(kind[name])
+                partners = batch.column(1)[i].values
+                n = len(partners)
+                data = pa.array([np.sort(cells, order=kind.names).tobytes()], pa.binary())
+                places = [batch.column(c).slice(i, 1) for c in (2, 3)]
+                yield pa.RecordBatch.from_arrays([*partners.flatten(), *(pa.array(np.repeat(np.asarray(p), n)) for p in places), pa.array([data[0].as_py()] * n, pa.binary())], ["a", "ca", "asked", "b", "cb", "cells"])
+
+    def unpack(cells: bytes) -> list[np.ndarray]:
+        rows = np.frombuffer(cells, kind)
+        columns = [rows[name].astype(np.uint64) for name in kind.names]
+        return columns if words else columns * 2
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None
         for batch in batches:
             us, vs = [], []
             for i in range(batch.num_rows):
-                same, asked, depth = (batch.column(k)[i].as_py() for k in (1, 2, 3))
-                other = unpack(batch.column(4)[i])
+                same, asked, depth, cells = (batch.column(k)[i].as_py() for k in (1, 2, 3, 4))
+                other = unpack(cells)
                 if same:
                     own = other
                 if not asked:
@@ -272,11 +285,13 @@ def trie_links(fps: DataFrame, budget: int = 2, bits: int = 64, step: int = STEP
         own = near.select("a", "ca", F.col("a").alias("b"), F.col("ca").alias("cb"), F.lit(False).alias("asked"))
         met = near.withColumn("asked", F.lit(True)).unionByName(own).groupBy("a", "ca", "b", "cb").agg(F.max("asked").alias("asked"))
         sized = child.where((F.col("n") <= leaf) | end).select("node", F.floor((F.col("n") - 1) / leaf + 1).alias("of"))
-        cells = F.collect_list(F.struct("fp", "id", *(F.col("sketch")[i].alias(f"w{i}") for i in range(words)))).cast(cell)
+        cells = F.collect_list(F.struct("fp", *(["id"] if words else []), *(F.col("sketch")[i].alias(f"w{i}") for i in range(words))))
         dealt = active.withColumn("node", prefix(depth)).join(sized, "node").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("of")))
         packed = dealt.groupBy(F.col("node").alias("b"), F.col("chunk").alias("cb")).agg(cells.alias("cells"))
+        partners = met.groupBy("b", "cb").agg(F.collect_list(F.struct("a", "ca", "asked")).alias("partners"))
+        sent = packed.join(partners, ["b", "cb"]).select("cells", "partners", "b", "cb").mapInArrow(pack, "a long, ca long, asked boolean, b long, cb long, cells binary")
         same = (F.col("a") == F.col("b")) & (F.col("ca") == F.col("cb"))
-        rows = met.join(packed, ["b", "cb"]).select(F.struct("a", "ca").alias("whose"), same.alias("same"), "asked", F.lit(depth).alias("depth"), "cells", "b", "cb")
+        rows = sent.select(F.struct("a", "ca").alias("whose"), same.alias("same"), "asked", F.lit(depth).alias("depth"), "cells", "b", "cb")
         rows = rows.repartition("whose").sortWithinPartitions("whose", ~F.col("same"), "b", "cb").drop("b", "cb")
         links.append(cut(rows.mapInArrow(compare, "u long, v long").distinct()))
         pairs = walked.where(~F.col("small")).select("a", "b", "d")
@@ -435,6 +450,7 @@ def similar(
     links = cut(trie_links(nodes, budget, bits, leaf=leaf, words=WORDS, far=FAR).distinct())
     wanted = links.select(F.explode(F.array("u", "v")).alias("class")).distinct().join(by_class.select("class", "best"), "class")
     wanted = wanted.select("class", F.col("best.doc_id").alias("of"), F.col("best.text_hash").alias("hash"))
+    wanted = small(cut(wanted))
     one = plain.join(wanted, plain["doc_id"].eqNullSafe(wanted["of"]) & (plain["text_hash"] == wanted["hash"]))
     texts = cut(one.groupBy("class").agg(F.any_value("text").alias("text")))
     sides = [texts.select(F.col("class").alias(c), F.col("text").alias(f"text_{c}")) for c in "uv"]
@@ -456,7 +472,7 @@ def keep_one(docs: DataFrame, found: DataFrame | None = None, id_col: str = "doc
     names = {c: free(c, docs.columns) for c in ("gone_id", "gone_hash")}
     keyed = lambda rows: rows.select(F.col("doc_id").alias(names["gone_id"]), F.col("text_hash").alias(names["gone_hash"]))
     same = docs[id_col].cast("long").eqNullSafe(F.col(names["gone_id"])) & (F.xxhash64(docs[text_col]) == F.col(names["gone_hash"]))
-    out = docs.join(keyed(keys.where("not stands or n > 1")), same, "left_anti")
+    out = docs.join(small(cut(keyed(keys.where("not stands or n > 1")))), same, "left_anti")
     again = keys.where("stands and n > 1")
     if again.isEmpty():
         return out
