@@ -32,6 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -340,7 +341,7 @@ def parts(text: str, size: int = CHUNK_CHARS) -> Iterator[str]:
 
 def encoded(texts: pa.Array, path: str) -> Iterator[tuple[int, int, Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]]]:
     """Groups of rows ``(from, to)``, each with what its texts are encoded to: one piece of work, or one a part of a long text."""
-    for a, b in _groups([x.as_py() or 0 for x in pa.compute.binary_length(texts)], CHUNK_CHARS):
+    for a, b in _groups([x.as_py() or 0 for x in pc.binary_length(texts)], CHUNK_CHARS):
         some = [t or "" for t in texts[a:b].to_pylist()]
         if b - a > 1 or len(some[0]) <= CHUNK_CHARS:
             yield a, b, iter([(some, *encode_texts(some, path))])
