@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from gleanframe.llm.blocks import best, matrix, pack, sample, unpack
-from gleanframe.llm.common import cut, finite_vectors
+from gleanframe.llm.common import cut, finite_vectors, small
 
 SAMPLE = 16_384
 BLOCK, QUERY_BLOCK, CELL, FIT = 8192, 256, 2048, 2048
@@ -184,7 +184,7 @@ def search(
     index = cut(blocks.mapInArrow(coded, "block long, ids binary, data binary, codes binary, norms binary, mean binary, words binary"))
     queries = whole.where(F.col("vec_id") % every == 0).select(F.lit(0).cast("long").alias("key"), F.lit(0.0).alias("at"), "vec_id", "x")
     asking = pack(queries, QUERY_BLOCK).select(F.col("ids").alias("query_ids"), F.col("data").alias("query_data"))
-    pairs = asking.crossJoin(F.broadcast(index.select("block")))  # only the numbers of the blocks are broadcast
+    pairs = asking.crossJoin(small(index.select("block")))  # a stated query set against all blocks; only their numbers travel
     both = pairs.join(index, "block").select("ids", "data", "codes", "norms", "mean", "words", "query_ids", "query_data")
     found = both.mapInArrow(scanned, "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id")).cast("int")

@@ -23,7 +23,7 @@ def unpack(ids: bytes, data: bytes, dtype: str = "<f8") -> tuple[np.ndarray, np.
     return where, np.frombuffer(data, dtype).reshape(len(where), -1)
 
 
-def pack(vectors: DataFrame, rows: int) -> DataFrame:
+def pack(vectors: DataFrame, rows: int, dtype: str = "<f8") -> DataFrame:
     """Blocks of at most ``rows`` vectors from ``(key, at, vec_id, x)``.
 
     The vectors are range-sorted by key, ``at`` and id, so that a block has one key and a range of ``at``, and
@@ -36,7 +36,7 @@ def pack(vectors: DataFrame, rows: int) -> DataFrame:
         def flush() -> pa.RecordBatch:
             key, at, ids, x = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
-            cells = [[int(key[0])], [int(ids[0])], [float(at.min())], [float(at.max())], [ids.astype("<i8").tobytes()], [x.astype("<f8").tobytes()]]
+            cells = [[int(key[0])], [int(ids[0])], [float(at.min())], [float(at.max())], [ids.astype("<i8").tobytes()], [x.astype(dtype).tobytes()]]
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], ["key", "first", "low", "high", "ids", "data"])
 

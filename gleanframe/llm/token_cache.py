@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanframe.llm.common import cut, word_chunks
+from gleanframe.llm.common import cut, small, word_chunks
 
 CACHE_SCHEMA = "digest binary, version string, n_tokens long"
 #: Distinct parts whose counts a task keeps before it starts anew.
-MEMO_PARTS = 400_000
+MEMO_PARTS = 200_000
 
 
 def version(path: str) -> str:
@@ -98,18 +98,53 @@ def read_cache(docs: DataFrame, cache: str) -> DataFrame:
     return spark.read.schema(CACHE_SCHEMA).parquet(cache)
 
 
+def _described(docs: DataFrame, label: str, id_col: str, text_col: str) -> DataFrame:
+    """``(doc_id, n_bytes, digest, text)``, the text normalised."""
+    text = normalised(docs[text_col])
+    digest = F.unhex(F.sha2(F.concat_ws("\n", F.lit(label), text), 256))
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(F.octet_length(docs[text_col]), F.lit(0)).cast("long").alias("n_bytes"), digest.alias("digest"), text.alias("text"))
+
+
+def stored(docs: DataFrame, cache: str, label: str) -> DataFrame:
+    """``(digest, n_tokens)`` that the cache holds for a tokenizer's version; if runs at once have added a digest twice, it counts once."""
+    return cut(read_cache(docs, cache).where(F.col("version") == label).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")))
+
+
+def fill(docs: DataFrame, path: str, cache: str, id_col: str = "doc_id", text_col: str = "text", rows: DataFrame | None = None) -> int:
+    """Encodes one text for each digest that the cache lacks, appends the counts, and returns how many digests were added.
+
+    ``rows`` are the documents' ``(doc_id, digest)``, if they are known. Of the rows to encode and the rows to leave out the
+    fewer ones are joined to the texts, so that whole texts are shuffled only where both are many.
+    """
+    label = version(path)
+    if rows is None:
+        rows = cut(_described(docs, label, id_col, text_col).select("doc_id", "digest"))
+    missing = rows.groupBy("digest").agg(F.min("doc_id").alias("one"), F.count("*").alias("n")).join(stored(docs, cache, label), "digest", "left_anti")
+    short = lambda digest: F.xxhash64(digest).alias("short")
+    wanted = cut(missing.select("digest", "one"))
+    n, whole = wanted.count(), rows.count()
+    if not n:
+        return 0
+    texts = _described(docs, label, id_col, text_col)
+    keyed = texts["doc_id"].eqNullSafe(F.col("id")) & (F.xxhash64(texts["digest"]) == F.col("short"))
+    if 2 * n <= whole:
+        some = texts.join(small(cut(wanted.select(F.col("one").alias("id"), short("digest")))), keyed, "left_semi")
+    else:
+        is_one = rows.join(wanted.select("digest", F.col("one"), F.lit(True).alias("is_missing")), "digest", "left")
+        rest = is_one.where(~F.coalesce(F.col("is_missing") & F.col("doc_id").eqNullSafe(F.col("one")), F.lit(False)))
+        some = texts.join(small(cut(rest.select(F.col("doc_id").alias("id"), short("digest")).distinct())), keyed, "left_anti")
+    found = encode_counts(some, path).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    found.select("digest", F.lit(label).alias("version"), "n_tokens").write.mode("append").parquet(cache)
+    return n
+
+
 def count_tokens(docs: DataFrame, path: str, cache: str | None = None, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
-    """``(doc_id, n_bytes, n_tokens, over_limit)``, one row per row of ``docs``; ``cache`` is a Parquet folder to use and extend."""
+    """``(doc_id, n_bytes, n_tokens, over_limit)``, one row per row of ``docs``; ``cache`` is a Parquet folder to use and extend.
+
+    The cache is filled with what it lacks; then every row's count is the stored one.
+    """
     cache, label = cache or new_cache(docs), version(path)
-    digest = F.unhex(F.sha2(F.concat_ws("\n", F.lit(label), normalised(docs[text_col])), 256))
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(F.octet_length(docs[text_col]), F.lit(0)).cast("long").alias("n_bytes"), digest.alias("digest"))
-    rows = cut(rows)
-    stored = read_cache(docs, cache).where(F.col("version") == label)
-    misses = rows.groupBy("digest").agg(F.min("doc_id").alias("_one")).join(stored, "digest", "left_anti")
-    one = misses.select("_one").distinct()
-    texts = docs.join(one, docs[id_col].cast("long").eqNullSafe(F.col("_one")), "left_semi").select(normalised(docs[text_col]).alias("text"))
-    digests = texts.select(F.unhex(F.sha2(F.concat_ws("\n", F.lit(label), "text"), 256)).alias("digest"), "text")
-    found = encode_counts(digests, path).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    found.join(stored, "digest", "left_anti").select("digest", F.lit(label).alias("version"), "n_tokens").write.mode("append").parquet(cache)
-    counts = read_cache(docs, cache).where(F.col("version") == label).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return rows.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    rows = cut(_described(docs, label, id_col, text_col).drop("text"))
+    fill(docs, path, cache, id_col, text_col, rows)
+    # both sides are tables, so Spark can split a digest that many rows have
+    return rows.join(stored(docs, cache, label), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -167,17 +168,44 @@ def test_topk_is_exact(spark, sf01):
         assert [found[q, k + 1] for k in range(10)] == [(ids[i], score[i]) for i in order]
 
 
+def check_topk(x, found):
+    found = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in found}
+    whole = np.array([[math.floor(1024 * c) for c in row] for row in x.tolist()], object)
+    for q in range(0, len(x), 100):
+        score = [int(s) for s in whole @ whole[q]]
+        order = [i for i in sorted(range(len(x)), key=lambda i: (-score[i], i)) if i != q][:10]
+        assert [found.get((q, k + 1)) for k in range(len(order))] == [(i, score[i]) for i in order]
+
+
+def vector_table(spark, x):
+    return spark.createDataFrame([(i, r) for i, r in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+
+
 def test_topk_prunes_and_stays_exact(spark):
     rng = np.random.default_rng(3)
     x = (rng.normal(size=(12, 1, 8)) * 3 + rng.normal(size=(12, 150, 8)) * 0.05).reshape(-1, 8)
     x[:400] = x[0]  # many copies
-    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
-    found = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.search(v, block=32, pivots=8).collect()}
-    whole = np.floor(1024 * x).astype(np.int64)
-    for q in range(0, len(x), 100):
-        score = whole @ whole[q]
-        order = [int(i) for i in np.lexsort((np.arange(len(x)), -score)) if i != q][:10]
-        assert [found[q, k + 1] for k in range(10)] == [(i, score[i]) for i in order]
+    rows = topk.search(vector_table(spark, x), block=64, annulus=16, queries=5, pivots=8, counted=True).collect()
+    check_topk(x, rows)
+    share = np.mean([r.scanned for r in rows]) / len(x)
+    print(f"scanned {share:.2f}")
+    assert share < 0.5
+
+
+@pytest.mark.parametrize("size", [1e2, 1e5, 1e6])
+def test_topk_of_large_components(spark, size):
+    """Products beyond what doubles and 64-bit integers hold on the way; no finite vector is left out."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(230, 3))
+    x[::7] *= size
+    x[5] = [70000.0, 1.0, 0.0]
+    check_topk(x, topk.search(vector_table(spark, x), block=32, annulus=8, pivots=4).collect())
+
+
+def test_topk_says_so_if_a_score_does_not_fit(spark):
+    v = spark.createDataFrame([(0, [1e12, 1.0]), (1, [1e12, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="does not fit"):
+        topk.search(v).collect()
 
 
 @pytest.mark.parametrize("search", [ann.search, topk.search])
@@ -238,6 +266,17 @@ def test_byte_bpe_odd(spark, odd, none, tiktoken):
 # --- 4
 
 
+def token_cache_key(text):
+    return re.sub(r"[\x20\x09-\x0D]+", " ", text or "").strip(" ")
+
+
+def test_token_counts_with_one_text_in_most_rows(spark):
+    path = registry.tokenizer("word_bpe_49k.json")
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, F.concat(F.lit("text "), F.col("id").cast("string"))).otherwise("the hot text").alias("text"))
+    found = token_cache.count_tokens(rows, path).toPandas()
+    assert len(found) == 3000 and found[found.doc_id % 10 != 0].n_tokens.nunique() == 1
+
+
 def test_token_counts(spark, sf001, odd, none, tmp_path):
     from tokenizers import Tokenizer
 
@@ -255,6 +294,13 @@ def test_token_counts(spark, sf001, odd, none, tmp_path):
         assert found == Counter((r.doc_id, len((r.text or "").encode()), count(r.text)) for r in strange.collect())
     stored = token_cache.read_cache(odd, cache)
     assert stored.count() == stored.select("digest").distinct().count()  # the second run added nothing
+    assert token_cache.fill(strange, path, cache) == 0
+    half = str(tmp_path / "half")
+    assert token_cache.fill(strange.where("doc_id > 5"), path, half) > 0
+    changed = token_cache.read_cache(odd, half).withColumn("n_tokens", F.col("n_tokens") + 1000)
+    changed.write.parquet(str(tmp_path / "other"))
+    found = {(r.doc_id, r.n_tokens) for r in token_cache.count_tokens(strange, path, str(tmp_path / "other")).collect()}
+    assert found == {(r.doc_id, count(r.text) + 1000 * any(token_cache_key(r.text) == token_cache_key(o.text) for o in strange.where("doc_id > 5").collect())) for r in strange.collect()}  # stored counts are used, only the rest is encoded
     assert token_cache.count_tokens(none, path).count() == 0
 
 
