@@ -37,7 +37,7 @@ from gleanframe.llm.common import cut, free, small, word_chunks
 #: Bits that a round of the walk takes, on Spark's side and inside a leaf.
 STEP, INNER = 6, 4
 #: Fingerprints in a node that one task walks on alone.
-LEAF = 1024
+LEAF = 4096
 #: Node pairs that a task holds at a time.
 WIDTH = 1 << 19
 
