@@ -80,12 +80,29 @@ def join_url(base: Column, link: Column) -> Column:
 
 
 def links(html: Column) -> Column:
-    """The ``href`` values of a page's anchors."""
-    return F.regexp_extract_all(html, F.lit(r"<a\s[^>]*href=\"([^\"]*)\""), F.lit(1))
+    """The ``href`` values of a page's anchors: in any case, in either quotes or none, with entities decoded."""
+    quoted = F.regexp_extract_all(html, F.lit(r"""(?i)<a\s[^>]*?(?<=[\s"'])href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""), F.lit(1))
+    return F.transform(quoted, lambda q: unescape(F.trim(F.regexp_replace(q, "^[\"']|[\"']$", ""))))
 
 
-def table_name(class_name: str) -> str:
-    """Snake case of a class's name without a trailing ``_item``."""
-    import re
+def unescape(text: Column) -> Column:
+    """Numeric entities and the five named ones as the characters they stand for."""
+    code = lambda e: F.when(F.lower(F.left(e, F.lit(1))) == "x", F.substring(e, 2, 8)).otherwise(F.conv(e, 10, 16))
+    char = lambda e: F.decode(F.unhex(F.lpad(code(e), 8, "0")), "UTF-32")
+    numbers = F.array_distinct(F.regexp_extract_all(text, F.lit("&#([xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"), F.lit(1)))
+    out = F.aggregate(numbers, text, lambda t, e: F.replace(t, F.concat(F.lit("&#"), e, F.lit(";")), char(e)))
+    for name, shown in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):  # amp last, so that nothing is decoded twice
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(shown))
+    return out
+
+
+def request_body(data: Column, json: Column, params: Column) -> Column:
+    """What stands for a request's body in its fingerprint: ``data`` if there is any, else ``json``, else ``params`` (both maps, in order of key)."""
+    sorted_json = lambda m: F.when(F.size(m) > 0, F.to_json(F.map_from_entries(F.array_sort(F.map_entries(m)))))
+    return F.coalesce(F.when(data != "", data), sorted_json(json), sorted_json(params), F.lit(""))
 
-    return re.sub(r"_item$", "", re.sub(r"(?<!^)(?=[A-Z])", "_", class_name).lower())
+
+def table_name(class_name: str) -> str:
+    """Snake case of a class's name, every capital beginning a word, without a trailing ``_item``."""
+    words = "".join(f" {c}" if c.isupper() else c for c in class_name).split()
+    return "_".join(words).lower().removesuffix("_item")

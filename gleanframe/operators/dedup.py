@@ -2,30 +2,30 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
 def first_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key. A hot key costs no more than a minimum: no key's rows meet before it."""
-    first = rows.groupBy(key).agg(F.min(order).alias("_first"))
-    return rows.join(first, (rows[key] == first[key]) & (rows[order] == F.col("_first")), "left_semi")
+    """The first row of each key, null being a key too. A hot key costs no more than a minimum: no key's rows meet before it."""
+    first = rows.groupBy(F.col(key).alias("_key")).agg(F.min(order).alias("_first"))
+    return rows.join(first, rows[key].eqNullSafe(F.col("_key")) & (rows[order] == F.col("_first")), "left_semi")
 
 
 def admit(requests: DataFrame, seen: DataFrame | None = None, fp: str = "fp", order: str = "seq", bypass: str = "filter_repeat") -> DataFrame:
-    """Requests to enqueue: new fingerprints, first wins; a request with ``filter_repeat`` false passes and is not recorded."""
-    asked = requests.where(F.col(bypass))
-    fresh = first_wins(asked, fp, order)
+    """Requests to enqueue: new fingerprints, first wins.
+
+    A request with ``filter_repeat`` false passes and is not recorded; null counts as true. A null fingerprint can't be
+    compared, so such requests all pass: nothing is lost.
+    """
+    checked = F.coalesce(F.col(bypass), F.lit(True)) & F.col(fp).isNotNull()
+    fresh = first_wins(requests.where(checked), fp, order)
     if seen is not None:
         fresh = fresh.join(seen.select(fp), fp, "left_anti").select(*requests.columns)
-    return fresh.unionByName(requests.where(~F.col(bypass)))
+    return fresh.unionByName(requests.where(~checked))
 
 
 def persist_new(items: DataFrame, written: DataFrame, fp: str = "fp", order: str = "seq") -> DataFrame:
@@ -47,9 +47,9 @@ def fill_alert(count: Column, capacity: Column, part: float = 0.8) -> Column:
 
 
 def bloom_size(capacity: int, error: float) -> tuple[int, int]:
-    """Bits and hashes of a filter."""
-    bits = max(8, math.ceil(-capacity * math.log(error) / math.log(2) ** 2))
-    return bits, max(1, round(bits / capacity * math.log(2)))
+    """Bits and hashes of a filter: each hash halves the error, and half of the bits are set when it is full."""
+    hashes = max(1, math.ceil(-math.log2(error)))
+    return max(64, math.ceil(max(capacity, 1) * hashes / math.log(2))), hashes
 
 
 def layers(capacity: int, error: float, most: int = 4) -> list[tuple[int, float]]:
@@ -57,41 +57,25 @@ def layers(capacity: int, error: float, most: int = 4) -> list[tuple[int, float]
     return [(capacity * 2**i, error * 0.5 ** (i + 1)) for i in range(most)]
 
 
-def positions(key: str, bits: int, hashes: int) -> list[int]:
-    one, two = (int.from_bytes(h(key.encode()).digest(), "big") for h in (hashlib.md5, hashlib.sha1))
-    return [(one + i * (two | 1)) % bits for i in range(hashes)]
-
-
-def bloom_build(keys: DataFrame, key: str, capacity: int, error: float, shard_bits: int = 1 << 20) -> DataFrame:
-    """``(shard, bitmap)``: a Bloom filter as bitmaps of ``shard_bits`` bits, each built in a task of its own."""
+def _bits(key: Column, capacity: int, error: float) -> Column:
+    """The places, from 1, of a key's bits: one 64-bit hash for each, told apart by a salt."""
     bits, hashes = bloom_size(capacity, error)
+    return F.array(*(F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(bits)) + 1 for salt in range(hashes)))
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = [p for k in b.column(0).to_pylist() if k is not None for p in positions(k, bits, hashes)]
-            yield pa.RecordBatch.from_arrays([pa.array([p // shard_bits for p in at], pa.int64()), pa.array([p % shard_bits for p in at], pa.int64())], ["shard", "bit"])
 
-    def gather(table: pa.Table) -> pa.Table:
-        marks = np.zeros(shard_bits, bool)
-        marks[np.asarray(table.column("bit"))] = True
-        return pa.table({"shard": table.column("shard").slice(0, 1), "bitmap": pa.array([np.packbits(marks).tobytes()])})
-
-    spots = keys.select(F.col(key).cast("string")).mapInArrow(place, "shard long, bit long").distinct()
-    return spots.groupBy("shard").applyInArrow(gather, "shard long, bitmap binary")
-
-
-def bloom_probe(keys: DataFrame, key: str, bitmaps: DataFrame, capacity: int, error: float, shard_bits: int = 1 << 20) -> DataFrame:
-    """``(key, maybe)``: whether each distinct key may be in the filter. Positions are joined to the bitmaps by shard."""
-    bits, hashes = bloom_size(capacity, error)
+def bloom_build(keys: DataFrame, key: str, capacity: int, error: float) -> DataFrame:
+    """``(shard, bitmap)``: a Bloom filter as bitmaps of 32768 bits, aggregated on the map side first; null keys are left out."""
+    spots = keys.where(F.col(key).isNotNull()).select(F.explode(_bits(F.col(key).cast("string"), capacity, error)).alias("bit"))
+    return spots.groupBy(F.bitmap_bucket_number("bit").alias("shard")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bitmap"))
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(k, p // shard_bits, p % shard_bits) for k in b.column(0).to_pylist() if k is not None for p in positions(k, bits, hashes)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in ((0, pa.string()), (1, pa.int64()), (2, pa.int64()))], ["key", "shard", "bit"])
 
-    spots = keys.select(F.col(key).cast("string")).distinct().mapInArrow(place, "key string, shard long, bit long")
-    byte = F.conv(F.hex(F.expr("substring(bitmap, cast(bit div 8 + 1 as int), 1)")), 16, 10).cast("int")
-    hit = F.coalesce(F.expr("shiftright(byte, cast(7 - bit % 8 as int)) & 1") == 1, F.lit(False))
+def bloom_probe(keys: DataFrame, key: str, bitmaps: DataFrame, capacity: int, error: float) -> DataFrame:
+    """``(key, maybe)``: whether each distinct key may be in the filter. Bits are joined to the bitmaps by shard."""
+    some = keys.select(F.col(key).cast("string").alias("key")).where("key is not null").distinct()
+    spots = some.select("key", F.explode(_bits(F.col("key"), capacity, error)).alias("bit"))
+    spots = spots.select("key", F.bitmap_bucket_number("bit").alias("shard"), F.bitmap_bit_position("bit").alias("at"))
+    byte = F.conv(F.hex(F.expr("substring(bitmap, cast(at div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    hit = F.coalesce(F.expr("shiftright(byte, cast(at % 8 as int)) & 1") == 1, F.lit(False))
     return spots.join(bitmaps, "shard", "left").withColumn("byte", byte).groupBy("key").agg(F.min(hit).alias("maybe"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanframe.functions.identity import canonical_url, join_url, links, request_fingerprint
+from gleanframe.functions.lineage import cut
 
 
 def top(queue: DataFrame, n: int, *order: str) -> DataFrame:
@@ -60,8 +61,7 @@ def crawl(seeds: DataFrame, pages: DataFrame, rounds: int) -> DataFrame:
         at = known.join(newest.select("fp"), "fp", "left_semi").select(F.col("page_url").alias("url"), "html")
         found = discover(at, depth).groupBy("fp").agg(F.min("url").alias("url"), F.min("depth").alias("depth"))
         newest = found.join(reached.select("fp"), "fp", "left_anti")
-        if seeds.sparkSession.sparkContext.getCheckpointDir() is not None:
-            newest = newest.checkpoint()
+        newest = cut(newest)
         reached = reached.unionByName(newest)
     return reached
 

@@ -1,7 +1,8 @@
 """Ordered running state by domain: throttling, penalties, concurrency, circuit breakers, bans.
 
-Each is a window over the domain's events in order; all windows share one partitioning, so one exchange and one
-sort serve them.
+The state of throttles, breakers and bans can be carried over: a key's events are cut into slices of the order
+(``SLICE`` numbers each), each slice is summed up, windows over the few sums give what comes before each slice, and only
+then are the rows of a slice seen in order. So no task holds all events of a hot domain. ``order`` is a whole number.
 """
 
 from __future__ import annotations
@@ -14,60 +15,87 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+SLICE = 4096
 
-def _by(key: str, order: str):
-    return W.partitionBy(key).orderBy(order)
 
+def _sliced(rows: DataFrame, order: str, width: int) -> DataFrame:
+    return rows.withColumn("_slice", F.floor(F.col(order) / width))
 
-def tickets(arrivals: DataFrame, key: str = "domain", order: str = "seq", at: str = "at", delay: str = "delay") -> DataFrame:
+
+def _inside(key: str, order: str, last: int):
+    return W.partitionBy(key, "_slice").orderBy(order).rowsBetween(W.unboundedPreceding, last)
+
+
+def _before(key: str):
+    return W.partitionBy(key).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+
+
+def tickets(arrivals: DataFrame, key: str = "domain", order: str = "seq", at: str = "at", delay: str = "delay", width: int = SLICE) -> DataFrame:
     """``start`` of each request: not before it arrives, and each ``delay`` after its predecessor's start.
 
     With ``c`` the sum of the delays before, ``start = c + max(at - c)`` over all up to the row. A penalty is
     a row whose delay is the penalty.
     """
-    before = F.coalesce(F.sum(delay).over(_by(key, order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    summed = arrivals.withColumn("_c", before)
-    latest = F.max(F.col(at) - F.col("_c")).over(_by(key, order).rowsBetween(W.unboundedPreceding, W.currentRow))
-    return summed.withColumn("start", F.col("_c") + latest).drop("_c")
-
-
-def breaker(events: DataFrame, healthy: Column, unhealthy: Column, threshold: int, key: str = "domain", order: str = "seq") -> DataFrame:
+    summed = _sliced(arrivals, order, width).withColumn("_c", F.coalesce(F.sum(delay).over(_inside(key, order, -1)), F.lit(0.0)))
+    totals = summed.groupBy(key, "_slice").agg(F.sum(delay).alias("_delay"), F.max(F.col(at) - F.col("_c")).alias("_late"))
+    starts = totals.withColumn("_c0", F.coalesce(F.sum("_delay").over(_before(key)), F.lit(0.0)))
+    starts = starts.select(F.col(key), "_slice", "_c0", F.max(F.col("_late") - F.col("_c0")).over(_before(key)).alias("_late0"))
+    latest = F.max(F.col(at) - F.col("_c")).over(_inside(key, order, 0))
+    met = summed.withColumn("_latest", latest).join(starts, [key, "_slice"])
+    found = F.col("_c0") + F.col("_c") + F.greatest(F.col("_late0"), F.col("_latest") - F.col("_c0"))
+    return met.withColumn("start", found).select(*arrivals.columns, "start")
+
+
+def _last_before(rows: DataFrame, value: Column, name: str, key: str, order: str, width: int) -> DataFrame:
+    """``rows`` with the last value that is not null of the key's rows before."""
+    some = _sliced(rows, order, width).withColumn("_value", value)
+    ends = some.groupBy(key, "_slice").agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col(order))).alias("_end"))
+    ends = ends.select(key, "_slice", F.last("_end", ignorenulls=True).over(_before(key)).alias("_carried"))
+    near = some.withColumn("_near", F.last("_value", ignorenulls=True).over(_inside(key, order, -1)))
+    return near.join(ends, [key, "_slice"]).withColumn(name, F.coalesce("_near", "_carried")).select(*rows.columns, name)
+
+
+def _streak(rows: DataFrame, fresh: Column, counted: Column, name: str, key: str, order: str, width: int) -> DataFrame:
+    """``rows`` with how many were counted since the last fresh one, both ends included."""
+    marked = _sliced(rows, order, width).withColumn("_fresh", fresh.cast("int")).withColumn("_counted", counted.cast("int"))
+    marked = marked.withColumn("_part", F.coalesce(F.sum("_fresh").over(_inside(key, order, 0)), F.lit(0)))
+    parts = marked.groupBy(key, "_slice", "_part").agg(F.sum("_counted").alias("_n"))
+    ends = parts.groupBy(key, "_slice").agg(F.max_by("_n", "_part").alias("_tail"), (F.max("_part") > 0).alias("_cut"))
+    line = W.partitionBy(key).orderBy("_slice")
+    ends = ends.withColumn("_run", F.sum(F.col("_cut").cast("int")).over(line.rowsBetween(W.unboundedPreceding, 0)))
+    ends = ends.withColumn("_sum", F.sum("_tail").over(W.partitionBy(key, "_run").orderBy("_slice").rowsBetween(W.unboundedPreceding, 0)))
+    ends = ends.select(key, "_slice", F.coalesce(F.lag("_sum").over(line), F.lit(0)).alias("_carried"))
+    own = F.sum("_counted").over(W.partitionBy(key, "_slice", "_part").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    met = marked.withColumn("_own", own).join(ends, [key, "_slice"])
+    return met.withColumn(name, F.col("_own") + F.when(F.col("_part") == 0, F.col("_carried")).otherwise(0)).select(*rows.columns, name)
+
+
+def breaker(events: DataFrame, healthy: Column, unhealthy: Column, threshold: int, key: str = "domain", order: str = "seq", width: int = SLICE) -> DataFrame:
     """``failures`` in the running streak and ``trip`` at every ``threshold``-th; a success begins a new streak."""
-    upto = _by(key, order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    streaks = events.withColumn("_streak", F.sum(healthy.cast("int")).over(upto))
-    inside = W.partitionBy(key, "_streak").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    n = F.sum(unhealthy.cast("int")).over(inside)
     trip = unhealthy & (F.col("failures") % threshold == 0) if threshold > 0 else F.lit(False)
-    return streaks.withColumn("failures", n).withColumn("trip", trip).drop("_streak")
+    return _streak(events, healthy, unhealthy, "failures", key, order, width).withColumn("trip", trip)
 
 
-def bans(events: DataFrame, failed: Column, ok: Column, base: float, most: float, key: str = "proxy", order: str = "seq", at: str = "at") -> DataFrame:
+def bans(events: DataFrame, failed: Column, ok: Column, base: float, most: float, key: str = "proxy", order: str = "seq", at: str = "at", width: int = SLICE) -> DataFrame:
     """``ban`` seconds of each failure: ``base`` doubling with each in a row up to ``most``; a success or a quiet time over ``most`` starts anew."""
-    line = _by(key, order)
-    marked = events.withColumn("_failed_at", F.when(failed, F.col(at)))
-    last = F.last("_failed_at", ignorenulls=True).over(line.rowsBetween(W.unboundedPreceding, -1))
-    fresh = ok | (failed & F.coalesce(F.col(at) - last > most, F.lit(False)))
-    islands = marked.withColumn("_island", F.sum(fresh.cast("int")).over(line.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    n = F.sum(failed.cast("int")).over(W.partitionBy(key, "_island").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow))
-    ban = F.when(failed, F.least(F.lit(float(most)), base * F.pow(F.lit(2.0), n - 1)))
-    return islands.withColumn("ban", ban).drop("_failed_at", "_island")
+    known = _last_before(events, F.when(failed, F.col(at)), "_failed_at", key, order, width)
+    fresh = ok | (failed & F.coalesce(F.col(at) - F.col("_failed_at") > most, F.lit(False)))
+    ban = F.when(failed, F.least(F.lit(float(most)), base * F.pow(F.lit(2.0), F.col("_nth") - 1)))
+    return _streak(known, fresh, failed, "_nth", key, order, width).withColumn("ban", ban).select(*events.columns, "ban")
 
 
 def attributed_bans(
-    events: DataFrame, fault: Column, suspect: Column, ok: Column, suspects: int, base: float, most: float, key: str = "proxy", order: str = "seq", at: str = "at"
+    events: DataFrame, fault: Column, suspect: Column, ok: Column, suspects: int, base: float, most: float, key: str = "proxy", order: str = "seq", at: str = "at", width: int = SLICE
 ) -> DataFrame:
     """:func:`bans` where a fault counts at once and a suspect failure only as every ``suspects``-th of its streak.
 
     A success, or a quiet time over ``most`` between two suspect failures, begins a new streak.
     """
-    upto = _by(key, order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    marked = events.withColumn("_suspect_at", F.when(suspect, F.col(at)))
-    last = F.last("_suspect_at", ignorenulls=True).over(_by(key, order).rowsBetween(W.unboundedPreceding, -1))
-    fresh = ok | (suspect & F.coalesce(F.col(at) - last > most, F.lit(False)))
-    streaks = marked.withColumn("_streak", F.sum(fresh.cast("int")).over(upto))
-    n = F.sum(suspect.cast("int")).over(W.partitionBy(key, "_streak").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow))
-    failed = streaks.withColumn("_failed", fault | (suspect & (n % max(suspects, 1) == 0))).drop("_suspect_at", "_streak")
-    return bans(failed, F.col("_failed"), ok, base, most, key, order, at).drop("_failed")
+    known = _last_before(events, F.when(suspect, F.col(at)), "_suspect_at", key, order, width)
+    fresh = ok | (suspect & F.coalesce(F.col(at) - F.col("_suspect_at") > most, F.lit(False)))
+    counted = _streak(known, fresh, suspect, "_nth_suspect", key, order, width)
+    failed = counted.withColumn("_failed", fault | (suspect & (F.col("_nth_suspect") % max(suspects, 1) == 0)))
+    return bans(failed, F.col("_failed"), ok, base, most, key, order, at, width).select(*events.columns, "ban")
 
 
 def round_robin(requests: DataFrame, pool: DataFrame, most_uses: int = 0, name: str = "proxy", order: str = "seq", at_least: int = 4096) -> DataFrame:

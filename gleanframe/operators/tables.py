@@ -36,6 +36,8 @@ def keyed_update(base: DataFrame, changes: DataFrame, keys: Sequence[str], seq:
     """The table after changes to rows that are there, explicit nulls included, and the changes that matched none."""
     keys = list(keys)
     cells = [c for c in changes.columns if c not in (*keys, seq)]
+    if not cells:  # keys only: nothing to set
+        return base, changes.join(base, keys, "left_anti")
     last = _last(changes, keys, seq).select(*keys, *(F.col(c).alias(f"_new_{c}") for c in cells), F.lit(True).alias("_hit"))
     joined = base.join(last, keys, "left")
     out = joined.select(*(F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in cells else F.col(c) for c in base.columns))

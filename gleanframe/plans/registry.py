@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gleanframe.functions import identity
 from gleanframe.operators import admission, dedup, extract, frontier, pacing, tables, tasks
+from gleanframe.sources import tables as sources
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -86,10 +87,10 @@ def exact_dedup_first_wins(spark, d):
 
 @query("""WITH r AS (SELECT event_id AS seq, user_id AS fp, event_type <> 'signup' AS filter_repeat FROM events)
  SELECT seq, fp, filter_repeat FROM r WHERE NOT filter_repeat UNION ALL
- SELECT min(seq), fp, true FROM r WHERE filter_repeat AND fp NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 = 0) GROUP BY fp""")
+ SELECT min(seq), fp, true FROM r WHERE filter_repeat AND fp NOT IN (SELECT s_suppkey FROM supplier) GROUP BY fp""")
 def dedup_bypass(spark, d):
     rows = _t(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("fp"), (F.col("event_type") != "signup").alias("filter_repeat"))
-    seen = _t(spark, d, "customer").where("c_custkey % 7 = 0").select(F.col("c_custkey").alias("fp"))
+    seen = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("fp"))
     return dedup.admit(rows, seen)
 
 
@@ -100,13 +101,13 @@ def unseen_frontier(spark, d):
     return frontier.discover(pages).groupBy("fp").agg(F.min("url").alias("url"), F.min("parent").alias("parent")).join(seen, "fp", "left_anti").select("url", "parent")
 
 
-@query(f"""WITH {SQL_CANON}, {SQL_LINKS}, seed AS (SELECT c AS url FROM canon WHERE page_id % 10 = 0), one AS (
+@query(f"""WITH {SQL_CANON}, {SQL_LINKS}, seed AS (SELECT c AS url FROM canon), one AS (
    SELECT DISTINCT target AS url FROM found WHERE parent IN (SELECT p.url FROM canon p JOIN seed s ON p.c = s.url)), two AS (
    SELECT DISTINCT target AS url FROM found WHERE parent IN (SELECT p.url FROM canon p JOIN one s ON p.c = s.url))
  SELECT md5('GET|' || url || '|') AS fp, min(url) AS url, CAST(min(depth) AS INTEGER) AS depth FROM (SELECT url, 0 AS depth FROM seed UNION ALL SELECT url, 1 FROM one UNION ALL SELECT url, 2 FROM two) GROUP BY url""")
 def frontier_expand_depth2(spark, d):
     pages = _t(spark, d, "pages")
-    return frontier.crawl(pages.where("page_id % 10 = 0").select("url"), pages.select("url", "html"), 2)
+    return frontier.crawl(pages.select("url"), pages.select("url", "html"), 2)
 
 
 @query("""WITH latest AS (SELECT user_id AS fp, max(ts) AS fetched_at FROM events WHERE event_type = 'view' AND ts > TIMESTAMP '2024-01-01' GROUP BY user_id)
@@ -286,7 +287,10 @@ def account_ready(spark, d):
     return pacing.account_ready(rows, F.col("kind") == "error", F.col("kind") == "click")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SQL_LOG}, o AS (SELECT domain, seq, sec, k * 5000.0 AS took, row_number() OVER (PARTITION BY domain ORDER BY seq) AS n FROM log),
+ r AS (SELECT domain, seq, n, CAST(sec AS DOUBLE) AS start, CAST(-1e18 AS DOUBLE) AS one, CAST(sec + took AS DOUBLE) AS two FROM o WHERE n = 1
+  UNION ALL SELECT o.domain, o.seq, o.n, CAST(greatest(o.sec, least(r.one, r.two)) AS DOUBLE), greatest(r.one, r.two), CAST(greatest(o.sec, least(r.one, r.two)) + o.took AS DOUBLE)
+  FROM r JOIN o ON o.domain = r.domain AND o.n = r.n + 1) SELECT domain, seq, start FROM r""")
 def concurrency_schedule(spark, d):
     return pacing.concurrency(_log(spark, d).withColumn("took", F.col("k") * 5000.0), 2, at="sec")
 
@@ -351,12 +355,12 @@ def item_fingerprint(spark, d):
     return _t(spark, d, "documents").select("doc_id", identity.item_fingerprint("documents", ["doc_id", "lang", "source", "text"], ["source", "lang"]).alias("fp"))
 
 
-@query("""WITH w AS (SELECT DISTINCT md5(text) AS fp FROM documents WHERE doc_id % 5 = 0), i AS (SELECT doc_id AS seq, CASE WHEN source = 'src0' THEN NULL ELSE md5(text) END AS fp FROM documents WHERE doc_id % 5 <> 0)
+@query("""WITH w AS (SELECT DISTINCT md5(text) AS fp FROM benchmark), i AS (SELECT doc_id AS seq, CASE WHEN source = 'src0' THEN NULL ELSE md5(text) END AS fp FROM documents)
  SELECT seq, fp FROM i WHERE fp IS NULL UNION ALL SELECT min(seq), fp FROM i WHERE fp IS NOT NULL AND fp NOT IN (SELECT fp FROM w) GROUP BY fp""")
 def item_dedup(spark, d):
     docs = _t(spark, d, "documents")
-    items = docs.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("seq"), F.when(F.col("source") != "src0", F.md5("text")).alias("fp"))
-    return dedup.persist_new(items, docs.where("doc_id % 5 = 0").select(F.md5("text").alias("fp")).distinct())
+    items = docs.select(F.col("doc_id").alias("seq"), F.when(F.col("source") != "src0", F.md5("text")).alias("fp"))
+    return dedup.persist_new(items, _t(spark, d, "benchmark").select(F.md5("text").alias("fp")).distinct())
 
 
 @query("""SELECT source AS "table", lang = 'en' AS is_update, count(*) AS n FROM documents GROUP BY 1, 2""")
@@ -369,10 +373,10 @@ def _delta(spark, d):
 
 
 def _base(spark, d):
-    return _t(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("value"))
+    return _t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("value"))
 
 
-SQL_DELTA = """delta AS (SELECT o_custkey AS id, o_totalprice AS value, o_orderkey AS seq FROM orders), base AS (SELECT c_custkey AS id, c_acctbal AS value FROM customer WHERE c_custkey % 2 = 0),
+SQL_DELTA = """delta AS (SELECT o_custkey AS id, o_totalprice AS value, o_orderkey AS seq FROM orders), base AS (SELECT s_suppkey AS id, s_acctbal AS value FROM supplier),
  last AS (SELECT id, arg_max(value, seq) AS value FROM delta GROUP BY id), first AS (SELECT id, arg_min(value, seq) AS value FROM delta GROUP BY id)"""
 
 
@@ -401,10 +405,12 @@ def upsert(spark, d):
     return tables.upsert(_base(spark, d), _delta(spark, d), ["id"], "seq")
 
 
-@query("""SELECT doc_id, source AS "table" FROM documents WHERE source NOT IN (SELECT DISTINCT source FROM documents WHERE doc_id % 50 = 7)""")
+@query("""SELECT doc_id, source AS "table" FROM documents WHERE lang = 'en' AND source NOT IN (SELECT source FROM documents GROUP BY source HAVING count(DISTINCT lang) < 4)""")
 def dead_letter_replay(spark, d):
-    dead = _t(spark, d, "documents").select("doc_id", F.col("source").alias("table"), F.array(F.lit("doc_id")).alias("update_keys"))
-    return tables.replay(dead, dead.where("doc_id % 50 = 7")).select("doc_id", "table")
+    docs = _t(spark, d, "documents")
+    keys = F.array(F.lit("doc_id")).alias("update_keys")
+    done = docs.groupBy(F.col("source").alias("table")).agg(F.count_distinct("lang").alias("n")).where("n < 4").select("table", keys)
+    return tables.replay(docs.where("lang = 'en'").select("doc_id", F.col("source").alias("table"), keys), done).select("doc_id", "table")
 
 
 def _tasks(spark, d):
@@ -461,7 +467,9 @@ def stall_alerts(spark, d):
     return tasks.stalls(_alert_log(spark, d), 900, at="sec")
 
 
-@query()
+@query(f"""WITH RECURSIVE a AS (WITH {SQL_ALERTS}), s AS (SELECT seq, sec, key FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS n FROM a) WHERE n = 1
+  UNION ALL SELECT seq, sec, key FROM (SELECT a.seq, a.sec, a.key, row_number() OVER (PARTITION BY a.key ORDER BY a.seq) AS n FROM s JOIN a ON a.key = s.key AND a.seq > s.seq AND a.sec >= s.sec + 86400) WHERE n = 1)
+ SELECT seq, sec, key FROM s""")
 def alert_suppression(spark, d):
     return tasks.suppress(tasks.alerts(_alert_log(spark, d), 100, 0.2, 500, at="sec"), 86400, at="sec")
 
@@ -471,13 +479,62 @@ def dedup_fill(spark, d):
     return _t(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n")).select("user_id", dedup.fill_alert(F.col("n"), F.lit(80)).alias("nearly_full"))
 
 
-@query("SELECT DISTINCT url AS key, true AS maybe FROM pages")
+# customers above the suppliers' numbers were never inserted; at these errors none of them may pass for a member
+SQL_BLOOM = "SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS key, c_custkey IN (SELECT s_suppkey FROM supplier) AS maybe FROM customer"
+
+
+def _members(spark, d):
+    return _t(spark, d, "supplier").select(F.col("s_suppkey").alias("key")), _t(spark, d, "customer").select(F.col("c_custkey").alias("key"))
+
+
+@query(SQL_BLOOM)
 def bloom_membership(spark, d):
-    pages = _t(spark, d, "pages")
-    return dedup.bloom_probe(pages, "url", dedup.bloom_build(pages, "url", 1_000_000, 1e-6), 1_000_000, 1e-6)
+    some, asked = _members(spark, d)
+    n = some.count()
+    return dedup.bloom_probe(asked, "key", dedup.bloom_build(some, "key", n, 1e-9), n, 1e-9)
 
 
-@query("SELECT DISTINCT url AS key, true AS maybe FROM pages")
+@query(SQL_BLOOM)
 def layered_bloom_membership(spark, d):
+    some, asked = _members(spark, d)
+    first = max(1, some.count() // 15)  # four layers hold fifteen times the first
+    return dedup.layered_probe(asked, "key", dedup.layered_build(some, "key", first, 1e-9))
+
+
+@query(f"WITH {SQL_LINKS} SELECT parent, target AS url FROM found")
+def link_shapes(spark, d):
+    """The same pages with their links written in other ways."""
+    anchor, which = r'<a\s[^>]*href="([^"]*)"', F.col("page_id") % 4
+    html = F.col("html")
+    shaped = F.when(which == 0, F.regexp_replace(html, anchor, "<A class='x' HREF = '$1'")).when(which == 1, F.regexp_replace(html, anchor, "<a href=$1 "))
+    shaped = shaped.when(which == 2, F.regexp_replace(F.regexp_replace(html, anchor, '<a\nid="y" href="&#47;$1"'), '"&#47;/', '"&#x2f;')).otherwise(html)
+    return frontier.discover(_t(spark, d, "pages").withColumn("html", shaped)).select("parent", "url")
+
+
+@query(f"WITH {SQL_CANON} SELECT page_id, md5('POST|' || c || '|' || CASE page_id % 3 WHEN 0 THEN 'x' || page_id WHEN 1 THEN '{{\"a\":\"1\",\"b\":\"' || page_id || '\"}}' ELSE '' END) AS fp FROM canon")
+def body_fingerprint(spark, d):
+    which, number = F.col("page_id") % 3, F.col("page_id").cast("string")
+    data = F.when(which == 0, F.concat(F.lit("x"), number))
+    json = F.when(which == 1, F.create_map(F.lit("b"), number, F.lit("a"), F.lit("1")))
+    body = identity.request_body(data, json, F.lit(None).cast("map<string,string>"))
+    return _t(spark, d, "pages").select("page_id", identity.request_fingerprint(F.lit("post"), F.col("url"), body).alias("fp"))
+
+
+@query(f"WITH {SQL_CANON} SELECT url, md5('GET|' || c || '|') AS fp FROM canon WHERE c NOT IN (SELECT target FROM (WITH {SQL_LINKS} SELECT target FROM found))")
+def seed_once(spark, d):
     pages = _t(spark, d, "pages")
-    return dedup.layered_probe(pages, "url", dedup.layered_build(pages, "url", 100, 1e-6))
+    fresh = sources.seeds(pages).withColumn("fp", identity.request_fingerprint(F.col("method"), F.col("url")))
+    return sources.seed_once(fresh, frontier.discover(pages)).select("url", "fp")
+
+
+@query(f"WITH {SQL_LOG} SELECT seq, k > 60 AND k % 2 = 0 AND k % 3 = 0 AND k % 5 = 0 AS stale FROM log")
+def stale_seed(spark, d):
+    k = F.col("k")
+    return _log(spark, d).select("seq", sources.stale_seed(k, F.lit(60), k % 2, k % 3, k % 5).alias("stale"))
+
+
+@query("SELECT count_if(event_type = 'signup') = 0 AS done FROM (SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id)")
+def all_idle(spark, d):
+    beats = _t(spark, d, "events").select(F.col("user_id").alias("node"), F.col("event_id").cast("timestamp").alias("ts"), (F.col("event_type") == "signup").cast("int").alias("pending"))
+    start = F.lit("1970-01-01 00:00:00").cast("timestamp")
+    return tasks.all_idle(beats, F.lit("1971-01-01 00:00:00").cast("timestamp"), 1e12, F.lit(0), F.lit(0), start, 60.0).select("done")

@@ -12,9 +12,9 @@ DEAD_LETTER = "table string, data string, update_keys array<string>, pipelines a
 
 
 def seeds(table: DataFrame, url: str = "url", priority: int = 300) -> DataFrame:
-    """Requests of a seed table; rows without a URL are refused."""
+    """Requests of a seed table; rows without a URL are refused. ``seq`` is the URL's hash, so that reruns agree."""
     rows = table.where(F.col(url).isNotNull())
-    return rows.select(F.monotonically_increasing_id().alias("seq"), F.col(url).alias("url"), F.lit("GET").alias("method"), F.lit(priority).alias("priority"), F.lit(0).alias("retry_times"), F.lit(True).alias("filter_repeat"))
+    return rows.select(F.xxhash64(F.col(url)).alias("seq"), F.col(url).alias("url"), F.lit("GET").alias("method"), F.lit(priority).alias("priority"), F.lit(0).alias("retry_times"), F.lit(True).alias("filter_repeat"))
 
 
 def seed_once(fresh: DataFrame, frontier: DataFrame, key: str = "fp") -> DataFrame:
