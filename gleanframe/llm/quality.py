@@ -7,7 +7,9 @@ tail probability by which documents are selected.
 Features of a text are hashes of its distinct lower-cased words, their endings and shapes, and how much it repeats
 itself. Features that fewer than ``MIN_DOCS`` rated documents have are ignored, others weigh by how rare they are, in a
 text's vector of length one. Long texts dilute what only a few words tell; so a feature whose documents' mean
-grade is ``MARK`` standard errors or more from that of all counts a second time, undiluted, with a weight of its own.
+grade is ``MARK`` standard errors or more from that of all counts a second time, undiluted, with a weight of its own. How
+large it counts is chosen by likelihood: a quarter of the rated sample is held back from fits with each of ``SIZES``,
+the size under which it is likeliest wins, and the model is then fitted to the whole sample.
 
 The model is fitted on the driver from a bounded sample of rated documents (at most ``SAMPLE``, chosen by a hash of
 the id); every whole text is scored.
@@ -31,8 +33,8 @@ from gleanframe.llm.common import word_chunks
 
 BUCKETS = 1 << 18
 SAMPLE, MIN_DOCS, ROUNDS = 6000, 8, 120
-#: Standard errors that make a feature a mark, and the size of marks of low and of high grades.
-MARK, LOW, HIGH = 5.0, 1.0, 0.1
+#: Standard errors that make a feature a mark, the sizes tried for marks of low grades, and those of high grades beside them.
+MARK, SIZES, HIGH = 5.0, (0.0, 0.5, 1.0, 2.0), 0.1
 MEMO_WORDS = 60_000
 _SHAPES = [(re.compile(p), r) for p, r in ((rb"[A-Z]+", b"X"), (rb"[a-z\x80-\xff]+", b"x"), (rb"[0-9]+", b"9"))]
 
@@ -107,7 +109,7 @@ def vector(f: np.ndarray, rarity: np.ndarray, marks: np.ndarray) -> tuple[np.nda
     return np.concatenate([known, marked + BUCKETS]).astype(np.int64), np.concatenate([x / norm if norm else x, marks[marked]])
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds: int = ROUNDS, ridge: float = 1e-4, step: float = 1.0) -> Model:
+def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds: int = ROUNDS, ridge: float = 1e-4, step: float = 1.0, low: float = 1.0) -> Model:
     """Maximum likelihood with a ridge, by Adam over all rows."""
     if not len(rows):
         return Model(np.zeros(2 * BUCKETS), np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(n_grades - 1))
@@ -116,7 +118,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds: int =
     seen = np.bincount(bucket, minlength=BUCKETS)
     rarity = np.where(seen >= MIN_DOCS, np.log(1 + len(rows) / np.maximum(seen, 1)), 0.0)
     apart = np.bincount(bucket, np.repeat(grades - grades.mean(), n), BUCKETS) / (max(grades.std(), 1e-9) * np.sqrt(np.maximum(seen, 1)))
-    marks = np.where(seen < MIN_DOCS, 0.0, np.where(apart < -MARK, LOW, np.where(apart > MARK, HIGH, 0.0)))
+    marks = np.where(seen < MIN_DOCS, 0.0, np.where(apart < -MARK, low, np.where(apart > MARK, HIGH * low, 0.0)))
     places, sizes = zip(*(vector(r, rarity, marks) for r in rows), strict=True)
     bucket, x = np.concatenate(places), np.concatenate(sizes)
     row = np.repeat(np.arange(len(rows)), [len(p) for p in places])
@@ -150,6 +152,25 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds: int =
     return Model(params[:size].astype(np.float32), rarity.astype(np.float32), marks.astype(np.float32), params[size:])
 
 
+def loss(model: Model, rows: list[np.ndarray], grades: np.ndarray) -> float:
+    """Mean negative log-likelihood of the grades."""
+    places = [vector(r, model.rarity, model.marks) for r in rows]
+    tails = model.tails(np.array([float((model.weights[at] * x).sum()) for at, x in places]))
+    edges = np.concatenate([np.ones((len(rows), 1)), tails, np.zeros((len(rows), 1))], 1)
+    i = np.arange(len(rows))
+    return float(-np.log(np.maximum(edges[i, grades] - edges[i, grades + 1], 1e-9)).mean())
+
+
+def fit_chosen(rows: list[np.ndarray], grades: np.ndarray, n_grades: int) -> Model:
+    """:func:`fit` with the size of marks under which every fourth row, held back from the others, is likeliest."""
+    held = np.arange(len(rows)) % 4 == 3
+    if held.sum() < 50:
+        return fit(rows, grades, n_grades)
+    some, rest = [r for r, h in zip(rows, held, strict=True) if not h], [r for r, h in zip(rows, held, strict=True) if h]
+    best = min(SIZES, key=lambda size: loss(fit(some, grades[~held], n_grades, low=size), rest, grades[held]))
+    return fit(rows, grades, n_grades, low=best)
+
+
 def learn(docs: DataFrame, ratings: DataFrame, grade: Column, n_grades: int, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE) -> Model:
     """A model from the rated documents: ``ratings`` has ``id_col`` and the columns of ``grade`` (0 to n_grades - 1)."""
     rated = ratings.select(F.col(id_col).cast("long").alias("_id"), grade.cast("int").alias("_grade")).where(F.col("_id").isNotNull() & F.col("_grade").between(0, n_grades - 1))
@@ -161,10 +182,10 @@ def learn(docs: DataFrame, ratings: DataFrame, grade: Column, n_grades: int, id_
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(t.as_py()).astype("<i4").tobytes() for t in b.column(2)], pa.binary())], ["id", "grade", "features"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_text"))
+    texts = docs.select(docs[id_col].cast("long").alias("_id"), docs[text_col].cast("binary").alias("_text"))
     # at most twice ``rows`` small rows, so the texts need no shuffle
     found = texts.join(F.broadcast(some), "_id").select("_id", "_grade", "_text").mapInArrow(run, "id long, grade int, features binary").orderBy("id", "features").toArrow().to_pylist()
-    return fit([np.frombuffer(r["features"], "<i4") for r in found], np.array([r["grade"] for r in found], np.int64), n_grades)
+    return fit_chosen([np.frombuffer(r["features"], "<i4") for r in found], np.array([r["grade"] for r in found], np.int64), n_grades)
 
 
 def grade_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
