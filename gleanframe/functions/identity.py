@@ -97,8 +97,14 @@ def unescape(text: Column) -> Column:
 
 
 def request_body(data: Column, json: Column, params: Column) -> Column:
-    """What stands for a request's body in its fingerprint: ``data`` if there is any, else ``json``, else ``params`` (both maps, in order of key)."""
-    sorted_json = lambda m: F.when(F.size(m) > 0, F.to_json(F.map_from_entries(F.array_sort(F.map_entries(m)))))
+    """What stands for a request's body in its fingerprint: ``data`` if there is any, else ``json``, else ``params``.
+
+    Both maps become JSON in order of key, written as ``{"a": "1", "b": "2"}``.
+    """
+    quoted = lambda x: F.regexp_extract(F.to_json(F.array(x)), r"(?s)^\[(.*)\]$", 1)
+    pair = lambda e: F.concat(quoted(e["key"]), F.lit(": "), quoted(e["value"]))
+    joined = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), pair), ", ")
+    sorted_json = lambda m: F.when(F.size(m) > 0, F.concat(F.lit("{"), joined(m), F.lit("}")))
     return F.coalesce(F.when(data != "", data), sorted_json(json), sorted_json(params), F.lit(""))
 
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import logging
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanframe.functions.identity import item_fingerprint
 from gleanframe.operators.dedup import first_wins
 
+#: What tells groups of items apart, as far as a table has it.
+GROUP = ("table", "is_update", "update_keys", "pipelines")
+
 
 def _last(rows: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     """The last row of each key."""
@@ -36,8 +41,8 @@ def keyed_update(base: DataFrame, changes: DataFrame, keys: Sequence[str], seq:
     """The table after changes to rows that are there, explicit nulls included, and the changes that matched none."""
     keys = list(keys)
     cells = [c for c in changes.columns if c not in (*keys, seq)]
-    if not cells:  # keys only: nothing to set
-        return base, changes.join(base, keys, "left_anti")
+    if not cells:  # keys only: nothing to set, so nothing is missed
+        return base, changes.where(F.lit(False))
     last = _last(changes, keys, seq).select(*keys, *(F.col(c).alias(f"_new_{c}") for c in cells), F.lit(True).alias("_hit"))
     joined = base.join(last, keys, "left")
     out = joined.select(*(F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in cells else F.col(c) for c in base.columns))
@@ -53,23 +58,68 @@ def upsert(base: DataFrame, delta: DataFrame, keys: Sequence[str], seq: str) ->
     return updated.unionByName(_last(new, list(keys), seq).drop(seq), allowMissingColumns=True)
 
 
+def normalise(items: DataFrame, table: str, key: Sequence[str] = (), update_keys: Sequence[str] = (), pipelines: Sequence[str] | None = None, clean: Mapping[str, Column] | None = None) -> DataFrame:
+    """Items of one table as rows ``(table, is_update, update_keys, pipelines, fp, data)``, ready to be routed with others.
+
+    ``clean`` gives columns to set first, so that fingerprints tell cleaned items apart; ``data`` is the item as JSON,
+    with its nulls. Items with ``update_keys`` are updates. Without ``pipelines`` they go to the default ones.
+    """
+    ready = items.withColumns(dict(clean or {}))
+    names = lambda x: F.lit(None).cast("array<string>") if x is None else F.array(*map(F.lit, x)).cast("array<string>")
+    return ready.select(
+        F.lit(table).alias("table"), F.lit(bool(update_keys)).alias("is_update"), names(update_keys or None).alias("update_keys"), names(pipelines).alias("pipelines"),
+        item_fingerprint(table, ready.columns, key, bool(update_keys)).alias("fp"), F.to_json(F.struct(*ready.columns), {"ignoreNullFields": "false"}).alias("data"),
+    )
+
+
+def _group(rows: DataFrame) -> list[str]:
+    return [c for c in GROUP if c in rows.columns]
+
+
 def route_counts(items: DataFrame) -> DataFrame:
-    return items.groupBy("table", "is_update").agg(F.count("*").alias("n"))
+    """How many items each group has."""
+    return items.groupBy(*_group(items)).agg(F.count("*").alias("n"))
 
 
-def write_groups(items: DataFrame, sinks: dict[str, Callable[[str, bool, DataFrame], bool]]) -> DataFrame:
-    """Each (table, is_update) group goes to every sink; the rows of groups that a sink refused come back as dead letters.
+def write_groups(items: DataFrame, sinks: Mapping[str, Callable[[str, bool, DataFrame], bool]], default: Sequence[str] | None = None) -> DataFrame:
+    """Each group goes to its ``pipelines``, or to the default ones (all), until one refuses it; refused rows come back.
 
-    The groups are few (one for each table), so listing them on the driver is safe.
+    A group is told apart by what it has of ``table``, ``is_update``, ``update_keys`` and ``pipelines``. A sink refuses
+    by a false result or an exception, and an unknown one refuses too. Earlier sinks of a refused group keep its rows.
+    There are few groups, as of tables, so the driver lists them; the items are kept meanwhile, not computed for each.
     """
-    groups = items.select("table", "is_update").distinct().collect()
-    bad = [(g["table"], g["is_update"]) for g in groups if not all(s(g["table"], g["is_update"], items.where((F.col("table") == g["table"]) & (F.col("is_update") == g["is_update"]))) for s in sinks.values())]
-    refused = F.lit(False)
-    for table, update in bad:
-        refused = refused | ((F.col("table") == table) & (F.col("is_update") == update))
-    return items.where(refused).withColumn("reason", F.lit("sink refused"))
+    group = _group(items)
+    known = F.to_json(F.struct(*group))
+    kept = items.persist()
+    try:
+        groups = [r.asDict() for r in kept.select(*group, known.alias("_known")).distinct().collect()]
+        refused = []
+        for g in groups:
+            rows = kept.where(known == g["_known"])
+            for name in g.get("pipelines") or default or sinks:
+                try:
+                    went = sinks[name](g["table"], g.get("is_update", False), rows)
+                except Exception:  # noqa: BLE001
+                    logging.getLogger(__name__).exception("sink %s failed on %s", name, g["table"])
+                    went = False
+                if not went:
+                    refused.append(g["_known"])
+                    break
+    finally:
+        kept.unpersist()
+    return items.where(known.isin(refused) if refused else F.lit(False)).withColumn("reason", F.lit("sink refused"))
+
+
+def write_again(dead: DataFrame, sinks: Mapping[str, Callable[[str, bool, DataFrame], bool]], default: Sequence[str] | None = None) -> DataFrame:
+    """Dead letters written by their groups, updates as updates; those refused again come back."""
+    update = F.size(F.coalesce("update_keys", F.array().cast("array<string>"))) > 0
+    return write_groups(dead.drop("reason").withColumn("is_update", update), sinks, default).select(*dead.columns)
 
 
 def replay(dead: DataFrame, succeeded: DataFrame) -> DataFrame:
-    """Dead letters left after some (table, update_keys) groups went through."""
-    return dead.join(succeeded.select("table", "update_keys").distinct(), ["table", "update_keys"], "left_anti")
+    """Dead letters left after some groups went through, told apart by table, update keys and pipelines; none is like empty."""
+    names = [c for c in ("table", "update_keys", "pipelines") if c in dead.columns and c in succeeded.columns]
+    plain = lambda c: F.col(c) if c == "table" else F.coalesce(F.col(c), F.array().cast("array<string>"))
+    group = F.to_json(F.struct(*(plain(c).alias(c) for c in names)))
+    done = succeeded.select(group.alias("_replayed")).distinct()
+    return dead.withColumn("_replayed", group).join(done, "_replayed", "left_anti").drop("_replayed")

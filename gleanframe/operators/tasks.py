@@ -9,8 +9,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from gleanframe.operators.tables import keyed_update
+
 TODO, DONE, DOING, FAILED = 0, 1, 2, -1
 
+#: The counters of a run, in the order of its summary.
+COUNTERS = (
+    "request_ok", "request_failed", "retry", "dropped", "robots_dropped", "content_type_dropped", "dedup_dropped",
+    "parse_error", "items", "item_dedup_dropped", "item_failed", "dedup_degraded",
+)
+
 
 def counts(tasks: DataFrame, state: str = "batch_status") -> DataFrame:
     """One row: total and the tasks in each state; unknown states count toward the total only."""
@@ -18,9 +26,14 @@ def counts(tasks: DataFrame, state: str = "batch_status") -> DataFrame:
     return tasks.agg(F.count("*").alias("total"), of(TODO).alias("todo"), of(DOING).alias("doing"), of(DONE).alias("done"), of(FAILED).alias("failed"))
 
 
+def next_open(tasks: DataFrame, n: int, key: str = "id", state: str = "batch_status") -> DataFrame:
+    """The first ``n`` open tasks by id, at least one."""
+    return tasks.where(F.col(state) == TODO).orderBy(key).limit(max(1, n))
+
+
 def claim(tasks: DataFrame, n: int, now: Column, key: str = "id", state: str = "batch_status") -> DataFrame:
     """The table after the first ``n`` open tasks, by id, are taken."""
-    taken = tasks.where(F.col(state) == TODO).select(key).orderBy(key).limit(n).withColumn("_taken", F.lit(True))
+    taken = next_open(tasks, n, key, state).select(key).withColumn("_taken", F.lit(True))
     joined = tasks.join(taken, key, "left")
     return joined.select(
         *(F.when(F.col("_taken"), {state: F.lit(DOING), "update_time": now}[c]).otherwise(F.col(c)).alias(c) if c in (state, "update_time") else F.col(c) for c in tasks.columns)
@@ -33,21 +46,63 @@ def reset_lost(tasks: DataFrame, now: Column, stale: float, state: str = "batch_
     return tasks.withColumn("_lost", lost).withColumn(state, F.when(F.col("_lost"), TODO).otherwise(F.col(state))).withColumn("update_time", F.when(F.col("_lost"), now).otherwise(F.col("update_time"))).drop("_lost")
 
 
-def tick(tasks: DataFrame, now: Column, stale: float, n: int) -> tuple[DataFrame, DataFrame]:
-    """One turn of the batch's monitor: the next task table, and the batch's row with ``is_done``."""
-    after = claim(reset_lost(tasks, now, stale), n, now)
+def mark(tasks: DataFrame, marks: DataFrame, now: Column, key: str = "id", state: str = "batch_status", seq: str = "seq") -> DataFrame:
+    """The table after ``marks`` (key, state, seq): the last state of each task holds, unknown tasks are passed over."""
+    return keyed_update(tasks, marks.select(key, seq, state, now.alias("update_time")), [key], seq)[0]
+
+
+def reset_all(tasks: DataFrame, state: str = "batch_status") -> DataFrame:
+    """All tasks open again, for a new batch."""
+    return tasks.withColumn(state, F.lit(TODO))
+
+
+def open_batch(batches: DataFrame, tasks: DataFrame, now: Column, interval: float, force: bool = False) -> tuple[DataFrame, DataFrame, bool]:
+    """The batches and tasks to go on with, and whether a new batch was opened, which opens all tasks again.
+
+    ``batches`` has ``id, total, done, failed, is_done, create_time``. A batch follows when there is none yet, or when
+    the last one is done and at least ``interval`` seconds old; with ``force``, of any age. One row reaches the driver.
+    """
+    age = (F.unix_timestamp(now) - F.unix_timestamp("create_time")).alias("age")
+    last = batches.agg(F.max_by(F.struct("id", "is_done", age), "id").alias("b")).first()["b"]
+    if last is not None and not (last["is_done"] and (force or last["age"] >= interval)):
+        return batches, tasks, False
+    number = 1 if last is None else last["id"] + 1
+    zero = F.lit(0).cast("long")
+    row = counts(tasks).select(F.lit(number).cast("long").alias("id"), "total", zero.alias("done"), zero.alias("failed"), F.lit(False).alias("is_done"), now.alias("create_time"))
+    return batches.unionByName(row), reset_all(tasks), True
+
+
+def record(batches: DataFrame, number: int, row: DataFrame) -> DataFrame:
+    """The batches after one of them takes the counts and the end that ``tick`` found."""
+    return keyed_update(batches, row.select(F.lit(number).cast("long").alias("id"), F.lit(0).alias("seq"), "total", "done", "failed", "is_done"), ["id"], "seq")[0]
+
+
+def tick(tasks: DataFrame, now: Column, stale: float, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One turn of the batch's monitor: the next task table, the batch's row with ``is_done``, and the tasks taken."""
+    ready = reset_lost(tasks, now, stale)
+    after = claim(ready, n, now)
     row = counts(after)
-    return after, row.withColumn("is_done", (F.col("total") == 0) | (F.col("done") + F.col("failed") >= F.col("total")))
+    done = (F.col("total") == 0) | (F.col("done") + F.col("failed") >= F.col("total"))
+    return after, row.withColumn("is_done", done), next_open(ready, n)
+
 
+def summary(log: DataFrame, counter: str = "counter", at: str = "ts", n: str | None = None) -> DataFrame:
+    """One row of 15 columns: ``schema``, ``elapsed`` seconds, the total of each counter, and ``rate``, successes a second.
 
-def summary(log: DataFrame, outcome: str = "outcome", at: str = "ts") -> DataFrame:
-    """One row: counts of outcomes, elapsed seconds and successes a second."""
-    of = lambda v: F.count_if(F.col(outcome) == v)
-    row = log.agg(
-        F.count("*").alias("total"), of("ok").alias("ok"), of("failed").alias("failed"), of("retry").alias("retried"), of("dropped").alias("dropped"),
-        (F.unix_timestamp(F.max(at)) - F.unix_timestamp(F.min(at))).alias("elapsed"),
-    )
-    return row.withColumn("rate", F.when(F.col("elapsed") > 0, F.round(F.col("ok") / F.col("elapsed"), 3)))
+    A row of ``log`` counts once, or ``n`` times. Other counters are passed over; without rows or time the rate is 0.
+    """
+    times = F.lit(1) if n is None else F.col(n)
+    totals = [F.coalesce(F.sum(F.when(F.col(counter) == c, times)), F.lit(0)).cast("long").alias(c) for c in COUNTERS]
+    row = log.agg(((F.unix_micros(F.max(at)) - F.unix_micros(F.min(at))) / 1e6).alias("took"), *totals)
+    rate = F.when(F.col("took") > 0, F.round(F.col("request_ok") / F.col("took"), 3)).otherwise(0.0)
+    return row.select(F.lit(1).alias("schema"), F.coalesce(F.round("took", 3), F.lit(0.0)).alias("elapsed"), *COUNTERS, rate.alias("rate"))
+
+
+def rates(log: DataFrame, every: str, counter: str = "counter", at: str = "ts") -> DataFrame:
+    """``(tick, request_ok, per_second)`` of each stretch of time that has rows."""
+    ticks = log.groupBy(F.window(at, every).alias("w")).agg(F.count_if(F.col(counter) == "request_ok").alias("request_ok"))
+    width = F.unix_timestamp(F.col("w")["end"]) - F.unix_timestamp(F.col("w")["start"])
+    return ticks.select(F.col("w")["start"].alias("tick"), "request_ok", F.round(F.col("request_ok") / width, 3).alias("per_second"))
 
 
 def all_idle(beats: DataFrame, now: Column, stale: float, queued: Column, inflight: Column, started: Column, grace: float) -> DataFrame:
@@ -88,7 +143,14 @@ def stalls(log: DataFrame, most: float, order: str = "seq", at: str = "at") -> D
 
 
 def suppress(found: DataFrame, interval: float, order: str = "seq", at: str = "at") -> DataFrame:
-    """Of each key's alerts one per ``interval`` seconds; the first always. A key's alerts stream through one task in order."""
+    """Of each key's alerts one per ``interval`` seconds; the first always.
+
+    Of alerts with one key and time only the first can be sent, so the others go before the rest of a key, at most one
+    for each time, streams through one task in order. Without an interval all are sent.
+    """
+    if interval <= 0:
+        return found
+    firsts = found.groupBy("key", at).agg(F.min_by(F.struct(*found.columns), order).alias("_first")).select("_first.*")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, last = None, None
@@ -101,4 +163,4 @@ def suppress(found: DataFrame, interval: float, order: str = "seq", at: str = "a
                     key, last = k, t
             yield b[keep]
 
-    return found.repartition("key").sortWithinPartitions("key", order).mapInPandas(run, found.schema)
+    return firsts.repartition("key").sortWithinPartitions("key", order).mapInPandas(run, found.schema)

@@ -184,7 +184,7 @@ def size_cap(spark, d):
 def challenge_kind(spark, d):
     pages, which = _t(spark, d, "pages"), F.col("page_id") % 5
     status = F.when(which == 0, 503).when(which == 1, 403).otherwise(200)
-    body = F.when(which == 0, "<title>Just a moment...</title>").when(which == 1, "ref akamai 18").when(which == 2, '<script>location.href="/x"</script>').otherwise(F.col("html"))
+    body = F.when(which == 0, '<script src="/cdn-cgi/challenge-platform/x.js"></script>').when(which == 1, "var _abck = 18").when(which == 2, '<script>location.href="/x"</script>').otherwise(F.col("html"))
     headers = F.create_map(F.lit("server"), F.lit("x"))
     return pages.select("page_id", admission.challenge_kind(status, headers, body).alias("kind"))
 
@@ -440,12 +440,63 @@ def batch_tick(spark, d):
     return tasks.tick(_tasks(spark, d), F.lit("1998-01-01 00:00:00").cast("timestamp"), 86400, 200)[1]
 
 
-@query("""SELECT count(*) AS total, count_if(event_type = 'purchase')::BIGINT AS ok, count_if(event_type = 'error')::BIGINT AS failed, count_if(event_type = 'click')::BIGINT AS retried,
- count_if(event_type = 'view')::BIGINT AS dropped, CAST(floor(epoch(max(ts))) - floor(epoch(min(ts))) AS BIGINT) AS elapsed,
- round(count_if(event_type = 'purchase') / (floor(epoch(max(ts))) - floor(epoch(min(ts)))), 3) AS rate FROM events""")
+@query(f"WITH {SQL_TICK} SELECT id FROM c")
+def tick_claimed(spark, d):
+    return tasks.tick(_tasks(spark, d), F.lit("1998-01-01 00:00:00").cast("timestamp"), 86400, 200)[2].select("id")
+
+
+@query(f"""WITH {SQL_TASKS}, m AS (SELECT l_orderkey AS id, arg_max(CASE WHEN l_quantity < 25 THEN 1 ELSE -1 END, l_linenumber * 1000 + l_quantity) AS s FROM lineitem GROUP BY 1)
+ SELECT id, CAST(coalesce(m.s, t.s) AS INTEGER) AS batch_status, CASE WHEN m.id IS NULL THEN CAST(epoch(u) AS BIGINT) ELSE CAST(epoch(TIMESTAMP '2024-06-01') AS BIGINT) END AS at FROM t LEFT JOIN m USING (id)""")
+def task_mark(spark, d):
+    marks = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_linenumber") * 1000 + F.col("l_quantity")).alias("seq"), F.when(F.col("l_quantity") < 25, 1).otherwise(-1).alias("batch_status"))
+    return tasks.mark(_tasks(spark, d), marks, _now()).select("id", "batch_status", F.unix_timestamp("update_time").alias("at"))
+
+
+# one batch for each region, the last of them done
+SQL_BATCHES = "b AS (SELECT CAST(r_regionkey AS BIGINT) AS id, CAST(5 AS BIGINT) AS total, CAST(5 AS BIGINT) AS done, CAST(0 AS BIGINT) AS failed, true AS is_done, CAST(epoch(TIMESTAMP '2024-05-01') AS BIGINT) AS at FROM region)"
+
+
+def _batches(spark, d):
+    of = lambda n: F.lit(n).cast("long")
+    return _t(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("id"), of(5).alias("total"), of(5).alias("done"), of(0).alias("failed"), F.lit(True).alias("is_done"), F.lit("2024-05-01 00:00:00").cast("timestamp").alias("create_time"))
+
+
+@query(f"""WITH {SQL_BATCHES}, {SQL_TASKS} SELECT * FROM b UNION ALL
+ SELECT (SELECT max(id) + 1 FROM b), (SELECT count(*) FROM t), (SELECT count_if(s = 1) FROM t)::BIGINT, 0, false, CAST(epoch(TIMESTAMP '2024-06-01') AS BIGINT)""")
+def batch_opened(spark, d):
+    """A new batch after the done ones, with the counts that the tasks have at its first record."""
+    batches, _, opened = tasks.open_batch(_batches(spark, d), _tasks(spark, d), _now(), 86400 * 7)
+    last = _batches(spark, d).agg(F.max("id")).first()[0] + 1
+    state = tasks.counts(_tasks(spark, d)).withColumn("is_done", F.lit(not opened))
+    found = tasks.record(batches, last, state)
+    return found.select("id", "total", "done", "failed", "is_done", F.unix_timestamp("create_time").alias("at"))
+
+
+@query("SELECT o_orderkey AS id, CAST(0 AS INTEGER) AS batch_status FROM orders")
+def batch_reset(spark, d):
+    return tasks.open_batch(_batches(spark, d), _tasks(spark, d), _now(), 86400 * 7)[1].select("id", "batch_status")
+
+
+COUNTED = {"purchase": "request_ok", "error": "request_failed", "click": "retry", "view": "dropped", "signup": "items"}
+SQL_COUNTED = ", ".join(f"CAST(count_if(c = '{c}') AS BIGINT) AS {c}" for c in tasks.COUNTERS)
+
+
+def _counted(spark, d):
+    names = F.create_map(*[F.lit(x) for pair in COUNTED.items() for x in pair])
+    return _t(spark, d, "events").select(names[F.col("event_type")].alias("counter"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+@query(f"""WITH l AS (SELECT ts, CASE event_type {" ".join(f"WHEN '{e}' THEN '{c}'" for e, c in COUNTED.items())} END AS c FROM events),
+ t AS (SELECT (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS took, {SQL_COUNTED} FROM l)
+ SELECT CAST(1 AS INTEGER) AS schema, round(took, 3) AS elapsed, * EXCLUDE (took), round(request_ok / took, 3) AS rate FROM t""")
 def run_summary(spark, d):
-    names = F.create_map(*[F.lit(x) for p in (("purchase", "ok"), ("error", "failed"), ("click", "retry"), ("view", "dropped")) for x in p])
-    return tasks.summary(_t(spark, d, "events").select(names[F.col("event_type")].alias("outcome"), F.col("ts").cast("timestamp").alias("ts")))
+    return tasks.summary(_counted(spark, d))
+
+
+@query("""SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour, count_if(event_type = 'purchase')::BIGINT AS request_ok, round(count_if(event_type = 'purchase') / 3600, 3) AS per_second FROM events GROUP BY 1""")
+def run_rates(spark, d):
+    found = tasks.rates(_counted(spark, d), "1 hour")
+    return found.select(F.floor(F.unix_timestamp("tick") / 3600).alias("hour"), "request_ok", "per_second")
 
 
 SQL_ALERTS = f"""{SQL_LOG}, r AS (SELECT seq, sec, count(*) OVER (ORDER BY seq) AS n, sum(CASE WHEN kind = 'error' THEN 1 ELSE 0 END) OVER (ORDER BY seq) AS f FROM log)
@@ -511,7 +562,7 @@ def link_shapes(spark, d):
     return frontier.discover(_t(spark, d, "pages").withColumn("html", shaped)).select("parent", "url")
 
 
-@query(f"WITH {SQL_CANON} SELECT page_id, md5('POST|' || c || '|' || CASE page_id % 3 WHEN 0 THEN 'x' || page_id WHEN 1 THEN '{{\"a\":\"1\",\"b\":\"' || page_id || '\"}}' ELSE '' END) AS fp FROM canon")
+@query(f"WITH {SQL_CANON} SELECT page_id, md5('POST|' || c || '|' || CASE page_id % 3 WHEN 0 THEN 'x' || page_id WHEN 1 THEN '{{\"a\": \"1\", \"b\": \"' || page_id || '\"}}' ELSE '' END) AS fp FROM canon")
 def body_fingerprint(spark, d):
     which, number = F.col("page_id") % 3, F.col("page_id").cast("string")
     data = F.when(which == 0, F.concat(F.lit("x"), number))
@@ -538,3 +589,78 @@ def all_idle(spark, d):
     beats = _t(spark, d, "events").select(F.col("user_id").alias("node"), F.col("event_id").cast("timestamp").alias("ts"), (F.col("event_type") == "signup").cast("int").alias("pending"))
     start = F.lit("1970-01-01 00:00:00").cast("timestamp")
     return tasks.all_idle(beats, F.lit("1971-01-01 00:00:00").cast("timestamp"), 1e12, F.lit(0), F.lit(0), start, 60.0).select("done")
+
+
+@query(r"""SELECT page_id, array_to_string(list_transform(regexp_extract_all(html, '<li><a href="([^"]*)"', 1), lambda h: replace(h, '&amp;', '&')), ' ') AS hrefs,
+ replace(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS h1, regexp_extract(html, 'lang="([^"]*)"', 1) AS lang, replace(regexp_extract(html, '<li><a href="[^"]*">[^<]*</a></li><li><a href="[^"]*">([^<]*)</a>', 1), '&amp;', '&') AS second FROM pages""")
+def xpath_select(spark, d):
+    html = F.col("html")
+    one = lambda path: F.coalesce(F.get(extract.xpath(html, path), 0), F.lit(""))
+    return _t(spark, d, "pages").select(
+        "page_id", F.array_join(extract.xpath(html, "//nav/ul/li/a/@href"), " ").alias("hrefs"), one("//article//h1/text()").alias("h1"), one("/html/@lang").alias("lang"), one("//nav//li[2]/a/text()").alias("second"),
+    )
+
+
+@query(r"""SELECT page_id, regexp_extract(html, '<meta charset="([^"]*)"', 1) AS charset, replace(regexp_extract(html, '<li><a href="([^"]*)"', 1), '&amp;', '&') AS first FROM pages""")
+def css_attributes(spark, d):
+    html = F.col("html")
+    one = lambda selector: F.coalesce(F.get(extract.css(html, selector), 0), F.lit(""))
+    return _t(spark, d, "pages").select("page_id", one("head > meta[charset]::attr(charset)").alias("charset"), one("nav li:first-child > a[href^='/']::attr(href)").alias("first"))
+
+
+@query(f"WITH {SQL_LOG} SELECT seq, coalesce({SQL_AFTER}, least(60.0, 0.5 * pow(2.0, greatest(k % 9 - 1, 0))) * (0.5 + (seq % 101) / 202.0)) AS delay FROM log")
+def retry_delay_jitter(spark, d):
+    """Chances by number, so that SQL can follow; a user gives ``rand(seed)``."""
+    chance = F.col("seq") % 101 / 101
+    return _log(spark, d).select("seq", admission.retry_delay(_after(F.col("k")), F.col("k") % 9, 1.0, 0.5, 60.0, chance).alias("delay"))
+
+
+SQL_CHAIN = f"""{SQL_LOG}, r AS (SELECT seq, kind, CASE WHEN kind = 'signup' AND k < 50 THEN 'u' ELSE 'v' END AS url, CAST(k % 5 AS INTEGER) AS times, kind = 'view' AND k % 3 = 0 AS cached, {SQL_STATUS} AS status FROM log)"""
+
+
+@query(f"""WITH {SQL_CHAIN}, a AS (SELECT *, CASE WHEN cached THEN 200 ELSE status END AS got FROM r)
+ SELECT seq, CASE WHEN cached THEN 'v' ELSE url || '?t' END AS url, cached AS answered, CASE WHEN got = 403 THEN 'fail_login' ELSE 'seen' END AS body,
+  CASE WHEN got <> 403 THEN 'ok' WHEN times >= 3 THEN 'fail' ELSE 'retry' END AS action, CAST(CASE WHEN got = 403 AND times < 3 THEN times + 1 END AS INTEGER) AS next_times FROM a""")
+def middleware_chain(spark, d):
+    """Two hooks before the fetch (one answers from a cache, one signs URLs), two after it (a login that asks again, a mark)."""
+    log = _log(spark, d).withColumn("status", F.element_at(F.array(*map(F.lit, (200, 301, 404, 429, 503, 403, 500, 204, 418, 502))), F.col("k") % 10 + 1))
+    url = F.when((F.col("kind") == "signup") & (F.col("k") < 50), "u").otherwise("v")
+    cached = (F.col("kind") == "view") & (F.col("k") % 3 == 0)
+    rows = log.select("seq", "status", F.struct(url.alias("url"), cached.alias("cached"), (F.col("k") % 5).cast("int").alias("retry_times"), F.lit(True).alias("filter_repeat")).alias("request"))
+    kind = "struct<status: int, body: string>"
+    answer = lambda r: (None, F.when(r["cached"], F.struct(F.lit(200).alias("status"), F.lit("seen").alias("body"))))
+    sign = lambda r: (r.withField("url", F.concat(r["url"], F.lit("?t"))), None)
+    asked = admission.before_fetch(rows, [answer, sign], kind)
+    fetched = asked.withColumn("answered", F.col("response").isNotNull()).withColumn("response", F.coalesce("response", F.struct(F.col("status").alias("status"), F.lit("raw").alias("body"))))
+    seen = lambda q, r: (r.withField("body", F.lit("seen")), None)
+    login = lambda q, r: (F.when(r["status"] == 403, r.withField("body", F.lit("fail_login"))), F.when(r["status"] == 403, q))
+    done = admission.after_fetch(fetched, [seen, login], 3)
+    return done.select("seq", F.col("request")["url"].alias("url"), "answered", F.col("response")["body"].alias("body"), "action", F.col("retry")["retry_times"].alias("next_times"))
+
+
+def _routed(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", "lang", F.col("source").alias("origin"))
+    orders = _t(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    clean = {"lang": F.upper(F.trim("lang"))}
+    return tables.normalise(docs, "documents", ["doc_id"], pipelines=["lake", "index"], clean=clean).unionByName(tables.normalise(orders, "orders", update_keys=["o_orderkey"]))
+
+
+@query("""SELECT 'documents' AS "table", false AS is_update, '' AS update_keys, 'lake,index' AS pipelines, count(*) AS n FROM documents UNION ALL SELECT 'orders', true, 'o_orderkey', '', count(*) FROM orders""")
+def pipeline_routing_counts(spark, d):
+    found = tables.route_counts(_routed(spark, d))
+    return found.select("table", "is_update", F.coalesce(F.array_join("update_keys", ","), F.lit("")).alias("update_keys"), F.coalesce(F.array_join("pipelines", ","), F.lit("")).alias("pipelines"), "n")
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS id, upper(lang) AS lang, md5('documents|doc_id=bigint:' || doc_id) AS fp FROM documents""")
+def clean_items(spark, d):
+    """Items as rows for a sink, cleaned first."""
+    found = _routed(spark, d).where(F.col("table") == "documents")
+    return found.select(F.get_json_object("data", "$.doc_id").alias("id"), F.get_json_object("data", "$.lang").alias("lang"), "fp")
+
+
+@query("""SELECT 'documents' AS "table", CAST(doc_id AS VARCHAR) AS id FROM documents""")
+def refused_by_pipeline(spark, d):
+    """Dead letters of the groups whose second sink refuses, while the others go through."""
+    dead = tables.write_groups(_routed(spark, d), {"lake": lambda table, update, rows: True, "index": lambda table, update, rows: False}, default=["lake"])
+    left = tables.write_again(dead, {"lake": lambda table, update, rows: True, "index": lambda table, update, rows: update})
+    return left.select("table", F.get_json_object("data", "$.doc_id").alias("id"))

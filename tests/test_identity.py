@@ -31,7 +31,7 @@ def test_links_of_all_shapes(spark):
 def test_bodies_tell_requests_apart(spark):
     rows = spark.createDataFrame([(0, "k=1", None, None), (1, None, {"b": "2", "a": "1"}, None), (2, "", {"a": "1", "b": "2"}, {"x": "y"}), (3, None, None, {"x": "y"}), (4, None, {}, None)], "i int, data string, json map<string,string>, params map<string,string>")
     found = [r.b for r in rows.select("i", identity.request_body(F.col("data"), F.col("json"), F.col("params")).alias("b")).orderBy("i").collect()]
-    assert found == ["k=1", '{"a":"1","b":"2"}', '{"a":"1","b":"2"}', '{"x":"y"}', ""]
+    assert found == ["k=1", '{"a": "1", "b": "2"}', '{"a": "1", "b": "2"}', '{"x": "y"}', ""]
 
 
 @pytest.mark.parametrize("base", ["http://a.b/x/y/z.html", "http://a.b/x/?q=1"])
@@ -54,6 +54,36 @@ def test_css(spark):
     assert list(rows.first()) == list(asked.values())
 
 
+def test_css_tests_and_groups(spark):
+    page = "<ul><li data-k='a, b'>1<li class='x y'>2<b>!</b></ul><p>3"
+    asked = {"li:first-child::text": ["1"], "li:nth-child(2)::text": ["2"], "li[data-k='a, b']::text": ["1"], "li[data-k$=b]::text": ["1"], "li[data-k], b::text": ["1", "!"], "ul *::text": ["1", "2", "!"], "li.x.y > b::text": ["!"]}
+    rows = spark.createDataFrame([(page,)], "html string").select(*(extract.css(F.col("html"), s).alias(f"c{i}") for i, s in enumerate(asked)))
+    assert list(rows.first()) == list(asked.values())
+
+
+def test_xpath(spark):
+    page = '<html><body><h1 class="x">Hello</h1><ul><li>1<li>2<b>!</b></ul><a href="/next">n</a><img src="i.png"></body></html>'
+    asked = {
+        '//h1[@class="x"]/text()': ["Hello"], "//a/@href": ["/next"], "//li[2]/text()": ["2"], "//li[2]//text()": ["2", "!"], "/html/body/a": ["n"], "/body/a": [],
+        "//li | //img/@src": ["1", "2", "i.png"], "//@src": ["i.png"], '//*[contains(@class, "x")]/text()': ["Hello"], "//h1[@class]/text()": ["Hello"],
+    }
+    rows = spark.createDataFrame([(page,), (None,), ("",)], "html string").select(*(extract.xpath(F.col("html"), s).alias(f"c{i}") for i, s in enumerate(asked))).collect()
+    assert list(rows[0]) == list(asked.values())
+    assert set(rows[1]) == {None} and all(r == [] for r in rows[2])
+
+
+@pytest.mark.parametrize("selector", ["a:hover", "a >", "> a", "a::before", "", ","])
+def test_unknown_css_is_refused(selector):
+    with pytest.raises(ValueError):
+        extract.parse_selector(selector)
+
+
+@pytest.mark.parametrize("path", ["//a[last()]", "a/b", "//a[@b][2]", "//div//@href", "", "//", "following::a"])
+def test_unknown_xpath_is_refused(path):
+    with pytest.raises(ValueError):
+        extract.parse_xpath(path)
+
+
 def test_table_name():
     assert identity.table_name("NewsItem") == "news"
     assert identity.table_name("ProductDetail") == "product_detail"

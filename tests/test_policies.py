@@ -70,7 +70,8 @@ def test_stalls_are_gaps_between_successes(spark):
 
 def test_challenge_pages(spark):
     cases = [
-        (403, {"cf-mitigated": "challenge"}, "", "cloudflare"), (503, {}, "<title>Just a moment...</title>", "cloudflare"), (200, {}, "<title>Just a moment...</title>", None),
+        (403, {"cf-mitigated": "challenge"}, "", "cloudflare"), (503, {}, "<script>window.__CF_chl_opt</script>", "cloudflare"), (200, {}, "<p>__cf_chl_</p>", None), (503, {}, "é" * 1020 + "__cf_chl_", None),
+        (503, {}, "<title>Just a moment...</title>", None), (200, {}, "<h3>text</h3><script>location = '/x'</script>", None), (200, {}, "<meta http-equiv=refresh content=0>", "js_redirect"),
         (403, {}, "bm-verify", "akamai"), (200, {}, "<script>location.href='/x'</script>", "js_redirect"), (200, {}, "<p>text</p><script>location.href='/x'</script>", None),
         (404, {}, "not here", None), (200, {}, "", None),
     ]
@@ -106,3 +107,81 @@ def test_insert_policy_error_refuses_known_keys(spark):
     except ValueError:
         return
     raise AssertionError("a known key went through")
+
+
+def test_routes_stop_at_the_first_refusal_and_can_be_written_again(spark):
+    kinds = "a int, b string"
+    news = tables.normalise(spark.createDataFrame([(1, " x "), (1, "x"), (2, None)], kinds), "news", ["b"], pipelines=["one", "two"], clean={"b": F.trim("b")})
+    assert [r.data for r in news.orderBy("data").collect()] == ['{"a":1,"b":"x"}', '{"a":1,"b":"x"}', '{"a":2,"b":null}']
+    assert news.select("fp").distinct().count() == 2
+    prices = tables.normalise(spark.createDataFrame([(3, "y")], kinds), "price", update_keys=["a"])
+    calls = []
+
+    def sink(name, refuses=(), breaks=()):
+        def write(table, update, rows):
+            calls.append((name, table, update, rows.count()))
+            if table in breaks:
+                raise RuntimeError("down")
+            return table not in refuses
+
+        return write
+
+    dead = tables.write_groups(news.unionByName(prices), {"one": sink("one", breaks=["news"]), "two": sink("two"), "three": sink("three", refuses=["price"])}, default=["three"])
+    assert sorted(calls) == [("one", "news", False, 3), ("three", "price", True, 1)]
+    assert sorted(r["table"] for r in dead.collect()) == ["news", "news", "news", "price"]
+    left = tables.write_again(dead, {"one": sink("one"), "two": sink("two"), "three": sink("three", refuses=["price"])}, default=["three"])
+    assert [(r["table"], r["update_keys"]) for r in left.collect()] == [("price", ["a"])] and left.columns == dead.columns
+    assert tables.write_groups(news, {}).count() == 3  # no such sink
+
+
+def test_replay_tells_groups_apart(spark):
+    dead = spark.createDataFrame([("t", None, None, 1), ("t", ["a"], None, 2), ("t", ["a"], ["p"], 3), ("u", [], None, 4)], "table string, update_keys array<string>, pipelines array<string>, n int")
+    went = spark.createDataFrame([("t", [], None), ("t", ["a"], ["p"])], "table string, update_keys array<string>, pipelines array<string>")
+    assert sorted(r.n for r in tables.replay(dead, went).collect()) == [2, 4]
+
+
+def test_updates_of_nothing_are_passed_over(spark):
+    base = spark.createDataFrame([(1, "a")], "id int, v string")
+    after, missed = tables.keyed_update(base, spark.createDataFrame([(1, 0), (9, 1)], "id int, seq int"), ["id"], "seq")
+    assert after.collect() == base.collect() and missed.isEmpty()
+
+
+def test_batches_follow_one_another(spark):
+    at = lambda day: F.lit(f"2024-01-{day:02d} 00:00:00").cast("timestamp")
+    work = spark.createDataFrame([(1, 1), (2, -1)], "id int, batch_status int").withColumn("update_time", at(1))
+    none = spark.createDataFrame([], "id long, total long, done long, failed long, is_done boolean, create_time timestamp")
+    batches, open_tasks, opened = tasks.open_batch(none, work, at(1), 86400)
+    assert opened and {r.batch_status for r in open_tasks.collect()} == {0}
+    assert not tasks.open_batch(batches, work, at(9), 86400)[2]  # not done
+    assert not tasks.open_batch(batches, work, at(9), 86400, force=True)[2]
+    after, row, taken = tasks.tick(work, at(1), 60, 5)
+    assert taken.isEmpty() and row.first().is_done
+    batches = tasks.record(batches, 1, row)
+    assert [tuple(r)[:5] for r in batches.collect()] == [(1, 2, 1, 1, True)]
+    assert not tasks.open_batch(batches, work, F.lit("2024-01-01 23:00:00").cast("timestamp"), 86400)[2]  # too early
+    assert tasks.open_batch(batches, work, F.lit("2024-01-01 23:00:00").cast("timestamp"), 86400, force=True)[2]
+    later, _, opened = tasks.open_batch(batches, work, at(2), 86400)
+    assert opened and sorted(r.id for r in later.collect()) == [1, 2]
+    marked = tasks.mark(open_tasks, spark.createDataFrame([(1, 0, 2), (1, 1, -1), (7, 2, 1)], "id int, seq int, batch_status int"), at(3))
+    assert sorted((r.id, r.batch_status) for r in marked.collect()) == [(1, -1), (2, 0)]
+
+
+def test_summary_of_nothing(spark):
+    row = tasks.summary(spark.createDataFrame([], "counter string, ts timestamp")).first()
+    assert len(row) == 15 and row.schema == 1 and set(row[1:]) == {0}
+
+
+def test_suppression_equals_a_loop(spark):
+    chance = random.Random(3)
+    rows, at = [], 0.0
+    for seq in range(400):
+        at += chance.choice([0.0, 0.0, 0.3, 2.0])
+        rows.append((seq, at, chance.choice("ab")))
+    last, expected = {}, []
+    for seq, t, key in rows:
+        if key not in last or t - last[key] >= 5.0:
+            last[key] = t
+            expected.append(seq)
+    found = spark.createDataFrame(rows, "seq int, at double, key string")
+    assert sorted(r.seq for r in tasks.suppress(found, 5.0).collect()) == expected
+    assert tasks.suppress(found, 0).count() == 400

@@ -78,3 +78,27 @@ def test_seeding_twice_adds_nothing(spark):
     seeds = sources.seeds(table).withColumn("fp", identity.request_fingerprint(F.col("method"), F.col("url")))
     assert seeds.count() == 2
     assert sources.seed_once(seeds, seeds.select("fp")).count() == 0
+
+
+def test_stale_seeds(spark):
+    cases = [(61, 0, 0, 0, True), (60, 0, 0, 0, False), (61, 1, 0, 0, False), (61, 0, 1, 0, False), (61, 0, 0, 1, False)]
+    rows = spark.createDataFrame(cases, "age int, q int, f int, live int, want boolean")
+    assert all(r.want == r.got for r in rows.withColumn("got", sources.stale_seed(F.col("age"), 60, F.col("q"), F.col("f"), F.col("live"))).collect())
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "json", "csv"])
+def test_appending_by_table(spark, tmp_path, fmt):
+    items = spark.createDataFrame([("news", 1, "a"), ("price", 2, "b")], "table string, n int, v string")
+    for _ in range(2):
+        sources.append(items, str(tmp_path / "out"), fmt)
+    found = spark.read.option("header", True).format(fmt).load(str(tmp_path / "out"))
+    assert sorted((r["table"], int(r.n), r.v) for r in found.collect()) == [("news", 1, "a")] * 2 + [("price", 2, "b")] * 2
+
+
+def test_jdbc_in_parts(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path / 'db'};create=true"
+    rows = spark.createDataFrame([(i, f"v{i}") for i in range(50)], "id int, v string")
+    rows.write.jdbc(url, "items", properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    found = sources.jdbc(spark, url, "items", partitionColumn="id", lowerBound="0", upperBound="50", numPartitions="4", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    assert found.rdd.getNumPartitions() == 4
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, rows.collect()))
