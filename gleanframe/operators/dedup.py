@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -35,9 +36,11 @@ def persist_new(items: DataFrame, written: DataFrame, fp: str = "fp", order: str
 
 
 def scope(policy: str, job: str, run_id: str | None) -> str:
-    """The namespace of seen fingerprints: ``auto`` is the run if there is one, else the job."""
+    """The namespace of seen fingerprints: ``auto`` is the run if there is one, else the job; so is ``run``, with a warning."""
     if policy not in ("auto", "run", "spider"):
         raise ValueError(f"unknown dedup scope {policy!r}")
+    if policy == "run" and not run_id:
+        logging.getLogger(__name__).warning("no run id: %s keeps its fingerprints from run to run", job)
     return f"{job}:run:{run_id}" if policy != "spider" and run_id else job
 
 

@@ -67,7 +67,12 @@ def crawl(seeds: DataFrame, pages: DataFrame, rounds: int) -> DataFrame:
 
 
 def cache_lookup(requests: DataFrame, cache: DataFrame, now: Column, expire: float) -> DataFrame:
-    """Requests with their cached response, if it is there and fresh (``expire`` 0: always), and ``hit``."""
+    """Requests with the newest cached response, if it is there and fresh (``expire`` 0: always), and ``hit``.
+
+    ``response`` is a struct of the cache's columns but ``fp``; null without a hit. Only GET is answered from the cache.
+    """
     fresh = cache if expire == 0 else cache.where(F.col("fetched_at") > now - F.make_dt_interval(secs=F.lit(float(expire))))
-    one = fresh.groupBy("fp").agg(F.max("fetched_at").alias("fetched_at"))
-    return requests.join(one, "fp", "left").withColumn("hit", F.col("fetched_at").isNotNull() & (F.col("method") == "GET"))
+    kept = F.struct(*(c for c in cache.columns if c != "fp"))
+    one = fresh.groupBy("fp").agg(F.max_by(kept, "fetched_at").alias("response"))
+    met = requests.join(one, "fp", "left").withColumn("hit", F.col("response").isNotNull() & (F.col("method") == "GET"))
+    return met.withColumn("response", F.when(F.col("hit"), F.col("response")))

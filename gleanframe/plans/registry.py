@@ -110,13 +110,14 @@ def frontier_expand_depth2(spark, d):
     return frontier.crawl(pages.select("url"), pages.select("url", "html"), 2)
 
 
-@query("""WITH latest AS (SELECT user_id AS fp, max(ts) AS fetched_at FROM events WHERE event_type = 'view' AND ts > TIMESTAMP '2024-01-01' GROUP BY user_id)
- SELECT c_custkey AS fp, fetched_at IS NOT NULL AS hit FROM customer LEFT JOIN latest ON c_custkey = fp""")
+@query("""WITH latest AS (SELECT user_id AS fp, max(date_trunc('second', ts)) AS fetched_at FROM events WHERE event_type = 'view' AND ts > TIMESTAMP '2024-01-01' GROUP BY user_id)
+ SELECT c_custkey AS fp, fetched_at IS NOT NULL AS hit, CAST(epoch(fetched_at) AS BIGINT) AS fetched FROM customer LEFT JOIN latest ON c_custkey = fp""")
 def cache_lookup(spark, d):
     cache = _t(spark, d, "events").where("event_type = 'view'").select(F.col("user_id").alias("fp"), F.col("ts").cast("timestamp").alias("fetched_at"))
     asked = _t(spark, d, "customer").select(F.col("c_custkey").alias("fp"), F.lit("GET").alias("method"))
     now = F.lit("2024-01-11 00:00:00").cast("timestamp")
-    return frontier.cache_lookup(asked, cache, now, 864000).select("fp", "hit")
+    found = frontier.cache_lookup(asked, cache, now, 864000)
+    return found.select("fp", "hit", F.unix_timestamp(F.col("response")["fetched_at"]).alias("fetched"))
 
 
 SQL_QUEUE = "q AS (SELECT o_orderkey AS seq, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS priority, o_custkey AS payload FROM orders WHERE o_orderstatus = 'O')"

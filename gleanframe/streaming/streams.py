@@ -17,9 +17,13 @@ def enqueue(requests: DataFrame, at: str | None = None, late: str = "1 day") ->
     return rows.dropDuplicates(["fp"]) if at is None else rows.withWatermark(at, late).dropDuplicatesWithinWatermark(["fp"])
 
 
-def durable(rows: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Micro-batches given to ``write``; a batch is acknowledged (checkpointed) only when it has returned."""
-    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def durable(rows: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Micro-batches given to ``write``; a batch is acknowledged (checkpointed) only when it has returned.
+
+    The query ends when what is there is drained; with ``every`` (such as ``10 seconds``) it stays and polls for more.
+    """
+    trigger = {"availableNow": True} if every is None else {"processingTime": every}
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def outcomes_by_window(log: DataFrame, at: str = "ts", width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

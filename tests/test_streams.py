@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 
 import pytest
 from gleanframe.functions import identity
+from gleanframe.operators import dedup, frontier
 from gleanframe.sources import tables as sources
 from gleanframe.streaming import streams
 from pyspark.sql import functions as F
@@ -102,3 +103,33 @@ def test_jdbc_in_parts(spark, tmp_path):
     found = sources.jdbc(spark, url, "items", partitionColumn="id", lowerBound="0", upperBound="50", numPartitions="4", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
     assert found.rdd.getNumPartitions() == 4
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_polling_goes_on(spark, tmp_path):
+    _lines(tmp_path / "in", "one.json", [{"n": 1}])
+    rows = sources.task_stream(spark, str(tmp_path / "in"), "n int")
+    query = streams.durable(rows, lambda batch, number: batch.write.mode("append").parquet(str(tmp_path / "out")), str(tmp_path / "checkpoint"), every="200 milliseconds")
+    try:
+        query.processAllAvailable()
+        _lines(tmp_path / "in", "two.json", [{"n": 2}])
+        query.processAllAvailable()
+        assert query.isActive
+    finally:
+        query.stop()
+    assert sorted(r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2]
+
+
+def test_cached_responses_come_whole(spark):
+    at = lambda day: datetime(2024, 1, day)
+    cache = spark.createDataFrame([("a", at(1), "old"), ("a", at(3), "new"), ("b", at(1), "stale"), ("c", at(3), "posted")], "fp string, fetched_at timestamp, text string")
+    asked = spark.createDataFrame([("a", "GET"), ("b", "GET"), ("c", "POST"), ("d", "GET")], "fp string, method string")
+    now = F.lit("2024-01-04 00:00:00").cast("timestamp")
+    found = {r.fp: (r.hit, r.response and r.response.text) for r in frontier.cache_lookup(asked, cache, now, 2 * 86400).collect()}
+    assert found == {"a": (True, "new"), "b": (False, None), "c": (False, None), "d": (False, None)}
+    assert {r.fp for r in frontier.cache_lookup(asked, cache, now, 0).where("hit").collect()} == {"a", "b"}
+
+
+def test_scopes():
+    assert [dedup.scope(*x) for x in (("auto", "j", "r"), ("auto", "j", None), ("run", "j", "r"), ("run", "j", None), ("spider", "j", "r"))] == ["j:run:r", "j", "j:run:r", "j", "j"]
+    with pytest.raises(ValueError):
+        dedup.scope("forever", "j", "r")
