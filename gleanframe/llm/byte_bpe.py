@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleanframe.llm.common import free
+from gleanframe.llm.common import free, tidy
 
 #: Code points that a task splits at a time, but whole texts always.
 CHUNK_CHARS = 1 << 18
@@ -385,7 +385,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "t
                 ids, starts, counts = _gathered(work, b - a > 1)
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:-1], *_lists(counts, ids, starts)], names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def decode(tokens: DataFrame, path: str, ids_col: str = "token_ids", starts_col: str = "token_starts", bytes_col: str = "decoded", keep: list[str] | None = None) -> DataFrame:
@@ -403,7 +403,7 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "token_ids", starts_col:
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:-2], pa.array(found, pa.binary())], names)
 
     at, ids = free("ids", kept), free("starts", kept)
-    return tokens.select(*(tokens[c] for c in kept), tokens[ids_col].alias(ids), tokens[starts_col].alias(at)).mapInArrow(run, schema)
+    return tokens.select(*(tokens[c] for c in kept), tokens[ids_col].alias(ids), tokens[starts_col].alias(at)).mapInArrow(tidy(run), schema)
 
 
 def round_trip(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None, tokens: bool = True) -> DataFrame:
@@ -442,4 +442,4 @@ def round_trip(docs: DataFrame, path: str, text_col: str = "text", keep: list[st
                     columns += _lists(n, *(np.concatenate(x) for x in zip(*held, strict=True))) if held else _lists(n, *[np.empty(0, np.int32)] * 2)
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:-1], *columns], names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)

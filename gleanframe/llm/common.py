@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +49,34 @@ def small(df: DataFrame, most: int = 8 << 20) -> DataFrame:
     return F.broadcast(df) if 16 * rows * len(df.columns) + sum(x or 0 for x in more) <= most else df
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], forget: Callable[[], None] | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` over a task's batches, then ``forget``, and what was freed goes back to the system.
+
+    Spark keeps a task's process for later ones, and for a while beside stages that need no Python; what its
+    allocators hold back meanwhile would count against the executor.
+    """
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            if forget is not None:
+                forget()
+            give_back()
+
+    return whole
+
+
+def give_back() -> None:
+    """Hands freed memory to the system: Arrow's, and the C library's where it can do that."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def n_words(text: Column) -> Column:
     """Number of ``[^\\x20\\x09-\\x0D]+`` in a text; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

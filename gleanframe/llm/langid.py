@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from gleanframe.llm.common import cut
+from gleanframe.llm.common import cut, tidy
 
 PROFILE = 300
 #: Documents for each language from which profiles are learned, about, and languages (those with most documents) that are.
@@ -134,18 +134,6 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return cut(rows.where(place < rate * 1_000_000).select("lang", "text", (place % 4).alias("part")))
 
 
-def _forgetting(run):
-    """``run`` over batches, after which the task's memo is empty."""
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            yield from run(batches)
-        finally:
-            forget()
-
-    return whole
-
-
 def learn(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, size: int = PROFILE, chosen: DataFrame | None = None
 ) -> Profiles:
@@ -163,7 +151,7 @@ def learn(
             flat = [(k, g, n) for k, c in total.items() for g, n in c.items()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*flat) if flat else ([], [], []), (pa.string(), pa.int64(), pa.int64()), strict=False)], ["lang", "gram", "n"])
 
-    counts = chosen.select("lang", "text").mapInArrow(_forgetting(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = chosen.select("lang", "text").mapInArrow(tidy(run, forget), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counts.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("place") <= size)
     lists: dict[str, list[int]] = {}
     for r in top.orderBy("lang", "place").collect():
@@ -180,7 +168,7 @@ def least_score(chosen: DataFrame | None, profiles: Profiles) -> float:
             right = [score for (lang, score), label in zip(found, batch.column(0).to_pylist(), strict=True) if lang == label]
             yield pa.RecordBatch.from_arrays([pa.array(right, pa.float64())], ["score"])
 
-    low = None if chosen is None else chosen.where("part = 0").select("lang", "text").mapInArrow(_forgetting(run), "score double").agg(F.percentile_approx("score", LOWEST, 10_000)).first()[0]
+    low = None if chosen is None else chosen.where("part = 0").select("lang", "text").mapInArrow(tidy(run, forget), "score double").agg(F.percentile_approx("score", LOWEST, 10_000)).first()[0]
     return MARGIN * (low or 0.0)
 
 
@@ -194,7 +182,7 @@ def predict(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lang, score], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), held_out(docs[id_col]).alias("held_out"), docs[text_col].alias("text"))
-    return rows.mapInArrow(_forgetting(run), "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(tidy(run, forget), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, profiles: Profiles, text_col: str = "text", least: float = 0.0, lang_col: str | None = None) -> DataFrame:
@@ -213,4 +201,4 @@ def keep_known(docs: DataFrame, profiles: Profiles, text_col: str = "text", leas
                 batch = pa.RecordBatch.from_arrays(columns, names)
             yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))
 
-    return docs.mapInArrow(_forgetting(run), docs.schema)
+    return docs.mapInArrow(tidy(run, forget), docs.schema)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanframe.llm.common import cut, free, small, word_chunks
+from gleanframe.llm.common import cut, free, small, tidy, word_chunks
 
 #: Bits that a round of the walk takes, on Spark's side and inside a leaf.
 STEP, INNER = 6, 4
@@ -95,7 +95,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(2)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    return _plain(docs, id_col, text_col).mapInArrow(run, "doc_id long, text_hash long, fp long")
+    return _plain(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, text_hash long, fp long")
 
 
 def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -289,11 +289,11 @@ def trie_links(fps: DataFrame, budget: int = 2, bits: int = 64, step: int = STEP
         dealt = active.withColumn("node", prefix(depth)).join(sized, "node").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("of")))
         packed = dealt.groupBy(F.col("node").alias("b"), F.col("chunk").alias("cb")).agg(cells.alias("cells"))
         partners = met.groupBy("b", "cb").agg(F.collect_list(F.struct("a", "ca", "asked")).alias("partners"))
-        sent = packed.join(partners, ["b", "cb"]).select("cells", "partners", "b", "cb").mapInArrow(pack, "a long, ca long, asked boolean, b long, cb long, cells binary")
+        sent = packed.join(partners, ["b", "cb"]).select("cells", "partners", "b", "cb").mapInArrow(tidy(pack), "a long, ca long, asked boolean, b long, cb long, cells binary")
         same = (F.col("a") == F.col("b")) & (F.col("ca") == F.col("cb"))
         rows = sent.select(F.struct("a", "ca").alias("whose"), same.alias("same"), "asked", F.lit(depth).alias("depth"), "cells", "b", "cb")
         rows = rows.repartition("whose").sortWithinPartitions("whose", ~F.col("same"), "b", "cb").drop("b", "cb")
-        links.append(cut(rows.mapInArrow(compare, "u long, v long").distinct()))
+        links.append(cut(rows.mapInArrow(tidy(compare), "u long, v long").distinct()))
         pairs = walked.where(~F.col("small")).select("a", "b", "d")
         if depth == bits or pairs.isEmpty():
             break
@@ -444,7 +444,7 @@ def similar(
             yield b.select(["u", "v"]).filter(pa.array(kept, pa.bool_()))
 
     plain = _plain(docs, id_col, text_col)
-    marked = cut(plain.mapInArrow(mark, "doc_id long, text_hash long, class long, fps array<long>, sketch array<long>"))
+    marked = cut(plain.mapInArrow(tidy(mark), "doc_id long, text_hash long, class long, fps array<long>, sketch array<long>"))
     by_class = cut(marked.groupBy("class").agg(_best(), F.any_value("fps").alias("fps"), F.any_value("sketch").alias("sketch")))
     nodes = by_class.select(F.explode("fps").alias("fp"), F.col("class").alias("id"), "sketch")
     links = cut(trie_links(nodes, budget, bits, leaf=leaf, words=WORDS, far=FAR).distinct())
@@ -455,7 +455,7 @@ def similar(
     texts = cut(one.groupBy("class").agg(F.any_value("text").alias("text")))
     sides = [texts.select(F.col("class").alias(c), F.col("text").alias(f"text_{c}")) for c in "uv"]
     both = links.join(sides[1], "v").join(sides[0], "u").select("u", "v", "text_u", "text_v")
-    checked = both.mapInArrow(check, "u long, v long")
+    checked = both.mapInArrow(tidy(check), "u long, v long")
     return marked.join(_grouped(by_class.select("class", "best"), checked, "class"), "class").select("doc_id", "text_hash", F.col("best.doc_id").alias("component_id"), "best")
 
 
