@@ -7,7 +7,7 @@ mixture         repeats or drops documents so that sources reach their target we
 tokens          encodes the texts and decodes them again; a text that does not come back whole ends the job
 
 In all stages further columns of the documents pass through, whatever their names; an empty table stays empty; texts are
-taken whole, however long. Reruns may differ in what stage secrets finds (see README).
+taken whole, however long. Reruns find the same.
 """
 
 from __future__ import annotations
