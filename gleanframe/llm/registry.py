@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanframe.llm import ann, byte_bpe, chat, langid, mixing, quality, secrets, simhash, token_cache, topk
+from gleanframe.llm import alignment, ann, byte_bpe, chat, codes, langid, mixing, packing, quality, secrets, simhash, token_cache, topk
 
 
 def tokenizer(name: str) -> str:
@@ -65,7 +65,58 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_ann, op3_byte_bpe, op4_token_counts, op5_chat, op6_quality, op7_secrets, op8_topk, op9_language, op10_mixing)}
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align_documents(_table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
+def op12_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(_table(spark, folder, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+def op13_codes(spark: SparkSession, folder: str) -> DataFrame:
+    coded, books = codes.compress(_table(spark, folder, "embeddings"))
+    return coded.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_simhash, op2_ann, op3_byte_bpe, op4_token_counts, op5_chat, op6_quality, op7_secrets, op8_topk, op9_language, op10_mixing, op11_alignment, op12_packing, op13_codes,
+    )
+}
+
+
+def _codes_sql(parts: int = 8, words: int = 16, rounds: int = 6) -> str:
+    """The rounds of :func:`codes.compress` written out, for vectors of one length with distinct ids."""
+    steps = [f"""
+        k AS MATERIALIZED (
+            SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor(4096 * CAST(c AS DOUBLE)) AS BIGINT)) AS x, CAST(len(embedding) / {parts} AS BIGINT) AS w FROM embeddings
+            WHERE len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+        ),
+        p AS MATERIALIZED (SELECT vec_id, part, list_slice(x, part * w + 1, part * w + w) AS y FROM k, (SELECT unnest(range({parts})) AS part)),
+        s AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k ORDER BY vec_id LIMIT {words}),
+        b0 AS MATERIALIZED (SELECT part, e, y AS c FROM p JOIN s USING (vec_id))"""]
+    for n in range(rounds + 1):
+        apart = "list_sum(list_transform(list_zip(y, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+        steps.append(f"""
+        a{n} AS MATERIALIZED (
+            SELECT vec_id, part, any_value(y) AS y, arg_min(e, d * {words} + e) AS e, min(d) AS d
+            FROM (SELECT vec_id, p.part, y, e, CAST({apart} AS BIGINT) AS d FROM p JOIN b{n} AS b ON p.part = b.part) GROUP BY vec_id, part
+        )""")
+        if n < rounds:
+            steps.append(f"""
+        u{n} AS (
+            SELECT part, e, list(CAST((t - ((t % n + n) % n)) // n AS BIGINT) ORDER BY i) AS c
+            FROM (SELECT part, e, i, sum(v) AS t, count(*) AS n FROM (SELECT part, e, unnest(y) AS v, generate_subscripts(y, 1) AS i FROM a{n}) GROUP BY part, e, i) GROUP BY part, e
+        ),
+        b{n + 1} AS MATERIALIZED (SELECT b.part, b.e, coalesce(u.c, b.c) AS c FROM b{n} AS b LEFT JOIN u{n} AS u ON u.part = b.part AND u.e = b.e)""")
+    return f"""
+        WITH {",".join(steps)},
+        r AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id),
+        h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM b{rounds})
+        SELECT r.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM r JOIN k ON r.vec_id = k.vec_id, h
+    """
+
 
 ORACLE_SQL = {
     "op5_chat": r"""
@@ -93,4 +144,5 @@ ORACLE_SQL = {
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
     """,
+    "op13_codes": _codes_sql(),
 }
