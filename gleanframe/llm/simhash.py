@@ -10,9 +10,12 @@ reports a spanning forest of the links it found, never all pairs, and the compon
 and aggregations.
 
 There are two ways to use it. :func:`near_duplicates` links texts whose 64-bit fingerprints differ by few bits.
-:func:`similar` finds texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more: such texts differ
-in about 15 % of their bits, too many for one trie, so ``TREES`` short fingerprints make as many tries, walked in one
-pass, and each pair that any of them finds is then checked exactly.
+:func:`similar` finds texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more: fingerprints over
+all shingles of such texts differ in about 15 % of their bits, too many for a trie, and fingerprints short enough to agree
+would bring unrelated texts together, the more the larger the corpus. So each of ``TREES`` tries holds the SimHash of a small
+sample of a text's shingles, drawn by least hashes, which similar texts share as a whole with good chance and unrelated ones
+don't, however many there are. The tries are walked in one pass, and each pair that any of them finds is then checked
+exactly.
 
 Edge cases: a null or empty text, or one without words, has the fingerprint zero and links like any
 other; fewer words than a shingle count as one shingle; repeated rows (same id and text) count as
@@ -42,13 +45,16 @@ LEAF = 4096
 WIDTH = 1 << 19
 
 # :func:`similar`
-#: Bits of a short fingerprint, how many of them a text has, and the bits by which two may differ. A pair of
-#: similarity 0.8 differs in a bit with probability acos(0.889) / pi = 0.152, so it is found in one trie with
-#: probability 0.169 and in any of them with 0.975; above 0.8 more surely (0.85: 0.997).
-BITS, TREES, BUDGET = 20, 20, 1
+#: Tries, shingles in the sample that each of them takes of a text, bits of its fingerprint, and the bits by which two may
+#: differ. A pair of similarity s has one sample with probability s ** 5, so at 0.8 any of twelve with 0.991 and at 0.85
+#: with 0.999; unrelated texts meet with probability 12 * 57 / 2 ** 56, so fewer than one in a hundred of 10 ** 12 texts does.
+TREES, SAMPLE, BITS, BUDGET = 12, 5, 56, 1
 #: Words of 64 bits that are compared before the exact check, and the bits by which they may differ: at similarity
-#: 0.8 the mean is 19 and the deviation 4, for unrelated texts 64 and 6.
-WORDS, FAR = 2, 32
+#: 0.8 the mean is 19 and the deviation 4 (24 and 4 for very short texts), for unrelated texts 64 and 6.
+WORDS, FAR = 2, 44
+#: Spanning forests of its candidates that a task reports, each made of what the ones before left: where no more than so many
+#: candidates join two groups, all of them are checked.
+FORESTS = 2
 NEAR_LEAF = 8192
 MEMO_WORDS = 100_000
 
@@ -190,28 +196,34 @@ def spanning(left: np.ndarray, right: np.ndarray, cost: np.ndarray, n: int) -> n
 
 
 class Links:
-    """Links between numbered nodes, thinned to a minimum spanning forest as they come."""
+    """Links between numbered nodes, thinned as they come to ``forests`` spanning forests, each a minimum one of what is left."""
 
-    def __init__(self, n: int) -> None:
-        self.n, self.held = n, []
+    def __init__(self, n: int, forests: int = 1) -> None:
+        self.n, self.forests, self.held = n, forests, []
 
     def add(self, left: np.ndarray, right: np.ndarray, cost: np.ndarray) -> None:
         self.held.append((left, right, cost))
-        if sum(len(h[0]) for h in self.held) > max(WIDTH, 4 * self.n):
-            self.held = [self.forest()]
+        if sum(len(h[0]) for h in self.held) > max(WIDTH, 4 * self.forests * self.n):
+            self.held = [self.thinned()]
 
-    def forest(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def thinned(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         left, right, cost = (np.concatenate(x) for x in zip(*self.held, strict=True)) if self.held else (np.empty(0, np.int64),) * 3
-        some = spanning(left, right, cost, self.n)
+        rest, chosen = np.arange(len(left)), []
+        for _ in range(self.forests):
+            some = spanning(left[rest], right[rest], cost[rest], self.n)
+            chosen.append(rest[some])
+            rest = np.delete(rest, some)
+        some = np.concatenate(chosen)
         return left[some], right[some], cost[some]
 
 
-def trie_links(fps: DataFrame, budget: int = 2, bits: int = 64, step: int = STEP, leaf: int = LEAF, words: int = 0, far: int = 64) -> DataFrame:
+def trie_links(fps: DataFrame, budget: int = 2, bits: int = 64, step: int = STEP, leaf: int = LEAF, words: int = 0, far: int = 64, forests: int = 1) -> DataFrame:
     """``(u, v)``: links that connect the same nodes as all pairs within ``budget`` bits do.
 
     ``fps`` has ``fp`` (``bits`` bits; what stands above them is the trie's number, and only fingerprints
     of one trie are compared) and ``id``. With ``words``, the links are between ids whose ``sketch``, so many
-    64-bit words, differs by ``far`` bits or fewer, and of those that connect two ids the nearest ones are reported.
+    64-bit words, differs by ``far`` bits or fewer, and of those that connect two ids the nearest ones are reported, in ``forests``
+    forests from each task.
     """
     kind = np.dtype([("fp", "<u8" if bits > 32 else "<u4")] + ([("id", "<u8"), *((f"w{i}", "<u8") for i in range(words))] if words else []))
 
@@ -246,7 +258,7 @@ def trie_links(fps: DataFrame, budget: int = 2, bits: int = 64, step: int = STEP
                 if not asked:
                     continue
                 n = len(own[0])
-                found = Links(n if same else n + len(other[0]))
+                found = Links(n if same else n + len(other[0]), forests)
                 for x, y in walk(own[0], other[0], same, budget, depth, bits):
                     if words:
                         apart = sum(np.bitwise_count(p[x] ^ q[y]).astype(np.int64) for p, q in zip(own[2:], other[2:], strict=True))
@@ -256,7 +268,7 @@ def trie_links(fps: DataFrame, budget: int = 2, bits: int = 64, step: int = STEP
                         apart = np.zeros(len(x), np.int64)
                     if len(x):
                         found.add(x, y if same else y + n, apart)
-                x, y, _ = found.forest()
+                x, y, _ = found.thinned()
                 ids = own[1] if same else np.concatenate([own[1], other[1]])
                 us.append(ids[x]), vs.append(ids[y])
             out = [np.concatenate(x).view(np.int64) if x else np.empty(0, np.int64) for x in (us, vs)]
@@ -402,18 +414,25 @@ def sketch(s: np.ndarray, words: int) -> np.ndarray:
     return np.concatenate(ones) * 2 > len(s)
 
 
-def similar(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, trees: int = TREES, bits: int = BITS, budget: int = BUDGET, leaf: int = NEAR_LEAF
-) -> DataFrame:
-    """``(doc_id, text_hash, component_id, best)``: one row per row of ``docs``, as :func:`near_duplicates` has them.
+def sampled(s: np.ndarray, odd: np.ndarray, bits: int) -> np.ndarray:
+    """The SimHash of each sample of the set: ``odd`` is ``[trie, draw]``, and a draw takes the shingle with the least hash by its multiplier."""
+    if not len(s):
+        return np.zeros(len(odd), np.int64)
+    least = np.full(odd.size, np.iinfo(np.uint64).max, np.uint64)
+    mixed = s ^ (s >> np.uint64(32))
+    for i in range(0, len(s), 4096):
+        np.minimum(least, np.multiply.outer(odd.ravel(), mixed[i : i + 4096]).min(1), out=least)
+    votes = np.unpackbits(_mixed(least).astype("<u8").view(np.uint8), bitorder="little").reshape(*odd.shape, 64).sum(1, dtype=np.int64)
+    return (2 * votes[:, :bits] > odd.shape[1]) @ (np.int64(1) << np.arange(bits))
 
-    Two texts are linked if their sets of shingles (of lower-cased words) have a Jaccard similarity of ``similarity``
-    or more. Texts with the same set are one class from the start. Of the other pairs, those that a trie of
-    short fingerprints brings together and whose sketches are near are candidates; each task keeps the
-    minimum spanning forest of its candidates by sketch distance, which connects at every threshold what all of them
-    would; and every candidate kept is checked on the whole texts. Texts without a word are one class.
-    """
-    words = -(-bits * trees // 64)
+
+def multipliers(trees: int, sample: int) -> np.ndarray:
+    return (_mixed(np.arange(1, trees * sample + 1, dtype=np.uint64)) | np.uint64(1)).reshape(trees, sample)
+
+
+def marks(docs: DataFrame, id_col: str, text_col: str, shingle: int, trees: int, sample: int, bits: int) -> DataFrame:
+    """``(doc_id, text_hash, class, fps, sketch)``: a hash of the set of shingles, a fingerprint for each trie, and the sketch."""
+    odd = multipliers(trees, sample)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Words()
@@ -421,15 +440,34 @@ def similar(
             classes, fps, near = [], [], []
             for t in b.column(2):
                 s = shingles(t.as_py(), shingle, memo)
-                at = sketch(s, max(words, WORDS))
                 with np.errstate(over="ignore"):
                     classes.append(int(_mixed(np.array([_mixed(s + np.uint64(1)).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0]))
-                short = at[: bits * trees].reshape(trees, bits)
-                fps.append(short @ (1 << np.arange(bits - 1, -1, -1)) + (np.arange(trees) << bits))
-                near.append(np.packbits(at[: 64 * WORDS], bitorder="little").view(np.int64))
+                fps.append(sampled(s, odd, bits) + (np.arange(trees) << bits))
+                near.append(np.packbits(sketch(s, WORDS), bitorder="little").view(np.int64))
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * n, pa.int32()), pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64())) for x, n in ((fps, trees), (near, WORDS))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(classes, pa.int64()), *lists], ["doc_id", "text_hash", "class", "fps", "sketch"])
 
+    return _plain(docs, id_col, text_col).mapInArrow(tidy(mark), "doc_id long, text_hash long, class long, fps array<long>, sketch array<long>")
+
+
+def candidates(by_class: DataFrame, bits: int = BITS, budget: int = BUDGET, leaf: int = NEAR_LEAF, far: int = FAR, forests: int = FORESTS) -> DataFrame:
+    """``(u, v)``: pairs of classes to check, from ``(class, fps, sketch)``."""
+    nodes = by_class.select(F.explode("fps").alias("fp"), F.col("class").alias("id"), "sketch")
+    return trie_links(nodes, budget, bits, leaf=leaf, words=WORDS, far=far, forests=forests).distinct()
+
+
+def similar(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, trees: int = TREES, sample: int = SAMPLE, bits: int = BITS, budget: int = BUDGET, leaf: int = NEAR_LEAF
+) -> DataFrame:
+    """``(doc_id, text_hash, component_id, best)``: one row per row of ``docs``, as :func:`near_duplicates` has them.
+
+    Two texts are linked if their sets of shingles (of lower-cased words) have a Jaccard similarity of ``similarity``
+    or more. Texts with the same set are one class from the start. Of the other pairs, those that a trie of
+    sampled fingerprints brings together and whose sketches are not far apart are candidates; each task keeps some minimum
+    spanning forests of its candidates by sketch distance; and every candidate kept is checked on the whole texts. Texts
+    without a word are one class.
+    """
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, last, left = _Words(), None, None
         for b in batches:
@@ -444,10 +482,9 @@ def similar(
             yield b.select(["u", "v"]).filter(pa.array(kept, pa.bool_()))
 
     plain = _plain(docs, id_col, text_col)
-    marked = cut(plain.mapInArrow(tidy(mark), "doc_id long, text_hash long, class long, fps array<long>, sketch array<long>"))
+    marked = cut(marks(docs, id_col, text_col, shingle, trees, sample, bits))
     by_class = cut(marked.groupBy("class").agg(_best(), F.any_value("fps").alias("fps"), F.any_value("sketch").alias("sketch")))
-    nodes = by_class.select(F.explode("fps").alias("fp"), F.col("class").alias("id"), "sketch")
-    links = cut(trie_links(nodes, budget, bits, leaf=leaf, words=WORDS, far=FAR).distinct())
+    links = cut(candidates(by_class, bits, budget, leaf))
     wanted = links.select(F.explode(F.array("u", "v")).alias("class")).distinct().join(by_class.select("class", "best"), "class")
     wanted = wanted.select("class", F.col("best.doc_id").alias("of"), F.col("best.text_hash").alias("hash"))
     wanted = small(cut(wanted))

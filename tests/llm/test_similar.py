@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gleanframe.llm import simhash
 from tests.llm.test_operators import DOCS, LONG, pandas
@@ -146,3 +147,64 @@ def test_minimum_spanning_forest():
             root[find(a)] = find(b)
             total, count = total + c, count + 1
     assert (cost[some].sum(), len(some)) == (total, count)
+
+
+def test_groups_around_the_threshold_keep_their_links(spark):
+    """120 groups of eight edited copies, whose similarities lie on both sides of 0.8: links are held against all pairs."""
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    rows = []
+    for _ in range(120):
+        base = rng.choices(vocabulary, k=rng.choice((80, 150, 300)))
+        rows += [" ".join(edited(rng, base, rng.uniform(0.86, 0.93))) for _ in range(8)]
+    found_, pairs = sets(rows), []
+    for g in range(0, len(rows), 8):
+        pairs += [(i, j) for i in range(g, g + 8) for j in range(i) if len(found_[i] & found_[j]) >= 0.8 * len(found_[i] | found_[j])]
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    lost = sum(got[i] != got[j] for i, j in pairs)
+    want = {d: c for d, c in slow_similar(range(960), rows)}
+    print(f"{lost} of {len(pairs)} links lost, {sum(got[d] != want[d] for d in got)} of 960 texts elsewhere")
+    assert lost <= 0.01 * len(pairs) and sum(got[d] != want[d] for d in got) <= 0.01 * 960
+
+
+def test_candidates_of_unrelated_texts_stay_few(spark):
+    """Candidates for each text do not grow with the corpus: nothing is held back by sketches here, and 16 forests are kept."""
+    rng = random.Random(13)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    each = []
+    for n in (2000, 8000, 32000):
+        docs = spark.createDataFrame([(i, " ".join(rng.choices(vocabulary, k=30))) for i in range(n)], "doc_id long, text string").repartition(8)
+        marked = simhash.marks(docs, "doc_id", "text", 5, simhash.TREES, simhash.SAMPLE, simhash.BITS)
+        each.append(simhash.candidates(marked.select("class", "fps", "sketch"), far=128, forests=16).count() / n)
+    print("candidates a text:", each)
+    assert max(each) < 0.001
+
+
+def test_candidates_of_documents_stay_flat(spark):
+    """Distinct texts of the test documents, which share passages and lines; near copies are a part of them at all sizes."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").dropDuplicates(["text"])
+    each = []
+    for n in (2000, 8000):
+        marked = simhash.marks(docs.orderBy(F.xxhash64("text")).limit(n), "doc_id", "text", 5, simhash.TREES, simhash.SAMPLE, simhash.BITS)
+        one = marked.dropDuplicates(["class"])
+        each.append((simhash.candidates(one, far=128, forests=16).count() + 1) / n)
+    print("candidates a text:", each)
+    assert max(each) < 0.5
+
+
+def test_forests_keep_all_links_of_thin_cuts():
+    rng = random.Random(4)
+    for _ in range(30):
+        n = 12
+        edges = sorted({tuple(sorted(rng.sample(range(n), 2))) for _ in range(30)})
+        left, right = (np.array(x) for x in zip(*edges, strict=True))
+        links = simhash.Links(n, 2)
+        for i in range(0, len(edges), 7):
+            links.add(left[i : i + 7], right[i : i + 7], np.array([rng.randrange(9) for _ in edges[i : i + 7]]))
+        x, y, _ = links.thinned()
+        kept = set(zip(x.tolist(), y.tolist(), strict=True))
+        assert kept <= set(edges)
+        for bits in range(1, 1 << (n - 1)):  # all cuts of the nodes into two
+            across = lambda e, bits=bits: (bits >> e[0] & 1) != (bits >> e[1] & 1)
+            cut_, held = sum(map(across, edges)), sum(map(across, kept))
+            assert held >= min(2, cut_)
