@@ -139,8 +139,6 @@ def search(
     whole = cut(finite_vectors(vectors, id_col, vec_col, drop_zero=True))
     n = whole.count()
     learned = sample(whole, rows, n)
-    if not len(learned):
-        learned = matrix(whole.limit(rows).toArrow().column("x").combine_chunks()) if n else learned
     if not len(learned):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     centres = choose_centres(learned, min(1024, max(1, n // CELL)))

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleanframe.llm.common import drawn
+
 BLOCK_SCHEMA = "key long, first long, low double, high double, ids binary, data binary"
 
 
@@ -71,8 +73,10 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def sample(vectors: DataFrame, rows: int, n: int) -> np.ndarray:
-    """About ``rows`` vectors of the ``n``, chosen by a hash of the id; never more than twice as many."""
-    part = F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(1_000_000)) < (rows * 1_000_000) // max(n, 1)
-    chosen = vectors.where(part).limit(2 * rows).toArrow()
+    """About ``rows`` vectors of the ``n``, those with the smallest hashes of their ids, so that reruns agree; none only of none."""
+    place = F.xxhash64("vec_id", F.lit(7))
+    chosen = vectors.where(drawn(place, 2 * rows, n)).orderBy(place, "vec_id").limit(rows).toArrow()
+    if n and not chosen.num_rows:
+        raise RuntimeError(f"a sample of {n} vectors is empty")
     order = np.argsort(np.asarray(chosen.column("vec_id")))
     return matrix(chosen.column("x").combine_chunks())[order] if chosen.num_rows else np.empty((0, 0))

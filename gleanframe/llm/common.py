@@ -42,6 +42,11 @@ def free(name: str, taken: Iterable[str]) -> str:
     return name
 
 
+def drawn(hashed: Column, rows: int, of: int) -> Column:
+    """Whether a row's 64-bit hash falls into the part that holds about ``rows`` of ``of`` rows, however many these are."""
+    return F.lit(True) if of <= rows else hashed < F.lit(((rows << 64) // of) - (1 << 63)).cast("long")
+
+
 def small(df: DataFrame, most: int = 8 << 20) -> DataFrame:
     """``df``, which :func:`cut` has made, marked for broadcast if its values take ``most`` bytes or fewer."""
     wide = [F.sum(F.octet_length(c)) for c, kind in df.dtypes if kind in ("string", "binary")]

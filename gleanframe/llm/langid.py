@@ -126,12 +126,12 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    parts = {r["lang"]: min(1.0, per_language / r["count"]) for r in most.collect()}
-    if not parts:
+    # hashes up to a language's last one are drawn; all, for a language with fewer rows than ``per_language``
+    last = {r["lang"]: (1 << 63) - 1 if r["count"] <= per_language else (per_language << 64) // r["count"] - (1 << 63) for r in most.collect()}
+    if not last:
         return None
-    rate = F.create_map(*[x for k, v in parts.items() for x in (F.lit(k), F.lit(v))])[F.col("lang")]
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    return cut(rows.where(place < rate * 1_000_000).select("lang", "text", (place % 4).alias("part")))
+    up_to = F.create_map(*[x for k, v in last.items() for x in (F.lit(k), F.lit(v).cast("long"))])[F.col("lang")]
+    return cut(rows.where(F.xxhash64("doc_id") <= up_to).select("lang", "text", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(4)).alias("part")))
 
 
 def learn(

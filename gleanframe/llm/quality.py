@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanframe.llm.common import word_chunks
+from gleanframe.llm.common import cut, drawn, word_chunks
 
 BUCKETS = 1 << 18
 SAMPLE, MIN_DOCS, ROUNDS = 6000, 8, 120
@@ -122,7 +122,8 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds: int =
     places, sizes = zip(*(vector(r, rarity, marks) for r in rows), strict=True)
     bucket, x = np.concatenate(places), np.concatenate(sizes)
     row = np.repeat(np.arange(len(rows)), [len(p) for p in places])
-    size = 2 * BUCKETS
+    known, bucket = np.unique(bucket, return_inverse=True)  # only what these rows have
+    size = len(known)
     above = grades[:, None] > np.arange(n_grades - 1)
     share = np.clip(above.mean(0), 1e-3, 1 - 1e-3)
     thresholds = np.log(1 / share - 1)
@@ -149,7 +150,9 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds: int =
         change[size:] *= 0.1
         params = params - step * change * (1 - t / (rounds + 1))
         params[size:] = np.maximum.accumulate(params[size:])
-    return Model(params[:size].astype(np.float32), rarity.astype(np.float32), marks.astype(np.float32), params[size:])
+    weights = np.zeros(2 * BUCKETS, np.float32)
+    weights[known] = params[:size]
+    return Model(weights, rarity.astype(np.float32), marks.astype(np.float32), params[size:])
 
 
 def loss(model: Model, rows: list[np.ndarray], grades: np.ndarray) -> float:
@@ -176,15 +179,19 @@ def learn(docs: DataFrame, ratings: DataFrame, grade: Column, n_grades: int, id_
     rated = ratings.select(F.col(id_col).cast("long").alias("_id"), grade.cast("int").alias("_grade")).where(F.col("_id").isNotNull() & F.col("_grade").between(0, n_grades - 1))
     rated = rated.groupBy("_id").agg(F.min("_grade").alias("_grade"))
     n = rated.count()
-    some = rated.where(F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(1_000_000)) < min(1_000_000, rows * 1_000_000 // max(n, 1))).limit(2 * rows)
+    place = F.xxhash64("_id", F.lit(3))
+    some = cut(rated.where(drawn(place, 2 * rows, n)).orderBy(place, "_id").limit(rows))
+    if n and some.isEmpty():
+        raise RuntimeError(f"a sample of {n} ratings is empty")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(t.as_py()).astype("<i4").tobytes() for t in b.column(2)], pa.binary())], ["id", "grade", "features"])
 
     texts = docs.select(docs[id_col].cast("long").alias("_id"), docs[text_col].cast("binary").alias("_text"))
-    # at most twice ``rows`` small rows, so the texts need no shuffle
-    found = texts.join(F.broadcast(some), "_id").select("_id", "_grade", "_text").mapInArrow(run, "id long, grade int, features binary").orderBy("id", "features").toArrow().to_pylist()
+    # at most ``rows`` small rows, so the texts need no shuffle; of repeated ids one text counts, so no more come back
+    met = texts.join(F.broadcast(some), "_id").select("_id", "_grade", "_text").mapInArrow(run, "id long, grade int, features binary")
+    found = met.groupBy("id").agg(F.min("grade").alias("grade"), F.min("features").alias("features")).orderBy("id").toArrow().to_pylist()
     return fit_chosen([np.frombuffer(r["features"], "<i4") for r in found], np.array([r["grade"] for r in found], np.int64), n_grades)
 
 

@@ -114,8 +114,6 @@ def search(
     if not facts["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long" + (", scanned long" if counted else ""))
     learned = sample(whole, SAMPLE, facts["n"])
-    if not len(learned):
-        learned = matrix(whole.limit(SAMPLE).toArrow().column("x").combine_chunks())
     space, largest = Space(choose_pivots(learned, pivots), facts["greatest"]), facts["largest"]
     kind = "<i2" if largest < 2**15 else "<i4" if largest < 2**31 else "<f8"
 
