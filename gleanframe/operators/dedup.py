@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import logging
 import math
+from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,10 +51,26 @@ def fill_alert(count: Column, capacity: Column, part: float = 0.8) -> Column:
     return F.coalesce(count >= capacity * part, F.lit(False))
 
 
-def bloom_size(capacity: int, error: float) -> tuple[int, int]:
-    """Bits and hashes of a filter: each hash halves the error, and half of the bits are set when it is full."""
+# --- Bloom filters
+#
+# All bits of a key lie in one block of ``WORDS`` words of 64 bits, so a probe is one row that meets one row. A filter is a table
+# ``(block, words)``, which can be stored, read again, and united with others of the same size.
+
+WORDS = 64
+_BLOCK = 64 * WORDS
+
+
+class Bloom(NamedTuple):
+    """A filter's size: ``blocks`` of ``WORDS`` words, and ``hashes`` bits a key."""
+
+    blocks: int
+    hashes: int
+
+
+def bloom_size(capacity: int, error: float) -> Bloom:
+    """Each hash halves the error, and half of the bits are set when the filter is full; a fifth more room, as blocks fill unevenly."""
     hashes = max(1, math.ceil(-math.log2(error)))
-    return max(64, math.ceil(max(capacity, 1) * hashes / math.log(2))), hashes
+    return Bloom(max(1, math.ceil(1.2 * max(capacity, 1) * hashes / math.log(2) / _BLOCK)), hashes)
 
 
 def layers(capacity: int, error: float, most: int = 4) -> list[tuple[int, float]]:
@@ -60,49 +78,105 @@ def layers(capacity: int, error: float, most: int = 4) -> list[tuple[int, float]
     return [(capacity * 2**i, error * 0.5 ** (i + 1)) for i in range(most)]
 
 
-def _bits(key: Column, capacity: int, error: float) -> Column:
-    """The places, from 1, of a key's bits: one 64-bit hash for each, told apart by a salt."""
-    bits, hashes = bloom_size(capacity, error)
-    return F.array(*(F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(bits)) + 1 for salt in range(hashes)))
+def _block(key: Column, size: Bloom) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(size.blocks))
+
+
+def _places(key: Column, size: Bloom) -> Column:
+    """A key's bits in its block: five places of twelve bits from each 64-bit hash, told apart by a salt."""
+    hashes = [F.xxhash64(key, F.lit(salt)) for salt in range(-(-size.hashes // 5))]
+    return F.array(*(F.shiftrightunsigned(hashes[i // 5], 12 * (i % 5)).bitwiseAND(_BLOCK - 1).cast("int") for i in range(size.hashes)))
+
+
+def bloom_build(keys: DataFrame, key: str, size: Bloom) -> DataFrame:
+    """``(block, words)``: the filter of the keys; null ones are left out.
+
+    Keys are dealt by block once, a number each; their bits are only spread out behind that exchange, which serves both
+    aggregations. A block holds a bounded part of the keys, so a common key costs no more than another.
+    """
+    text = F.col(key).cast("string")
+    dealt = keys.where(F.col(key).isNotNull()).select(_block(text, size).alias("block"), text.alias("key")).distinct().repartition("block")
+    bits = dealt.select("block", F.explode(_places(F.col("key"), size)).alias("at"))
+    mask = F.expr("shiftleft(1L, at % 64)")
+    words = bits.groupBy("block", F.shiftright("at", 6).alias("word")).agg(F.bit_or(mask).alias("bits"))
+    return words.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("_m")).select("block", _dense("_m"))
+
 
+def _dense(found: str) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda i: F.coalesce(F.element_at(F.col(found), i), F.lit(0).cast("long"))).alias("words")
 
-def bloom_build(keys: DataFrame, key: str, capacity: int, error: float) -> DataFrame:
-    """``(shard, bitmap)``: a Bloom filter as bitmaps of 32768 bits, aggregated on the map side first; null keys are left out."""
-    spots = keys.where(F.col(key).isNotNull()).select(F.explode(_bits(F.col(key).cast("string"), capacity, error)).alias("bit"))
-    return spots.groupBy(F.bitmap_bucket_number("bit").alias("shard")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bitmap"))
+
+def bloom_union(*filters: DataFrame) -> DataFrame:
+    """One filter of all keys of filters of one size: their blocks' bits united, word by word."""
+    every = reduce(DataFrame.unionByName, filters)
+    return every.groupBy("block").agg(*(F.bit_or(F.col("words")[i]).alias(f"_{i}") for i in range(WORDS))).select("block", F.array(*(f"_{i}" for i in range(WORDS))).alias("words"))
+
+
+def bloom_hit(key: Column, words: Column, size: Bloom) -> Column:
+    """Whether all bits of a key are set in its block; a missing block has none."""
+    bit = lambda at: F.call_function("shiftright", F.get(words, F.shiftright(at, 6)), at % 64).bitwiseAND(F.lit(1).cast("long"))
+    return F.coalesce(F.forall(_places(key, size), lambda at: bit(at) == 1), F.lit(False))
+
+
+def bloom_probe(keys: DataFrame, key: str, blocks: DataFrame, size: Bloom) -> DataFrame:
+    """``(key, maybe)``: whether each distinct key may be in the filter."""
+    asked = keys.select(F.col(key).cast("string").alias("key")).where("key is not null").distinct()
+    met = asked.withColumn("block", _block(F.col("key"), size)).join(blocks, "block", "left")
+    return met.select("key", bloom_hit(F.col("key"), F.col("words"), size).alias("maybe"))
+
+
+def bloom_add(rows: DataFrame, key: str, order: str, blocks: DataFrame, size: Bloom) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with ``fresh``, and the filter that holds their keys too.
+
+    Fresh is the first row of each key that the filter before them lacked; the others are repetitions, inside the batch or
+    of what was added before. Rows with a null key are fresh, as nothing can tell them apart.
+    """
+    firsts = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias("key")).agg(F.min(order).alias("_first"))
+    probed = firsts.join(bloom_probe(firsts, "key", blocks, size), "key").where("not maybe").select(F.col("key").alias("_key"), "_first")
+    met = rows.join(probed, (rows[key].cast("string") == F.col("_key")) & (rows[order] == F.col("_first")), "left")
+    fresh = met.withColumn("fresh", F.col(key).isNull() | F.col("_key").isNotNull()).select(*rows.columns, "fresh")
+    return fresh, bloom_union(blocks, bloom_build(rows, key, size))
+
+
+def admit_by_bloom(requests: DataFrame, blocks: DataFrame, size: Bloom, fp: str = "fp", order: str = "seq", bypass: str = "filter_repeat") -> tuple[DataFrame, DataFrame]:
+    """:func:`admit` against a filter in place of a table, and the filter after it. A request may be held back wrongly, with the filter's error."""
+    checked = F.coalesce(F.col(bypass), F.lit(True)) & F.col(fp).isNotNull()
+    fresh, after = bloom_add(requests.where(checked), fp, order, blocks, size)
+    return fresh.where("fresh").drop("fresh").unionByName(requests.where(~checked)), after
 
 
-def bloom_probe(keys: DataFrame, key: str, bitmaps: DataFrame, capacity: int, error: float) -> DataFrame:
-    """``(key, maybe)``: whether each distinct key may be in the filter. Bits are joined to the bitmaps by shard."""
-    some = keys.select(F.col(key).cast("string").alias("key")).where("key is not null").distinct()
-    spots = some.select("key", F.explode(_bits(F.col("key"), capacity, error)).alias("bit"))
-    spots = spots.select("key", F.bitmap_bucket_number("bit").alias("shard"), F.bitmap_bit_position("bit").alias("at"))
-    byte = F.conv(F.hex(F.expr("substring(bitmap, cast(at div 8 + 1 as int), 1)")), 16, 10).cast("int")
-    hit = F.coalesce(F.expr("shiftright(byte, cast(at % 8 as int)) & 1") == 1, F.lit(False))
-    return spots.join(bitmaps, "shard", "left").withColumn("byte", byte).groupBy("key").agg(F.min(hit).alias("maybe"))
+class Layer(NamedTuple):
+    capacity: int
+    size: Bloom
+    blocks: DataFrame
 
 
-def layered_build(keys: DataFrame, key: str, capacity: int, error: float, most: int = 4) -> list[tuple[int, float, DataFrame]]:
+def layered_build(keys: DataFrame, key: str, capacity: int, error: float, most: int = 4) -> list[Layer]:
     """A layered filter: the j-th new key goes to the layer that the running count falls into; the last takes the rest.
 
-    Keys are numbered by their hash, in slices of it, so no task sees all of them.
+    Keys are numbered by their hash, in slices of it, so no task sees all of them. More keys than all layers hold raise the
+    error of the last one, which is told by a warning.
     """
     distinct = keys.select(F.col(key).cast("string").alias("key")).where("key is not null").distinct().withColumn("slice", F.pmod(F.xxhash64("key"), F.lit(1024)))
     sizes = distinct.groupBy("slice").count()
     before = sizes.select("slice", F.coalesce(F.sum("count").over(W.orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     numbered = distinct.join(before, "slice").withColumn("n", F.col("before") + F.row_number().over(W.partitionBy("slice").orderBy("key")))
     out, start, specs = [], 0, layers(capacity, error, most)
-    for i, (size, p) in enumerate(specs):
-        part = numbered.where((F.col("n") > start) & (F.lit(True) if i == len(specs) - 1 else F.col("n") <= start + size))
-        out.append((size, p, bloom_build(part, "key", size, p)))
-        start += size
+    total, room = sizes.agg(F.sum("count")).first()[0] or 0, sum(n for n, _ in specs)
+    if total > room:
+        logging.getLogger(__name__).warning("%d keys in a filter for %d: its error is above %g", total, room, 2 * error)
+    for i, (n, p) in enumerate(specs):
+        part = numbered.where((F.col("n") > start) & (F.lit(True) if i == len(specs) - 1 else F.col("n") <= start + n))
+        out.append(Layer(n, bloom_size(n, p), bloom_build(part, "key", bloom_size(n, p))))
+        start += n
     return out
 
 
-def layered_probe(keys: DataFrame, key: str, built: list[tuple[int, float, DataFrame]]) -> DataFrame:
-    """``(key, maybe)``: whether any layer may hold the key."""
-    found = [bloom_probe(keys, key, bitmaps, size, p) for size, p, bitmaps in built]
-    whole = found[0]
-    for more in found[1:]:
-        whole = whole.unionByName(more)
-    return whole.groupBy("key").agg(F.max("maybe").alias("maybe"))
+def layered_probe(keys: DataFrame, key: str, built: list[Layer]) -> DataFrame:
+    """``(key, maybe)``: whether any layer may hold the key. A key meets its block of each layer; one pass over the keys."""
+    met = keys.select(F.col(key).cast("string").alias("key")).where("key is not null").distinct()
+    for i, layer in enumerate(built):
+        blocks = layer.blocks.select(F.col("block").alias(f"_b{i}"), F.col("words").alias(f"_w{i}"))
+        met = met.join(blocks, _block(F.col("key"), layer.size) == F.col(f"_b{i}"), "left").withColumn(f"_hit{i}", bloom_hit(F.col("key"), F.col(f"_w{i}"), layer.size)).drop(f"_b{i}", f"_w{i}")
+    hit = reduce(lambda a, b: a | b, (F.col(f"_hit{i}") for i in range(len(built))))
+    return met.select("key", hit.alias("maybe"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanframe.functions.identity import canonical_url, join_url, links, request_fingerprint
-from gleanframe.functions.lineage import cut
+from gleanframe.functions.lineage import bucketed, cut
 
 
 def top(queue: DataFrame, n: int, *order: str) -> DataFrame:
@@ -49,21 +49,29 @@ def discover(pages: DataFrame, depth: Column | int = 0, url: str = "url", html:
     return found.withColumn("fp", request_fingerprint(F.lit("GET"), F.col("url")))
 
 
-def crawl(seeds: DataFrame, pages: DataFrame, rounds: int) -> DataFrame:
-    """``(fp, url, depth)`` reached from ``seeds(url)`` over stored ``pages(url, html)`` in at most ``rounds`` rounds.
+def crawl(seeds: DataFrame, pages: DataFrame, rounds: int | None = None, buckets: int | None = None) -> DataFrame:
+    """``(fp, url, depth)`` reached from ``seeds(url)`` over stored ``pages(url, html)``: until nothing is new, or for ``rounds`` rounds.
 
-    Each round joins the newest URLs to the pages by fingerprint, expands them, and keeps what was not seen before.
+    Pages are parsed once, into links kept in buckets of their page's fingerprint; what was reached is kept in such buckets
+    too. So a round shuffles only the newest URLs and what they lead to, and neither links nor what was reached before.
+    There are as many buckets as shuffles have partitions, unless told otherwise.
     """
-    known = pages.select(request_fingerprint(F.lit("GET"), F.col("url")).alias("fp"), F.col("url").alias("page_url"), "html")
-    reached = seeds.select(request_fingerprint(F.lit("GET"), F.col("url")).alias("fp"), canonical_url(F.col("url")).alias("url"), F.lit(0).alias("depth")).groupBy("fp").agg(F.min("url").alias("url"), F.min("depth").alias("depth"))
-    newest = reached
-    for depth in range(rounds):
-        at = known.join(newest.select("fp"), "fp", "left_semi").select(F.col("page_url").alias("url"), "html")
-        found = discover(at, depth).groupBy("fp").agg(F.min("url").alias("url"), F.min("depth").alias("depth"))
-        newest = found.join(reached.select("fp"), "fp", "left_anti")
-        newest = cut(newest)
-        reached = reached.unionByName(newest)
-    return reached
+    spark = pages.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    of = request_fingerprint(F.lit("GET"), F.col("url"))
+    page = pages.select(of.alias("of"), F.col("url").alias("page"))
+    links_ = discover(pages).join(page, F.col("parent") == F.col("page")).groupBy("of", "fp").agg(F.min("url").alias("url"))
+    links_ = spark.table(bucketed(links_, "of", buckets))
+    newest = cut(seeds.select(of.alias("fp"), canonical_url(F.col("url")).alias("url")).groupBy("fp").agg(F.min("url").alias("url")).withColumn("depth", F.lit(0)))
+    reached = bucketed(newest, "fp", buckets)
+    depth = 0
+    while (rounds is None or depth < rounds) and not newest.isEmpty():
+        depth += 1
+        asked = newest.select(F.col("fp").alias("of")).repartition(buckets, "of")
+        found = links_.join(asked, "of").groupBy("fp").agg(F.min("url").alias("url")).repartition(buckets, "fp")
+        newest = cut(found.join(spark.table(reached).select("fp"), "fp", "left_anti").withColumn("depth", F.lit(depth)))
+        bucketed(newest, "fp", buckets, reached)
+    return spark.table(reached)
 
 
 def cache_lookup(requests: DataFrame, cache: DataFrame, now: Column, expire: float) -> DataFrame:

@@ -6,11 +6,14 @@ success, ``k`` in props = a code); orders a task table (O open, P in work, F don
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanframe.functions import identity
-from gleanframe.operators import admission, dedup, extract, frontier, pacing, tables, tasks
+from gleanframe.functions.lineage import shared_folder
+from gleanframe.operators import admission, dedup, extract, frontier, merge, pacing, tables, tasks
 from gleanframe.sources import tables as sources
 
 QUERIES: dict = {}
@@ -94,20 +97,43 @@ def dedup_bypass(spark, d):
     return dedup.admit(rows, seen)
 
 
-@query(f"WITH {SQL_LINKS}, {SQL_CANON} SELECT target AS url, min(parent) AS parent FROM found WHERE target NOT IN (SELECT c FROM canon) GROUP BY target")
+# page n also links to pages 2n + 1 and 2n + 2 and back to the one it is linked from, so that links lead to pages, around, and many steps deep
+SQL_LINKED = f"""{SQL_CANON}, {SQL_LINKS}, tree AS (SELECT a.url AS parent, b.c AS target FROM canon a JOIN canon b ON b.page_id IN (2 * a.page_id + 1, 2 * a.page_id + 2, (a.page_id - 1) // 2) AND b.page_id <> a.page_id),
+ linked AS (SELECT parent, target FROM found UNION SELECT parent, target FROM tree)"""
+
+
+def _linked(spark, d):
+    pages = _t(spark, d, "pages").select("page_id", "url", "html")
+    n = F.col("page_id")
+    to = pages.select("page_id", F.explode(F.array(2 * n + 1, 2 * n + 2, F.floor((n - 1) / 2))).alias("to")).where("to <> page_id")
+    anchors = to.join(pages.select(F.col("page_id").alias("to"), F.col("url").alias("target")), "to").groupBy("page_id").agg(F.concat_ws("", F.array_sort(F.collect_list(F.format_string('<a href="%s">', "target")))).alias("more"))
+    return pages.join(anchors, "page_id", "left").select("page_id", "url", F.concat("html", F.coalesce("more", F.lit(""))).alias("html"))
+
+
+@query(f"WITH {SQL_LINKED} SELECT target AS url, min(parent) AS parent FROM linked WHERE target NOT IN (SELECT c FROM canon) GROUP BY target")
 def unseen_frontier(spark, d):
-    pages = _t(spark, d, "pages")
+    pages = _linked(spark, d)
     seen = pages.select(identity.request_fingerprint(F.lit("GET"), F.col("url")).alias("fp"))
     return frontier.discover(pages).groupBy("fp").agg(F.min("url").alias("url"), F.min("parent").alias("parent")).join(seen, "fp", "left_anti").select("url", "parent")
 
 
-@query(f"""WITH {SQL_CANON}, {SQL_LINKS}, seed AS (SELECT c AS url FROM canon), one AS (
-   SELECT DISTINCT target AS url FROM found WHERE parent IN (SELECT p.url FROM canon p JOIN seed s ON p.c = s.url)), two AS (
-   SELECT DISTINCT target AS url FROM found WHERE parent IN (SELECT p.url FROM canon p JOIN one s ON p.c = s.url))
- SELECT md5('GET|' || url || '|') AS fp, min(url) AS url, CAST(min(depth) AS INTEGER) AS depth FROM (SELECT url, 0 AS depth FROM seed UNION ALL SELECT url, 1 FROM one UNION ALL SELECT url, 2 FROM two) GROUP BY url""")
+def _sql_crawl(rounds: int) -> str:
+    return f"""WITH RECURSIVE {SQL_LINKED}, step AS (SELECT DISTINCT p.c AS parent, target FROM linked JOIN canon p ON p.url = linked.parent),
+ reach AS (SELECT c AS url, 0 AS depth FROM canon WHERE page_id = 0 UNION SELECT target, depth + 1 FROM reach JOIN step ON reach.url = step.parent WHERE depth < {rounds})
+ SELECT md5('GET|' || url || '|') AS fp, url, CAST(min(depth) AS INTEGER) AS depth FROM reach GROUP BY url"""
+
+
+@query(_sql_crawl(2))
 def frontier_expand_depth2(spark, d):
-    pages = _t(spark, d, "pages")
-    return frontier.crawl(pages.select("url"), pages.select("url", "html"), 2)
+    pages = _linked(spark, d)
+    return frontier.crawl(pages.where("page_id = 0").select("url"), pages.select("url", "html"), 2)
+
+
+@query(_sql_crawl(20))
+def frontier_fixpoint(spark, d):
+    """All that the first page leads to, until nothing is new."""
+    pages = _linked(spark, d)
+    return frontier.crawl(pages.where("page_id = 0").select("url"), pages.select("url", "html"))
 
 
 @query("""WITH latest AS (SELECT user_id AS fp, max(date_trunc('second', ts)) AS fetched_at FROM events WHERE event_type = 'view' AND ts > TIMESTAMP '2024-01-01' GROUP BY user_id)
@@ -340,15 +366,14 @@ def callback_udtf(spark, d):
 SQL_DOMAIN = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))"
 
 
-@query(f"""WITH r AS (SELECT {SQL_DOMAIN} AS domain, max(CASE WHEN page_id % 4 = 0 THEN 0 ELSE 1 END) AS open FROM pages GROUP BY 1)
- SELECT p.url, NOT (open = 1 AND regexp_extract(p.url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) LIKE '/%1%' AND regexp_extract(p.url, '^[a-zA-Z]+://[^/?#]*/([^/?#]*)', 1) = 'zz') AS allowed,
-   CASE WHEN open = 1 THEN 1.5 END AS crawl_delay FROM (SELECT *, {SQL_DOMAIN} AS domain FROM pages) p JOIN r USING (domain)""")
+@query(f"""SELECT url, {SQL_DOMAIN} LIKE '%.org' OR NOT (regexp_extract(url, '^[a-zA-Z]+://[^/?#]*(.*)$', 1) LIKE '/es%' OR regexp_extract(url, '^[a-zA-Z]+://[^/?#]*(.*)$', 1) LIKE '/en/1%') AS allowed,
+   CASE WHEN {SQL_DOMAIN} NOT LIKE '%.org' THEN 1.5 END AS crawl_delay FROM pages""")
 def robots_allowed(spark, d):
-    pages = _t(spark, d, "pages").select("page_id", "url", identity.domain_key(F.col("url")).alias("domain"))
-    rules = "User-agent: *\nDisallow: /zz\nCrawl-delay: 1.5"
-    robots = pages.groupBy("domain").agg(F.max(F.when(F.col("page_id") % 4 == 0, 0).otherwise(1)).alias("open"))
-    robots = robots.select("domain", F.lit(rules).alias("text"), F.when(F.col("open") == 1, 200).otherwise(404).alias("status"))
-    return admission.robots_allowed(pages.select("url", "domain"), robots, "bot")
+    """Domains with rules deny some paths and allow others; those that have none allow all."""
+    pages = _t(spark, d, "pages").select("url", identity.domain_key(F.col("url")).alias("domain"))
+    rules = "User-agent: other\nDisallow: /\n\nUser-agent: *\nAllow: /de\nDisallow: /es\nDisallow: /en/1\nCrawl-delay: 1.5"
+    robots = pages.select("domain").distinct().select("domain", F.lit(rules).alias("text"), F.when(F.col("domain").endswith(".org"), 404).otherwise(200).alias("status"))
+    return admission.robots_allowed(pages, robots, "bot")
 
 
 @query("SELECT doc_id, md5('documents|lang=string:' || lang || '|source=string:' || source) AS fp FROM documents")
@@ -356,12 +381,13 @@ def item_fingerprint(spark, d):
     return _t(spark, d, "documents").select("doc_id", identity.item_fingerprint("documents", ["doc_id", "lang", "source", "text"], ["source", "lang"]).alias("fp"))
 
 
-@query("""WITH w AS (SELECT DISTINCT md5(text) AS fp FROM benchmark), i AS (SELECT doc_id AS seq, CASE WHEN source = 'src0' THEN NULL ELSE md5(text) END AS fp FROM documents)
+@query("""WITH w AS (SELECT md5(text) AS fp FROM documents WHERE source = 'src1'), i AS (SELECT doc_id AS seq, CASE WHEN source = 'src0' THEN NULL ELSE md5(text) END AS fp FROM documents WHERE source <> 'src1')
  SELECT seq, fp FROM i WHERE fp IS NULL UNION ALL SELECT min(seq), fp FROM i WHERE fp IS NOT NULL AND fp NOT IN (SELECT fp FROM w) GROUP BY fp""")
 def item_dedup(spark, d):
+    """One source's documents are written already; those of the others come after, some of them with a text that is there."""
     docs = _t(spark, d, "documents")
-    items = docs.select(F.col("doc_id").alias("seq"), F.when(F.col("source") != "src0", F.md5("text")).alias("fp"))
-    return dedup.persist_new(items, _t(spark, d, "benchmark").select(F.md5("text").alias("fp")).distinct())
+    items = docs.where("source <> 'src1'").select(F.col("doc_id").alias("seq"), F.when(F.col("source") != "src0", F.md5("text")).alias("fp"))
+    return dedup.persist_new(items, docs.where("source = 'src1'").select(F.md5("text").alias("fp")).distinct())
 
 
 @query("""SELECT source AS "table", lang = 'en' AS is_update, count(*) AS n FROM documents GROUP BY 1, 2""")
@@ -406,11 +432,14 @@ def upsert(spark, d):
     return tables.upsert(_base(spark, d), _delta(spark, d), ["id"], "seq")
 
 
-@query("""SELECT doc_id, source AS "table" FROM documents WHERE lang = 'en' AND source NOT IN (SELECT source FROM documents GROUP BY source HAVING count(DISTINCT lang) < 4)""")
+@query("""WITH done AS (SELECT source FROM documents GROUP BY source HAVING avg(n_chars) > (SELECT avg(n_chars) FROM documents))
+ SELECT doc_id, source AS "table" FROM documents WHERE lang = 'en' AND source NOT IN (SELECT source FROM done)""")
 def dead_letter_replay(spark, d):
+    """Groups of sources whose documents are longer than the mean go through, the others stay."""
     docs = _t(spark, d, "documents")
     keys = F.array(F.lit("doc_id")).alias("update_keys")
-    done = docs.groupBy(F.col("source").alias("table")).agg(F.count_distinct("lang").alias("n")).where("n < 4").select("table", keys)
+    mean = docs.agg(F.avg("n_chars").alias("mean"))
+    done = docs.groupBy(F.col("source").alias("table")).agg(F.avg("n_chars").alias("own")).join(F.broadcast(mean), F.col("own") > F.col("mean")).select("table", keys)  # one row
     return tables.replay(docs.where("lang = 'en'").select("doc_id", F.col("source").alias("table"), keys), done).select("doc_id", "table")
 
 
@@ -463,13 +492,12 @@ def _batches(spark, d):
 
 
 @query(f"""WITH {SQL_BATCHES}, {SQL_TASKS} SELECT * FROM b UNION ALL
- SELECT (SELECT max(id) + 1 FROM b), (SELECT count(*) FROM t), (SELECT count_if(s = 1) FROM t)::BIGINT, 0, false, CAST(epoch(TIMESTAMP '2024-06-01') AS BIGINT)""")
+ SELECT (SELECT max(id) + 1 FROM b), (SELECT count(*) FROM t), 0, 0, false, CAST(epoch(TIMESTAMP '2024-06-01') AS BIGINT)""")
 def batch_opened(spark, d):
-    """A new batch after the done ones, with the counts that the tasks have at its first record."""
-    batches, _, opened = tasks.open_batch(_batches(spark, d), _tasks(spark, d), _now(), 86400 * 7)
+    """A new batch after the done ones, with the counts of its first record, when all tasks are open again."""
+    batches, again, opened = tasks.open_batch(_batches(spark, d), _tasks(spark, d), _now(), 86400 * 7)
     last = _batches(spark, d).agg(F.max("id")).first()[0] + 1
-    state = tasks.counts(_tasks(spark, d)).withColumn("is_done", F.lit(not opened))
-    found = tasks.record(batches, last, state)
+    found = tasks.record(batches, last, tasks.counts(again).withColumn("is_done", F.lit(not opened)))
     return found.select("id", "total", "done", "failed", "is_done", F.unix_timestamp("create_time").alias("at"))
 
 
@@ -541,18 +569,40 @@ def _members(spark, d):
 
 @query(SQL_BLOOM)
 def bloom_membership(spark, d):
+    """Two halves' filters, united, as nodes that fill filters of their own would unite them."""
     some, asked = _members(spark, d)
-    n = some.count()
-    return dedup.bloom_probe(asked, "key", dedup.bloom_build(some, "key", n, 1e-9), n, 1e-9)
+    size = dedup.bloom_size(some.count(), 1e-9)
+    low = F.col("s_acctbal") < 5000
+    halves = [_t(spark, d, "supplier").where(part).select(F.col("s_suppkey").alias("key")) for part in (low, ~low)]
+    return dedup.bloom_probe(asked, "key", dedup.bloom_union(*(dedup.bloom_build(h, "key", size) for h in halves)), size)
 
 
 @query(SQL_BLOOM)
 def layered_bloom_membership(spark, d):
     some, asked = _members(spark, d)
-    first = max(1, some.count() // 15)  # four layers hold fifteen times the first
+    first = max(1, -(-some.count() // 15))  # four layers hold fifteen times the first
     return dedup.layered_probe(asked, "key", dedup.layered_build(some, "key", first, 1e-9))
 
 
+@query("""WITH r AS (SELECT o_orderkey AS seq, CAST(o_custkey AS VARCHAR) AS fp, o_orderstatus <> 'P' AS filter_repeat FROM orders)
+ SELECT seq, fp, filter_repeat FROM r WHERE NOT filter_repeat UNION ALL SELECT min(seq), fp, true FROM r WHERE filter_repeat AND fp NOT IN (SELECT CAST(s_suppkey AS VARCHAR) FROM supplier) GROUP BY fp""")
+def bloom_admission(spark, d):
+    """Requests to enqueue beside a filter of what was seen; those told not to be held back pass."""
+    some = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("key"))
+    rows = _t(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_custkey").cast("string").alias("fp"), (F.col("o_orderstatus") != "P").alias("filter_repeat"))
+    size = dedup.bloom_size(some.count() + rows.count(), 1e-9)
+    return dedup.admit_by_bloom(rows, dedup.bloom_build(some, "key", size), size)[0]
+
+
+@query(f"WITH {SQL_DELTA} SELECT coalesce(base.id, last.id) AS id, CASE WHEN last.id IS NULL THEN base.value ELSE last.value END AS value FROM base FULL JOIN last ON base.id = last.id")
+def bucketed_upsert(spark, d):
+    """A table in buckets of its key, after a merge that rewrites only the buckets with keys of the delta."""
+    at = merge.Bucketed(f"{shared_folder(spark.range(1))}/bucketed-{uuid.uuid4().hex}", ("id",), 16)
+    merge.create(_base(spark, d), at)
+    merge.upsert(_delta(spark, d), at, "seq")
+    return merge.read(spark, at)
+
+
 @query(f"WITH {SQL_LINKS} SELECT parent, target AS url FROM found")
 def link_shapes(spark, d):
     """The same pages with their links written in other ways."""
@@ -572,11 +622,12 @@ def body_fingerprint(spark, d):
     return _t(spark, d, "pages").select("page_id", identity.request_fingerprint(F.lit("post"), F.col("url"), body).alias("fp"))
 
 
-@query(f"WITH {SQL_CANON} SELECT url, md5('GET|' || c || '|') AS fp FROM canon WHERE c NOT IN (SELECT target FROM (WITH {SQL_LINKS} SELECT target FROM found))")
+@query(f"WITH {SQL_LINKED} SELECT url, md5('GET|' || c || '|') AS fp FROM canon WHERE c NOT IN (SELECT target FROM linked JOIN canon p ON p.url = linked.parent WHERE p.c NOT LIKE '%.net/%')")
 def seed_once(spark, d):
-    pages = _t(spark, d, "pages")
+    """All pages as seeds, beside a frontier that holds what pages outside one domain's end link to."""
+    pages = _linked(spark, d)
     fresh = sources.seeds(pages).withColumn("fp", identity.request_fingerprint(F.col("method"), F.col("url")))
-    return sources.seed_once(fresh, frontier.discover(pages)).select("url", "fp")
+    return sources.seed_once(fresh, frontier.discover(pages.where("url not like '%.net/%'"))).select("url", "fp")
 
 
 @query(f"WITH {SQL_LOG} SELECT seq, k > 60 AND k % 2 = 0 AND k % 3 = 0 AND k % 5 = 0 AS stale FROM log")
@@ -585,11 +636,16 @@ def stale_seed(spark, d):
     return _log(spark, d).select("seq", sources.stale_seed(k, F.lit(60), k % 2, k % 3, k % 5).alias("stale"))
 
 
-@query("SELECT count_if(event_type = 'signup') = 0 AS done FROM (SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id)")
+@query("""WITH n AS (SELECT user_id, arg_max(event_type, event_id) = 'signup' AS busy, max(event_id) AS beat FROM events GROUP BY user_id), s AS (SELECT unnest([60, 1000000]) AS stale), last AS (SELECT max(event_id) AS ended FROM events)
+ SELECT CAST(stale AS INTEGER) AS stale, queued, count_if(busy AND ended + 600 - beat <= stale) = 0 AND NOT queued AS done FROM n, s, last, (SELECT unnest([false, true]) AS queued) GROUP BY stale, queued""")
 def all_idle(spark, d):
-    beats = _t(spark, d, "events").select(F.col("user_id").alias("node"), F.col("event_id").cast("timestamp").alias("ts"), (F.col("event_type") == "signup").cast("int").alias("pending"))
-    start = F.lit("1970-01-01 00:00:00").cast("timestamp")
-    return tasks.all_idle(beats, F.lit("1971-01-01 00:00:00").cast("timestamp"), 1e12, F.lit(0), F.lit(0), start, 60.0).select("done")
+    """Ten minutes after the last heartbeat: done if nodes count as dead by then and nothing is queued, not if they live or tasks wait."""
+    events = _t(spark, d, "events")
+    beats = events.select(F.col("user_id").alias("node"), F.col("event_id").cast("timestamp").alias("ts"), (F.col("event_type") == "signup").cast("int").alias("pending"))
+    last = events.agg(F.max("event_id")).first()[0] or 0
+    now, start = F.lit(last + 600).cast("timestamp"), F.lit("1960-01-01 00:00:00").cast("timestamp")
+    each = [tasks.all_idle(beats, now, float(stale), F.lit(int(queued)), F.lit(0), start, 60.0).select(F.lit(stale).alias("stale"), F.lit(queued).alias("queued"), "done") for stale in (60, 1000000) for queued in (False, True)]
+    return each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3])
 
 
 @query(r"""SELECT page_id, array_to_string(list_transform(regexp_extract_all(html, '<li><a href="([^"]*)"', 1), lambda h: replace(h, '&amp;', '&')), ' ') AS hrefs,
@@ -609,6 +665,11 @@ def css_attributes(spark, d):
     return _t(spark, d, "pages").select("page_id", one("head > meta[charset]::attr(charset)").alias("charset"), one("nav li:first-child > a[href^='/']::attr(href)").alias("first"))
 
 
+@query(f"WITH {SQL_LOG} SELECT seq, coalesce({SQL_AFTER}, 0.5 * pow(2.0, greatest(k % 9 - 1, 0))) AS delay FROM log")
+def retry_delay_uncapped(spark, d):
+    return _log(spark, d).select("seq", admission.retry_delay(_after(F.col("k")), F.col("k") % 9, 1.0, 0.5, 0.0).alias("delay"))
+
+
 @query(f"WITH {SQL_LOG} SELECT seq, coalesce({SQL_AFTER}, least(60.0, 0.5 * pow(2.0, greatest(k % 9 - 1, 0))) * (0.5 + (seq % 101) / 202.0)) AS delay FROM log")
 def retry_delay_jitter(spark, d):
     """Chances by number, so that SQL can follow; a user gives ``rand(seed)``."""

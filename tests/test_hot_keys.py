@@ -87,11 +87,12 @@ def test_admit_loses_no_null(spark):
 
 def test_bloom_filters_of_unseen_keys(spark):
     inside, outside = (spark.range(10_000).select(F.concat(F.lit(p), F.col("id").cast("string")).alias("k")) for p in ("in-", "out-"))
-    built = dedup.bloom_build(inside, "k", 10_000, 1e-3)
-    assert dedup.bloom_probe(inside, "k", built, 10_000, 1e-3).where("not maybe").isEmpty()
-    assert dedup.bloom_probe(outside, "k", built, 10_000, 1e-3).where("maybe").count() < 200
-    flat = dedup.bloom_build(inside, "k", 1000, 1e-3)  # ten times over its capacity
-    assert dedup.bloom_probe(outside, "k", flat, 1000, 1e-3).where("maybe").count() > 5000
+    size, small = dedup.bloom_size(10_000, 1e-3), dedup.bloom_size(1000, 1e-3)
+    built = dedup.bloom_build(inside, "k", size)
+    assert dedup.bloom_probe(inside, "k", built, size).where("not maybe").isEmpty()
+    assert dedup.bloom_probe(outside, "k", built, size).where("maybe").count() < 20
+    flat = dedup.bloom_build(inside, "k", small)  # ten times over its capacity
+    assert dedup.bloom_probe(outside, "k", flat, small).where("maybe").count() > 5000
     layered = dedup.layered_build(inside, "k", 1000, 1e-3)
     assert dedup.layered_probe(inside, "k", layered).where("not maybe").isEmpty()
     assert dedup.layered_probe(outside, "k", layered).where("maybe").count() < 100
