@@ -59,7 +59,7 @@ class _Leases(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         now = timerValues.getCurrentWatermarkInMs() if self.event_time else timerValues.getCurrentProcessingTimeInMs()
         until = self.until.get()[0] if self.until.exists() else None
-        for kind, ms in _in_order(rows, "ms", "kind")[["kind", "ms"]].itertuples(index=False):
+        for kind, ms in _in_order(rows, "ms", "place")[["kind", "ms"]].itertuples(index=False):
             at = int(ms) if self.event_time else max(now, int(ms))
             if kind == "claim":
                 until = at + self.lease
@@ -85,7 +85,8 @@ def leases(log: DataFrame, lease: float, key: str = "task_uid", kind: str = "kin
     that far past it, so that the outcome does not depend on when the stream runs.
     """
     rows = log if late is None else log.withWatermark(at, late)
-    slim = rows.select(F.col(key), F.col(kind).alias("kind"), F.unix_millis(F.col(at)).alias("ms"), *([F.col(at).alias("at")] if late else []))
+    place = F.array_position(F.array(*map(F.lit, ("claim", "beat", "ack"))), F.col(kind)).alias("place")  # in this order at one time
+    slim = rows.select(F.col(key), F.col(kind).alias("kind"), F.unix_millis(F.col(at)).alias("ms"), place, *([F.col(at).alias("at")] if late else []))
     kind_of = log.schema[key].dataType.simpleString()
     out = f"{key} {kind_of}, lease_until timestamp, priority int"
     mode = "ProcessingTime" if late is None else "EventTime"
