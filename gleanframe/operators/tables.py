@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Mapping, Sequence
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanframe.functions.identity import item_fingerprint
@@ -81,14 +82,37 @@ def route_counts(items: DataFrame) -> DataFrame:
     return items.groupBy(*_group(items)).agg(F.count("*").alias("n"))
 
 
-def write_groups(items: DataFrame, sinks: Mapping[str, Callable[[str, bool, DataFrame], bool]], default: Sequence[str] | None = None) -> DataFrame:
+class Ledger(NamedTuple):
+    """Where it is written down which sinks took which groups of a batch, told by its number."""
+
+    folder: str
+    epoch: int
+
+    def entries(self, spark: SparkSession) -> set[tuple[str, str]]:
+        """The ``(group, sink)`` of this batch: as many rows as groups and sinks, however many items they took."""
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/epoch={self.epoch}")
+        if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+            return set()
+        rows = spark.read.schema("group string, sink string").parquet(f"{self.folder}/epoch={self.epoch}")
+        return {(r["group"], r["sink"]) for r in rows.collect()}
+
+    def add(self, spark: SparkSession, group: str, sink: str) -> None:
+        spark.createDataFrame([(group, sink)], "group string, sink string").coalesce(1).write.mode("append").parquet(f"{self.folder}/epoch={self.epoch}")
+
+
+def write_groups(items: DataFrame, sinks: Mapping[str, Callable[[str, bool, DataFrame], bool]], default: Sequence[str] | None = None, ledger: Ledger | None = None) -> DataFrame:
     """Each group goes to its ``pipelines``, or to the default ones (all), until one refuses it; refused rows come back.
 
     A group is told apart by what it has of ``table``, ``is_update``, ``update_keys`` and ``pipelines``. A sink refuses
     by a false result or an exception, and an unknown one refuses too. Earlier sinks of a refused group keep its rows.
     There are few groups, as of tables, so the driver lists them; the items are kept meanwhile, not computed for each.
+
+    With a ``ledger``, what a sink took is written down after it, and when the batch comes again, as after a failure, sinks that
+    took a group are passed over. Only a sink that failed between its write and the entry sees rows twice; one that
+    overwrites what it wrote under the batch's number does not mind.
     """
-    group = _group(items)
+    spark, group = items.sparkSession, _group(items)
+    took = ledger.entries(spark) if ledger else set()
     known = F.to_json(F.struct(*group))
     kept = items.persist()
     try:
@@ -97,6 +121,8 @@ def write_groups(items: DataFrame, sinks: Mapping[str, Callable[[str, bool, Data
         for g in groups:
             rows = kept.where(known == g["_known"])
             for name in g.get("pipelines") or default or sinks:
+                if (g["_known"], name) in took:
+                    continue
                 try:
                     went = sinks[name](g["table"], g.get("is_update", False), rows)
                 except Exception:  # noqa: BLE001
@@ -105,6 +131,8 @@ def write_groups(items: DataFrame, sinks: Mapping[str, Callable[[str, bool, Data
                 if not went:
                     refused.append(g["_known"])
                     break
+                if ledger:
+                    ledger.add(spark, g["_known"], name)
     finally:
         kept.unpersist()
     return items.where(known.isin(refused) if refused else F.lit(False)).withColumn("reason", F.lit("sink refused"))

@@ -112,6 +112,23 @@ def all_idle(beats: DataFrame, now: Column, stale: float, queued: Column, inflig
     return last.agg(busy.alias("busy")).select(((F.col("busy") == 0) & (queued == 0) & (inflight == 0) & (F.unix_timestamp(now) - F.unix_timestamp(started) > grace)).alias("done"))
 
 
+def node_sessions(beats: DataFrame, gap: str, node: str = "node", at: str = "ts", late: str | None = None) -> DataFrame:
+    """``(node, started, ended, beats)``: stretches in which a node was alive, ``gap`` after its last heartbeat being their end.
+
+    A heartbeat that comes late joins the stretches it lies between. On a stream, ``late`` is how long these are waited for, and a
+    stretch is reported once it can no longer grow. Heartbeats are merged before and after the exchange, so a busy node
+    sends few rows.
+    """
+    rows = beats if late is None else beats.withWatermark(at, late)
+    found = rows.groupBy(F.session_window(at, gap).alias("_w"), node).agg(F.count("*").alias("beats"))
+    return found.select(node, F.col("_w")["start"].alias("started"), F.col("_w")["end"].alias("ended"), "beats")
+
+
+def alive(sessions: DataFrame, now: Column, node: str = "node") -> DataFrame:
+    """The nodes in whose stretch ``now`` lies."""
+    return sessions.where((F.col("started") <= now) & (now < F.col("ended"))).select(node)
+
+
 def alerts(log: DataFrame, least: int, part: float, most_failed: int, order: str = "seq", at: str = "at") -> DataFrame:
     """``(seq, at, key)``: the conditions met after each event of a run: failed rate and failed count.
 

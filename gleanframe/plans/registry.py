@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gleanframe.functions import identity
 from gleanframe.functions.lineage import shared_folder
-from gleanframe.operators import admission, dedup, extract, frontier, merge, pacing, tables, tasks
+from gleanframe.operators import admission, callbacks, dedup, extract, frontier, merge, pacing, tables, tasks
 from gleanframe.sources import tables as sources
 
 QUERIES: dict = {}
@@ -363,6 +363,45 @@ def callback_udtf(spark, d):
     return extract.callbacks(_t(spark, d, "pages").select("url", "html"), _parse)
 
 
+SQL_ROLE = "CASE WHEN position('?' IN url) > 0 THEN 'detail' WHEN position('#' IN url) > 0 THEN 'missing' END"
+
+
+def _listing(page, origin):
+    """A page of links: each is a request for a detail page, which is told where it was found."""
+    import re
+
+    for link in re.findall(r'<li><a href="([^"]*)"', page["html"]):
+        yield callbacks.Ask(link, "detail", {"origin": origin})
+
+
+def _detail(page, origin):
+    """A page with an item; one whose title goes on after a comma is asked for again, one that ends in a full stop is dropped."""
+    import re
+
+    title = re.search("<title>([^<]*)</title>", page["html"])[1]
+    if title.endswith("."):
+        raise callbacks.NotRetry(title)
+    yield {"title": title, "origin": origin}
+    if "," in title:
+        raise ValueError("unfinished")
+
+
+@query(rf"""WITH r AS (SELECT *, {SQL_ROLE} AS role, regexp_extract(html, 'lang="([^"]*)"', 1) AS origin, CASE WHEN url LIKE 'http:%' THEN 3 ELSE 0 END AS tries, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages),
+ a AS (SELECT url, unnest(regexp_extract_all(html, '<li><a href="([^"]*)"', 1)) AS link, origin FROM r WHERE role IS NULL)
+ SELECT url AS source, 'request' AS kind, link AS url, 'detail' AS callback, origin, CAST(0 AS INTEGER) AS retry_times, NULL AS title FROM a
+ UNION ALL SELECT url, 'item', url, role, origin, tries, t FROM r WHERE role = 'detail' AND NOT t LIKE '%.'
+ UNION ALL SELECT url, CASE WHEN role IS NULL THEN 'ok' WHEN role = 'missing' THEN 'fail' WHEN t LIKE '%.' THEN 'drop' WHEN NOT contains(t, ',') THEN 'ok' WHEN tries < 3 THEN 'retry' ELSE 'fail' END, url, role, origin,
+  CAST(CASE WHEN role = 'detail' AND NOT t LIKE '%.' AND contains(t, ',') AND tries < 3 THEN tries + 1 ELSE tries END AS INTEGER), NULL FROM r""")
+def callback_dispatch(spark, d):
+    """Two callbacks by name, with what was sent along, and a name that there is none for."""
+    url, html = F.col("url"), F.col("html")
+    role = F.when(F.contains(url, F.lit("?")), "detail").when(F.contains(url, F.lit("#")), "missing")
+    sent = F.create_map(F.lit("origin"), F.regexp_extract(html, 'lang="([^"]*)"', 1))
+    pages = _t(spark, d, "pages").select("url", "html", role.alias("callback"), sent.alias("cb_kwargs"), F.when(F.startswith(url, F.lit("http:")), 3).otherwise(0).alias("retry_times"))
+    found = callbacks.dispatch(pages, {"listing": _listing, "detail": _detail}, "title string, origin string", default="listing")
+    return found.select("source", "kind", "url", "callback", F.col("cb_kwargs")["origin"].alias("origin"), "retry_times", F.col("item")["title"].alias("title"))
+
+
 SQL_DOMAIN = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))"
 
 
@@ -648,6 +687,16 @@ def all_idle(spark, d):
     return each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3])
 
 
+@query("""WITH b AS (SELECT user_id AS node, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events),
+ s AS (SELECT *, sum(CASE WHEN prev IS NULL OR us - prev >= 432000000000 THEN 1 ELSE 0 END) OVER (PARTITION BY node ORDER BY us) AS run FROM b)
+ SELECT node, min(us) AS started, max(us) + 432000000000 AS ended, count(*) AS beats FROM s GROUP BY node, run""")
+def node_sessions(spark, d):
+    """Stretches of five days without a gap in which nodes were alive."""
+    beats = _t(spark, d, "events").select(F.col("user_id").alias("node"), F.col("ts").cast("timestamp").alias("ts"))
+    found = tasks.node_sessions(beats, "5 days")
+    return found.select("node", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), "beats")
+
+
 @query(r"""SELECT page_id, array_to_string(list_transform(regexp_extract_all(html, '<li><a href="([^"]*)"', 1), lambda h: replace(h, '&amp;', '&')), ' ') AS hrefs,
  replace(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS h1, regexp_extract(html, 'lang="([^"]*)"', 1) AS lang, replace(regexp_extract(html, '<li><a href="[^"]*">[^<]*</a></li><li><a href="[^"]*">([^<]*)</a>', 1), '&amp;', '&') AS second FROM pages""")
 def xpath_select(spark, d):

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gleanframe.functions.identity import request_fingerprint
+from gleanframe.operators import tables
 
 
 def enqueue(requests: DataFrame, at: str | None = None, late: str = "1 day") -> DataFrame:
@@ -26,6 +27,23 @@ def durable(rows: DataFrame, write: Callable[[DataFrame, int], None], checkpoint
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+def routed(
+    items: DataFrame, sinks: Callable[[int], Mapping[str, Callable[[str, bool, DataFrame], bool]]], dead: Callable[[DataFrame, int], None], ledger: str, checkpoint: str,
+    default: Sequence[str] | None = None, every: str | None = None,
+) -> StreamingQuery:
+    """Items written by their groups (:func:`tables.write_groups`), each micro-batch once to each sink, also when it comes again.
+
+    ``sinks(epoch)`` gives the sinks for a micro-batch, which may write under its number; refused items go to ``dead(rows, epoch)``.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        left = tables.write_groups(batch, sinks(epoch), default, tables.Ledger(ledger, epoch))
+        if not left.isEmpty():
+            dead(left, epoch)
+
+    return durable(items, write, checkpoint, every)
+
+
 def outcomes_by_window(log: DataFrame, at: str = "ts", width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Outcomes counted by domain in windows of event time."""
     return log.withWatermark(at, late).groupBy(F.window(at, width), "domain", "outcome").count()
