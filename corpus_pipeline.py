@@ -72,11 +72,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other; what lies between them is kept in the shared checkpoint folder."""
+    """The stages one after the other; what lies between them is kept in the shared checkpoint folder, until the next is written."""
     cut(spark.range(1))  # makes sure of that folder
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder, last = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}", None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if last is not None:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(last)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        last = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)

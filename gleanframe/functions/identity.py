@@ -48,35 +48,39 @@ def item_fingerprint(table: str, fields: Sequence[str], key: Sequence[str] = (),
 
 
 def join_url(base: Column, link: Column) -> Column:
-    """A link resolved against a page's URL: absolute, ``//host``, ``/path``, ``?query``, ``#fragment`` or relative.
+    """A link resolved against a page's http(s) URL as ``urllib.parse.urljoin`` does it.
 
-    Dot segments are resolved too: each ``segment/..`` goes, innermost first.
+    An empty link is the page itself, and links of another scheme stay as they are. Others lose blanks before them, tabs and line
+    ends inside them, and an empty query or fragment. Dot segments are resolved in paths, not in links that name a host;
+    relative paths lose empty segments.
     """
-    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
-    host = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    bare = F.regexp_replace(base, "#.*$", "")
-    page = F.regexp_replace(bare, r"\?.*$", "")
-    folder = F.when(page == host, F.concat(host, F.lit("/"))).otherwise(F.regexp_replace(page, "[^/]*$", ""))
-    whole = (
-        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
-        .when(link == "", base)
-        .when(link.startswith("//"), F.concat(scheme, link))
-        .when(link.startswith("/"), F.concat(host, link))
-        .when(link.startswith("?"), F.concat(page, link))
-        .when(link.startswith("#"), F.concat(bare, link))
-        .otherwise(F.concat(folder, link))
+    pattern = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+    part = lambda url, i: F.regexp_extract(url, pattern, i)
+    bare = F.regexp_replace(F.regexp_replace(link, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
+    scheme, host = F.lower(part(base, 1)), part(base, 2)
+    own, path, query, fragment = part(bare, 2), part(bare, 3), part(bare, 4), part(bare, 5)
+    mark = lambda sign, text: F.when(text != "", F.concat(F.lit(sign), text)).otherwise("")
+    rooted = lambda p: F.when((p != "") & ~p.startswith("/"), F.concat(F.lit("/"), p)).otherwise(p)
+    url = lambda at, p, q: F.concat(scheme, F.lit("://"), at, rooted(p), mark("?", q), mark("#", fragment))
+    # the page's folder, then the link's segments; only the first and the last may be empty
+    folder = F.filter(F.split(F.regexp_replace(part(base, 3), "[^/]+$", ""), "/"), lambda x: x != "")
+    steps = F.split(path, "/")
+    last = F.element_at(steps, -1)
+    inner = F.filter(F.slice(steps, F.lit(1), F.size(steps) - 1), lambda x: x != "")
+    segments = F.when(path.startswith("/"), steps).otherwise(F.concat(F.array(F.lit("")), folder, inner, F.array(last)))
+    up = lambda kept: F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
+    walk = lambda kept, x: F.when(x == ".", kept).when(x == "..", up(kept)).otherwise(F.concat(kept, F.array(x)))
+    walked = F.aggregate(segments, F.array().cast("array<string>"), walk)
+    closed = F.when(last.isin(".", ".."), F.concat(walked, F.array(F.lit("")))).otherwise(walked)
+    joined = F.array_join(closed, "/")
+    foreign = (part(bare, 1) != "") & (F.lower(part(bare, 1)) != scheme)
+    return (
+        F.when(link == "", base)
+        .when(foreign, link)
+        .when(own != "", url(own, path, query))
+        .when(path == "", url(host, part(base, 3), F.when(query != "", query).otherwise(part(base, 4))))
+        .otherwise(url(host, F.when(joined == "", "/").otherwise(joined), query))
     )
-    path = F.regexp_extract(whole, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    before = F.regexp_extract(whole, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    rest = F.regexp_extract(whole, r"^[^?#]*(.*)$", 1)
-    step = lambda kept, s: (
-        F.when(s == ".", kept).when(s == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(1)))).otherwise(F.concat(kept, F.array(s)))
-    )
-    segments = F.split(path, "/")
-    walked = F.aggregate(segments, F.array().cast("array<string>"), step)
-    closed = F.when(F.element_at(segments, -1).isin(".", ".."), F.concat(walked, F.array(F.lit("")))).otherwise(walked)
-    dotted = path.rlike(r"/\.{1,2}(/|$)")
-    return F.when(dotted & (before != ""), F.concat(before, F.array_join(closed, "/"), rest)).otherwise(whole)
 
 
 def links(html: Column) -> Column:

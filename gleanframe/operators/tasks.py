@@ -12,6 +12,8 @@ from pyspark.sql.window import Window as W
 from gleanframe.operators.tables import keyed_update
 
 TODO, DONE, DOING, FAILED = 0, 1, 2, -1
+#: Numbers of the order in a slice, which one task sees at a time.
+SLICE = 4096
 
 #: The counters of a run, in the order of its summary.
 COUNTERS = (
@@ -132,9 +134,10 @@ def alive(sessions: DataFrame, now: Column, node: str = "node") -> DataFrame:
 def alerts(log: DataFrame, least: int, part: float, most_failed: int, order: str = "seq", at: str = "at") -> DataFrame:
     """``(seq, at, key)``: the conditions met after each event of a run: failed rate and failed count.
 
-    ``at`` is in seconds. Running sums go over the totals of slices of time first, then inside a slice.
+    ``order`` is a whole number, ``at`` is in seconds and need not grow with it. Running sums go over the totals of slices of
+    the order first (a window over one row for each slice), then inside a slice.
     """
-    sliced = log.withColumn("_slice", F.floor(F.col(at) / 3600))
+    sliced = log.withColumn("_slice", F.floor(F.col(order) / SLICE))
     sums = sliced.groupBy("_slice").agg(F.count("*").alias("_n"), F.count_if(F.col("outcome") == "failed").alias("_f"))
     before = W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     starts = sums.select("_slice", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in ("_n", "_f")))
@@ -148,9 +151,9 @@ def alerts(log: DataFrame, least: int, part: float, most_failed: int, order: str
 def stalls(log: DataFrame, most: float, order: str = "seq", at: str = "at") -> DataFrame:
     """``(seq, at, key)``: the events that come over ``most`` seconds after the last success before them.
 
-    The last success is carried over the ends of slices of time, then inside a slice.
+    The last success is carried over the ends of slices of the order, then inside a slice.
     """
-    sliced = log.withColumn("_slice", F.floor(F.col(at) / 3600)).withColumn("_ok_at", F.when(F.col("outcome") == "ok", F.col(at)))
+    sliced = log.withColumn("_slice", F.floor(F.col(order) / SLICE)).withColumn("_ok_at", F.when(F.col("outcome") == "ok", F.col(at)))
     ends = sliced.groupBy("_slice").agg(F.max("_ok_at").alias("_ok"))
     before = W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     starts = ends.select("_slice", F.max("_ok").over(before).alias("_ok0"))

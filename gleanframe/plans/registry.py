@@ -665,7 +665,7 @@ def body_fingerprint(spark, d):
 def seed_once(spark, d):
     """All pages as seeds, beside a frontier that holds what pages outside one domain's end link to."""
     pages = _linked(spark, d)
-    fresh = sources.seeds(pages).withColumn("fp", identity.request_fingerprint(F.col("method"), F.col("url")))
+    fresh = sources.seeds(pages, order="page_id").withColumn("fp", identity.request_fingerprint(F.col("method"), F.col("url")))
     return sources.seed_once(fresh, frontier.discover(pages.where("url not like '%.net/%'"))).select("url", "fp")
 
 

@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanframe.functions.lineage import shared_folder
+
 #: Core columns of the tables that the operators take.
 REQUESTS = "seq long, url string, method string, callback string, priority int, retry_times int, filter_repeat boolean, cb_kwargs map<string,string>, requests_kwargs map<string,string>, custom map<string,string>"
 RESPONSES = "url string, status_code int, headers map<string,string>, cookies map<string,string>, content binary, encoding string, elapsed double, history array<string>, fetched_at timestamp"
 DEAD_LETTER = "table string, data string, update_keys array<string>, pipelines array<string>, reason string"
 
 
-def seeds(table: DataFrame, url: str = "url", priority: int = 300) -> DataFrame:
-    """Requests of a seed table; rows without a URL are refused. ``seq`` is the URL's hash, so that reruns agree."""
+def seeds(table: DataFrame, url: str = "url", priority: int = 300, order: str | None = None) -> DataFrame:
+    """Requests of a seed table; rows without a URL are refused.
+
+    ``seq`` is the whole number ``order`` of the table, so that seeds of one priority are taken first come, first served, in
+    every run. A table without such a column has no order; ``seq`` is then the URL's hash, which reruns at least agree on.
+    """
     rows = table.where(F.col(url).isNotNull())
-    return rows.select(F.xxhash64(F.col(url)).alias("seq"), F.col(url).alias("url"), F.lit("GET").alias("method"), F.lit(priority).alias("priority"), F.lit(0).alias("retry_times"), F.lit(True).alias("filter_repeat"))
+    arrival = F.xxhash64(F.col(url)) if order is None else F.col(order).cast("long")
+    return rows.select(arrival.alias("seq"), F.col(url).alias("url"), F.lit("GET").alias("method"), F.lit(priority).alias("priority"), F.lit(0).alias("retry_times"), F.lit(True).alias("filter_repeat"))
 
 
 def seed_once(fresh: DataFrame, frontier: DataFrame, key: str = "fp") -> DataFrame:
@@ -53,5 +62,10 @@ def append(items: DataFrame, folder: str, fmt: str = "parquet") -> None:
 
 
 def item_schema(spark: SparkSession, lines: DataFrame, column: str = "data") -> str:
-    """The schema that the first object of a column of JSON objects shows."""
-    return lines.select(F.schema_of_json(F.lit(lines.select(column).first()[0]))).first()[0]
+    """The schema of a column of JSON objects: the fields that any of them has, in types that hold all their values.
+
+    The objects are kept as text in the shared folder, for Spark's reader to infer it from all of them.
+    """
+    folder = f"{shared_folder(lines)}/lines-{uuid.uuid4().hex}"
+    lines.select(F.col(column).alias("value")).where("value is not null").write.text(folder)
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.json(folder).schema.fields)

@@ -34,8 +34,16 @@ def test_bodies_tell_requests_apart(spark):
     assert found == ["k=1", '{"a": "1", "b": "2"}', '{"a": "1", "b": "2"}', '{"x": "y"}', ""]
 
 
-@pytest.mark.parametrize("base", ["http://a.b/x/y/z.html", "http://a.b/x/?q=1"])
+ODD_LINKS = [
+    "http://c.d/a/../b", "http://a.b/./x", "HTTP://c.d/X", "https://c.d/a/../b", "http:foo", "http:", "a//b", "/a//b/../c", "?", "#", "?#", " x", "\tx\ny ", " ", "///x", "//h", "//h?q", "x?y/../z", "x#y/../z",
+    "a;b", "../../../../x", "..", "./", "a/./b/", "tel:1", "1:2", "a b", "", "/", "/..", "/../x", "a/..", "a/../", "é/ü?ß", "javascript:void(0)", "x:y/z",
+]
+
+
+@pytest.mark.parametrize("base", ["http://a.b/x/y/z.html", "http://a.b/x/?q=1", "http://a.b", "HTTPS://a.b/#f", "http://a.b/x//y/z?a=b#c"])
 def test_join_url(spark, base):
+    rows = spark.createDataFrame([(x,) for x in ODD_LINKS], "link string").select("link", identity.join_url(F.lit(base), F.col("link")).alias("u")).collect()
+    assert {r.link: r.u for r in rows} == {x: urljoin(base, x) for x in ODD_LINKS}
     rows = spark.createDataFrame([(x,) for x in LINKS], "link string").select("link", identity.join_url(F.lit(base), F.col("link")).alias("u")).collect()
     assert {r.link: r.u for r in rows} == {x: urljoin(base, x) for x in LINKS}
 

@@ -185,3 +185,25 @@ def test_suppression_equals_a_loop(spark):
     found = spark.createDataFrame(rows, "seq int, at double, key string")
     assert sorted(r.seq for r in tasks.suppress(found, 5.0).collect()) == expected
     assert tasks.suppress(found, 0).count() == 400
+
+
+def test_alerts_follow_the_order_and_not_the_clock(spark):
+    log = spark.createDataFrame([(1, 100.0), (2, 5000.0), (3, 90.0), (4, 80.0)], "seq long, at double").withColumn("outcome", F.lit("failed"))
+    assert sorted(r.seq for r in tasks.alerts(log, 100, 0.5, 2).collect()) == [3, 4]
+
+
+def test_seeds_come_in_the_order_of_their_table(spark):
+    from gleanframe.operators import frontier
+    from gleanframe.sources import tables as sources
+
+    table = spark.createDataFrame([(f"http://h/{i * 7 % 10}", i) for i in range(10)] + [(None, 10)], "url string, n int").repartition(4)
+    taken = frontier.top(sources.seeds(table, order="n"), 10).collect()
+    assert [r.url for r in taken] == [f"http://h/{i * 7 % 10}" for i in range(10)]
+
+
+def test_schemas_hold_the_fields_of_all_items(spark):
+    from gleanframe.sources import tables as sources
+
+    lines = spark.createDataFrame([('{"a": 1}',), ('{"b": "x", "a": 2.5}',), (None,)], "data string")
+    shown = sources.item_schema(spark, lines)
+    assert [tuple(r.v) for r in lines.where("data is not null").select(F.from_json("data", shown).alias("v")).orderBy("v.a").collect()] == [(1.0, None), (2.5, "x")]
