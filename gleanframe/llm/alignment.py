@@ -3,10 +3,11 @@
 Equal texts are brought together by a shuffle on the whole text. Each distinct text is tokenised and aligned once, its
 links count as often as the text occurs, and what was measured is joined back to all documents that hold it.
 
-A text is parted before a space that follows something that is neither white space nor U+2581. There both tokenizers
-end a token (the byte-level one splits words there, and no piece of the other holds a space after something else), so tokens
-and groups of the whole text are those of its parts, one after the other. A task aligns each distinct part once and keeps
-it in a bounded memo; a huge text is handled some parts at a time.
+Tokens end at byte offsets. The offsets at which either side ends a token cut a text into pieces, each of which lies in one token
+of either side: these are the links. Where both sides end one, a group ends. So all tokens of many texts are aligned by array
+arithmetic over their ends. A huge text is handled in slices: it may be parted before a space that follows something that is
+neither white space nor U+2581, where both tokenizers end a token (the byte-level one splits words there, and no piece of
+the other holds a space after something else).
 
 How often an id pair is linked is counted in the whole corpus. Texts are dealt with in blocks of about ``BLOCK`` bytes: a block
 reports each of its pairs once, with its sum, so what is shuffled is far less than one row a link. The corpus-wide counts
@@ -33,28 +34,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from gleanframe.llm import merges
 from gleanframe.llm.common import cut, tidy
 
 MEASURES = ("n_a", "n_b", "n_groups", "n_links")
 #: Where a text may be parted; the space belongs to what follows.
 GAP = re.compile(r"(?<=[^\s▁]) (?!\Z)")
-#: Characters of a text that are aligned at a time, bytes of texts in a block, and distinct parts that a task remembers.
-CHUNK_CHARS, BLOCK, MEMO_PARTS = 1 << 20, 4 << 20, 100_000
+#: Characters of texts that are aligned at a time, and bytes of texts in a block.
+CHUNK_CHARS, BLOCK = 1 << 19, 4 << 20
+#: Texts that are measured before their pairs go into blocks.
+ROWS = 256
 #: A pair of ids as one number: the first id above, the second in so many bits below.
 LOW = 20
 
 
-def byte_level() -> dict[str, int]:
-    """The byte that each character of a byte-level vocabulary stands for: printable ones themselves, the rest from U+0100 on."""
-    plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-    others = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 class First:
     """A ``tokenizers`` file with a byte-level vocabulary; special strings in texts are ordinary text."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, fast: bool) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -62,11 +59,17 @@ class First:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.tokenizer.encode_special_tokens = True
-        of = byte_level()
+        of = merges.byte_level()
         self.bytes = {i: bytes(of[c] for c in t) if all(c in of for c in t) else t.encode() for t, i in self.tokenizer.get_vocab().items()}
+        self.fast = None
+        if fast:
+            rank, ids = merges.ranks(path, held=True)
+            self.fast, self.ids = merges.encoding(path, rank), np.array([ids[r] for r in range(len(ids))], np.int64)
 
-    def encode(self, parts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if self.fast is not None:
+            return [self.ids[self.fast.encode_to_numpy(" " + t)] for t in texts]
+        return [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
 
 
 class Second:
@@ -79,102 +82,128 @@ class Second:
         pieces = ((i, self.model.id_to_piece(i)) for i in range(self.model.get_piece_size()))
         self.bytes = {i: bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces}
 
-    def encode(self, parts: list[str]) -> list[list[int]]:
-        return self.model.encode(parts, num_threads=1)
-
-
-def align(a: list[bytes], b: list[bytes]) -> tuple[list[tuple[range, range]], list[tuple[int, int]]]:
-    """The groups of two lists of tokens over the same bytes, as ranges of each, and the places of all overlapping pairs."""
-    groups, links = [], []
-    i = j = from_i = from_j = 0
-    end_a, end_b = len(a[0]) if a else 0, len(b[0]) if b else 0
-    while i < len(a) and j < len(b):
-        links.append((i, j))
-        if end_a == end_b:
-            groups.append((range(from_i, i + 1), range(from_j, j + 1)))
-            from_i, from_j = i + 1, j + 1
-        on_a, on_b = end_a <= end_b, end_b <= end_a
-        if on_a:
-            i += 1
-            end_a += len(a[i]) if i < len(a) else 0
-        if on_b:
-            j += 1
-            end_b += len(b[j]) if j < len(b) else 0
-    return groups, links
-
-
-class Memo:
-    """Parts of texts that were aligned: numbers, groups as text, and pair keys, by place."""
-
-    def __init__(self, path_a: str, path_b: str, most: int = MEMO_PARTS) -> None:
-        self.first, self.second, self.most = First(path_a), Second(path_b), most
-        self._forget()
-
-    def _forget(self) -> None:
-        self.places: dict[str, int] = {}
-        self.rows: list[tuple[int, int, int, int]] = []
-        self.keys: list[list[int]] = []
-        self.groups: list[bytes] = []
-        self.odd: set[int] = set()  # parts that do not come back whole
-
-    def _learn(self, parts: list[str]) -> None:
-        for part, a, b in zip(parts, self.first.encode(parts), self.second.encode(parts), strict=True):
-            at = self.places[part] = len(self.rows)
-            bytes_a, bytes_b = [self.first.bytes[x] for x in a], [self.second.bytes[x] for x in b]
-            whole_a, whole_b, whole = b"".join(bytes_a), b"".join(bytes_b), (" " + part).encode()
-            if whole_a != whole or whole_b != whole:
-                self.odd.add(at)
-                groups, links = [], []
-            else:
-                groups, links = align(bytes_a, bytes_b)
-            text = ";".join(f"{','.join(str(a[i]) for i in g)}|{','.join(str(b[j]) for j in h)}" for g, h in groups)
-            self.rows.append((len(a), len(b), len(groups), len(links)))
-            self.keys.append([a[i] << LOW | b[j] for i, j in links])
-            self.groups.append(text.encode())
-
-    def look(self, parts: list[str]) -> np.ndarray:
-        """The places of parts, in order; those not known yet are aligned first."""
-        new = [p for p in dict.fromkeys(parts) if p not in self.places]
-        if len(self.places) + len(new) > self.most:
-            self._forget()
-            new = list(dict.fromkeys(parts))
-        if new:
-            self._learn(new)
-        return np.fromiter(map(self.places.__getitem__, parts), np.int64, len(parts))
-
-
-def text_parts(text: str, size: int = CHUNK_CHARS) -> Iterator[list[str]]:
-    """The parts of a text in lists made from about ``size`` characters each."""
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(ids, np.int64) for ids in self.model.encode(texts, num_threads=1)]
+
+
+class _Side:
+    """What a vocabulary's ids stand for, by id: their bytes, how many, and their decimal digits in cells of one width."""
+
+    def __init__(self, of: dict[int, bytes]) -> None:
+        top = max(of) + 1
+        self.bytes = [of.get(i, b"") for i in range(top)]
+        self.size = np.array([len(b) for b in self.bytes], np.int64)
+        width = len(str(top))
+        self.digits = np.array([list(str(i).encode().rjust(width, b"\0")) for i in range(top)], np.uint8)
+        self.written = (self.digits > 0).sum(1)
+
+    def whole(self, ids: np.ndarray, text: bytes) -> bool:
+        return b"".join(map(self.bytes.__getitem__, ids.tolist())) == text
+
+
+class Aligner:
+    def __init__(self, path_a: str, path_b: str, fast: bool) -> None:
+        self.a, self.b = First(path_a, fast), Second(path_b)
+        self.side_a, self.side_b = _Side(self.a.bytes), _Side(self.b.bytes)
+
+    def align(self, texts: list[str]) -> list[tuple[np.ndarray, bytes, np.ndarray, np.ndarray] | None]:
+        """For each text its ``MEASURES``, its groups as text, its distinct pairs ascending and how often it has each; None if it does not come back whole."""
+        out: list = [None] * len(texts)
+        kept = []
+        for i, (text, a, b) in enumerate(zip(texts, self.a.encode(texts), self.b.encode(texts), strict=True)):
+            whole = (" " + text).encode()
+            if self.side_a.whole(a, whole) and self.side_b.whole(b, whole):
+                kept.append((i, a, b, len(whole)))
+        if not kept:
+            return out
+        a, b = (np.concatenate([k[j] for k in kept]) for j in (1, 2))
+        edge = np.cumsum([k[3] for k in kept])  # where texts end
+        ends_a, ends_b = np.cumsum(self.side_a.size[a]) - 1, np.cumsum(self.side_b.size[b]) - 1  # last bytes of tokens
+        last_a, last_b = np.zeros(edge[-1], bool), np.zeros(edge[-1], bool)
+        last_a[ends_a], last_b[ends_b] = True, True
+        common = last_a & last_b
+        cuts = np.flatnonzero(last_a | last_b)
+        token_a, token_b = (np.cumsum(x)[cuts] - x[cuts] for x in (last_a, last_b))  # tokens that ended before
+        pairs = a[token_a] << LOW | b[token_b]
+        inner = edge - 1
+        n_a, n_b, n_links = (np.diff(np.searchsorted(x, inner, "right"), prepend=0) for x in (ends_a, ends_b, cuts))
+        n_groups = np.diff(np.cumsum(common)[inner], prepend=0)
+        written, starts = self._written(a, b, ends_a, ends_b, common, np.cumsum(n_a), np.cumsum(n_b))
+        begin, first = 0, 0
+        for (i, *_), end, links, *numbers in zip(kept, starts.tolist(), n_links.tolist(), n_a, n_b, n_groups, n_links, strict=True):
+            keys, times = np.unique(pairs[first : first + links], return_counts=True)
+            out[i] = np.array(numbers), written[begin : end - 1], keys, times
+            begin, first = end, first + links
+        return out
+
+    def _written(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray, common: np.ndarray, to_a: np.ndarray, to_b: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """All groups as text, each closed by a semicolon, and where each text's end in that.
+
+        A token's place is its number on its own side and the number of tokens of the other side that come before it.
+        """
+        closed = np.cumsum(common)
+        group_a, group_b = (closed[e] - common[e] for e in (ends_a, ends_b))
+        of_a, of_b = (np.bincount(g, minlength=closed[-1]) for g in (group_a, group_b))
+        place_a = np.arange(len(a)) + (np.cumsum(of_b) - of_b)[group_a]
+        place_b = np.arange(len(b)) + np.cumsum(of_a)[group_b]
+        width = max(self.side_a.digits.shape[1], self.side_b.digits.shape[1])
+        cells, sizes = np.zeros((len(a) + len(b), width + 1), np.uint8), np.empty(len(a) + len(b), np.int64)
+        for side, ids, ends, place, closing in ((self.side_a, a, ends_a, place_a, b"|"), (self.side_b, b, ends_b, place_b, b";")):
+            cells[place, width - side.digits.shape[1] : width] = side.digits[ids]
+            cells[place, width] = np.where(common[ends], closing[0], ord(","))
+            sizes[place] = side.written[ids] + 1
+        return cells[cells > 0].tobytes(), np.cumsum(sizes)[to_a + to_b - 1]
+
+
+def slices(text: str, size: int = CHUNK_CHARS) -> Iterator[str]:
+    """A text in slices of about ``size`` characters, parted at :data:`GAP`; the space between two is left out."""
     start = 0
     while len(text) - start > size:
         m = GAP.search(text, start + size)
         if m is None:
             break
-        yield GAP.split(text[start : m.start()])
+        yield text[start : m.start()]
         start = m.end()
-    yield GAP.split(text[start:])
+    yield text[start:]
 
 
-def measure(text: str, memo: Memo) -> tuple[tuple[int, int, int, int], str, np.ndarray, np.ndarray] | None:
-    """A text's numbers, the digest of its groups, and its distinct pairs with their numbers; None if it does not come back whole.
+def measured(texts: list[str], aligner: Aligner, size: int = CHUNK_CHARS) -> list[tuple[list[int], str, np.ndarray, np.ndarray] | None]:
+    """Each text's numbers, the digest of its groups, and its distinct pairs with their numbers; None if it does not come back whole.
 
-    That is so if one part does not: bytes are never gained, so no other part could make up for those that one part lacks.
+    That is so if a slice does not: no token stands for more bytes than its text, so no slice could make up for those that another lacks.
     """
-    numbers, digest, begun = np.zeros(4, np.int64), hashlib.sha256(), False
-    keys, times = np.empty(0, np.int64), np.empty(0, np.int64)
-    for parts in text_parts(text):
-        at = memo.look(parts)
-        some, n = np.unique(at, return_counts=True)
-        if not memo.odd.isdisjoint(some.tolist()):
-            return None
-        numbers += n @ np.array([memo.rows[i] for i in some.tolist()], np.int64).reshape(-1, 4)
-        digest.update((b";" if begun else b"") + b";".join(map(memo.groups.__getitem__, at.tolist())))
-        begun = True
-        found = [memo.keys[i] for i in some.tolist()]
-        flat = np.fromiter((k for f in found for k in f), np.int64)
-        times_flat = np.repeat(n, [len(f) for f in found])
-        keys, times = _sum(np.concatenate([keys, flat]), np.concatenate([times, times_flat]))
-    return tuple(numbers.tolist()), digest.hexdigest(), keys, times
+    out: list = []
+    short: list[int] = []
+
+    def one(parts: Iterator[tuple | None]) -> tuple | None:
+        numbers, digest, keys, times = np.zeros(4, np.int64), hashlib.sha256(), np.empty(0, np.int64), np.empty(0, np.int64)
+        for k, part in enumerate(parts):
+            if part is None:
+                return None
+            numbers += part[0]
+            digest.update((b";" if k else b"") + part[1])
+            keys, times = (part[2], part[3]) if not k else _sum(np.concatenate([keys, part[2]]), np.concatenate([times, part[3]]))
+        return numbers.tolist(), digest.hexdigest(), keys, times
+
+    def flush() -> None:
+        for i, part in zip(short, aligner.align([texts[i] for i in short]), strict=True):
+            out[i] = one(iter([part]))
+        short.clear()
+
+    held = 0
+    for i, text in enumerate(texts):
+        out.append(None)
+        if len(text) > size:
+            out[i] = one(aligner.align([s])[0] for s in slices(text, size))
+            continue
+        short.append(i)
+        held += len(text)
+        if held >= size:
+            flush()
+            held = 0
+    if short:
+        flush()
+    return out
 
 
 def _sum(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,8 +215,8 @@ def _sum(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 @lru_cache(1)
-def _memo(path_a: str, path_b: str) -> Memo:
-    return Memo(path_a, path_b)
+def _aligner(path_a: str, path_b: str, fast: bool) -> Aligner:
+    return Aligner(path_a, path_b, fast)
 
 
 ALIGNED = "digest binary, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, block binary, pairs binary, keys array<long>, totals array<long>"
@@ -198,10 +227,11 @@ def aligned(texts: DataFrame, path_a: str, path_b: str, block: int = BLOCK) -> D
 
     A text's ``pairs`` are places in its block's ascending ``keys`` and how often it has them. ``totals`` count each text ``times``.
     """
+    fast = merges.same(path_a)
     kinds = pa.schema([(c, pa.binary() if c in ("digest", "block", "pairs") else pa.string() if c == "groups_sha256" else pa.list_(pa.int64()) if c in ("keys", "totals") else pa.int64()) for c in [f.split()[0] for f in ALIGNED.split(", ")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, held, size = _memo(path_a, path_b), [], 0
+        aligner, held, size = _aligner(path_a, path_b, fast), [], 0
 
         def flush() -> pa.RecordBatch:
             keys = np.unique(np.concatenate([m[2] for _, _, m in held]))
@@ -216,15 +246,17 @@ def aligned(texts: DataFrame, path_a: str, path_b: str, block: int = BLOCK) -> D
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
 
         for b in batches:
-            for text, digest, times in zip(b.column(0), b.column(1), b.column(2), strict=True):
-                found = measure(text.as_py(), memo)
-                if found is None:
-                    continue
-                held.append((digest.as_py(), times.as_py(), found))
-                size += len(text.as_py())
-                if size >= block:
-                    yield flush()
-                    size = 0
+            for start in range(0, b.num_rows, ROWS):
+                part = b.slice(start, ROWS)
+                texts = part.column(0).to_pylist()
+                for text, digest, times, found in zip(texts, part.column(1), part.column(2), measured(texts, aligner), strict=True):
+                    if found is None:
+                        continue
+                    held.append((digest.as_py(), times.as_py(), found))
+                    size += len(text)
+                    if size >= block:
+                        yield flush()
+                        size = 0
         if held:
             yield flush()
 

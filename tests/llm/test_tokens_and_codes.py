@@ -11,7 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from gleanframe.llm import alignment, codes, packing, registry
+from gleanframe.llm import alignment, codes, merges, packing, registry
 from gleanframe.llm.registry import tokenizer
 from tests.llm.test_operators import none, odd  # noqa: F401
 from tests.oracle import compare
@@ -100,10 +100,10 @@ def test_alignment_equals_whole_texts(spark, sf001):
     docs += [(1000 + i, t) for i, t in enumerate(STRANGE)] + [(2000 + i, f"{x} {y}") for i, (x, y) in enumerate((x, y) for x in STRANGE for y in STRANGE)]
     want = Counter((i, *x) for (i, _), x in zip(docs, slow_alignment([t for _, t in docs]), strict=True))
     table = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-    assert found_alignment(alignment.align_documents(table, BYTE(), PIECE(), block=20_000)) == want
+    assert found_alignment(alignment.align_documents(table, BYTE(), PIECE(), block=20_000)) == want  # small blocks, so that many meet the same pairs
 
 
-def test_alignment_odd(spark, odd, none, monkeypatch):  # noqa: F811
+def test_alignment_odd(spark, odd, none):  # noqa: F811
     rows = odd.select("doc_id", "text").collect()
     want = Counter((r.doc_id, *x) for r, x in zip(rows, slow_alignment([r.text for r in rows]), strict=True))
     assert found_alignment(alignment.align_documents(odd, BYTE(), PIECE())) == want
@@ -111,21 +111,56 @@ def test_alignment_odd(spark, odd, none, monkeypatch):  # noqa: F811
     assert empty.count() == 0 and set(empty.columns) == {"doc_id", *ALIGNED}
 
 
-def test_long_texts_in_parts():
+def test_long_texts_in_slices():
     rng = random.Random(3)
-    text = "".join(rng.choice(["a", "b", " ", "  ", "\n", "▁", ".", " c"]) for _ in range(5000)) + " "
-    memo = alignment.Memo(BYTE(), PIECE(), most=50)
-    whole = alignment.GAP.split(text)
+    text = "".join(rng.choice(["a", "b", " ", "  ", "\n", "▁", ".", " c", "é", "12"]) for _ in range(5000)) + " "
     for size in (1, 7, 100, 10_000):
-        assert [p for parts in alignment.text_parts(text, size) for p in parts] == whole
+        assert " ".join(alignment.slices(text, size)) == text
     clean = text.replace("▁", "x")
-    one = alignment.measure(clean, memo)
-    parts, alignment.CHUNK_CHARS = alignment.CHUNK_CHARS, 64
-    try:
-        two = alignment.measure(clean, alignment.Memo(BYTE(), PIECE(), most=9))
-    finally:
-        alignment.CHUNK_CHARS = parts
-    assert one[:2] == two[:2] and all((x == y).all() for x, y in zip(one[2:], two[2:], strict=True))
+    slow, fast = alignment.Aligner(BYTE(), PIECE(), False), alignment.Aligner(BYTE(), PIECE(), True)
+    whole = alignment.measured([clean, "", text], slow)
+    assert whole[2] is None
+    for aligner in (slow, fast):
+        for size in (9, 64, 1 << 20):
+            found = alignment.measured([clean, "", text], aligner, size)
+            assert found[0][:2] == whole[0][:2] and found[2] is None
+            assert all((x == y).all() for x, y in zip(found[0][2:], whole[0][2:], strict=True))
+
+
+def test_ranks_give_the_same_ids_for_all_code_points():
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"{c}a {c}b1{c}" for c in every[i : i + 500]) for i in range(0, len(every), 500)]
+    slow, fast = alignment.First(BYTE(), False), alignment.First(BYTE(), True)
+    assert merges.same(BYTE()) and merges.same(WORD()) and merges.ranks("/opt/tokenizers/byte_bpe_50k.json") is not None
+    for a, b in zip(slow.encode(texts), fast.encode(texts), strict=True):
+        assert (a == b).all()
+
+
+def test_ranks_refuse_files_on_which_the_libraries_differ(tmp_path):
+    import json
+
+    with open(BYTE(), encoding="utf-8") as f:
+        whole = json.load(f)
+    known = merges.byte_level()
+    vocab = {c: i for i, c in enumerate(known)}
+    # "abc" is made of "ab" and "c" only, but "bc" goes first
+    pairs = [["b", "c"], ["a", "b"], ["ab", "c"]]
+    vocab |= {"".join(p): len(vocab) + i for i, p in enumerate(pairs)}
+    (tmp_path / "odd.json").write_text(json.dumps(whole | {"model": whole["model"] | {"vocab": vocab, "merges": pairs}}))
+    assert merges.ranks(str(tmp_path / "odd.json")) is None
+    (tmp_path / "even.json").write_text(json.dumps(whole | {"model": whole["model"] | {"vocab": vocab, "merges": [pairs[1], pairs[2], pairs[0]]}}))
+    assert merges.ranks(str(tmp_path / "even.json")) is not None
+
+
+def test_words_by_ranks_equal_the_library():
+    rng = random.Random(7)
+    parts = ["Don't", "x'll've", "it's!!", "A1b22", "<|endoftext|>", "<|ENDOFTEXT|>", "a<|startoftext|>b", "ÀÉîßÿ", "naïve's", "·x", "½", "ſ", "İ", "é", "'s't", "''", "'S", "_a_", "$5.00", "§", "ñandú,", "x" * 300]
+    letters = "abzAZ019'.,-_<|>$éÉñßøÿÀ·½İ中"
+    parts += ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 12))) for _ in range(30_000)]
+    fast, slow = packing._Ids(WORD(), True), packing._Ids(WORD(), False)
+    fast._learn([p.encode() for p in parts])
+    slow._learn([p.encode() for p in parts])
+    assert fast == slow
 
 
 def test_hot_copies_count_each(spark):
