@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -90,14 +92,15 @@ def links(html: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    """Numeric entities and the five named ones as the characters they stand for."""
+    """Numeric entities and HTML's named ones as the characters they stand for; other names stay."""
     code = lambda e: F.when(F.lower(F.left(e, F.lit(1))) == "x", F.substring(e, 2, 8)).otherwise(F.conv(e, 10, 16))
     char = lambda e: F.decode(F.unhex(F.lpad(code(e), 8, "0")), "UTF-32")
     numbers = F.array_distinct(F.regexp_extract_all(text, F.lit("&#([xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"), F.lit(1)))
     out = F.aggregate(numbers, text, lambda t, e: F.replace(t, F.concat(F.lit("&#"), e, F.lit(";")), char(e)))
-    for name, shown in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):  # amp last, so that nothing is decoded twice
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(shown))
-    return out
+    known = F.create_map(*[F.lit(x) for name, code_ in (name2codepoint | {"apos": 39}).items() if name != "amp" for x in (name, chr(code_))])
+    names = F.array_distinct(F.regexp_extract_all(out, F.lit("&([A-Za-z][A-Za-z0-9]*);"), F.lit(1)))
+    out = F.aggregate(F.filter(names, lambda e: known[e].isNotNull()), out, lambda t, e: F.replace(t, F.concat(F.lit("&"), e, F.lit(";")), known[e]))
+    return F.replace(out, F.lit("&amp;"), F.lit("&"))  # last, so that nothing is decoded twice
 
 
 def request_body(data: Column, json: Column, params: Column) -> Column:

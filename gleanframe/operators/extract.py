@@ -20,8 +20,10 @@ ENDS = {**dict.fromkeys(BLOCKS, {"p"}), "li": {"li", "p"}, "dt": {"dt", "dd", "p
 
 
 def decode_text(content: Column, encoding: Column) -> Column:
-    """Text of a body: the forced encoding, else a byte order mark or a declared charset, else UTF-8; bad bytes are replaced."""
+    """Text of a body: the forced encoding, else a byte order mark or a declared charset, else UTF-8; bad bytes are replaced.
 
+    Bodies in valid UTF-8 that name no other encoding never leave the JVM; only the others are sent to Python's codecs.
+    """
     @F.pandas_udf("string")
     def run(bodies: pd.Series, forced: pd.Series) -> pd.Series:
         def one(body: bytes | None, name: str | None) -> str | None:
@@ -37,7 +39,13 @@ def decode_text(content: Column, encoding: Column) -> Column:
 
         return pd.Series([one(b, e) for b, e in zip(bodies, forced, strict=True)])
 
-    return run(content, encoding)
+    body = content.cast("binary")
+    declared = F.lower(F.regexp_extract(F.substring(body, 1, 2048).cast("string"), "charset=[\"']?([A-Za-z0-9_-]+)", 1))
+    marked = F.substring(body, 1, 3) == F.lit(b"\xef\xbb\xbf")
+    free = F.coalesce(encoding == "", F.lit(True))
+    plain = free & (marked | declared.isin("", "utf-8", "utf8")) & F.is_valid_utf8(body.cast("string"))
+    text = F.when(marked, F.substring(body, 4, 1 << 30)).otherwise(body).cast("string")
+    return F.when(plain, text).otherwise(run(F.when(~plain, body), encoding))
 
 
 class Step(NamedTuple):

@@ -96,3 +96,35 @@ def test_table_name():
     assert identity.table_name("NewsItem") == "news"
     assert identity.table_name("ProductDetail") == "product_detail"
     assert identity.table_name("HTTPItem") == "h_t_t_p"
+
+
+def test_decoding_stays_the_same_in_the_jvm(spark):
+    """Bodies of all kinds as Python's codecs read them, whether they go there or not."""
+    import re
+
+    def slow(body, name):
+        if body is None:
+            return None
+        found = re.search(rb"charset=[\"']?([A-Za-z0-9_-]+)", body[:2048])
+        for codec in (name, "utf-8-sig" if body.startswith(b"\xef\xbb\xbf") else None, found and found[1].decode(), "utf-8"):
+            try:
+                if codec:
+                    return body.decode(codec, "replace")
+            except LookupError:
+                continue
+
+    page = '<meta charset="{}">naïve 中文'
+    rows = [(b"plain", None), (None, None), (b"", None), ("é中😀".encode(), None), ("é".encode("latin-1"), None), ("é".encode("latin-1"), "latin-1"), ("é".encode(), "gbk"), ("é".encode(), ""), (b"\xef\xbb\xbfabc\xc3\xa9", None), (b"\xef\xbb\xbfabc\xff", None)]
+    rows += [(page.format(c).encode(e, "replace"), None) for c, e in (("utf-8", "utf-8"), ("UTF8", "utf-8"), ("gbk", "gbk"), ("nonsense", "utf-8"), ("iso-8859-1", "latin-1"), ("utf-8", "latin-1"))]
+    rows += [(b"x" * 2047 + "é charset=gbk".encode(), None), (b"\xed\xa0\x80", None), (b"\xf4\x90\x80\x80", None), (b"\xc0\x80", None)]
+    table = spark.createDataFrame([(i, bytearray(b) if b is not None else None, e) for i, (b, e) in enumerate(rows)], "i int, body binary, e string")
+    got = {r.i: r.t for r in table.select("i", extract.decode_text(F.col("body"), F.col("e")).alias("t")).collect()}
+    assert got == {i: slow(b, e) for i, (b, e) in enumerate(rows)}
+
+
+def test_named_entities(spark):
+    import html
+
+    texts = ["a&nbsp;b", "&eacute;&Eacute;&euro;", "&amp;lt;&lt;", "&nosuch;&amp;", "&#233;&#xE9;&apos;", "x?a=1&amp;copy=2", "&amp;amp;", ""]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(identity.unescape(F.col("t"))).collect()]
+    assert got == [html.unescape(t) for t in texts]
