@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from gleanframe.functions.lineage import cut
 from gleanframe.operators.tables import keyed_update
 
 TODO, DONE, DOING, FAILED = 0, 1, 2, -1
@@ -162,25 +161,69 @@ def stalls(log: DataFrame, most: float, order: str = "seq", at: str = "at") -> D
     return last.where(F.col(at) - F.col("_last") > most).select(order, at, F.lit("stall").alias("key"))
 
 
-def suppress(found: DataFrame, interval: float, order: str = "seq", at: str = "at") -> DataFrame:
-    """Of each key's alerts one per ``interval`` seconds; the first always.
+def suppress(found: DataFrame, interval: float, order: str = "seq", at: str = "at", width: int = 1024) -> DataFrame:
+    """Of each key's alerts, by time ``at``, one per ``interval`` seconds; the first always. Without an interval all are sent.
 
-    Of alerts with one key and time only the first can be sent, so the others go before the rest of a key, at most one
-    for each time, streams through one task in order. Without an interval all are sent.
+    Of alerts with one key and time only the first in ``order`` can be sent. Each other alert has a successor, the first at least
+    ``interval`` later, and what is sent is the chain of successors from a key's first alert. Time is cut into slices of the
+    interval, so a successor lies in the next slice or begins a later one; and ``width`` slices make a stretch, inside of
+    which a task follows chains. Chains over stretches are followed by doubling. So a key with very many alerts is
+    spread over as many tasks as it has stretches.
     """
     if interval <= 0:
         return found
-    firsts = found.groupBy("key", at).agg(F.min_by(F.struct(*found.columns), order).alias("_first")).select("_first.*")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, last = None, None
-        for b in batches:
-            keep = []
-            for k, t in zip(b["key"], b[at], strict=True):
-                send = k != key or t - last >= interval
-                keep.append(send)
-                if send:
-                    key, last = k, t
-            yield b[keep]
-
-    return firsts.repartition("key").sortWithinPartitions("key", order).mapInPandas(run, found.schema)
+    t, own = F.col("_t"), ["key", "_stretch"]
+    firsts = found.groupBy("key", F.col(at).cast("double").alias("_t")).agg(F.min_by(F.struct(*found.columns), order).alias("_first"))
+    firsts = cut(firsts.withColumn("_slice", F.floor(t / interval)).withColumn("_stretch", F.floor(F.col("_slice") / width)))
+    nodes = cut(_successors(firsts.select("key", "_t", "_slice", "_stretch"), interval))
+
+    def leave(rows: pd.DataFrame) -> pd.DataFrame:
+        """Where the chain from each alert enters another stretch."""
+        rows = rows.sort_values("_t", ignore_index=True)
+        place, out = {x: i for i, x in enumerate(rows["_t"])}, [None] * len(rows)
+        for i in range(len(rows) - 1, -1, -1):
+            to = rows["_next"][i]
+            out[i] = None if pd.isna(to) else out[place[to]] if to in place else to
+        return pd.DataFrame({"key": rows["key"], "_t": rows["_t"], "_enters": pd.array(out, "Float64")})
+
+    def follow(rows: pd.DataFrame) -> pd.DataFrame:
+        """The chain from the stretch's entry."""
+        to, now, sent = dict(zip(rows["_t"], rows["_next"], strict=True)), rows["_entry"].iloc[0], []
+        while now in to:
+            sent.append(now)
+            now = to[now]
+        return pd.DataFrame({"key": rows["key"].iloc[: len(sent)].to_numpy(), "_t": sent})
+
+    kind = found.schema["key"].dataType.simpleString()
+    jumps = nodes.groupBy(*own).applyInPandas(leave, f"key {kind}, _t double, _enters double").where("_enters is not null")
+    entries = nodes.groupBy("key").agg(F.min("_t").alias("_t"))
+    targets = jumps.select("key", F.col("_enters").alias("_t")).distinct().unionByName(entries)
+    jumps = cut(jumps.join(targets.distinct(), ["key", "_t"], "left_semi"))
+    levels = []
+    while not jumps.isEmpty():
+        levels.append(jumps)
+        further = jumps.select("key", F.col("_t").alias("_enters"), F.col("_enters").alias("_on"))
+        jumps = cut(jumps.join(further, ["key", "_enters"]).select("key", "_t", F.col("_on").alias("_enters")))
+    for level in reversed(levels):
+        entries = cut(entries.unionByName(entries.join(level, ["key", "_t"]).select("key", F.col("_enters").alias("_t"))))
+    entries = entries.join(nodes, ["key", "_t"]).groupBy(*own).agg(F.min("_t").alias("_entry"))
+    sent = nodes.join(entries, own).groupBy(*own).applyInPandas(follow, f"key {kind}, _t double")
+    return firsts.join(sent, ["key", "_t"], "left_semi").select("_first.*")
+
+
+def _successors(alerts: DataFrame, interval: float) -> DataFrame:
+    """``alerts`` (by key, time, slice and stretch) with ``_next``, the time of the first one at least ``interval`` later."""
+    slices = alerts.groupBy("key", "_stretch", "_slice").agg(F.min("_t").alias("_low"))
+    stretches = slices.groupBy("key", "_stretch").agg(F.min("_low").alias("_low"))
+    after = stretches.select("key", "_stretch", F.lead("_low").over(W.partitionBy("key").orderBy("_stretch")).alias("_after"))
+    later = F.coalesce(F.lead("_low").over(W.partitionBy("key", "_stretch").orderBy("_slice")), F.col("_after"))
+    follows = slices.join(after, ["key", "_stretch"]).select("key", "_slice", later.alias("_later"))
+    # the alerts of a slice beside those of the slice before that ask for the first one from their time plus the interval on
+    here = alerts.select("key", "_slice", F.col("_t").alias("_at"), F.lit(0).alias("_asks"), F.lit(None).cast("double").alias("_t"), F.lit(None).cast("long").alias("_stretch"))
+    asking = alerts.select("key", (F.col("_slice") + 1).alias("_slice"), (F.col("_t") + interval).alias("_at"), F.lit(1).alias("_asks"), "_t", "_stretch")
+    upwards = W.partitionBy("key", "_slice").orderBy(F.desc("_at"), "_asks").rowsBetween(W.unboundedPreceding, 0)
+    near = here.unionByName(asking).withColumn("_near", F.min(F.when(F.col("_asks") == 0, F.col("_at"))).over(upwards)).where("_asks = 1")
+    next_slice = follows.select("key", "_slice", F.col("_later").alias("_past_next"), F.lit(True).alias("_is_there"))
+    own_slice = follows.select("key", (F.col("_slice") + 1).alias("_slice"), F.col("_later").alias("_past_own"))
+    met = near.join(next_slice, ["key", "_slice"], "left").join(own_slice, ["key", "_slice"], "left")
+    return met.select("key", "_t", "_stretch", F.coalesce("_near", F.when(F.col("_is_there"), F.col("_past_next")).otherwise(F.col("_past_own"))).alias("_next"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 import heapq
 import random
 
-from gleanframe.operators import admission, dedup, pacing, tables, tasks
+import pytest
 from pyspark.sql import functions as F
 
+from gleanframe.operators import admission, dedup, pacing, tables, tasks
+
 
 def test_tickets_equal_a_loop(spark):
     chance = random.Random(1)
@@ -207,3 +209,21 @@ def test_schemas_hold_the_fields_of_all_items(spark):
     lines = spark.createDataFrame([('{"a": 1}',), ('{"b": "x", "a": 2.5}',), (None,)], "data string")
     shown = sources.item_schema(spark, lines)
     assert [tuple(r.v) for r in lines.where("data is not null").select(F.from_json("data", shown).alias("v")).orderBy("v.a").collect()] == [(1.0, None), (2.5, "x")]
+
+
+@pytest.mark.parametrize(("interval", "width"), [(10.0, 4), (10.0, 1024), (0.5, 8), (1000.0, 2)])
+def test_suppression_over_many_stretches_equals_a_loop(spark, interval, width):
+    """Dense and sparse alerts of a hot key, alone in their slices or many in one, with gaps of many slices."""
+    rng = random.Random(7)
+    rows, now = [], 0.0
+    for i in range(3000):
+        now += rng.choice([0, 1, 1, 2, 9, 10, 11, 25]) if rng.random() < 0.99 else 700.0
+        rows.append(("hot" if rng.random() < 0.9 else rng.choice("ab"), i, now))
+    last, want = {}, set()
+    for key, i, at in rows:
+        if key not in last or at - last[key] >= interval:
+            last[key] = at
+            want.add(i)
+    table = spark.createDataFrame(rows, "key string, seq long, at double")
+    assert {r.seq for r in tasks.suppress(table, interval, width=width).collect()} == want
+    assert tasks.suppress(table.limit(0), interval, width=width).count() == 0
