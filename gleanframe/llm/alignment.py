@@ -79,7 +79,9 @@ class Second:
         from sentencepiece import SentencePieceProcessor
 
         self.model = SentencePieceProcessor(model_file=path)
-        pieces = ((i, self.model.id_to_piece(i)) for i in range(self.model.get_piece_size()))
+        pieces = [(i, self.model.id_to_piece(i)) for i in range(self.model.get_piece_size())]
+        #: Whether texts may be parted at :data:`GAP`: no piece holds a space after something else.
+        self.parts = not any(re.search("[^▁]▁", p) for _, p in pieces)
         self.bytes = {i: bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -104,6 +106,7 @@ class _Side:
 class Aligner:
     def __init__(self, path_a: str, path_b: str, fast: bool) -> None:
         self.a, self.b = First(path_a, fast), Second(path_b)
+        self.parts = fast and self.b.parts
         self.side_a, self.side_b = _Side(self.a.bytes), _Side(self.b.bytes)
 
     def align(self, texts: list[str]) -> list[tuple[np.ndarray, bytes, np.ndarray, np.ndarray] | None]:
@@ -193,7 +196,7 @@ def measured(texts: list[str], aligner: Aligner, size: int = CHUNK_CHARS) -> lis
     held = 0
     for i, text in enumerate(texts):
         out.append(None)
-        if len(text) > size:
+        if len(text) > size and aligner.parts:
             out[i] = one(aligner.align([s])[0] for s in slices(text, size))
             continue
         short.append(i)

@@ -74,10 +74,31 @@ def ranks(path: str, held: bool = False) -> tuple[dict[bytes, int], dict[int, in
     return rank, {r: ids[t] for t, r in rank.items() if t in ids}
 
 
+def _whole(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
 @lru_cache(4)
 def same(path: str) -> bool:
-    """Whether :func:`ranks` holds for a file; the driver asks once, so that tasks need not."""
-    return ranks(path) is not None
+    """Whether a file parts texts by :data:`PATTERN`, as they are, and :func:`ranks` holds for it; the driver asks once, so that tasks need not."""
+    whole = _whole(path)
+    first = whole.get("pre_tokenizer") or {}
+    return whole.get("normalizer") is None and first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space") and ranks(path) is not None
+
+
+#: Fixed value: how the word-level vocabulary's file finds words in texts that it has lower-cased.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+@lru_cache(4)
+def same_words(path: str) -> bool:
+    """Whether a file lower-cases texts and parts them by :data:`WORDS`, and :func:`ranks` holds for it."""
+    whole = _whole(path)
+    kinds = [n["type"] for n in (whole.get("normalizer") or {}).get("normalizers", [])]
+    first = ((whole.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    found = first.get("type") == "Split" and first.get("invert") and first.get("behavior") == "Removed" and first.get("pattern") == {"Regex": WORDS}
+    return kinds == ["NFC", "Replace", "Lowercase"] and bool(found) and ranks(path) is not None
 
 
 def encoding(path: str, rank: dict[bytes, int]):

@@ -17,6 +17,7 @@ each; null ids are packed like others; an empty table gives an empty result; fur
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator, Mapping
@@ -29,11 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from gleanframe.llm import merges
 from gleanframe.llm.common import cut, tidy, word_chunks
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Distinct parts of texts whose ids a task keeps before it starts anew.
-MEMO_PARTS = 200_000
+MEMO_PARTS = 500_000
 #: Slices of a hash in which pieces of one length are numbered, at least, and pieces for each slice beyond that.
 SLICES, SLICE_ROWS = 1024, 1 << 16
 
@@ -41,10 +43,16 @@ SLICES, SLICE_ROWS = 1024, 1 << 16
 class _Ids(dict):
     """Ids (little-endian, four bytes each) of the white-space separated parts of texts, as the tokenizer gives them.
 
-    Its pieces never hold white space, so a text's ids are those of its parts, one after the other.
+    Its pieces never hold white space, so a text's ids are those of its parts, one after the other. Parts of plain letters
+    (ASCII and the Latin letters up to U+00FF, which its normaliser only lower-cases) are split into words here and merged by
+    ranks, if the file allows that (:mod:`merges`); the library encodes all others.
     """
 
-    def __init__(self, path: str) -> None:
+    #: Words of plain parts, as the file's pattern takes them, and what a part must be made of to be plain.
+    WORDS = re.compile("'(?:[stmd]|re|ve|ll)|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+    PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+
+    def __init__(self, path: str, fast: bool) -> None:
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -52,6 +60,30 @@ class _Ids(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.merge = None
+        if fast:
+            rank, ids = merges.ranks(path, held=True)
+            self.packed = [ids.get(r, 0).to_bytes(4, "little") for r in range(len(rank))]
+            self.merge = merges.encoding(path, rank)._encode_single_piece
+
+    def _learn(self, parts: list[bytes]) -> None:
+        rest, merge, packed = [], self.merge, self.packed.__getitem__ if self.merge else None
+        for p in parts:
+            if merge is not None and p.isalpha():  # one word of ASCII letters
+                self[p] = b"".join(map(packed, merge(p.lower() + merges.END)))
+                continue
+            text = p.decode()
+            if merge is None or not self.PLAIN.fullmatch(text) or ("<" in text and any(s in text for s in self.special)):
+                rest.append((p, text))
+                continue
+            found: list[int] = []
+            for word in self.WORDS.findall(text.lower()):
+                found += merge(word.encode() + merges.END)
+            self[p] = b"".join(map(packed, found))
+        if rest:
+            found = self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False)
+            self.update((p, np.array(e.ids, "<u4").tobytes()) for (p, _), e in zip(rest, found, strict=True))
 
     def chunks(self, text: bytes) -> Iterator[bytes]:
         for parts in word_chunks(text):
@@ -60,23 +92,23 @@ class _Ids(dict):
                 self.clear()
                 new = list(set(parts))
             if new:
-                found = self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
-                self.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(new, found, strict=True))
+                self._learn(new)
             yield b"".join(map(self.__getitem__, parts))
 
 
 @lru_cache(1)
-def _ids(path: str) -> _Ids:
-    return _Ids(path)
+def _ids(path: str, fast: bool) -> _Ids:
+    return _Ids(path, fast)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = 4096, end: int = 1, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)`` of each document's pieces, and their ``ids`` if asked for."""
+    fast = merges.same_words(path)
     last, size = np.array([end], "<u4").tobytes(), 4 * capacity
 
     def parted(text: bytes) -> Iterator[bytes]:
         held = b""
-        for chunk in _ids(path).chunks(text):
+        for chunk in _ids(path, fast).chunks(text):
             held += chunk
             full = len(held) // size * size
             yield from (held[i : i + size] for i in range(0, full, size))
