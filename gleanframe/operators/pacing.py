@@ -46,6 +46,15 @@ def tickets(arrivals: DataFrame, key: str = "domain", order: str = "seq", at: st
     return met.withColumn("start", found).select(*arrivals.columns, "start")
 
 
+def delay(usual: float, crawl_delay: Column, chance: Column | None = None) -> Column:
+    """Seconds between two requests to a domain: the usual ones, or its own crawl delay if that is longer.
+
+    ``chance`` (0 to 1, of each request) makes it half to one and a half of that, since an even pace gives a robot away.
+    """
+    longer = F.greatest(F.lit(float(usual)), F.coalesce(crawl_delay, F.lit(0.0)))
+    return longer if chance is None else longer * (0.5 + chance)
+
+
 def _last_before(rows: DataFrame, value: Column, name: str, key: str, order: str, width: int) -> DataFrame:
     """``rows`` with the last value that is not null of the key's rows before."""
     some = _sliced(rows, order, width).withColumn("_value", value)

@@ -130,20 +130,25 @@ def alive(sessions: DataFrame, now: Column, node: str = "node") -> DataFrame:
     return sessions.where((F.col("started") <= now) & (now < F.col("ended"))).select(node)
 
 
-def alerts(log: DataFrame, least: int, part: float, most_failed: int, order: str = "seq", at: str = "at") -> DataFrame:
-    """``(seq, at, key)``: the conditions met after each event of a run: failed rate and failed count.
+def alerts(log: DataFrame, least: int, part: float, most_failed: int, order: str = "seq", at: str = "at", held: str | None = None, capacity: int = 0, full: float = 0.8) -> DataFrame:
+    """``(seq, at, key)``: the conditions met after each event of a run: ``failed_rate`` and ``failed_count``, at the limit or above (0 failed: no limit).
+
+    ``held``, if given, is how many keys a dedup filter of that ``capacity`` holds by then; ``dedup_fill`` tells that it is nearly full.
 
     ``order`` is a whole number, ``at`` is in seconds and need not grow with it. Running sums go over the totals of slices of
     the order first (a window over one row for each slice), then inside a slice.
     """
+    log = log.withColumn("_held", F.lit(None).cast("long") if held is None else F.col(held))
     sliced = log.withColumn("_slice", F.floor(F.col(order) / SLICE))
     sums = sliced.groupBy("_slice").agg(F.count("*").alias("_n"), F.count_if(F.col("outcome") == "failed").alias("_f"))
     before = W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     starts = sums.select("_slice", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in ("_n", "_f")))
     inside = W.partitionBy("_slice").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    running = sliced.select("_slice", order, at, F.count("*").over(inside).alias("_n"), F.sum((F.col("outcome") == "failed").cast("int")).over(inside).alias("_f")).join(starts, "_slice")
+    running = sliced.select("_slice", order, at, "_held", F.count("*").over(inside).alias("_n"), F.sum((F.col("outcome") == "failed").cast("int")).over(inside).alias("_f")).join(starts, "_slice")
     n, failed = F.col("_n") + F.col("_n0"), F.col("_f") + F.col("_f0")
-    keys = F.array_compact(F.array(F.when((n >= least) & (failed / n > part), "failed_rate"), F.when(failed > most_failed, "failed_count")))
+    nearly = F.lit(capacity > 0) & (F.col("_held") >= capacity * full)
+    conditions = {"failed_rate": (n >= least) & (failed / n >= part), "failed_count": F.lit(most_failed > 0) & (failed >= most_failed), "dedup_fill": nearly}
+    keys = F.array_compact(F.array(*(F.when(met, key) for key, met in conditions.items())))
     return running.select(order, at, F.explode(keys).alias("key"))
 
 

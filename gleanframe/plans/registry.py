@@ -568,7 +568,7 @@ def run_rates(spark, d):
 
 
 SQL_ALERTS = f"""{SQL_LOG}, r AS (SELECT seq, sec, count(*) OVER (ORDER BY seq) AS n, sum(CASE WHEN kind = 'error' THEN 1 ELSE 0 END) OVER (ORDER BY seq) AS f FROM log)
- SELECT seq, sec, 'failed_rate' AS key FROM r WHERE n >= 100 AND f / n > 0.2 UNION ALL SELECT seq, sec, 'failed_count' FROM r WHERE f > 500"""
+ SELECT seq, sec, 'failed_rate' AS key FROM r WHERE n >= 100 AND f / n >= 0.2 UNION ALL SELECT seq, sec, 'failed_count' FROM r WHERE f >= 500"""
 
 
 def _alert_log(spark, d):
@@ -580,6 +580,30 @@ def alert_conditions(spark, d):
     return tasks.alerts(_alert_log(spark, d), 100, 0.2, 500, at="sec")
 
 
+@query(f"WITH {SQL_ALERTS} UNION ALL SELECT event_id, CAST(floor(epoch(ts)) AS DOUBLE), 'dedup_fill' FROM events WHERE event_id >= 0.8 * 5000")
+def alert_keys(spark, d):
+    """All conditions, that of a filter of 5,000 keys included, which every event adds one to."""
+    return tasks.alerts(_alert_log(spark, d), 100, 0.2, 500, at="sec", held="seq", capacity=5000)
+
+
+@query("""SELECT event_id AS seq, 'http://u' || user_id AS url, false AS filter_repeat FROM events WHERE event_type = 'error'""")
+def failed_replay(spark, d):
+    """Failed requests kept as JSON come back and pass dedup, though all of their fingerprints are known; broken lines are left."""
+    log = _log(spark, d).where("kind = 'error'")
+    line = F.to_json(F.struct("seq", F.concat(F.lit("http://u"), "domain").alias("url"), F.lit(True).alias("filter_repeat")))
+    broken = _t(spark, d, "region").select(F.concat(F.lit('{"seq": '), "r_name").alias("value"))
+    again, _ = sources.failed_requests(log.select(line.alias("value")).unionByName(broken))
+    return dedup.admit(again, again.select("url"), fp="url").select("seq", "url", "filter_repeat")
+
+
+@query(f"""SELECT url, CASE WHEN {{SQL_DOMAIN}} NOT LIKE '%.org' THEN 1.5 ELSE 1.0 END * (0.5 + (page_id % 11) / 11.0) AS delay FROM pages""".replace("{SQL_DOMAIN}", SQL_DOMAIN))
+def polite_delay(spark, d):
+    """The usual second, or the domain's crawl delay, with chances by number, so that SQL can follow."""
+    pages = _t(spark, d, "pages").select("url", (F.col("page_id") % 11 / 11).alias("chance"))
+    found = robots_allowed(spark, d).join(pages, "url")
+    return found.select("url", pacing.delay(1.0, F.col("crawl_delay"), F.col("chance")).alias("delay"))
+
+
 @query(f"""WITH {SQL_LOG}, r AS (SELECT seq, sec, max(CASE WHEN kind <> 'error' THEN sec END) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM log)
  SELECT seq, sec, 'stall' AS key FROM r WHERE sec - last > 900""")
 def stall_alerts(spark, d):

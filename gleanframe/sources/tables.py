@@ -55,6 +55,16 @@ def dead_letters(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     return good, bad
 
 
+def failed_requests(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
+    """Requests to try again, from a column of JSON objects as failed requests are kept, and the lines that hold none.
+
+    Their fingerprints were recorded when they were first enqueued, so dedup is told to let them pass.
+    """
+    read = lines.where(F.trim(column) != "").withColumn("_r", F.from_json(column, REQUESTS, {"mode": "PERMISSIVE"}))
+    known = F.coalesce(F.col("_r.url").isNotNull(), F.lit(False))
+    return read.where(known).select("_r.*").withColumn("filter_repeat", F.lit(False)), read.where(~known).drop("_r")
+
+
 def append(items: DataFrame, folder: str, fmt: str = "parquet") -> None:
     """Rows added to a folder by table: Parquet, JSON or CSV with the declared header."""
     writer = items.write.mode("append").partitionBy("table")

@@ -191,7 +191,24 @@ def test_suppression_equals_a_loop(spark):
 
 def test_alerts_follow_the_order_and_not_the_clock(spark):
     log = spark.createDataFrame([(1, 100.0), (2, 5000.0), (3, 90.0), (4, 80.0)], "seq long, at double").withColumn("outcome", F.lit("failed"))
-    assert sorted(r.seq for r in tasks.alerts(log, 100, 0.5, 2).collect()) == [3, 4]
+    assert sorted(r.seq for r in tasks.alerts(log, 100, 0.5, 3).collect()) == [3, 4]
+    assert tasks.alerts(log, 100, 0.5, 0).isEmpty()
+    assert sorted((r.seq, r.key) for r in tasks.alerts(log, 4, 1.0, 0, held="seq", capacity=4, full=0.75).collect()) == [(3, "dedup_fill"), (4, "dedup_fill"), (4, "failed_rate")]
+
+
+def test_failed_requests_pass_dedup_again(spark):
+    from gleanframe.sources import tables as sources
+
+    lines = spark.createDataFrame([('{"url": "http://a", "seq": 1, "filter_repeat": true, "cb_kwargs": {"n": "2"}}',), ("{broken",), (" ",), ('{"seq": 3}',), (None,)], "value string")
+    again, bad = sources.failed_requests(lines)
+    assert [(r.url, r.seq, r.filter_repeat, r.cb_kwargs) for r in again.collect()] == [("http://a", 1, False, {"n": "2"})]
+    assert {r.value for r in bad.collect()} == {"{broken", '{"seq": 3}'}
+    assert dedup.admit(again, again.select("url"), fp="url").count() == 1
+
+
+def test_delays_are_the_longer_of_two_and_spread(spark):
+    rows = spark.createDataFrame([(None, 0.0), (3.0, 1.0), (0.5, 0.5)], "own double, chance double").coalesce(1)
+    assert [tuple(r) for r in rows.select(pacing.delay(1.0, F.col("own")), pacing.delay(1.0, F.col("own"), F.col("chance"))).collect()] == [(1.0, 0.5), (3.0, 4.5), (1.0, 1.0)]
 
 
 def test_seeds_come_in_the_order_of_their_table(spark):
