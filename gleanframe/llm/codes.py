@@ -28,17 +28,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanframe.llm.blocks import matrix
-from gleanframe.llm.common import cut, small, tidy
+from gleanframe.llm.common import cut, drawn, small, tidy
 
-#: Cells that a task remembers for a part position before it starts anew, and parts from which it picks the cells' width.
-MEMO_CELLS, TRIAL = 1 << 16, 4096
+#: Cells that a task remembers for a part position before it starts anew, and vectors from which the cells' widths are picked.
+MEMO_CELLS, TRIAL = 1 << 16, 1024
 #: Vectors that a task handles at a time.
 ROWS = 8192
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Grid:
-    """The codewords that can be nearest, by cell of ``1 << shift`` a side; ``shift`` is chosen from the first parts seen."""
+    """The codewords that can be nearest, by cell of ``1 << shift`` a side; without a ``shift``, one is picked from the first parts seen."""
 
     def __init__(self, book: np.ndarray, shift: int | None = None, most: int = MEMO_CELLS) -> None:
         self.book, self.shift, self.most, self.evaluated = book, shift, most, 0
@@ -55,16 +55,18 @@ class Grid:
         most = (np.maximum(self.book - low, high - self.book) ** 2).sum(2)
         return least <= most.min(1)[:, None]
 
-    def _pick(self, parts: np.ndarray) -> int:
-        """The width with the least work on these parts: codewords evaluated, and twice all of them for each new cell."""
-        parts = parts[:TRIAL]
-        top = int(np.abs(parts).max()).bit_length() + 1
+    def pick(self, parts: np.ndarray) -> int:
+        """The width with the least work on these parts: codewords evaluated, and twice all of them for each cell."""
+        top = int(np.abs(parts).max(initial=0)).bit_length() + 1
 
         def cost(shift: int) -> int:
-            cells, n = np.unique(parts >> shift, axis=0, return_counts=True)
-            return int(self.undominated(cells, shift).sum(1) @ n) + 2 * len(self.book) * len(cells)
+            cells = parts >> shift
+            _, first, n = np.unique(self._hash(cells), return_index=True, return_counts=True)
+            if 2 * len(first) > len(parts) and shift < top:  # most parts are alone in their cells
+                return 3 * len(self.book) * len(parts)
+            return int(self.undominated(cells[first], shift).sum(1) @ n) + 2 * len(self.book) * len(first)
 
-        return min(range(0, top + 1, 1), key=cost)
+        return min(range(top, -1, -1), key=cost)
 
     def _hash(self, cells: np.ndarray) -> np.ndarray:
         h = np.zeros(len(cells), np.uint64)
@@ -76,7 +78,7 @@ class Grid:
     def candidates(self, parts: np.ndarray) -> np.ndarray:
         """``[part, codeword]``: the remembered set of each part's cell."""
         if self.shift is None:
-            self.shift = self._pick(parts)
+            self.shift = self.pick(parts[:TRIAL])
         cells = parts >> self.shift
         seen, first, back = np.unique(self._hash(cells), return_index=True, return_inverse=True)
         new = ~np.isin(seen, self.keys, assume_unique=True)
@@ -123,12 +125,25 @@ def whole_vectors(vectors: DataFrame, id_col: str, vec_col: str, label_col: str,
     return usable.withColumn("x", F.transform(x, lambda v: F.floor(v * float(scale)).try_cast("int")))
 
 
-def _train(rows: DataFrame, books: np.ndarray) -> np.ndarray:
+def trial(rows: DataFrame, parts: int, of: int) -> np.ndarray:
+    """At most ``TRIAL`` of the vectors, as ``[row, part, component]``: those with the smallest hashes of their ids."""
+    place = F.xxhash64("vec_id", F.lit(9))
+    some = rows.where(drawn(place, 2 * TRIAL, of)).orderBy(place, "vec_id", "x").select("x").limit(TRIAL).toArrow()
+    return matrix(some.column("x").combine_chunks(), np.int64).reshape(some.num_rows, parts, -1)
+
+
+def widths(books: np.ndarray, some: np.ndarray) -> list[int]:
+    """The cells' width for each part position, picked once for all tasks; it only decides how much is evaluated."""
+    return [Grid(b).pick(some[:, p]) for p, b in enumerate(books)]
+
+
+def _train(rows: DataFrame, books: np.ndarray, some: np.ndarray) -> np.ndarray:
     """The codebooks ``[part, codeword, component]`` after one round; codewords that no part is nearest to stay."""
     parts, words, width = books.shape
+    shifts = widths(books, some)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grids = [Grid(b) for b in books]
+        grids = [Grid(b, s) for b, s in zip(books, shifts, strict=True)]
         sums, n = np.zeros(books.shape, np.int64), np.zeros((parts, words), np.int64)
         for _, x in _chunks(batches, parts):
             for p, grid in enumerate(grids):
@@ -147,12 +162,12 @@ def _train(rows: DataFrame, books: np.ndarray) -> np.ndarray:
     return moved.reshape(books.shape)
 
 
-def learn(rows: DataFrame, parts: int = 8, words: int = 16, rounds: int = 6) -> np.ndarray:
-    """Codebooks of :func:`whole_vectors`, which all have one length: first vectors' parts, moved ``rounds`` times."""
+def learn(rows: DataFrame, some: np.ndarray, parts: int = 8, words: int = 16, rounds: int = 6) -> np.ndarray:
+    """Codebooks of :func:`whole_vectors`, which all have one length: first vectors' parts, moved ``rounds`` times; ``some`` are for :func:`widths`."""
     first = rows.orderBy(F.col("vec_id").asc_nulls_last(), "x").select("x").limit(words).collect()
     books = np.array([r["x"] for r in first], np.int64).reshape(len(first), parts, -1).transpose(1, 0, 2).copy()
     for _ in range(rounds):
-        books = _train(rows, books)
+        books = _train(rows, books, some)
     return books
 
 
@@ -160,12 +175,12 @@ def digest(books: np.ndarray) -> str:
     return hashlib.sha256(",".join(map(str, books.ravel().tolist())).encode()).hexdigest()
 
 
-def encode(rows: DataFrame, books: np.ndarray) -> DataFrame:
+def encode(rows: DataFrame, books: np.ndarray, some: np.ndarray) -> DataFrame:
     """``(vec_id, label, code, error)``: a byte for each part's codeword, and the squared distances summed over the parts."""
-    parts = len(books)
+    parts, shifts = len(books), widths(books, some)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grids = [Grid(b) for b in books]
+        grids = [Grid(b, s) for b, s in zip(books, shifts, strict=True)]
         for batch, x in _chunks(batches, parts):
             found = [grid.nearest(x[:, p]) for p, grid in enumerate(grids)]
             code = np.stack([at for at, _ in found], 1).astype(np.uint8)
@@ -206,7 +221,8 @@ def compress(
     if most["odd"] or most["n"] * (2 * max(most["high"], -most["low"]) + 2) ** 2 >= 1 << 63:
         raise ValueError("components are too large for squared distances of 64 bits")
     rows = usable.where(F.size(x) == most["n"])
-    books = learn(rows, parts, words, rounds)
-    coded = cut(encode(rows, books))
+    some = trial(rows, parts, most["rows"])
+    books = learn(rows, some, parts, words, rounds)
+    coded = cut(encode(rows, books, some))
     by_label = coded.groupBy(F.col("label").alias("of")).agg(F.try_sum("error").alias("label_error"))
     return coded.join(small(cut(by_label)), coded["label"].eqNullSafe(F.col("of")), "left").drop("of"), books
