@@ -7,10 +7,10 @@ the part of its trees that call it a secret. The fitted trees become column expr
 DataFrame functions inside the row: no join, no shuffle, no Python.
 
 The same extraction makes the candidates of training and of scanning. ``labelled_findings`` puts generated values
-into texts of many shapes and into passages of a sample of the documents, extracts, and labels what it finds by
-whether it is a planted secret. The dictionary (words by number of documents) and the transitions (pairs of
-characters in those words) are learned from the same sample of ``SAMPLE`` documents, chosen by a hash
-of the id.
+into texts of many shapes and into a passage of every document, extracts, and labels what it finds by
+whether it is a planted secret; the candidates of all whole documents are its look-alikes. Weights keep the balance between
+them, however many documents there are. The dictionary (words by number of documents) and the transitions (pairs of
+characters in those words) are counted in all documents.
 
 Edge cases: null and empty texts have no findings; every candidate of a text of any length is looked at; repeated
 rows and ids get findings each; an empty table gives an empty result; further columns of the input, whatever
@@ -25,9 +25,8 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from gleanframe.llm.common import cut, drawn, free
+from gleanframe.llm.common import cut, free
 
 #: A value after a secret's name and an assignment, or between ``://user:`` and ``@``, or a long run; quotes, ``=`` and ``:`` are no part of a run.
 _NAME = r"(?i:passw(?:or)?d|passphrase|pwd|secret|token|credentials?|api[_ -]?key|access[_ -]?key|private[_ -]?key|auth)"
@@ -39,10 +38,12 @@ CANDIDATE = (
 )
 AROUND = 40
 MASK = "[SECRET]"
-#: Documents, about, that the dictionary, the transitions and the passages of training come from, and words in the dictionary.
-SAMPLE, DICTIONARY = 2000, 3000
-#: Partitions of the training rows: what the forest draws depends on it.
-PARTS = 8
+#: Words in the dictionary.
+DICTIONARY = 3000
+#: What the generated lines weigh together, and what the documents' own candidates do for each document, which together weigh as so many at most.
+LINES, DOCUMENTS = 12_000, 2000
+#: Partitions of the training rows, at least, and rows in one: what the forest draws depends on it.
+PARTS, PART_ROWS = 8, 20_000
 #: Lengths whose sums are taken together, so that offsets need no sum over all candidates before.
 RUN = 256
 #: Words that name a secret, or something else that looks like one.
@@ -61,6 +62,7 @@ FEATURES = (
     "assigned", "quoted", "secret_before", "other_before", "url_before", "at_after", "known_form",
 )
 _CHARS = "abcdefghijklmnopqrstuvwxyz0123456789"
+_KNOWN_FORM = r"^(AKIA[0-9A-Z]{16}$|gh[pousr]_|xox[baprs]-|[sr]k_(live|test)_|glpat-|AIza|eyJ[A-Za-z0-9_-]+\.)"
 
 
 class Language:
@@ -78,32 +80,14 @@ class Language:
         self.pairs = [math.log((n.get((a, b), 0) + 1) / (rows[a] + size)) for a in range(size) for b in range(size)]
 
 
-def language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE, words: int = DICTIONARY) -> Language:
-    """The ``words`` words that most documents of a sample hold, and their transitions."""
-    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\b[a-z]{4,20}\b"), F.lit(0)))
-    counted = sample(docs, id_col, text_col, rows).select(F.explode(found).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+def language(docs: DataFrame, text_col: str = "text", words: int = DICTIONARY) -> Language:
+    """The ``words`` words that most documents hold, three at least, and their transitions."""
+    found = F.array_distinct(F.regexp_extract_all(F.lower(docs[text_col]), F.lit(r"\b[a-z]{4,20}\b"), F.lit(0)))
+    counted = docs.select(F.explode(found).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     top = counted.where("n >= 3").orderBy(F.desc("n"), "word").limit(words).collect()
     return Language({r["word"]: r["n"] for r in top})
 
 
-def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE) -> DataFrame:
-    """``(doc_id, text)`` of ``rows`` documents, those with the smallest hashes of their ids; fewer only of fewer texts.
-
-    Where very many rows have one id, the hash may leave no other; a sample that stays empty is an error.
-    """
-    slim = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).where("text is not null")
-    n = slim.count()
-    chosen = cut(slim.where(drawn(F.xxhash64("doc_id", F.lit(11)), 2 * rows, n)).orderBy(*_in_order()).limit(rows))
-    if n and chosen.isEmpty():
-        raise RuntimeError(f"a sample of {n} documents is empty")
-    return chosen
-
-
-def _in_order() -> list[Column]:
-    """An order of sampled documents that is the same in every run: equal only for equal rows."""
-    return [F.xxhash64("doc_id", F.lit(11)), F.col("doc_id"), F.xxhash64("text")]
-
-
 def _part(candidate: Column, pattern: str) -> Column:
     return F.regexp_count(candidate, F.lit(pattern)) / F.length(candidate)
 
@@ -145,7 +129,7 @@ def features(before: Column, candidate: Column, after: Column, known: Language)
         _has(left, OTHER_WORDS),
         left.rlike(r"://[^\s]*$").cast("double"),
         after.rlike("^@").cast("double"),
-        candidate.rlike(r"^(AKIA[0-9A-Z]{16}$|gh[pousr]_|xox[baprs]-|[sr]k_(live|test)_|glpat-|AIza|eyJ[A-Za-z0-9_-]+\.)").cast("double"),
+        candidate.rlike(_KNOWN_FORM).cast("double"),
     ]
     return [F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for c, n in zip(found, FEATURES, strict=True)]
 
@@ -171,21 +155,22 @@ def context(found: str, gaps: str, i: Column) -> tuple[Column, Column]:
 # --- labelled findings
 
 
-def labelled_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 12_000, rows: int = SAMPLE, seed: int = 0) -> DataFrame:
-    """``(doc, before, candidate, after, label)``: what extraction finds in texts with planted secrets and look-alikes.
+def labelled_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = LINES, seed: int = 0) -> DataFrame:
+    """``(before, candidate, after, label, weight)``: what extraction finds in texts with planted secrets and look-alikes.
 
-    ``n`` lines are generated, each around a value from a hash of its number, and each stands in a passage of a sampled
-    document, so that its neighbours are real words. A candidate is a secret if it is a line's planted
-    value; all others, those of the documents themselves included, are not, but candidates of the documents after a
-    secret's name teach nothing, since nobody has looked at them.
+    Each document gets a generated line, or as many as make ``n`` lines; a line is made around a value from a hash of its document
+    and stands in the document's first passage, so that its neighbours are real words. Together the lines weigh ``n``. A candidate is a
+    secret if it is a line's planted value; all others, those of all whole documents included, are not, but candidates of
+    the documents after a secret's name, or of a secret's known form, teach nothing, since nobody has looked at them.
     """
     spark = docs.sparkSession
-    spot = F.row_number().over(Window.orderBy(*_in_order())) - 1  # over the sample's rows only
-    texts = cut(sample(docs, id_col, text_col, rows).select(F.left("text", F.lit(600)).alias("passage"), spot.alias("spot")))
-    real = candidates(texts, "passage", "found", "gaps").select("found", "gaps", F.explode(F.sequence(F.lit(1), F.size("found"))).alias("i")).where("i > 0 and size(found) > 0")
+    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).where("text is not null")
+    count = texts.count()
+    real = candidates(texts, "text", "found", "gaps").where("size(found) > 0").select("found", "gaps", F.explode(F.sequence(F.lit(1), F.size("found"))).alias("i"))
     before, after = context("found", "gaps", F.col("i"))
     real = real.select(before.alias("before"), F.element_at("found", F.col("i")).alias("candidate"), after.alias("after"), F.lit(0).alias("label"))
-    real = real.where((_has(F.lower("before"), SECRET_WORDS) == 0) & ~F.col("before").rlike(r"[=:]\s*[\"'`]?$"))
+    real = real.where((_has(F.lower("before"), SECRET_WORDS) == 0) & ~F.col("before").rlike(r"[=:]\s*[\"'`]?$") & ~F.col("candidate").rlike(_KNOWN_FORM))
+    real = real.withColumn("weight", F.lit(min(1.0, DOCUMENTS / max(count, 1))))
 
     salt = F.lit(f"{seed}:")
     hashed = lambda k: F.sha2(F.concat(salt, F.lit(f"{k}:"), F.col("id").cast("string")), 512)
@@ -220,10 +205,14 @@ def labelled_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         (F.lit("data:image/png;base64,"), base(110), 0), (F.concat(F.lit("class "), F.lit("")), F.concat_ws("", *(F.initcap(pick(111 + j, CODE_WORDS)) for j in range(4)), F.lit("Token")), 0),
     ]
     made = F.array(*(F.struct(b.alias("lead"), c.cast("string").alias("value"), F.lit(y).alias("label")) for b, c, y in kinds))
-    lines = spark.range(n).select("id", F.element_at(made, F.pmod(F.col("id"), F.lit(len(kinds))).cast("int") + 1).alias("r"), pick(120, ('"', '",', "'", "", "", "&x=1", " # note", ";")).alias("end"))
-    count = texts.count()
-    spots = F.pmod(F.xxhash64("id", F.lit(121), salt), F.lit(max(count, 1)))
-    lines = lines.withColumn("spot", spots).join(texts, "spot", "left")  # both have a bounded number of rows
+    made = F.element_at(made, F.pmod(F.col("id"), F.lit(len(kinds))).cast("int") + 1)
+    each = max(1, -(-n // max(count, 1)))
+    if count:
+        rows = texts.select(F.xxhash64("doc_id", "text", F.lit(121), salt).alias("h"), F.left("text", F.lit(600)).alias("passage"))
+        rows = rows.select(F.explode(F.sequence(F.lit(1), F.lit(each))).alias("j"), "h", "passage").select(F.xxhash64("h", "j").alias("id"), "passage")
+    else:
+        rows = spark.range(n).withColumn("passage", F.lit(None).cast("string"))
+    lines = rows.select("passage", made.alias("r"), pick(120, ('"', '",', "'", "", "", "&x=1", " # note", ";")).alias("end"))
     head = F.regexp_extract(F.coalesce("passage", F.lit("")), r"(?s)^(.{0,200})\s", 1)
     tail = F.left(F.regexp_replace(F.coalesce("passage", F.lit("")), r"(?s)^.{0,200}\s", ""), F.lit(60))
     closing = F.when(F.col("r.lead").rlike("@$|://[^@]*:$"), F.concat(F.lit("@db."), "end")).otherwise(F.col("end"))
@@ -232,7 +221,7 @@ def labelled_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     candidate = F.element_at("found", F.col("i"))
     is_value = (candidate == F.col("value")) | ((F.length(candidate) >= F.length("value")) & F.startswith(candidate, F.col("value")))
     found = found.select(before.alias("before"), candidate.alias("candidate"), after.alias("after"), F.when(is_value, F.col("planted")).otherwise(0).alias("label"), (is_value | (_has(F.lower(before), SECRET_WORDS) == 0)).alias("sure"))
-    return found.where("sure").drop("sure").unionByName(real)
+    return found.where("sure").drop("sure").withColumn("weight", F.lit(n / (each * max(count, 1)))).unionByName(real)
 
 
 # --- the forest
@@ -268,23 +257,28 @@ def _tree(lines: list[str]):
 
 
 def train(findings: DataFrame, known: Language, trees: int = 20, depth: int = 7) -> Forest:
-    """A forest from ``(before, candidate, after, label)``."""
+    """A forest from ``(before, candidate, after, label, weight)``.
+
+    Findings with the same features are one row that weighs as all of them. Of these rows, Spark's forest draws the thresholds that its trees
+    choose from by a sample of its own (about 10,000 rows); each tree is then fitted to all rows.
+    """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    rows = findings.select(*features(F.col("before"), F.col("candidate"), F.col("after"), known), F.col("label").cast("double").alias("label"))
+    rows = findings.select(*features(F.col("before"), F.col("candidate"), F.col("after"), known), F.col("label").cast("double").alias("label"), "weight")
+    rows = cut(rows.groupBy(*rows.columns).count().withColumn("weight", F.col("weight") * F.col("count")).drop("count"))
     # training passes over them again and again, and draws by their place, which is the same in every run
-    rows = cut(rows.repartition(PARTS, *rows.columns).sortWithinPartitions(*rows.columns))
+    rows = cut(rows.repartition(max(PARTS, rows.count() // PART_ROWS), *rows.columns).sortWithinPartitions(*rows.columns))
     if rows.select("label").distinct().count() < 2:
         return Forest([0.0], known)  # nothing to tell apart
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows).select("features", "label")
-    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=1, featureSubsetStrategy="onethird").fit(vectors)
+    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows).select("features", "label", "weight")
+    model = RandomForestClassifier(weightCol="weight", numTrees=trees, maxDepth=depth, seed=1, featureSubsetStrategy="onethird").fit(vectors)
     return Forest([_tree([x for x in t.toDebugString.splitlines()[1:] if x.strip()]) for t in model.trees], known)
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Forest:
-    """A forest for these documents: dictionary, transitions and passages come from a sample of them."""
-    return train(labelled_findings(docs, id_col, text_col), language(docs, id_col, text_col))
+    """A forest for these documents: dictionary, transitions and findings come from all of them."""
+    return train(labelled_findings(docs, id_col, text_col), language(docs, text_col))
 
 
 # --- scanning

@@ -84,6 +84,18 @@ def test_offsets_in_a_text_with_many_candidates(spark, learned):
     assert {(r.length, text[r.start : r.start + r.length]) for r in rows} == {(40, HEX)}
 
 
+def test_all_documents_teach(spark):
+    """A word counts in each of many documents, a line stands in each, and each one's candidates are look-alikes."""
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("see wordy org.apache.spark.n"), F.col("id").cast("string"), F.when(F.col("id") % 1000 == 0, " seldomly").otherwise("")).alias("text"))
+    known = secrets.language(docs)
+    assert {"wordy", "seldomly"} <= set(known.words)
+    found = secrets.labelled_findings(docs, n=1000)
+    own = found.where("candidate like 'org.apache.spark.n%'")
+    assert own.select("candidate").distinct().count() == 5000
+    total = {r.label: (r.n, r.weight) for r in found.groupBy("label").agg(F.count("*").alias("n"), F.sum("weight").alias("weight")).collect()}
+    assert total[1][0] > 1000 and total[1][1] == pytest.approx(total[1][0] / 5)  # 5,000 lines that weigh 1,000
+
+
 def test_odd(spark, learned):
     texts = [None, "", "  ", LONG, f'the token = "{HEX}" is it']
     rows = [(i, t, None, None, None, "x", None, "y") for i, t in enumerate(texts)] + [(4, texts[4], None, None, None, "x", None, "y"), (None, texts[4], None, None, None, None, None, None)]
