@@ -27,8 +27,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts, those without a letter, and those that score too low go. A null ``lang`` teaches nothing;
     ties between languages go to the first in order; repeated rows are judged alike. Without any label all rows go.
+    Profiles and the least score come from all labelled rows that are not held out.
     """
-    chosen = langid.labelled(docs)
+    chosen = langid.labelled(docs, per_language=None)
     profiles = langid.learn(docs, chosen=chosen)
     return langid.keep_known(docs, profiles, least=langid.least_score(chosen, profiles), lang_col="lang")
 

@@ -121,17 +121,18 @@ class Profiles:
         return self.languages[best], float(1 - apart[best] / (self.size * len(own)))
 
 
-def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> DataFrame | None:
-    """``(lang, text, part)`` of a bounded sample of the rows that are not held out, ``part`` 0 to 3 by the id. None without such rows."""
+def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int | None = PER_LANGUAGE) -> DataFrame | None:
+    """``(lang, text)`` of a bounded sample of the rows that are not held out, or of all these rows if ``per_language`` is None. None without such rows."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
     # hashes up to a language's last one are drawn; all, for a language with fewer rows than ``per_language``
-    last = {r["lang"]: (1 << 63) - 1 if r["count"] <= per_language else (per_language << 64) // r["count"] - (1 << 63) for r in most.collect()}
+    last = {r["lang"]: (1 << 63) - 1 if per_language is None or r["count"] <= per_language else (per_language << 64) // r["count"] - (1 << 63) for r in most.collect()}
     if not last:
         return None
     up_to = F.create_map(*[x for k, v in last.items() for x in (F.lit(k), F.lit(v).cast("long"))])[F.col("lang")]
-    return cut(rows.where(F.xxhash64("doc_id") <= up_to).select("lang", "text", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(4)).alias("part")))
+    chosen = rows.where(F.xxhash64("doc_id") <= up_to).select("lang", "text")
+    return chosen if per_language is None else cut(chosen)
 
 
 def learn(
@@ -160,7 +161,7 @@ def learn(
 
 
 def least_score(chosen: DataFrame | None, profiles: Profiles) -> float:
-    """The score below which a text is like no learned profile, from texts of a quarter of the sample that were labelled rightly."""
+    """The score below which a text is like no learned profile, from all chosen texts that were labelled rightly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,7 +169,7 @@ def least_score(chosen: DataFrame | None, profiles: Profiles) -> float:
             right = [score for (lang, score), label in zip(found, batch.column(0).to_pylist(), strict=True) if lang == label]
             yield pa.RecordBatch.from_arrays([pa.array(right, pa.float64())], ["score"])
 
-    low = None if chosen is None else chosen.where("part = 0").select("lang", "text").mapInArrow(tidy(run, forget), "score double").agg(F.percentile_approx("score", LOWEST, 10_000)).first()[0]
+    low = None if chosen is None else chosen.select("lang", "text").mapInArrow(tidy(run, forget), "score double").agg(F.percentile_approx("score", LOWEST, 10_000)).first()[0]
     return MARGIN * (low or 0.0)
 
 

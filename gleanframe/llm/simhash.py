@@ -15,7 +15,8 @@ all shingles of such texts differ in about 15 % of their bits, too many for a tr
 would bring unrelated texts together, the more the larger the corpus. So each of ``TREES`` tries holds the SimHash of a small
 sample of a text's shingles, drawn by least hashes, which similar texts share as a whole with good chance and unrelated ones
 don't, however many there are. The tries are walked in one pass, and each pair that any of them finds is then checked
-exactly.
+exactly. What the tries miss is found by the prefixes of sets in one order, rare shingles first: two sets that are similar enough share one of
+their first shingles. Such pairs of different components are checked too, so no link is lost.
 
 Edge cases: a null or empty text, or one without words, has the fingerprint zero and links like any
 other; fewer words than a shingle count as one shingle; repeated rows (same id and text) count as
@@ -56,6 +57,8 @@ WORDS, FAR = 2, 44
 #: candidates join two groups, all of them are checked.
 FORESTS = 2
 NEAR_LEAF = 8192
+#: Bits of the places that count how common shingles are (it only orders them), and 64-bit words of a set's map.
+PLACES, MAP = 18, 16
 MEMO_WORDS = 100_000
 
 
@@ -430,24 +433,109 @@ def multipliers(trees: int, sample: int) -> np.ndarray:
     return (_mixed(np.arange(1, trees * sample + 1, dtype=np.uint64)) | np.uint64(1)).reshape(trees, sample)
 
 
-def marks(docs: DataFrame, id_col: str, text_col: str, shingle: int, trees: int, sample: int, bits: int) -> DataFrame:
-    """``(doc_id, text_hash, class, fps, sketch)``: a hash of the set of shingles, a fingerprint for each trie, and the sketch."""
+def commonness(docs: DataFrame, text_col: str, shingle: int) -> np.ndarray:
+    """How many shingles of all texts fall into each of ``2 ** PLACES`` places by their hash."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, n = _Words(), np.zeros(1 << PLACES, np.int64)
+        for b in batches:
+            for t in b.column(0):
+                np.add.at(n, shingles(t.as_py(), shingle, memo) >> np.uint64(64 - PLACES), 1)
+        met = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(n[met])], ["place", "n"])
+
+    found = np.zeros(1 << PLACES, np.int64)
+    for r in docs.select(docs[text_col].cast("binary")).mapInArrow(tidy(count), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
+        found[r["place"]] = r["n"]
+    return found
+
+
+def prefix(s: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles in one order of all, rare places first: sets of that similarity or more have one of them in common."""
+    if not len(s):
+        return s
+    shared = int(np.ceil(similarity * len(s) - 1e-9))  # with any set that is similar enough, at least
+    return s[np.lexsort((s, common[s >> np.uint64(64 - PLACES)]))[: len(s) - shared + 1]]
+
+
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """A bit for each shingle by its hash: two sets differ in as many shingles as their maps do in bits, at least."""
+    bits = np.zeros(64 * MAP, np.uint8)
+    bits[s % np.uint64(64 * MAP)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
+def marks(
+    docs: DataFrame, id_col: str, text_col: str, shingle: int, trees: int, sample: int, bits: int, similarity: float = 0.8, common: np.ndarray | None = None
+) -> DataFrame:
+    """``(doc_id, text_hash, class, fps, sketch)``: a hash of the set of shingles, a fingerprint for each trie, and the sketch.
+
+    With ``common`` also ``(n, prefix, map)``: the size of the set, its :func:`prefix` and its :func:`bitmap`.
+    """
     odd = multipliers(trees, sample)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Words()
         for b in batches:
-            classes, fps, near = [], [], []
+            classes, fps, near, n, first, maps = [], [], [], [], [], []
             for t in b.column(2):
                 s = shingles(t.as_py(), shingle, memo)
                 with np.errstate(over="ignore"):
                     classes.append(int(_mixed(np.array([_mixed(s + np.uint64(1)).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0]))
                 fps.append(sampled(s, odd, bits) + (np.arange(trees) << bits))
                 near.append(np.packbits(sketch(s, WORDS), bitorder="little").view(np.int64))
-            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * n, pa.int32()), pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64())) for x, n in ((fps, trees), (near, WORDS))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(classes, pa.int64()), *lists], ["doc_id", "text_hash", "class", "fps", "sketch"])
-
-    return _plain(docs, id_col, text_col).mapInArrow(tidy(mark), "doc_id long, text_hash long, class long, fps array<long>, sketch array<long>")
+                if common is not None:
+                    n.append(len(s))
+                    first.append(prefix(s, common, similarity).view(np.int64))
+                    maps.append(bitmap(s))
+            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64())) for x in (fps, near, first, maps)]
+            more = [] if common is None else [pa.array(n, pa.int64()), *lists[2:]]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(classes, pa.int64()), *lists[:2], *more], ["doc_id", "text_hash", "class", "fps", "sketch", "n", "prefix", "map"][: 5 + len(more)])
+
+    kinds = "doc_id long, text_hash long, class long, fps array<long>, sketch array<long>" + ("" if common is None else ", n long, prefix array<long>, map array<long>")
+    return _plain(docs, id_col, text_col).mapInArrow(tidy(mark), kinds)
+
+
+def missed(by_class: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """``(u, v)``: all pairs of classes of different components of ``links`` that may be similar enough, from ``(class, n, prefix, map)``."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs that share a shingle, which comes with all its classes in a row."""
+
+        def pairs(shingle: np.ndarray, classes: np.ndarray, root: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            starts = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1])) if len(shingle) else np.empty(0, np.int64)
+            us, vs, total = [], [], 0
+            for low, high in zip(starts, np.append(starts[1:], len(shingle)), strict=True):
+                for a in range(low, high - 1):
+                    rest = slice(a + 1, high)
+                    other = classes[rest][(root[rest] != root[a]) & (np.minimum(n[rest], n[a]) >= similarity * np.maximum(n[rest], n[a]) - 1e-9)]
+                    if len(other):
+                        us.append(np.minimum(other, classes[a])), vs.append(np.maximum(other, classes[a]))
+                        total += len(other)
+                    if total > WIDTH:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+                        us, vs, total = [], [], 0
+            if us:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+
+        held = [np.empty(0, np.int64)] * 4
+        for b in batches:
+            held = [np.concatenate([h, np.asarray(c)]) for h, c in zip(held, b.columns, strict=True)]
+            ended = np.flatnonzero(held[0] != held[0][-1]) if len(held[0]) else []
+            whole = int(ended[-1]) + 1 if len(ended) else 0
+            yield from pairs(*(h[:whole] for h in held))
+            held = [h[whole:] for h in held]
+        yield from pairs(*held)
+
+    roots = components(links).select(F.col("node").alias("class"), "root")
+    entries = by_class.join(roots, "class", "left").select(F.explode("prefix").alias("shingle"), "class", F.coalesce("root", "class").alias("root"), "n").repartition("shingle")
+    mixed = entries.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
+    met = entries.join(mixed, "shingle").select("shingle", "class", "root", "n").repartition("shingle").sortWithinPartitions("shingle")
+    found = met.mapInArrow(tidy(meet), "u long, v long").distinct()
+    for c in "uv":
+        found = found.join(by_class.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("map").alias(f"map_{c}")), c)
+    apart = F.aggregate(F.zip_with("map_u", "map_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    return found.where(apart <= (1 - similarity) / (1 + similarity) * (F.col("n_u") + F.col("n_v")) + 1e-6).select("u", "v")
 
 
 def candidates(by_class: DataFrame, bits: int = BITS, budget: int = BUDGET, leaf: int = NEAR_LEAF, far: int = FAR, forests: int = FORESTS) -> DataFrame:
@@ -464,8 +552,8 @@ def similar(
     Two texts are linked if their sets of shingles (of lower-cased words) have a Jaccard similarity of ``similarity``
     or more. Texts with the same set are one class from the start. Of the other pairs, those that a trie of
     sampled fingerprints brings together and whose sketches are not far apart are candidates; each task keeps some minimum
-    spanning forests of its candidates by sketch distance; and every candidate kept is checked on the whole texts. Texts
-    without a word are one class.
+    spanning forests of its candidates by sketch distance; and every candidate kept is checked on the whole texts. Then all pairs that :func:`missed` finds between the
+    components made so far are checked as well. Texts without a word are one class.
     """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -482,17 +570,24 @@ def similar(
             yield b.select(["u", "v"]).filter(pa.array(kept, pa.bool_()))
 
     plain = _plain(docs, id_col, text_col)
-    marked = cut(marks(docs, id_col, text_col, shingle, trees, sample, bits))
-    by_class = cut(marked.groupBy("class").agg(_best(), F.any_value("fps").alias("fps"), F.any_value("sketch").alias("sketch")))
-    links = cut(candidates(by_class, bits, budget, leaf))
-    wanted = links.select(F.explode(F.array("u", "v")).alias("class")).distinct().join(by_class.select("class", "best"), "class")
-    wanted = wanted.select("class", F.col("best.doc_id").alias("of"), F.col("best.text_hash").alias("hash"))
-    wanted = small(cut(wanted))
-    one = plain.join(wanted, plain["doc_id"].eqNullSafe(wanted["of"]) & (plain["text_hash"] == wanted["hash"]))
-    texts = cut(one.groupBy("class").agg(F.any_value("text").alias("text")))
-    sides = [texts.select(F.col("class").alias(c), F.col("text").alias(f"text_{c}")) for c in "uv"]
-    both = links.join(sides[1], "v").join(sides[0], "u").select("u", "v", "text_u", "text_v")
-    checked = both.mapInArrow(tidy(check), "u long, v long")
+    marked = cut(marks(docs, id_col, text_col, shingle, trees, sample, bits, similarity, commonness(docs, text_col, shingle)))
+    by_class = cut(marked.groupBy("class").agg(_best(), *(F.any_value(c).alias(c) for c in ("fps", "sketch", "n", "prefix", "map"))))
+
+    def linked(links: DataFrame) -> DataFrame:
+        """Those of the pairs that are similar enough, by their whole texts."""
+        wanted = links.select(F.explode(F.array("u", "v")).alias("class")).distinct().join(by_class.select("class", "best"), "class")
+        wanted = wanted.select("class", F.col("best.doc_id").alias("of"), F.col("best.text_hash").alias("hash"))
+        wanted = small(cut(wanted))
+        one = plain.join(wanted, plain["doc_id"].eqNullSafe(wanted["of"]) & (plain["text_hash"] == wanted["hash"]))
+        texts = cut(one.groupBy("class").agg(F.any_value("text").alias("text")))
+        sides = [texts.select(F.col("class").alias(c), F.col("text").alias(f"text_{c}")) for c in "uv"]
+        both = links.join(sides[1], "v").join(sides[0], "u").select("u", "v", "text_u", "text_v")
+        return cut(both.mapInArrow(tidy(check), "u long, v long"))
+
+    checked = linked(cut(candidates(by_class, bits, budget, leaf)))
+    more = cut(missed(by_class, checked, similarity))
+    if not more.isEmpty():
+        checked = checked.unionByName(linked(more))
     return marked.join(_grouped(by_class.select("class", "best"), checked, "class"), "class").select("doc_id", "text_hash", F.col("best.doc_id").alias("component_id"), "best")
 
 

@@ -167,6 +167,18 @@ def test_groups_around_the_threshold_keep_their_links(spark):
     assert lost <= 0.01 * len(pairs) and sum(got[d] != want[d] for d in got) <= 0.01 * 960
 
 
+def test_links_that_the_tries_miss_are_found(spark):
+    """With one trie, which finds a third of the links at 0.8, and a passage that all texts share: the components are those of brute force."""
+    rng = random.Random(14)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    passage, rows = rng.choices(vocabulary, k=20), []
+    for _ in range(60):
+        base = [*rng.choices(vocabulary, k=rng.choice((12, 40, 80, 150))), *passage]
+        rows += [" ".join(edited(rng, base, rng.uniform(0.9, 0.99))) for _ in range(5)]
+    got = simhash.similar(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4), trees=1)
+    assert {(r.doc_id, r.component_id) for r in got.collect()} == set(slow_similar(range(300), rows))
+
+
 def test_candidates_of_unrelated_texts_stay_few(spark):
     """Candidates for each text do not grow with the corpus: nothing is held back by sketches here, and 16 forests are kept."""
     rng = random.Random(13)
