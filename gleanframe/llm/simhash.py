@@ -57,8 +57,8 @@ WORDS, FAR = 2, 44
 #: candidates join two groups, all of them are checked.
 FORESTS = 2
 NEAR_LEAF = 8192
-#: Bits of the places that count how common shingles are (it only orders them), and 64-bit words of a set's map.
-PLACES, MAP = 18, 16
+#: Bits of the places that count how common shingles are (it only orders them), and bits of a set's map for each shingle, at least.
+PLACES, MAP = 18, 4
 MEMO_WORDS = 100_000
 
 
@@ -445,8 +445,8 @@ def commonness(docs: DataFrame, text_col: str, shingle: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(n[met])], ["place", "n"])
 
     found = np.zeros(1 << PLACES, np.int64)
-    for r in docs.select(docs[text_col].cast("binary")).mapInArrow(tidy(count), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
-        found[r["place"]] = r["n"]
+    rows = docs.select(docs[text_col].cast("binary")).mapInArrow(tidy(count), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    found[rows["place"].to_numpy()] = rows["n"].to_numpy()
     return found
 
 
@@ -459,18 +459,27 @@ def prefix(s: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """A bit for each shingle by its hash: two sets differ in as many shingles as their maps do in bits, at least."""
-    bits = np.zeros(64 * MAP, np.uint8)
-    bits[s % np.uint64(64 * MAP)] = 1
+    """A bit for each shingle by its hash, in a power of two of words: two sets differ in as many shingles as their maps do in bits, at least."""
+    words = 1 << max(0, (MAP * len(s) - 1).bit_length() - 6)
+    bits = np.zeros(64 * words, np.uint8)
+    bits[s % np.uint64(64 * words)] = 1
     return np.packbits(bits, bitorder="little").view(np.int64)
 
 
+def apart(a: np.ndarray, b: np.ndarray) -> int:
+    """Bits in which two maps differ, the longer one folded to the other's length."""
+    words = min(len(a), len(b))
+    one, two = (np.bitwise_or.reduce(x.reshape(-1, words)) for x in (a, b))
+    return int(np.bitwise_count((one ^ two).view(np.uint64)).sum())
+
+
 def marks(
     docs: DataFrame, id_col: str, text_col: str, shingle: int, trees: int, sample: int, bits: int, similarity: float = 0.8, common: np.ndarray | None = None
 ) -> DataFrame:
-    """``(doc_id, text_hash, class, fps, sketch)``: a hash of the set of shingles, a fingerprint for each trie, and the sketch.
+    """``(row, doc_id, text_hash, class, fps, sketch)``: a hash of the set of shingles, a fingerprint for each trie, and the sketch.
 
-    With ``common`` also ``(n, prefix, map)``: the size of the set, its :func:`prefix` and its :func:`bitmap`.
+    ``row`` is a number of each row's own, which stays once the rows are written. With ``common`` also ``(n, prefix, map)``: the size
+    of the set, its :func:`prefix` and its :func:`bitmap`.
     """
     odd = multipliers(trees, sample)
 
@@ -490,52 +499,73 @@ def marks(
                     maps.append(bitmap(s))
             lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64())) for x in (fps, near, first, maps)]
             more = [] if common is None else [pa.array(n, pa.int64()), *lists[2:]]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(classes, pa.int64()), *lists[:2], *more], ["doc_id", "text_hash", "class", "fps", "sketch", "n", "prefix", "map"][: 5 + len(more)])
+            yield pa.RecordBatch.from_arrays([b.column(3), b.column(0), b.column(1), pa.array(classes, pa.int64()), *lists[:2], *more], ["row", "doc_id", "text_hash", "class", "fps", "sketch", "n", "prefix", "map"][: 6 + len(more)])
+
+    kinds = "row long, doc_id long, text_hash long, class long, fps array<long>, sketch array<long>" + ("" if common is None else ", n long, prefix array<long>, map array<long>")
+    return _plain(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()).mapInArrow(tidy(mark), kinds)
 
-    kinds = "doc_id long, text_hash long, class long, fps array<long>, sketch array<long>" + ("" if common is None else ", n long, prefix array<long>, map array<long>")
-    return _plain(docs, id_col, text_col).mapInArrow(tidy(mark), kinds)
 
+def missed(sets: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """``(u, v)``: all pairs of classes of different components of ``links`` that may be similar enough, from one row ``(class, n, prefix)`` for each class.
 
-def missed(by_class: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
-    """``(u, v)``: all pairs of classes of different components of ``links`` that may be similar enough, from ``(class, n, prefix, map)``."""
+    Two sets that are similar enough have their first common shingle where both have enough left for all that they must share.
+    """
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs that share a shingle, which comes with all its classes in a row."""
-
-        def pairs(shingle: np.ndarray, classes: np.ndarray, root: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            starts = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1])) if len(shingle) else np.empty(0, np.int64)
-            us, vs, total = [], [], 0
-            for low, high in zip(starts, np.append(starts[1:], len(shingle)), strict=True):
-                for a in range(low, high - 1):
-                    rest = slice(a + 1, high)
-                    other = classes[rest][(root[rest] != root[a]) & (np.minimum(n[rest], n[a]) >= similarity * np.maximum(n[rest], n[a]) - 1e-9)]
-                    if len(other):
-                        us.append(np.minimum(other, classes[a])), vs.append(np.maximum(other, classes[a]))
-                        total += len(other)
-                    if total > WIDTH:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
-                        us, vs, total = [], [], 0
-            if us:
+        """Pairs that share a shingle, which comes with all its classes in a row, those of a component together."""
+
+        def pairs(shingle: np.ndarray, root: np.ndarray, classes: np.ndarray, n: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+            new = np.append(True, shingle[1:] != shingle[:-1])
+            run = np.flatnonzero(new | np.append(True, root[1:] != root[:-1]))
+            ends = [np.repeat(np.append(x[1:], len(shingle)), np.diff(np.append(x, len(shingle)))) for x in (np.flatnonzero(new), run)]
+            a = np.arange(len(shingle))
+            b, us, vs, total = ends[1], [], [], 0
+            while len(a := (a[inside := b < ends[0][a]])):
+                b = b[inside]
+                shared = np.ceil(similarity / (1 + similarity) * (n[a] + n[b]) - 1e-9)
+                near = (at[a] <= n[a] - shared) & (at[b] <= n[b] - shared)
+                us.append(np.minimum(classes[a[near]], classes[b[near]])), vs.append(np.maximum(classes[a[near]], classes[b[near]]))
+                total += len(us[-1])
+                if total > WIDTH:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+                    us, vs, total = [], [], 0
+                b = b + 1
+            if total:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
 
-        held = [np.empty(0, np.int64)] * 4
+        held = [np.empty(0, np.int64)] * 5
         for b in batches:
             held = [np.concatenate([h, np.asarray(c)]) for h, c in zip(held, b.columns, strict=True)]
             ended = np.flatnonzero(held[0] != held[0][-1]) if len(held[0]) else []
-            whole = int(ended[-1]) + 1 if len(ended) else 0
-            yield from pairs(*(h[:whole] for h in held))
-            held = [h[whole:] for h in held]
-        yield from pairs(*held)
-
-    roots = components(links).select(F.col("node").alias("class"), "root")
-    entries = by_class.join(roots, "class", "left").select(F.explode("prefix").alias("shingle"), "class", F.coalesce("root", "class").alias("root"), "n").repartition("shingle")
+            if len(ended):
+                yield from pairs(*(h[: ended[-1] + 1] for h in held))
+                held = [h[ended[-1] + 1 :] for h in held]
+        if len(held[0]):
+            yield from pairs(*held)
+
+    roots = small(cut(components(links).select(F.col("node").alias("class"), "root")))
+    entries = sets.join(roots, "class", "left").select(F.posexplode("prefix").alias("at", "shingle"), "class", F.coalesce("root", "class").alias("root"), "n").repartition("shingle")
     mixed = entries.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
-    met = entries.join(mixed, "shingle").select("shingle", "class", "root", "n").repartition("shingle").sortWithinPartitions("shingle")
-    found = met.mapInArrow(tidy(meet), "u long, v long").distinct()
-    for c in "uv":
-        found = found.join(by_class.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("map").alias(f"map_{c}")), c)
-    apart = F.aggregate(F.zip_with("map_u", "map_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    return found.where(apart <= (1 - similarity) / (1 + similarity) * (F.col("n_u") + F.col("n_v")) + 1e-6).select("u", "v")
+    met = entries.join(mixed, "shingle").select("shingle", "root", "class", "n", "at").repartition("shingle").sortWithinPartitions("shingle", "root")
+    return met.mapInArrow(tidy(meet), "u long, v long").distinct()
+
+
+def near(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs ``(u, v)`` whose maps don't show that they are too different, from one row ``(class, n, map)`` for each class."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = (1 - similarity) / (1 + similarity)
+        for b in batches:
+            n = np.asarray(b.column(2)) + np.asarray(b.column(3))
+            kept = [apart(*(np.asarray(b.column(c)[i].values) for c in (4, 5))) <= most * n[i] + 1e-6 for i in range(b.num_rows)]
+            yield b.select(["u", "v"]).filter(pa.array(kept, pa.bool_()))
+
+    links = cut(links)
+    wanted = small(cut(links.select(F.explode(F.array("u", "v")).alias("class")).distinct()))
+    maps = cut(sets.join(wanted, "class").select("class", "n", "map"))
+    for c in "vu":
+        links = links.join(maps.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("map").alias(f"map_{c}")), c)
+    return links.select("u", "v", "n_u", "n_v", "map_u", "map_v").mapInArrow(tidy(compare), "u long, v long")
 
 
 def candidates(by_class: DataFrame, bits: int = BITS, budget: int = BUDGET, leaf: int = NEAR_LEAF, far: int = FAR, forests: int = FORESTS) -> DataFrame:
@@ -552,8 +582,8 @@ def similar(
     Two texts are linked if their sets of shingles (of lower-cased words) have a Jaccard similarity of ``similarity``
     or more. Texts with the same set are one class from the start. Of the other pairs, those that a trie of
     sampled fingerprints brings together and whose sketches are not far apart are candidates; each task keeps some minimum
-    spanning forests of its candidates by sketch distance; and every candidate kept is checked on the whole texts. Then all pairs that :func:`missed` finds between the
-    components made so far are checked as well. Texts without a word are one class.
+    spanning forests of its candidates by sketch distance; and every candidate kept whose :func:`bitmap` leaves it open is checked on the whole texts. Then
+    all pairs that :func:`missed` finds between the components made so far are checked as well. Texts without a word are one class.
     """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -571,10 +601,16 @@ def similar(
 
     plain = _plain(docs, id_col, text_col)
     marked = cut(marks(docs, id_col, text_col, shingle, trees, sample, bits, similarity, commonness(docs, text_col, shingle)))
-    by_class = cut(marked.groupBy("class").agg(_best(), *(F.any_value(c).alias(c) for c in ("fps", "sketch", "n", "prefix", "map"))))
+    by_class = cut(marked.groupBy("class").agg(_best(), F.min("row").alias("row"), *(F.any_value(c).alias(c) for c in ("fps", "sketch"))))
+    # prefixes and maps take the most room: they stay where they are, and the rows that stand for no class are anti-joined
+    copies = small(cut(marked.select("row").join(by_class.select("row"), "row", "left_anti")))
+    sets = marked.join(copies, "row", "left_anti").select("class", "n", "prefix", "map")
 
     def linked(links: DataFrame) -> DataFrame:
-        """Those of the pairs that are similar enough, by their whole texts."""
+        """Those of the pairs that are similar enough, by their maps and then by their whole texts."""
+        links = cut(near(links, sets, similarity))
+        if links.isEmpty():
+            return links
         wanted = links.select(F.explode(F.array("u", "v")).alias("class")).distinct().join(by_class.select("class", "best"), "class")
         wanted = wanted.select("class", F.col("best.doc_id").alias("of"), F.col("best.text_hash").alias("hash"))
         wanted = small(cut(wanted))
@@ -584,10 +620,8 @@ def similar(
         both = links.join(sides[1], "v").join(sides[0], "u").select("u", "v", "text_u", "text_v")
         return cut(both.mapInArrow(tidy(check), "u long, v long"))
 
-    checked = linked(cut(candidates(by_class, bits, budget, leaf)))
-    more = cut(missed(by_class, checked, similarity))
-    if not more.isEmpty():
-        checked = checked.unionByName(linked(more))
+    checked = linked(candidates(by_class, bits, budget, leaf))
+    checked = checked.unionByName(linked(missed(sets, checked, similarity)))
     return marked.join(_grouped(by_class.select("class", "best"), checked, "class"), "class").select("doc_id", "text_hash", F.col("best.doc_id").alias("component_id"), "best")
 
 

@@ -220,3 +220,22 @@ def test_forests_keep_all_links_of_thin_cuts():
             across = lambda e, bits=bits: (bits >> e[0] & 1) != (bits >> e[1] & 1)
             cut_, held = sum(map(across, edges)), sum(map(across, kept))
             assert held >= min(2, cut_)
+
+
+def test_maps_show_that_long_sets_differ(spark):
+    """Long texts that share a passage meet by it, but no whole text is fetched for them; pairs similar enough, of equal size or not, stay."""
+    rng = np.random.default_rng(15)
+    draw = lambda n: np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+    passage = draw(200)
+    sets = [np.union1d(draw(5000), passage) for _ in range(30)]
+    for n in (3, 30, 300, 8100, 20000):  # four fifths of the first one's shingles and more, without others and with some
+        one = draw(n)
+        sets += [one, np.delete(one, rng.choice(len(one), n // 5, replace=False)), np.union1d(np.delete(one, rng.choice(len(one), n // 10, replace=False)), draw(n // 10))]
+    common = np.zeros(1 << simhash.PLACES, np.int64)
+    rows = [(i, len(s), simhash.prefix(s, common, 0.8).view(np.int64).tolist(), simhash.bitmap(s).tolist()) for i, s in enumerate(sets)]
+    table = spark.createDataFrame(rows, "class long, n long, prefix array<long>, map array<long>").cache()
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+    met = simhash.missed(table, spark.createDataFrame([], "u long, v long"), 0.8)
+    assert len(want) >= 10 and want | {(i, j) for j in range(30) for i in range(j)} <= {(r.u, r.v) for r in met.collect()}
+    left = {(r.u, r.v) for r in simhash.near(met, table, 0.8).collect()}
+    assert want <= left and min(i for i, _ in left) >= 30
