@@ -317,30 +317,36 @@ def trie_links(fps: DataFrame, budget: int = 2, bits: int = 64, step: int = STEP
     return reduce(DataFrame.unionByName, links)
 
 
+def fresh(df: DataFrame) -> DataFrame:
+    """``df`` after :func:`cut`, with no estimate of its size: a checkpoint keeps its plan's, and what is joined round after round multiplies them to numbers that fill the driver."""
+    df, session = cut(df), df.sparkSession
+    return DataFrame(session._jsparkSession.createDataFrame(df._jdf.toJavaRDD(), df._jdf.schema()), session)
+
+
 def components(links: DataFrame) -> DataFrame:
     """``(node, root)`` for every node with a link: ``root`` is its component's smallest node.
 
     Each round points every node at its smallest neighbour, follows the pointers to their ends by doubling,
     and contracts the links; the nodes left shrink to half or fewer each time.
     """
-    edges = cut(links.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    edges = fresh(links.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     roots = None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("root"))
-        low = cut(low)
+        low = fresh(low)
         while True:
             jump = low.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            low = cut(low.select("node", "root").join(jump, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+            low = fresh(low.select("node", "root").join(jump, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
             if low.where("moved").isEmpty():
                 break
         to = low.select(F.col("node").alias("root"), F.col("root").alias("next"))
         if roots is None:
             roots = low.select("node", "root")
         else:
-            roots = cut(roots.join(to, "root", "left").select("node", F.coalesce("next", "root").alias("root")))
+            roots = fresh(roots.join(to, "root", "left").select("node", F.coalesce("next", "root").alias("root")))
         moved = edges.join(low.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u").join(low.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v")
-        edges = cut(moved.where("ru <> rv").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct())
+        edges = fresh(moved.where("ru <> rv").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct())
     return links.sparkSession.createDataFrame([], "node long, root long") if roots is None else roots
 
 
@@ -618,7 +624,7 @@ def similar(
         texts = cut(one.groupBy("class").agg(F.any_value("text").alias("text")))
         sides = [texts.select(F.col("class").alias(c), F.col("text").alias(f"text_{c}")) for c in "uv"]
         both = links.join(sides[1], "v").join(sides[0], "u").select("u", "v", "text_u", "text_v")
-        return cut(both.mapInArrow(tidy(check), "u long, v long"))
+        return fresh(both.mapInArrow(tidy(check), "u long, v long"))
 
     checked = linked(candidates(by_class, bits, budget, leaf))
     checked = checked.unionByName(linked(missed(sets, checked, similarity)))

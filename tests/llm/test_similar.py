@@ -239,3 +239,13 @@ def test_maps_show_that_long_sets_differ(spark):
     assert len(want) >= 10 and want | {(i, j) for j in range(30) for i in range(j)} <= {(r.u, r.v) for r in met.collect()}
     left = {(r.u, r.v) for r in simhash.near(met, table, 0.8).collect()}
     assert want <= left and min(i for i, _ in left) >= 30
+
+
+def test_estimates_of_size_stay_small_over_rounds(spark):
+    """A long path takes many rounds of joins; the planner's estimates of the sizes don't multiply from one to the next."""
+    links = spark.range(3000).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    for _ in range(2):
+        roots = simhash.components(links)
+        assert roots.count() == 3001 and roots.where("root <> 0").isEmpty()
+        links = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+        assert roots._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 1000
